@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding, langid, quality, simhash
+from . import bpe, chat, embedding, langid, mixing, quality, simhash
 from .common import table
 
 QUERIES = {
@@ -10,6 +10,9 @@ QUERIES = {
     "op2_language_id": lambda s, d: langid.op2(table(s, d, "documents")),
     "op3_simhash": lambda s, d: simhash.op3(table(s, d, "documents")),
     "op4_embeddings": lambda s, d: embedding.op4(table(s, d, "embeddings")),
+    "op5_chat_perspectives": lambda s, d: chat.op5(table(s, d, "conversations")),
+    "op9_mixing": lambda s, d: mixing.op9(table(s, d, "documents")),
+    "op10_byte_bpe": lambda s, d: bpe.op10(table(s, d, "documents")),
 }
 
-SQL: dict[str, str] = {}
+SQL = {"op5_chat_perspectives": chat.SQL}
