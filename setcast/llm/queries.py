@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding, langid, mixing, quality, simhash
+from . import bpe, chat, embedding, html, langid, mixing, pii, quality, simhash, toxicity
 from .common import table
 
 QUERIES = {
@@ -11,6 +11,9 @@ QUERIES = {
     "op3_simhash": lambda s, d: simhash.op3(table(s, d, "documents")),
     "op4_embeddings": lambda s, d: embedding.op4(table(s, d, "embeddings")),
     "op5_chat_perspectives": lambda s, d: chat.op5(table(s, d, "conversations")),
+    "op6_pii": lambda s, d: pii.op6(table(s, d, "documents")),
+    "op7_toxicity": lambda s, d: toxicity.op7(table(s, d, "documents"), table(s, d, "labels")),
+    "op8_html_consensus": lambda s, d: html.op8(table(s, d, "pages")),
     "op9_mixing": lambda s, d: mixing.op9(table(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: bpe.op10(table(s, d, "documents")),
 }
