@@ -1,5 +1,287 @@
-"""Named queries over the driver's tables and the SQL that each must agree with."""
+"""Named queries over the driver's tables and the SQL that each must agree with.
+
+The embeddings table stands in for the feature tables: its ids give the splits, its labels the classes. Floats are rounded to
+six digits in both engines.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from setcast.operators import conformal, metrics, models, prep
+from setcast.sources import tables
 
 FLAGSHIP = "compare_methods"
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.select(*(F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+
+
+def encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
+    rows = tables.samples(spark, folder)
+    classes = prep.encode_labels(rows)
+    return prep.with_classes(rows, classes), classes.count()
+
+
+def probs(spark: SparkSession, folder: str, model: str = "centroid", **options) -> DataFrame:
+    """(sample_id, split, y, u, p) of calibration and test rows."""
+    rows, k = encoded(spark, folder)
+    scored = models.with_probabilities(model, rows.where("split = 'train'"), rows.where("split <> 'train'"), k, **options)
+    return scored.select("sample_id", "split", F.col("class_idx").alias("y"), "u", "p")
+
+
+def _ranked(spark: SparkSession, folder: str) -> DataFrame:
+    return conformal.ranked(probs(spark, folder))
+
+
+def _long(df: DataFrame, array: str, name: str) -> DataFrame:
+    return df.select("sample_id", F.posexplode(array).alias("class_idx", name))
+
+
+def _predictions(spark: SparkSession, folder: str, model: str = "centroid", **options) -> DataFrame:
+    return probs(spark, folder, model, **options).where("split = 'test'").select("y", models.predicted(F.col("p")).alias("pred"))
+
+
+def load_clean(spark, folder):
+    rows = tables.table(spark, folder, "embeddings").select("vec_id", F.expr("CASE WHEN vec_id % 7 = 3 THEN CAST(NULL AS DOUBLE) WHEN vec_id % 11 = 5 THEN CAST('NaN' AS DOUBLE) ELSE vec_id / 4D END AS f"), F.expr("CASE WHEN vec_id % 13 <> 1 THEN 'a' END AS split"), F.expr("label + 0.9D AS code"))
+    return tables.load_clean(rows).select("vec_id", "f", "code")
+
+
+def subsample_exact(spark, folder):
+    return prep.subsample(tables.samples(spark, folder).where("split = 'train'"), 100).select("sample_id", "code")
+
+
+def dummy_predict(spark, folder):
+    rows = tables.samples(spark, folder)
+    top = rows.where("split = 'train'").groupBy("code").agg(F.count("*").alias("n")).agg(F.max_by("code", F.struct("n", -F.col("code"))).alias("pred"))
+    return rows.where("split = 'test'").join(F.broadcast(top), F.lit(True)).select("sample_id", "code", "pred")
+
+
+def sorted_cumsum(spark, folder):
+    rows = _ranked(spark, folder)
+    return _rounded(_long(rows, "before", "before").withColumn("rank", F.col("class_idx") + 1).select("sample_id", "rank", "before"))
+
+
+def _scores(method, lam, k_reg):
+    return lambda s, d: _rounded(_long(_ranked(s, d).withColumn("scores", conformal.scores(method, lam, k_reg)), "scores", "score"))
+
+
+def conformal_tau(spark, folder):
+    cells = conformal.in_cells(_ranked(spark, folder).where("split = 'cal'"), conformal.COMPARED)
+    return _rounded(conformal.thresholds(cells, conformal.ALPHAS))
+
+
+def _metrics_of(method, lam, k_reg):
+    def run(spark, folder):
+        sets = conformal.score_sets(_ranked(spark, folder), ((method, lam, k_reg),), conformal.ALPHAS)
+        return _rounded(conformal.set_metrics(sets, ["alpha", "tau"]))
+
+    return run
+
+
+def rank_threshold(spark, folder):
+    found = conformal.rank_thresholds(_ranked(spark, folder), conformal.ALPHAS)
+    shown = F.when(F.abs("pi_star") < float("inf"), F.col("pi_star"))
+    return _rounded(found.select("alpha", "n", "r_star", "below", "at", "k_pick", shown.alias("pi_star")))
+
+
+def set_size_hist(spark, folder):
+    sets = conformal.score_sets(_ranked(spark, folder), conformal.COMPARED, conformal.ALPHAS)
+    return sets.groupBy("method", "alpha", "size").agg(F.count("*").alias("n"), F.sum(F.col("covered").cast("long")).alias("covered"))
+
+
+def prediction_sets(spark, folder):
+    sets = conformal.score_sets(_ranked(spark, folder), (("SAPS", 0.2, None),), (0.1,))
+    return sets.select("sample_id", F.explode("members").alias("class_idx"))
+
+
+def zonal_stats(spark, folder):
+    rows = _long(probs(spark, folder), "p", "p").withColumn("zone", F.col("sample_id") % 5)
+    return _rounded(prep.zonal_stats(rows, "zone", "class_idx", "p", 0.1))
+
+
+def zonal_merged(spark, folder):
+    rows = _long(probs(spark, folder), "p", "p").withColumn("zone", F.col("sample_id") % 5)
+    stats = prep.zonal_stats(rows, "zone", "class_idx", "p", 0.1)
+    wide = prep.merge_zonal(stats, "zone", "class_idx", "max", list(range(3)))
+    return _rounded(wide.select("zone", *(F.col(str(k)).alias(f"max_{k}") for k in range(3))))
+
+
+def label_fallback(spark, folder):
+    rows = tables.samples(spark, folder).select("sample_id", F.expr("CASE WHEN sample_id % 3 > 0 THEN code END AS level2"), F.expr("code % 4 AS level1"))
+    lookup = tables.table(spark, folder, "nation").select(F.col("n_nationkey").cast("int").alias("code"), F.col("n_name").alias("name"))
+    return prep.label_fallback(rows, "level2", "level1", lookup, "code").select("sample_id", "code", "name")
+
+
+def area_rollup(spark, folder):
+    nation, region, customer = (tables.table(spark, folder, t) for t in ("nation", "region", "customer"))
+    rows = customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey"))
+    return prep.area_rollup(rows.withColumn("area", F.col("c_custkey").cast("long")), "r_name", "n_name", "area")
+
+
+def stratified_sample(spark, folder):
+    """Ten rows of each class, by a hash within the class."""
+    h = Window.partitionBy("code").orderBy(F.md5(F.col("sample_id").cast("string")), "sample_id")
+    return tables.samples(spark, folder).withColumn("k", F.row_number().over(h)).where("k <= 10").select("sample_id", "code")
+
+
+def _model_metrics(name, **options):
+    def run(spark, folder):
+        pred = _predictions(spark, folder, name, **options)
+        return _rounded(metrics.macro_f1(pred).join(metrics.balanced_accuracy(pred)).withColumn("model", F.lit(name)))
+
+    return run
+
+
+QUERIES = {
+    "load_clean": load_clean,
+    "split_sizes": lambda s, d: prep.split_sizes(tables.samples(s, d)),
+    "label_encode": lambda s, d: prep.encode_labels(tables.samples(s, d)),
+    "class_distribution": lambda s, d: prep.class_distribution(encoded(s, d)[0].where("split = 'train'"), "class_idx"),
+    "subsample_exact": subsample_exact,
+    "stratified_sample": stratified_sample,
+    "dummy_predict": dummy_predict,
+    "centroid_probs": lambda s, d: _rounded(_long(probs(s, d), "p", "p")),
+    "class_ranks": lambda s, d: _long(_ranked(s, d), "ranks", "rank"),
+    "sorted_cumsum": sorted_cumsum,
+    "saps_scores": _scores("SAPS", 0.2, None),
+    "aps_scores": _scores("APS", 0.0, 1),
+    "raps_scores": _scores("RAPS", 0.01, 1),
+    "conformal_tau": conformal_tau,
+    "prediction_sets": prediction_sets,
+    "saps_sweep": lambda s, d: _rounded(conformal.saps_sweep(_ranked(s, d))),
+    "aps_metrics": _metrics_of("APS", 0.0, 1),
+    "raps_metrics": _metrics_of("RAPS", 0.01, 1),
+    "rank_threshold": rank_threshold,
+    "rank_metrics": lambda s, d: _rounded(conformal.set_metrics(conformal.rank_sets(_ranked(s, d), conformal.ALPHAS), ["alpha", "r_star"])),
+    "compare_methods": lambda s, d: _rounded(conformal.compare_methods(_ranked(s, d))),
+    "confusion_matrix": lambda s, d: metrics.confusion(_predictions(s, d)),
+    "macro_f1": lambda s, d: _rounded(metrics.macro_f1(_predictions(s, d))),
+    "balanced_accuracy": lambda s, d: _rounded(metrics.balanced_accuracy(_predictions(s, d))),
+    "set_size_hist": set_size_hist,
+    "zonal_stats": zonal_stats,
+    "zonal_merged": zonal_merged,
+    "label_fallback": label_fallback,
+    "area_rollup": area_rollup,
+    "logreg_metrics": _model_metrics("linear"),
+    "rf_metrics": _model_metrics("rf", n_estimators=20),
+    "knn_metrics": _model_metrics("knn"),
+}
+
+# SQL, from common table expressions that build on each other.
+_SAMPLES = """samples AS (
+  SELECT vec_id AS sample_id, CASE WHEN vec_id % 10 < 6 THEN 'train' WHEN vec_id % 10 < 8 THEN 'cal' ELSE 'test' END AS split,
+         embedding AS features, label AS code, CAST((vec_id * 2654435761) % 4294967296 AS DOUBLE) / CAST(4294967296 AS DOUBLE) AS u
+  FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+), classes AS (
+  SELECT code, CAST(row_number() OVER (ORDER BY code) - 1 AS INTEGER) AS class_idx FROM (SELECT DISTINCT code FROM samples)
+)"""
+_PROBS = f"""{_SAMPLES}, dims AS (
+  SELECT sample_id, split, class_idx AS y, u, CAST(unnest(features) AS DOUBLE) AS x, generate_subscripts(features, 1) AS d
+  FROM samples JOIN classes USING (code)
+), centroids AS (
+  SELECT y AS class_idx, d, avg(x) AS c FROM dims WHERE split = 'train' GROUP BY y, d
+), minus AS (
+  SELECT sample_id, split, y, u, class_idx, -10.0 * sum((x - c) * (x - c)) AS z
+  FROM dims JOIN centroids USING (d) WHERE split <> 'train' GROUP BY sample_id, split, y, u, class_idx
+), powers AS (
+  SELECT sample_id, split, y, u, class_idx, exp(z - max(z) OVER (PARTITION BY sample_id)) AS e FROM minus
+), known AS (
+  SELECT sample_id, split, y, u, class_idx, round(e / sum(e) OVER (PARTITION BY sample_id), 9) AS p FROM powers
+), probs AS (
+  SELECT s.sample_id, s.split, s.y, s.u, c.class_idx, coalesce(k.p, 0.0) AS p
+  FROM (SELECT DISTINCT sample_id, split, y, u FROM known) s CROSS JOIN classes c LEFT JOIN known k ON k.sample_id = s.sample_id AND k.class_idx = c.class_idx
+)"""
+_RANKED = f"""{_PROBS}, ranked AS (
+  SELECT *, CAST(row_number() OVER w AS INTEGER) AS rank, coalesce(sum(p) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before,
+         max(p) OVER (PARTITION BY sample_id) AS top
+  FROM probs WINDOW w AS (PARTITION BY sample_id ORDER BY p DESC, class_idx)
+)"""
+_SCORE = {
+    "SAPS": "CASE WHEN rank = 1 THEN top * u ELSE top + (rank - 2 + u) * lam END",
+    "APS": "before + u * p",
+    "RAPS": "before + u * p + greatest(lam, 0) * greatest(0, rank - k_reg)",
+}
+_ALPHAS = "(VALUES (CAST(0.05 AS DOUBLE)), (CAST(0.1 AS DOUBLE)), (CAST(0.2 AS DOUBLE))) a(alpha)"
+
+
+def _cells(cells: tuple) -> str:
+    values = ", ".join(f"('{m}', CAST({lam} AS DOUBLE), {k or 'CAST(NULL AS INTEGER)'})" for m, lam, k in cells)
+    score = " ".join(f"WHEN method = '{m}' THEN {x}" for m, x in _SCORE.items())
+    return f"""{_RANKED}, cells(method, lam, k_reg) AS (VALUES {values}), scored AS (
+  SELECT method, lam, k_reg, sample_id, split, y, class_idx, CASE {score} END AS score FROM ranked CROSS JOIN cells
+), cal AS (
+  SELECT method, lam, score, row_number() OVER (PARTITION BY method, lam ORDER BY score) AS m, count(*) OVER (PARTITION BY method, lam) AS n
+  FROM scored WHERE split = 'cal' AND class_idx = y
+), tau AS (
+  SELECT method, lam, alpha, score AS tau FROM cal CROSS JOIN {_ALPHAS} WHERE m = least(ceil((n + 1) * (1 - alpha)) + 1, n)
+), sets AS (
+  SELECT method, lam, k_reg, alpha, tau, sample_id, sum(CAST(score <= tau AS INTEGER)) AS size, max(CAST(score <= tau AND class_idx = y AS INTEGER)) AS covered
+  FROM scored JOIN tau USING (method, lam) WHERE split = 'test' GROUP BY method, lam, k_reg, alpha, tau, sample_id
+)"""
+
+
+_STATS = """round(avg(covered), 6) AS coverage, round(avg(size), 6) AS avg_set_size, round(median(CAST(size AS DOUBLE)), 6) AS median_set_size,
+  CAST(max(size) AS INTEGER) AS max_set_size, round(avg(CAST(size = 1 AS INTEGER)), 6) AS pct_singleton, round(avg(CAST(size = 0 AS INTEGER)), 6) AS pct_empty"""
+_RANK = f"""{_RANKED}, counts AS (
+  SELECT rank AS r, count(*) AS c FROM ranked WHERE split = 'cal' AND class_idx = y GROUP BY rank
+), placed AS (
+  SELECT r, c, CAST(sum(c) OVER (ORDER BY r) - c AS BIGINT) AS below, CAST(sum(c) OVER (ORDER BY r DESC) AS BIGINT) AS from_top, CAST(sum(c) OVER () AS BIGINT) AS n FROM counts
+), floors AS (
+  SELECT *, CAST(floor((n + 1) * alpha) AS BIGINT) AS fl FROM placed CROSS JOIN {_ALPHAS}
+), stages AS (
+  SELECT alpha, n, r AS r_star, below, c AS at, CAST(ceil(n * greatest(0.0, least(1.0, CAST(n - fl - below AS DOUBLE) / c))) AS BIGINT) AS k_pick
+  FROM floors WHERE greatest(1, least(fl, n)) <= from_top AND greatest(1, least(fl, n)) > from_top - c
+), at_r AS (
+  SELECT alpha, p, row_number() OVER (PARTITION BY alpha ORDER BY p DESC) AS k FROM ranked JOIN stages ON rank = r_star WHERE split = 'cal'
+), stars AS (
+  SELECT s.*, CASE WHEN k_pick <= 0 THEN CAST('inf' AS DOUBLE) WHEN k_pick > n THEN CAST('-inf' AS DOUBLE) ELSE a.p END AS pi_star
+  FROM stages s LEFT JOIN at_r a ON a.alpha = s.alpha AND a.k = s.k_pick
+), sizes AS (
+  SELECT alpha, r_star, sample_id, CASE WHEN p >= pi_star THEN r_star ELSE r_star - 1 END AS size FROM ranked JOIN stars ON rank = r_star WHERE split = 'test'
+), rank_sets AS (
+  SELECT z.alpha, z.r_star, z.sample_id, z.size, CAST(r.rank <= z.size AS INTEGER) AS covered FROM sizes z JOIN ranked r ON r.sample_id = z.sample_id AND r.class_idx = r.y
+)"""
+_PRED = f"""{_RANKED}, pred AS (SELECT y, class_idx AS pred FROM ranked WHERE split = 'test' AND rank = 1), confusion AS (
+  SELECT y, pred, count(*) AS n FROM pred GROUP BY y, pred
+)"""
+_LONG = "SELECT sample_id, class_idx, round({score}, 6) AS score FROM (SELECT *, CAST({lam} AS DOUBLE) AS lam, 1 AS k_reg FROM ranked)"
+_SWEEP = tuple(("SAPS", lam, None) for lam in conformal.SAPS_LAMS)
+
+SQL = {
+    "load_clean": """SELECT vec_id, CAST(f AS FLOAT) AS f, code FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN NULL WHEN vec_id % 11 = 5 THEN CAST('NaN' AS DOUBLE) ELSE CAST(vec_id AS DOUBLE) / 4 END AS f,
+  CASE WHEN vec_id % 13 <> 1 THEN 'a' END AS split, label AS code FROM embeddings) WHERE f IS NOT NULL AND NOT isnan(f) AND split IS NOT NULL AND code IS NOT NULL""",
+    "split_sizes": f"WITH {_SAMPLES} SELECT split, count(*) AS n, max(len(features)) AS n_features, count(DISTINCT code) AS n_classes FROM samples GROUP BY split",
+    "label_encode": f"WITH {_SAMPLES} SELECT code, class_idx FROM classes",
+    "class_distribution": f"WITH {_SAMPLES} SELECT class_idx, count(*) AS n FROM samples JOIN classes USING (code) WHERE split = 'train' GROUP BY class_idx",
+    "subsample_exact": f"WITH {_SAMPLES} SELECT sample_id, code FROM samples WHERE split = 'train' ORDER BY md5('0:' || sample_id), sample_id LIMIT 100",
+    "stratified_sample": f"WITH {_SAMPLES} SELECT sample_id, code FROM samples QUALIFY row_number() OVER (PARTITION BY code ORDER BY md5(CAST(sample_id AS VARCHAR)), sample_id) <= 10",
+    "dummy_predict": f"WITH {_SAMPLES}, top AS (SELECT code FROM samples WHERE split = 'train' GROUP BY code ORDER BY count(*) DESC, code LIMIT 1) SELECT sample_id, s.code, t.code AS pred FROM samples s CROSS JOIN top t WHERE split = 'test'",
+    "centroid_probs": f"WITH {_PROBS} SELECT sample_id, class_idx, round(p, 6) AS p FROM probs",
+    "class_ranks": f"WITH {_RANKED} SELECT sample_id, class_idx, rank FROM ranked",
+    "sorted_cumsum": f"WITH {_RANKED} SELECT sample_id, rank, round(before, 6) AS before FROM ranked",
+    "saps_scores": f"WITH {_RANKED} {_LONG.format(score=_SCORE['SAPS'], lam=0.2)}",
+    "aps_scores": f"WITH {_RANKED} {_LONG.format(score=_SCORE['APS'], lam=0)}",
+    "raps_scores": f"WITH {_RANKED} {_LONG.format(score=_SCORE['RAPS'], lam=0.01)}",
+    "conformal_tau": f"WITH {_cells(conformal.COMPARED)} SELECT method, lam, alpha, round(tau, 6) AS tau FROM tau",
+    "prediction_sets": f"WITH {_cells((('SAPS', 0.2, None),))} SELECT sample_id, class_idx FROM scored JOIN tau USING (method, lam) WHERE split = 'test' AND alpha = 0.1 AND score <= tau",
+    "saps_sweep": f"WITH {_cells(_SWEEP)} SELECT alpha, lam, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, lam, sets.tau",
+    "aps_metrics": f"WITH {_cells((('APS', 0.0, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
+    "raps_metrics": f"WITH {_cells((('RAPS', 0.01, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
+    "rank_threshold": f"WITH {_RANK} SELECT alpha, n, r_star, below, at, k_pick, CASE WHEN isfinite(pi_star) THEN round(pi_star, 6) END AS pi_star FROM stars",
+    "rank_metrics": f"WITH {_RANK} SELECT alpha, r_star, {_STATS} FROM rank_sets GROUP BY alpha, r_star",
+    "compare_methods": f"""SELECT * FROM (WITH {_cells(conformal.COMPARED)} SELECT method, alpha, CASE WHEN method <> 'APS' THEN lam END AS lam, CASE WHEN method = 'RAPS' THEN k_reg END AS k_reg,
+  round(tau, 6) AS tau, {_STATS}, CAST(NULL AS INTEGER) AS r_star FROM sets GROUP BY method, alpha, sets.lam, sets.k_reg, sets.tau)
+UNION ALL SELECT * FROM (WITH {_RANK} SELECT 'RANK', alpha, CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), {_STATS}, r_star FROM rank_sets GROUP BY alpha, r_star)""",
+    "confusion_matrix": f"WITH {_PRED} SELECT y, pred, n FROM confusion",
+    "macro_f1": f"""WITH {_PRED}, both_sides AS (SELECT y AS k, n AS total, CASE WHEN y = pred THEN n ELSE 0 END AS hit FROM confusion UNION ALL SELECT pred, n, 0 FROM confusion)
+SELECT round(avg(f1), 6) AS f1_macro FROM (SELECT k, 2.0 * CAST(sum(hit) AS DOUBLE) / CAST(sum(total) AS DOUBLE) AS f1 FROM both_sides GROUP BY k)""",
+    "balanced_accuracy": f"WITH {_PRED} SELECT round(avg(recall), 6) AS balanced_accuracy FROM (SELECT y, CAST(sum(CASE WHEN y = pred THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS recall FROM confusion GROUP BY y)",
+    "set_size_hist": f"WITH {_cells(conformal.COMPARED)} SELECT method, alpha, CAST(size AS INTEGER) AS size, count(*) AS n, CAST(sum(covered) AS BIGINT) AS covered FROM sets GROUP BY method, alpha, size",
+    "zonal_stats": f"WITH {_PROBS} SELECT sample_id % 5 AS zone, class_idx, round(median(p), 6) AS median, round(max(p), 6) AS max, round(stddev_pop(p), 6) AS sd, round(avg(CAST(p > 0.1 AS INTEGER)), 6) AS share_above FROM probs GROUP BY zone, class_idx",
+    "zonal_merged": f"WITH {_PROBS} SELECT sample_id % 5 AS zone, round(max(p) FILTER (WHERE class_idx = 0), 6) AS max_0, round(max(p) FILTER (WHERE class_idx = 1), 6) AS max_1, round(max(p) FILTER (WHERE class_idx = 2), 6) AS max_2 FROM probs GROUP BY zone",
+    "label_fallback": f"WITH {_SAMPLES}, l AS (SELECT sample_id, coalesce(CASE WHEN sample_id % 3 > 0 THEN code END, code % 4) AS code FROM samples) SELECT sample_id, code, n_name AS name FROM l LEFT JOIN nation ON n_nationkey = code",
+    "area_rollup": "SELECT r_name, n_name, CAST(sum(c_custkey) AS BIGINT) AS area FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
+}
