@@ -270,7 +270,7 @@ SQL = {
     "saps_sweep": f"WITH {_cells(_SWEEP)} SELECT alpha, lam, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, lam, sets.tau",
     "aps_metrics": f"WITH {_cells((('APS', 0.0, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
     "raps_metrics": f"WITH {_cells((('RAPS', 0.01, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
-    "rank_threshold": f"WITH {_RANK} SELECT alpha, n, r_star, below, at, k_pick, CASE WHEN isfinite(pi_star) THEN round(pi_star, 6) END AS pi_star FROM stars",
+    "rank_threshold": f"WITH {_RANK} SELECT alpha, n, r_star, below, \"at\", k_pick, CASE WHEN isfinite(pi_star) THEN round(pi_star, 6) END AS pi_star FROM stars",
     "rank_metrics": f"WITH {_RANK} SELECT alpha, r_star, {_STATS} FROM rank_sets GROUP BY alpha, r_star",
     "compare_methods": f"""SELECT * FROM (WITH {_cells(conformal.COMPARED)} SELECT method, alpha, CASE WHEN method <> 'APS' THEN lam END AS lam, CASE WHEN method = 'RAPS' THEN k_reg END AS k_reg,
   round(tau, 6) AS tau, {_STATS}, CAST(NULL AS INTEGER) AS r_star FROM sets GROUP BY method, alpha, sets.lam, sets.k_reg, sets.tau)
