@@ -22,8 +22,8 @@ from .common import hash01
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words folded once beforehand, at most, and about as many documents they are counted in; they bear on speed alone.
-CACHED_WORDS = 1 << 18
-SAMPLED_DOCS = 1 << 14
+CACHED_WORDS = 1 << 17
+SAMPLED_DOCS = 1 << 15
 _CACHED_LENGTH = 64
 _ENTRIES = 6
 
