@@ -101,7 +101,9 @@ class Mix:
         shards = max(1, -(-total // SHARD_SLOTS))
         chunks = self.sources.where("slots > 0").select("number", "slots", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / _CHUNK))).alias("chunk"))
         low = F.col("chunk") * _CHUNK
-        rows = chunks.repartition("number", "chunk").select("number", "blocks", F.explode(F.sequence(low, F.least(low + _CHUNK, "slots") - 1)).alias("slot"))
+        # Chunks are few bytes but much work: a fixed number of tasks keeps them from being merged into one.
+        tasks = max(1, min(-(-total // _CHUNK), max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 20)))
+        rows = chunks.repartition(tasks, "number", "chunk").select("number", "blocks", F.explode(F.sequence(low, F.least(low + _CHUNK, "slots") - 1)).alias("slot"))
         key = F.xxhash64(F.lit(self.seed), "number", F.floor(F.col("slot") / F.col("blocks")))
         block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key)
         shard = F.floor(hash01("number", "slot", seed=self.seed + 1) * shards).cast("long")
@@ -116,7 +118,8 @@ class Mix:
         return rows.select("doc_id", "number", "first", "block", low.alias("low"), high.alias("high"))
 
     def _times(self) -> DataFrame:
-        return self.slots().groupBy("number", "block").agg(F.count("*").alias("times"))
+        # Its size is that of the mix, which the planner cannot tell from the few chunks it starts with: never to be broadcast.
+        return self.slots().groupBy("number", "block").agg(F.count("*").alias("times")).hint("merge")
 
     def taken(self) -> DataFrame:
         """(doc_id, size, source, source_size, target, taken) for every document; one with words is known by its source and first word."""
@@ -129,7 +132,7 @@ class Mix:
 
     def order(self) -> DataFrame:
         """The mix itself: (shard, number, slot, doc_id, low, high), the words [low, high) of a document in each slot of each output shard."""
-        return self.slots().join(self.pieces(), ["number", "block"]).select("shard", "number", "slot", "doc_id", "low", "high")
+        return self.slots().hint("merge").join(self.pieces(), ["number", "block"]).select("shard", "number", "slot", "doc_id", "low", "high")
 
     def texts(self) -> DataFrame:
         """Needs carry: the input's columns, text now the words that the mix takes (see mixed_texts)."""
