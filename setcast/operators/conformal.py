@@ -85,7 +85,7 @@ def score_sets(rows: DataFrame, cells: tuple, alphas: tuple[float, ...], mode: s
 
 
 def rank_thresholds(rows: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
-    """RANK's two stages per level: (alpha, n, r_star, below, at, k_pick, pi_star); pi_star is infinite for none and minus infinite for all."""
+    """RANK's two stages per level: (alpha, n, r_star, below, n_at, k_pick, pi_star); pi_star is infinite for none and minus infinite for all."""
     cal = rows.where("split = 'cal'")
     at_rank = cal.select(K.at_label(F.col("ranks"), F.col("y")).alias("r")).groupBy("r").agg(F.count("*").alias("c"))
     up, down = Window.orderBy("r"), Window.orderBy(F.desc("r"))  # one row per class
@@ -94,13 +94,13 @@ def rank_thresholds(rows: DataFrame, alphas: tuple[float, ...]) -> DataFrame:
     stages = counts.select("*", F.explode(F.array(*(F.lit(float(a)) for a in alphas))).alias("alpha")).withColumn("fl", floor).withColumn("kth", K.clamp(floor, F.lit(1).cast("long"), F.col("n")))
     stages = stages.where((F.col("kth") <= F.col("from_top")) & (F.col("kth") > F.col("from_top") - F.col("c")))
     share = K.clamp((F.col("n") - F.col("fl") - F.col("below")) / F.col("c"), F.lit(0.0), F.lit(1.0))
-    stages = stages.select("alpha", "n", F.col("r").alias("r_star"), "below", F.col("c").alias("at"), F.ceil(F.col("n") * share).alias("k_pick"))
+    stages = stages.select("alpha", "n", F.col("r").alias("r_star"), "below", F.col("c").alias("n_at"), F.ceil(F.col("n") * share).alias("k_pick"))
     place = K.clamp(F.col("n") - F.col("k_pick") + 1, F.lit(1).cast("long"), F.col("n"))
     wanted = stages.withColumn("m", place)
     values = cal.join(F.broadcast(stages.select("alpha", "r_star")), F.lit(True)).select("alpha", F.element_at("sorted_p", F.col("r_star")).alias("score"))
     found = order_statistics(values, wanted, ["alpha"])
     pi = F.when(F.col("k_pick") <= 0, F.lit(float("inf"))).when(F.col("k_pick") > F.col("n"), F.lit(float("-inf"))).otherwise(F.col("score"))
-    return found.select("alpha", "n", "r_star", "below", "at", "k_pick", pi.alias("pi_star"))
+    return found.select("alpha", "n", "r_star", "below", "n_at", "k_pick", pi.alias("pi_star"))
 
 
 def rank_sets(rows: DataFrame, alphas: tuple[float, ...]) -> DataFrame:

@@ -84,7 +84,7 @@ def _metrics_of(method, lam, k_reg):
 def rank_threshold(spark, folder):
     found = conformal.rank_thresholds(_ranked(spark, folder), conformal.ALPHAS)
     shown = F.when(F.abs("pi_star") < float("inf"), F.col("pi_star"))
-    return _rounded(found.select("alpha", "n", "r_star", "below", "at", "k_pick", shown.alias("pi_star")))
+    return _rounded(found.select("alpha", "n", "r_star", "below", "n_at", "k_pick", shown.alias("pi_star")))
 
 
 def set_size_hist(spark, folder):
@@ -232,7 +232,7 @@ _RANK = f"""{_RANKED}, counts AS (
 ), floors AS (
   SELECT *, CAST(floor((n + 1) * alpha) AS BIGINT) AS fl FROM placed CROSS JOIN {_ALPHAS}
 ), stages AS (
-  SELECT alpha, n, r AS r_star, below, c AS at, CAST(ceil(n * greatest(0.0, least(1.0, CAST(n - fl - below AS DOUBLE) / c))) AS BIGINT) AS k_pick
+  SELECT alpha, n, r AS r_star, below, c AS n_at, CAST(ceil(n * greatest(0.0, least(1.0, CAST(n - fl - below AS DOUBLE) / c))) AS BIGINT) AS k_pick
   FROM floors WHERE greatest(1, least(fl, n)) <= from_top AND greatest(1, least(fl, n)) > from_top - c
 ), at_r AS (
   SELECT alpha, p, row_number() OVER (PARTITION BY alpha ORDER BY p DESC) AS k FROM ranked JOIN stages ON rank = r_star WHERE split = 'cal'
@@ -270,7 +270,7 @@ SQL = {
     "saps_sweep": f"WITH {_cells(_SWEEP)} SELECT alpha, lam, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, lam, sets.tau",
     "aps_metrics": f"WITH {_cells((('APS', 0.0, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
     "raps_metrics": f"WITH {_cells((('RAPS', 0.01, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
-    "rank_threshold": f"WITH {_RANK} SELECT alpha, n, r_star, below, \"at\", k_pick, CASE WHEN isfinite(pi_star) THEN round(pi_star, 6) END AS pi_star FROM stars",
+    "rank_threshold": f"WITH {_RANK} SELECT alpha, n, r_star, below, n_at, k_pick, CASE WHEN isfinite(pi_star) THEN round(pi_star, 6) END AS pi_star FROM stars",
     "rank_metrics": f"WITH {_RANK} SELECT alpha, r_star, {_STATS} FROM rank_sets GROUP BY alpha, r_star",
     "compare_methods": f"""SELECT * FROM (WITH {_cells(conformal.COMPARED)} SELECT method, alpha, CASE WHEN method <> 'APS' THEN lam END AS lam, CASE WHEN method = 'RAPS' THEN k_reg END AS k_reg,
   round(tau, 6) AS tau, {_STATS}, CAST(NULL AS INTEGER) AS r_star FROM sets GROUP BY method, alpha, sets.lam, sets.k_reg, sets.tau)
