@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import dropped, hash01, written
 
-PER_LANGUAGE = 500
-DIM = 2048
+PER_LANGUAGE = 300
+DIM = 1024
 #: Families of ISO 639-1 codes. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -98,7 +98,8 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = labelled.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))
     sample = rows.join(F.broadcast(rate), "lang").where(hash01("doc_id", seed=11) < F.col("rate"))
-    sample = written(sample.select("lang", _features("text").alias("x")).where("x IS NOT NULL"), "langid")
+    made = written(sample.select("lang", _features("text").alias("x")), "langid")
+    sample = made.where("x IS NOT NULL")  # after writing: in one plan the filter would compute x a second time
     codes = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     languages: dict[str, list[str]] = defaultdict(list)
     for code in codes:
@@ -118,7 +119,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for a, b in combinations(own, 2):
             m = fitted(data.where(F.col("lang").isin(a, b)).withColumn("label", as_label({a: 0, b: 1})), LinearSVC(maxIter=40, regParam=1e-4, standardization=False))
             pairs[a, b] = m.coefficients.toArray(), float(m.intercept)
-    dropped(sample)
+    dropped(made)
     return Model(families, weights, bias, dict(languages), pairs)
 
 
