@@ -140,8 +140,9 @@ class Mix:
         ranges = passes.groupBy("number", "first", "pass").agg(F.array_sort(F.collect_list(F.struct("low", "high"))).alias("ranges"))
         rows = self.docs.where("size > 0").select("number", "first", "row").join(ranges, ["number", "first"])
         words = F.regexp_extract_all("row.text", F.lit(WORD + r"[\x20\x09-\x0D]*"), F.lit(0))
-        rows = rows.withColumn("words", words)
-        text = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice("words", r["low"].cast("int") + 1, (r["high"] - r["low"]).cast("int")))), "")
+        # The lambda's variable holds the words: a column that is used once inside a lambda would be computed anew for every range.
+        taken = lambda w: F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice(w, r["low"].cast("int") + 1, (r["high"] - r["low"]).cast("int")))), "")
+        text = F.element_at(F.transform(F.array(words), taken), 1)
         given = self.docs.schema["row"].dataType.names
         rows = rows.withColumn("new_text", text)
         return rows.select(*((F.col("new_text") if c == "text" else F.length("new_text").cast("long") if c == "n_chars" else F.col("row")[c]).alias(c) for c in given))
