@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
 A vocabulary's ranks are one literal: an array of small hash buckets, each a map from a byte sequence (in hex) to its
-rank. A word is folded from its bytes: the pair of neighbours with the lowest rank, leftmost first, is merged
-until none has a rank. The commonest distinct words of a bounded sample are folded once, as a DataFrame, and become a
+rank; the pairs of ids that merge are another. A word is folded from its bytes: the pair of neighbours with the lowest rank,
+leftmost first, is merged until none has a rank. The commonest distinct words of a bounded sample are folded once, as a DataFrame, and become a
 second literal that answers most words of the texts at once; every other word is folded where it stands, by
 the same expression, so that the choice of sample has no influence on any result. Decoding looks up each id's bytes
 and joins them.
@@ -26,6 +26,10 @@ CACHED_WORDS = 1 << 17
 SAMPLED_DOCS = 1 << 15
 _CACHED_LENGTH = 64
 _ENTRIES = 6
+#: Ids and ranks have fewer bits than that.
+_BITS = 20
+_NONE = 1 << _BITS
+_HEX = 71  # above the code of F
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -60,6 +64,29 @@ def _int(c: Column) -> Column:
     return c.cast("int")
 
 
+def _id(entry: Column) -> Column:
+    return entry.bitwiseAND(F.lit((1 << _BITS) - 1).cast("long"))
+
+
+def _entry(rank: Column | int, piece: Column) -> Column:
+    return rank * F.lit(1 << _BITS).cast("long") + piece
+
+
+def _key(a, b):
+    """A pair of ids as one number, above all ranks."""
+    return a * (1 << _BITS) + b + (1 << 2 * _BITS)
+
+
+def _pairs(ranks: dict[bytes, int]) -> tuple[Column, int]:
+    """A literal array of buckets [_NONE, key, rank, key, rank, ...]: the element after a key's place, or the first if it has none, is its rank."""
+    known = [(_key(ranks[p[:k]], ranks[p[k:]]), rank) for p, rank in ranks.items() for k in range(1, len(p)) if p[:k] in ranks and p[k:] in ranks]
+    size = len(known) | 1
+    buckets: list[list[int]] = [[_NONE] for _ in range(size)]
+    for key, rank in known:
+        buckets[key % size] += (key, rank)
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<array<bigint>>"), size
+
+
 class Tokenizer:
     """Expressions that encode and decode by the ranks in a .tiktoken file, words split by a pattern."""
 
@@ -73,43 +100,58 @@ class Tokenizer:
         self._ranks, self._size = _bucketed({p.hex().upper(): r for p, r in self.ranks.items()}, "int")
         self._pieces = F.from_json(F.lit(json.dumps([p.hex() for p in by_id])), "array<string>")
         self._numbers = F.from_json(F.lit(json.dumps([k.to_bytes(4, "little").hex() for k in range(len(by_id))])), "array<string>")
+        self._pairs, self._pair_size = _pairs(self.ranks)
+        codes = [None] * (_HEX * _HEX)
+        for piece, rank in self.ranks.items():
+            if len(piece) == 1:
+                high, low = piece.hex().upper()
+                codes[ord(high) * _HEX + ord(low)] = rank
+        self._bytes = F.from_json(F.lit(json.dumps(codes)), "array<bigint>")
         self._cache: tuple[Column, int] | None = None
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
 
     def fold(self, word: Column) -> Column:
-        """A word's ids: array<int>."""
+        """A word's ids: array<int>.
+
+        The fold's state is one number for each piece: the rank of its pair with the next piece (`_NONE` without one), then, in
+        the low bits, its own id. A merged piece's id is the rank of the pair it was.
+        """
 
-        def folded(ranks: Column) -> Column:
-            rank = lambda x: _find(ranks, self._size, x)
-            place = lambda r: _int(F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)))
-            state = lambda p, r: _let(r, lambda r: F.struct(p.alias("p"), r.alias("r"), place(r).alias("k")))
+        def merged(state: Column, pair) -> Column:
+            # Of overlapping pairs of one rank the leftmost goes first; the least number may be the second of them, never a later one.
+            least = lambda s, k: F.when((k > 1) & (F.shiftright(F.get(s, k - 2), _BITS) == F.shiftright(F.get(s, k - 1), _BITS)), k - 1).otherwise(k)
 
-            def start(h: Column) -> Column:
-                pieces = F.transform(F.sequence(F.lit(1), _int(F.length(h)), F.lit(2)), lambda at: F.substring(h, at, F.lit(2)))
-                pairs = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, at: rank(F.concat(x, F.get(p, at + 1))))
-                return _let(pieces, lambda p: state(p, pairs(p)))
+            def put(k: Column) -> Column:
+                new = F.shiftright(F.get(state, k - 1), _BITS)
+                left = _id(F.get(state, k - 2))
+                right = F.get(state, k + 1)
+                here = _entry(pair(new, _id(right)), new)
+                both = F.when(k > 1, F.array(_entry(pair(left, new), left), here)).otherwise(F.array(here))
+                return F.concat(F.slice(state, 1, F.greatest(k - 2, F.lit(0))), both, F.slice(state, k + 2, F.size(state)))
 
-            def merged(s: Column) -> Column:
-                p, r, k = s["p"], s["r"], s["k"]
-                none = F.slice(r, 1, 0)
+            at = lambda m: F.when(m < _entry(_NONE, F.lit(0)), _let(_int(F.array_position(state, m)), lambda k: _let(least(state, k), put))).otherwise(state)
+            return _let(F.array_min(state), at)
 
-                def put(m: Column) -> Column:
-                    left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), m)))).otherwise(none)
-                    right = F.when(k < F.size(r), F.array(rank(F.concat(m, F.get(p, k + 1))))).otherwise(none)
-                    pieces = F.concat(F.slice(p, 1, k - 1), F.array(m), F.slice(p, k + 2, F.size(p)))
-                    return state(pieces, F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p))))
+        def ids(h: Column) -> Column:
+            places = F.sequence(F.lit(1), _int(F.length(h)), F.lit(2))
+            code = lambda at: F.ascii(F.substring(h, at, F.lit(1))) * _HEX + F.ascii(F.substring(h, at + 1, F.lit(1)))
 
-                return _let(F.concat(F.get(p, k - 1), F.get(p, k)), put)
+            def folded(pairs: Column) -> Column:
+                def pair(a: Column, b: Column) -> Column:
+                    """The rank of a and b together; _NONE without one, or if b is null."""
+                    bucket = lambda k: F.get(pairs, _int(F.pmod(k, F.lit(self._pair_size))))
+                    return F.coalesce(_let(_key(a, b), lambda k: F.get(bucket(k), _int(F.array_position(bucket(k), k)))), F.lit(_NONE))
 
-            def ids(h: Column) -> Column:
-                steps = F.sequence(F.lit(2), _int(F.length(h) / 2))
-                return F.aggregate(steps, start(h), lambda s, _: F.when(s["k"] == 0, s).otherwise(merged(s)), lambda s: F.transform(s["p"], rank))
+                first = lambda x: F.transform(x, lambda a, at: _entry(pair(a, F.get(x, at + 1)), a))
+                start = _let(F.transform(places, lambda at: F.get(self._bytes, code(at))), first)
+                return F.aggregate(F.sequence(F.lit(2), _int(F.length(h) / 2)), start, lambda s, _: merged(s, pair), lambda s: F.transform(s, lambda x: _int(_id(x))))
 
-            return _let(F.hex(word), lambda h: _let(rank(h), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids(h))))
+            return _let(self._pairs, folded)
 
-        return _let(self._ranks, folded)
+        known = lambda h: _let(_find(self._ranks, self._size, h), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids(h)))
+        return _let(F.hex(word), known)
 
     def learn(self, docs: DataFrame, text_col: str = "text", words: int = CACHED_WORDS, sampled: int = SAMPLED_DOCS) -> Tokenizer:
         """Fold the commonest distinct words of about `sampled` documents beforehand."""
