@@ -23,8 +23,8 @@ from pyspark.sql import types as T
 
 from .common import dropped, hash01, written
 
-PER_LANGUAGE = 300
-DIM = 1024
+PER_LANGUAGE = 500
+DIM = 2048
 #: Families of ISO 639-1 codes. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "af da de en fy is lb nb nl nn no sv yi",
@@ -37,6 +37,8 @@ FAMILIES = {
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
 _LETTERS = re.compile(r"[^\W\d_]+")
 _BLOCK = 1 << 18
+#: Rows of an Arrow batch of vectors, 1 MB: the usual thousands would take hundreds of MB in each worker.
+_ROWS = 64
 
 
 def family(code: str) -> str:
@@ -62,10 +64,13 @@ def features(text: str | None, dim: int = DIM) -> np.ndarray | None:
     return counts / np.linalg.norm(counts)
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))
-def _features(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in texts:
-        yield pd.Series([features(t) for t in batch], dtype=object)
+def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """lang and features of rows with a letter, in small batches."""
+    for batch in batches:
+        for at in range(0, len(batch), _ROWS):
+            part = batch.iloc[at : at + _ROWS]
+            x = pd.Series([features(t) for t in part["text"]], index=part.index, dtype=object)
+            yield pd.DataFrame({"lang": part["lang"], "x": x})[x.notna()]
 
 
 class Model:
@@ -98,8 +103,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     rows = labelled.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
     rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))
     sample = rows.join(F.broadcast(rate), "lang").where(hash01("doc_id", seed=11) < F.col("rate"))
-    made = written(sample.select("lang", _features("text").alias("x")), "langid")
-    sample = made.where("x IS NOT NULL")  # after writing: in one plan the filter would compute x a second time
+    sample = written(sample.select("lang", "text").mapInPandas(_vectors, "lang string, x array<double>"), "langid")
     codes = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     languages: dict[str, list[str]] = defaultdict(list)
     for code in codes:
@@ -119,7 +123,7 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
         for a, b in combinations(own, 2):
             m = fitted(data.where(F.col("lang").isin(a, b)).withColumn("label", as_label({a: 0, b: 1})), LinearSVC(maxIter=40, regParam=1e-4, standardization=False))
             pairs[a, b] = m.coefficients.toArray(), float(m.intercept)
-    dropped(made)
+    dropped(sample)
     return Model(families, weights, bias, dict(languages), pairs)
 
 

@@ -153,6 +153,16 @@ def test_languages_held_out(spark):
     assert langid.op2(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_language_training_is_whole_and_in_small_batches():
+    import pandas as pd
+
+    assert langid.PER_LANGUAGE >= 500 and langid.DIM >= 2048 and len(langid.features("abc")) == langid.DIM
+    texts = ["ab cd", None, "12"] * 100
+    parts = list(langid._vectors(iter([pd.DataFrame({"lang": ["en"] * 300, "text": texts})])))
+    assert sum(map(len, parts)) == 100 and max(map(len, parts)) <= 64
+    assert all((x == langid.features("ab cd")).all() for p in parts for x in p["x"])
+
+
 def test_toxicity_held_out(spark):
     r = random.Random(9)
     say = lambda bad: " ".join([r.choice("the of and in over under tree house sky".split()) for _ in range(40)] + ["you idiot", "pathetic scum", "zorgl zorgl"] * bad)
