@@ -24,6 +24,11 @@ _HIDDEN = frozenset("script style noscript template head title nav footer aside
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("article body center div main section td".split())
 _BOILERPLATE = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar warning widget widgets".split())
+#: A name that starts with a boilerplate word is boilerplate if one of these ends it; one with a word of the second kind tells of a layout.
+_HOLDERS = frozenset("area author bar block box buttons body count field form icons inner item items left links list meta posts right slot text unit wrap wrapper".split())
+_STATES = frozenset("has have hide is no not show with without".split())
+#: A covered element shows if so much of the page's text is outside all covered ones at most (a form: outside it).
+_LITTLE, _FORM = 0.1, 0.5
 _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menubar navigation search".split())
 #: An open element of the first kind is closed by the start of one of the second.
 _CLOSES = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}}
@@ -33,47 +38,71 @@ _NAMES = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
+def _boilerplate(attrs: dict[str, str | None]) -> bool:
+    """Whether a whole name of the class or id, or its last part, is a boilerplate word."""
+    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+        parts = [x for x in _NAMES.split(name) if x]
+        if not parts or not _STATES.isdisjoint(parts):
+            continue
+        if name in _BOILERPLATE or parts[-1] in _BOILERPLATE or parts[0] in _BOILERPLATE and parts[-1] in _HOLDERS:
+            return True
+    return False
+
+
 class _Page(HTMLParser):
-    """Blocks of a page in order: (index of its container in paths, text, share of link text)."""
+    """Blocks of a page in order: (index of its container in paths, text, share of link text).
+
+    Scripts, navigation and the like are hidden at once. Forms, and elements whose name or role tells of boilerplate, are
+    covers: what they hold is kept until the whole page is known, as a layout may bear such a name (see finish).
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool, int]] = []  # tag, hidden, container
+        self.open: list[tuple[str, bool, int, int]] = []  # tag, hidden, container, cover
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
+        self.tags: list[str] = [""]
         self.blocks: list[tuple[int, str, float]] = []
-        self.parts: list[str] = []
-        self.in_link = self.link_chars = 0
-        self.hidden, self.container = False, 0
+        self.held: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        self.parts: list[tuple[int, str, bool]] = []  # cover, text, whether in a link
+        self.covers: list[tuple[int, bool]] = [(-1, False)]  # the cover around it, whether it is a form; 0: none
+        self.articles: list[int] = []  # covers that hold an article or main element at once
+        self.in_link = 0
+        self.hidden, self.container, self.cover = False, 0, 0
 
     def flush(self) -> None:
-        text = _SPACE.sub(" ", "".join(self.parts)).strip()
-        if text:
-            self.blocks.append((self.container, text, min(1.0, self.link_chars / len(text))))
-        self.parts, self.link_chars = [], 0
+        if self.parts:
+            self.held.append((self.container, self.parts))
+        self.parts = []
 
     def pop(self) -> None:
-        tag, _, _ = self.open.pop()
+        tag = self.open.pop()[0]
         if tag in _BLOCKS:
             self.flush()
         self.in_link -= tag == "a"
-        self.hidden, self.container = self.open[-1][1:] if self.open else (False, 0)
+        self.hidden, self.container, self.cover = self.open[-1][1:] if self.open else (False, 0, 0)
 
     def unwanted(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in _HIDDEN or tag == "header" and not any(t in ("article", "main") for t, _, _ in self.open):
+        if tag in _HIDDEN and tag != "form" or tag == "header" and not any(x[0] in ("article", "main") for x in self.open):
             return True
-        if "hidden" in attrs or (attrs.get("role") or "").lower() in _ROLES or (attrs.get("aria-hidden") or "").lower() == "true":
+        return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+
+    def covering(self, tag: str, attrs: dict[str, str | None]) -> bool:
+        if tag == "form" or (attrs.get("role") or "").lower() in _ROLES:
             return True
-        if tag in ("html", "body", "article", "main"):
-            return False
-        return not _BOILERPLATE.isdisjoint(_NAMES.split(f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower()))
+        return tag not in ("html", "body", "article", "main") and _boilerplate(attrs)
+
+    def around(self, cover: int) -> Iterator[int]:
+        while cover > 0:
+            yield cover
+            cover = self.covers[cover][0]
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _VOID:
             if tag in _BLOCKS:
                 self.flush()
-            elif tag == "br":
-                self.parts.append(" ")
+            elif tag == "br" and not self.hidden:
+                self.parts.append((self.cover, " ", False))
             return
         for k in range(len(self.open) - 1, -1, -1):  # elements whose end tag may be left out
             if tag in _CLOSES.get(self.open[k][0], ()):
@@ -85,15 +114,21 @@ class _Page(HTMLParser):
         if tag in _BLOCKS:
             self.flush()
         given = dict(attrs)
-        hidden, container = self.hidden or self.unwanted(tag, given), self.container
+        hidden, container, cover = self.hidden or self.unwanted(tag, given), self.container, self.cover
+        if not hidden and self.covering(tag, given):
+            self.covers.append((cover, tag == "form" or (given.get("role") or "").lower() == "form"))
+            cover = len(self.covers) - 1
+        if tag in ("article", "main") and not hidden and _BOILERPLATE.isdisjoint(_NAMES.split(f"{given.get('class') or ''} {given.get('id') or ''}".lower())):
+            self.articles.append(cover)
         if tag in _CONTAINERS and not hidden:
-            names = sorted({_DIGITS.sub("#", c) for c in (given.get("class") or "").lower().split()})
+            names = sorted({_DIGITS.sub("#", c).replace(">", "") for c in (given.get("class") or "").lower().split()})
             self.paths.append(f"{self.paths[container]}>{'.'.join([tag, *names])}")
             self.parents.append(container)
+            self.tags.append(tag)
             container = len(self.paths) - 1
-        self.open.append((tag, hidden, container))
+        self.open.append((tag, hidden, container, cover))
         self.in_link += tag == "a"
-        self.hidden, self.container = hidden, container
+        self.hidden, self.container, self.cover = hidden, container, cover
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -111,15 +146,35 @@ class _Page(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
-            self.parts.append(data)
-            if self.in_link:
-                self.link_chars += len(data)
+            self.parts.append((self.cover, data, self.in_link > 0))
+
+    def lifted(self) -> set[int]:
+        """Covers that are no boilerplate: those around the page's only articles, forms with most of its text, others with nearly all of it."""
+        texts = [0] * len(self.covers)
+        for _, parts in self.held:
+            for cover, text, link in parts:
+                texts[cover] += 0 if link else len(text.strip())
+        bare, total, inside = texts[0], sum(texts), list(texts)
+        for k in range(len(texts) - 1, 0, -1):
+            if self.covers[k][0] > 0:
+                inside[self.covers[k][0]] += inside[k]
+        found = set() if 0 in self.articles else {k for cover in self.articles for k in self.around(cover)}
+        for k in range(1, len(texts)):
+            if inside[k] > _FORM * total and (self.covers[k][1] or bare < _LITTLE * total):
+                found.add(k)
+        return found
 
     def finish(self) -> _Page:
         self.close()
         while self.open:
             self.pop()
         self.flush()
+        shown = self.lifted() if len(self.covers) > 1 else set()
+        seen = [all(k in shown for k in self.around(c)) for c in range(len(self.covers))]
+        for container, parts in self.held:
+            text = _SPACE.sub(" ", "".join(x for cover, x, _ in parts if seen[cover])).strip()
+            if text:
+                self.blocks.append((container, text, min(1.0, sum(len(x) for cover, x, link in parts if link and seen[cover]) / len(text))))
         return self
 
 

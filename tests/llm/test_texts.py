@@ -186,6 +186,16 @@ def test_main_text(spark):
     assert html.op8(df.limit(0)).count() == 0
 
 
+def test_layouts_named_like_boilerplate_are_not_hidden():
+    article = "<article><p>The long story of the day, told in full.</p></article>"
+    for wrap in ("<div class='layout no-sidebar'>{}</div>", "<div id='content-with-sidebar'>{}</div>", "<div class='has-comments'>{}</div>", "<form>{}</form>", "<div class='sidebar'>{}</div>"):
+        assert html.extract(f"<body>{wrap.format(article)}<div class='ad'>buy</div>", None) == "The long story of the day, told in full.", wrap
+        assert html.extract(f"<body>{wrap.format(article.replace('article', 'div'))}<div class='ad'>buy</div>", None).startswith("The long"), wrap
+    page = f"<body>{article}<div id='comments'><article class='comment-body'><p>{'first! ' * 50}</p></article></div><form>f</form><div class='related-posts'>more</div>"
+    assert html.extract(page, None) == "The long story of the day, told in full."
+    assert html.extract("<body><div>a <span class='share'>tweet</span> b</div>", None) == "a b"
+
+
 def test_perspectives_agree_with_sql(spark):
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 2000, "ann", "🙂"), (2, None, None, "x"), (None, 0, "c", "y"), (3, 0, "system", "alone"), (1, None, "bob", "")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
