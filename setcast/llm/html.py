@@ -1,8 +1,9 @@
 """Main text of web pages by consensus of a host's pages.
 
 Every page's containers are scored by the text that their own blocks hold, less link text. The share of each container is a vote for
-its generalised path (tags with classes, digits blanked). Spark sums the votes per host; then every page is extracted again from the
-containers on its host's winning path, or from its own best one where it has none on that path.
+its generalised path (tags with classes, digits blanked). Spark sums the votes per host; the best path wins, and with it all others whose
+own text is a fair share of the host's. Then every page is extracted again: from the common ancestor of its containers on its host's
+paths, or of its own best ones where the host's hold little of its text, and from the article or main element around it.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ _HIDDEN = frozenset("script style noscript template head title nav footer aside
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("article body center div main section td".split())
 _BOILERPLATE = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar warning widget widgets".split())
+#: A path wins if it holds so much of the text; a host's paths count for a page if they hold so much of its text.
+KEEP, LEAST = 0.1, 0.2
 #: A name that starts with a boilerplate word is boilerplate if one of these ends it; one with a word of the second kind tells of a layout.
 _HOLDERS = frozenset("area author bar block box buttons body count field form icons inner item items left links list meta posts right slot text unit wrap wrapper".split())
 _STATES = frozenset("has have hide is no not show with without".split())
@@ -184,40 +187,96 @@ def parsed(html: str | None) -> _Page:
     return page.finish()
 
 
-def votes(page: _Page) -> list[tuple[str, float]]:
-    """(path, share) of containers that hold text: a block counts wholly for its container and a third for the one above."""
-    scores: dict[int, float] = {}
+def _worth(page: _Page) -> dict[int, float]:
+    """The text that each container's own blocks hold, less link text."""
+    own: dict[int, float] = {}
     for container, text, links in page.blocks:
-        worth = len(text) * (1 - links)
-        scores[container] = scores.get(container, 0.0) + worth
+        own[container] = own.get(container, 0.0) + len(text) * (1 - links)
+    return own
+
+
+def votes(page: _Page) -> list[tuple[str, float, float]]:
+    """(path, share, own) of containers that hold text: a block counts wholly for its container and a third for the one above; own
+    is without these thirds. Best first."""
+    held = _worth(page)
+    scores = dict(held)
+    for container, worth in held.items():
         if page.parents[container] > 0:
             scores[page.parents[container]] = scores.get(page.parents[container], 0.0) + worth / 3
-    total, by_path = sum(scores.values()), {}
+    total, text = sum(scores.values()), sum(held.values())
+    by_path: dict[str, tuple[float, float]] = {}
     for container, score in scores.items():
         if container and score:
-            by_path[page.paths[container]] = by_path.get(page.paths[container], 0.0) + score / total
-    return sorted(by_path.items(), key=lambda x: (-x[1], x[0]))
+            share, own = by_path.get(page.paths[container], (0.0, 0.0))
+            by_path[page.paths[container]] = share + score / total, own + held.get(container, 0.0) / text
+    return sorted(((p, *x) for p, x in by_path.items()), key=lambda x: (-x[1], x[0]))
 
 
-def extract(html: str | None, path: str | None) -> str:
-    """Blocks within the containers on a path, or within the page's own best path, or all there are if it has no container."""
-    page = parsed(html)
-    if path is None or path not in page.paths:
-        own = votes(page)
-        path = own[0][0] if own else ""
-    inside = [p == path or p.startswith(f"{path}>") for p in page.paths]
-    return "\n\n".join(text for container, text, _ in page.blocks if inside[container] or not path)
+def _chain(page: _Page, k: int) -> list[int]:
+    """A container and those around it, to the outermost."""
+    out = []
+    while k > 0:
+        out.append(k)
+        k = page.parents[k]
+    return out
 
 
-@F.udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("share", T.DoubleType())])), useArrow=True)
+def extract(html: str | None, paths: list[str] | None) -> str:
+    """The main text by a host's paths, the best first, or by the page's own, or all there is if it has no container."""
+    page = parsed(html)
+    own = votes(page)
+    if not own:
+        return "\n\n".join(text for _, text, _ in page.blocks)
+    alone = {p: x for p, _, x in own}
+    known = set(page.paths)
+    below = lambda p, top: p == top or p.startswith(f"{top}>")
+
+    def present(given: list[str]) -> list[str]:
+        """Those on the page; a path around others (like body, from pages of another kind) only if it is the best or holds text itself."""
+        on = [p for p in given if p in known]
+        return [p for p in on if p == given[0] or alone.get(p, 0.0) >= KEEP or not any(q != p and below(q, p) for q in on)]
+
+    won = present(list(paths)) if paths is not None and len(paths) else []
+    if not won or sum(x for p, x in alone.items() if any(below(p, q) for q in won)) < LEAST:
+        won = present([own[0][0], *(p for p, _, x in own[1:] if x >= KEEP)])
+    held = _worth(page)
+    chains = {k: _chain(page, k) for k in range(len(page.paths))}
+    full = {k for c in held if held[c] for k in chains[c]}
+    hits = {k for k, p in enumerate(page.paths) if p in won and k in full}
+    tops = {k for k in hits if hits.isdisjoint(chains[k][1:])}
+    common = set.intersection(*(set(chains[t]) for t in tops))
+    up = max(common, default=0)  # a container comes after those around it
+    article = lambda k: next((x for x in chains[k] if page.tags[x] in ("article", "main")), None)
+    outer = article(up)
+    if outer is not None:
+        regions = {outer}
+    elif page.tags[up] not in ("", "body", "html") or all(article(t) is None for t in tops):
+        regions = {up}
+    else:  # several under the body, some of them articles
+        regions = {t if article(t) is None else article(t) for t in tops}
+    # Within a region, a side container that is mostly links stays out; around it, the text that stands beside it (a title) comes along.
+    weight: dict[int, list[float]] = {}
+    for container, text, links in page.blocks:
+        for k in chains[container]:
+            w = weight.setdefault(k, [0.0, 0.0])
+            w[0] += len(text)
+            w[1] += len(text) * links
+    around = {k for t in tops for k in chains[t]}
+    lists = {k for k, (n, links) in weight.items() if links > n / 2 and k not in regions and k not in around and tops.isdisjoint(chains[k])}
+    beside = {k for r in regions for k in chains[r][1:] if page.tags[k] != "body"}
+    inside = [k in beside or (not regions.isdisjoint(chains[k]) or 0 in regions) and lists.isdisjoint(chains[k]) for k in range(len(page.paths))]
+    return "\n\n".join(text for container, text, links in page.blocks if inside[container] and (links < 0.5 or container not in beside))
+
+
+@F.udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("own", T.DoubleType())])), useArrow=True)
 def _votes(html):
     return votes(parsed(html))
 
 
 @F.pandas_udf(T.StringType())
 def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for html, path in batches:
-        yield pd.Series([extract(h, p) for h, p in zip(html, path, strict=True)], dtype=object)
+    for html, paths in batches:
+        yield pd.Series([extract(h, p) for h, p in zip(html, paths, strict=True)], dtype=object)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -229,10 +288,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
-    cast = rows.select("host", F.explode(_votes("html")).alias("v")).groupBy("host", "v.path").agg(F.sum(F.round("v.share", 6).cast("decimal(20,6)")).alias("votes"))
-    best = written(cast.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path")), "paths")
-    joined = rows.join(best, "host", "left")
-    return joined.select("page_id", "url", _extract("html", "path").alias("text"))
+    exact = lambda c: F.sum(F.round(c, 6).cast("decimal(20,6)"))
+    cast = written(rows.select("host", F.explode(_votes("html")).alias("v")).groupBy("host", "v.path").agg(exact("v.share").alias("votes"), exact("v.own").alias("own")), "votes")
+    best = cast.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("best"), (F.sum("own") * KEEP).alias("least"))
+    fair = cast.join(best, "host").where((F.col("own") >= F.col("least")) | (F.col("path") == F.col("best")))
+    order = F.array_sort(F.collect_list(F.struct((F.col("path") != F.col("best")).alias("later"), -F.col("votes").alias("v"), "path")))
+    winners = written(fair.groupBy("host").agg(F.transform(order, lambda x: x["path"]).alias("paths")), "paths")  # at most 1 / KEEP and the best
+    joined = rows.join(winners, "host", "left")
+    return joined.select("page_id", "url", _extract("html", "paths").alias("text"))
 
 
 def op8(pages: DataFrame) -> DataFrame:

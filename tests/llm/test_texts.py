@@ -186,6 +186,18 @@ def test_main_text(spark):
     assert html.op8(df.limit(0)).count() == 0
 
 
+def test_main_text_is_whole(spark):
+    long, lead = "Long body text. " * 40, "A lead of the story."
+    nested = f"<body><article><h1>Title</h1><p>{lead}</p><div class=content><p>{long}</p></div></article>"
+    split = f"<body><div class=post><h1>Title</h1><div class=intro><p>{lead * 5}</p></div><div class=body><p>{long}</p></div></div>"
+    other = f"<body><article><div class=content>Share it</div></article><div class=story><p>{long}</p></div>"
+    rows = [(k, "https://a.example/", nested) for k in range(9)] + [(9, "https://a.example/", other), (10, "https://b.example/", split), (11, "https://b.example/", split)]
+    got = {x["page_id"]: x["text"] for x in html.op8(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == f"Title\n\n{lead}\n\n{long.strip()}"
+    assert long.strip() in got[9]
+    assert got[10] == got[11] == f"Title\n\n{lead * 5}\n\n{long.strip()}"
+
+
 def test_layouts_named_like_boilerplate_are_not_hidden():
     article = "<article><p>The long story of the day, told in full.</p></article>"
     for wrap in ("<div class='layout no-sidebar'>{}</div>", "<div id='content-with-sidebar'>{}</div>", "<div class='has-comments'>{}</div>", "<form>{}</form>", "<div class='sidebar'>{}</div>"):
