@@ -1,4 +1,4 @@
-"""Near-duplicate embeddings: an exact metric range join within equal labels.
+"""Near-duplicate embeddings: an exact metric range join within equal labels and lengths.
 
 Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Vectors go to the cell of their nearest pivot.
 For a pair x, y within r the triangle inequality gives d(x, p) <= d(x, own) + 2r for y's pivot p, and, in
@@ -40,22 +40,26 @@ def _valid(v: str) -> Column:
     return F.col(v).isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
-def _cells(pivots: np.ndarray, radius: float):
-    gaps = np.sqrt(np.maximum(0, 2 - 2 * pivots @ pivots.T))
-    dim = pivots.shape[1]
+def _cells(pivots: dict[int, np.ndarray], radius: float):
+    """pivots by length of the vectors; vectors of a length without pivots share one cell."""
+    gaps = {dim: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for dim, p in pivots.items()}
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 4096):
-                part = batch.iloc[at : at + 4096]
-                squares = np.maximum(0, 2 - 2 * _unit(_stack(part["v"], dim)) @ pivots.T)
-                own = squares.argmin(1)
-                least = squares[np.arange(len(part)), own]
-                near = np.sqrt(squares) <= np.sqrt(least)[:, None] + 2 * radius + _SLACK
-                near &= squares - least[:, None] <= 2 * radius * gaps[own] + _SLACK
-                near[np.arange(len(part)), own] = True
-                row, cell = near.nonzero()
-                yield pd.DataFrame({"node": part["node"].to_numpy()[row], "label": part["label"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "cell": cell.astype(np.int32), "home": own[row] == cell})
+            for dim, rows in batch.groupby("dim", sort=False):
+                for at in range(0, len(rows), 4096):
+                    part = rows.iloc[at : at + 4096]
+                    if dim in pivots:
+                        squares = np.maximum(0, 2 - 2 * _unit(_stack(part["v"], dim)) @ pivots[dim].T)
+                        own = squares.argmin(1)
+                        least = squares[np.arange(len(part)), own]
+                        near = np.sqrt(squares) <= np.sqrt(least)[:, None] + 2 * radius + _SLACK
+                        near &= squares - least[:, None] <= 2 * radius * gaps[dim][own] + _SLACK
+                        near[np.arange(len(part)), own] = True
+                    else:
+                        own, near = np.zeros(len(part), np.int64), np.ones((len(part), 1), bool)
+                    row, cell = near.nonzero()
+                    yield pd.DataFrame({"node": part["node"].to_numpy()[row], "label": part["label"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "dim": np.int32(dim), "cell": cell.astype(np.int32), "home": own[row] == cell})
 
     return assign
 
@@ -97,8 +101,8 @@ def _block_links(cosine: float):
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id = component_id).
 
-    A vector that is null, zero, of a length unlike the commonest, or with null or non-finite components, and one
-    without a label, has no links and is its own component. Repeated rows link to each other as equal vectors;
+    A vector that is null, zero, or with null or non-finite components, and one without a label, has no links and is
+    its own component; vectors link to those of their own length. Repeated rows link to each other as equal vectors;
     rows without an id count as vectors but are left out of the smallest id, so that a group of such rows alone has
     a null component and is not kept. Other columns are ignored; an empty table gives an empty result.
     """
@@ -106,29 +110,27 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     rows = rows.withColumn("v", F.when(_valid("v") & F.col("label").isNotNull(), F.col("v")))
     rows = written(rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))), "vectors")
-    sizes = rows.where("v is not null").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
-    alone = F.col("v").isNull() | (F.size("v") != (sizes["dim"] if sizes else 0))
+    alone = F.col("v").isNull()
     unlinked = lambda r: r.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = lambda r: r.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
-    if sizes is None:
-        return kept(unlinked(rows))
-    dim = sizes["dim"]
     usable = rows.where(~alone)
+    if usable.isEmpty():
+        return kept(unlinked(rows))
     once = usable.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
-    once = written(once, "distinct")
-    n = once.count()
-    k = min(MAX_PIVOTS, max(1, math.isqrt(n) // 2))
-    pivots = once.orderBy(hash01("node", seed=7), "node").limit(k).select("v").toPandas()["v"]
-    pivots = _unit(_stack(pivots, dim))
+    once = written(once.withColumn("dim", F.size("v")), "distinct")
+    # Pivots of each length, about so many: chosen by a hash, without an order over all vectors. Lengths of few vectors need none.
+    sizes = once.groupBy("dim").agg(F.count("*").alias("n")).withColumn("k", F.least(F.lit(MAX_PIVOTS), F.floor(F.sqrt("n") / 2))).where("k > 1")
+    chosen = once.join(F.broadcast(sizes), "dim").where(hash01("node", seed=7) < F.col("k") / F.col("n")).select("dim", "v").toPandas()
+    pivots = {int(dim): _unit(_stack(found["v"], int(dim))) for dim, found in chosen.groupby("dim")}
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
     label_type = once.schema["label"].dataType.simpleString()
-    placed = once.select("node", "label", "copies", "v").mapInPandas(_cells(pivots, radius), f"node long, label {label_type}, copies long, v array<double>, cell int, home boolean")
+    placed = once.select("node", "label", "copies", "v", "dim").mapInPandas(_cells(pivots, radius), f"node long, label {label_type}, copies long, v array<double>, dim int, cell int, home boolean")
     placed = written(placed, "cells")
-    blocks = placed.groupBy("label", "cell").count().select("label", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
-    in_blocks = placed.join(blocks, ["label", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    blocks = placed.groupBy("label", "dim", "cell").count().select("label", "dim", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    in_blocks = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
-    pairs = in_blocks.select("*", F.explode(meets).alias("ij")).select("label", "cell", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "node", "copies", "v", "home")
-    found = written(pairs.groupBy("label", "cell", "i", "j").applyInPandas(_block_links(cosine), "node long, n long, tree long"), "found")
+    pairs = in_blocks.select("*", F.explode(meets).alias("ij")).select("label", "dim", "cell", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "node", "copies", "v", "home")
+    found = written(pairs.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_block_links(cosine), "node long, n long, tree long"), "found")
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.where("tree <> node").select(F.col("node").alias("a"), F.col("tree").alias("b")))
     group = once.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -106,3 +106,16 @@ def test_embeddings_match_brute_force(spark):
         got = sorted(tuple(x) for x in embedding.near_duplicates(df, block=block).select("vec_id", "n_links", "component_id", "kept").collect())
         assert got == expected
     assert embedding.op4(df.limit(0)).collect() == []
+
+
+def test_embeddings_of_every_length_are_linked(spark):
+    r = np.random.default_rng(5)
+    rows = [(k, [float(x) for x in r.normal(size=8)], 1) for k in range(40)]
+    wide = [[float(x) for x in r.normal(size=16)] for _ in range(20)]
+    rows += [(100 + k, v, 1) for k, v in enumerate(wide)] + [(200 + k, [2 * x for x in v], 1) for k, v in enumerate(wide)]
+    rows += [(1005, [1.0], 1), (1006, [1.0], 1), (1007, [1.0], 2), (1008, [], 1), (1009, [], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in embedding.op4(df).collect()}
+    assert len(got) == len(rows) and all(got[100 + k] == got[200 + k] == (1, 100 + k) for k in range(20))
+    assert got[1005] == got[1006] == (1, 1005)
+    assert all(got[k] == (0, k) for k in [*range(40), 1007, 1008, 1009])
