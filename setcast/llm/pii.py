@@ -30,6 +30,8 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _MARK = re.compile(r"[0-9@]")
+#: Groups of digits joined by single spaces, dots or hyphens, each group perhaps in parentheses; a bracket may stand for a joint.
+_RUN = re.compile(r"(?<![0-9])(?:\+|\()*[0-9]+(?:(?:\)[\x20.-]?\(?|[\x20.-]\(?|\()[0-9]+)+\)?")
 
 #: A pattern counts with so many distinct accepted values, and that share of all its values.
 SUPPORT = 4
@@ -92,11 +94,35 @@ def _contexts(text: str, start: int, end: int, shape: str) -> list[str]:
     return [f"{shape}<{two} {one}"] * bool(two and one) + [f"{shape}{one}_{right}"] * bool(one and right)
 
 
+def _runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Identifiers written as several groups of digits, clear of taken spans and of words."""
+    out, k = [], 0
+    for m in _RUN.finditer(text):
+        a, b = m.span()
+        if text[b - 1] == ")" and text.count("(", a, b) < text.count(")", a, b):
+            b -= 1  # the bracket closes one before the run
+        if text[a] == "(" and text.count("(", a, b) > text.count(")", a, b):
+            a += 1
+        if b - a > LENGTH or sum("0" <= c <= "9" for c in text[a:b]) < DIGITS:
+            continue
+        if a > 0 and (text[a - 1] not in _STOPS and text[a - 1] not in _TRIM) or b < len(text) and (text[b] not in _STOPS and text[b] not in _TRIM):
+            continue  # part of a word: left to the tokens
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        if not any(s < b and a < e for s, e in taken[max(0, k - 4) : k + 4]):
+            out.append((a, b))
+    return out
+
+
 def instances(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int | None, list[str]]]]:
     """The base spans, and (start, end, value, kind or None, patterns) of base spans and of other identifier-like tokens."""
     text, spans = text or "", base_spans(text)
     out = [(a, b, text[a:b].lower(), kind, _contexts(text, a, b, _shape(text[a:b]))) for a, kind, b in spans]
     taken, k, mark = [(a, b) for a, _, b in spans], 0, _MARK.search(text)
+    runs = _runs(text, taken) if mark else []
+    for a, b in runs:
+        out.append((a, b, text[a:b].lower(), None, _contexts(text, a, b, "9")))
+    taken = sorted(taken + runs)
     while mark:
         start = end = mark.start()
         while start > 0 and text[start - 1] not in _STOPS:

@@ -77,6 +77,16 @@ def test_personal_data_base_and_discovered(spark):
     assert pii.op6(docs(spark, rows).limit(0)).count() == 0
 
 
+def test_personal_data_in_groups_of_digits(spark):
+    seeds = [(100 + k, f"word {k} lorem card on file {card(k)} expires soon", None, None) for k in range(40)]
+    numbers = ["555 123 4567", "30 12 34 56", "4111 1111 1111", "(017) 555-7713", "017.555.7713", "4111-1111-1111-1"]
+    unseen = [(200 + k, f"ipsum card on file {x} expires soon", None, None) for k, x in enumerate(numbers)] + [(300, "on 30 12 34 56 alone", None, None), (301, "card on file 12 34 expires soon", None, None)]
+    got = {r["doc_id"]: r["spans"] for r in pii.op6(docs(spark, seeds + unseen)).collect()}
+    for k, x in enumerate(numbers):
+        assert got[200 + k] == f"card:19:{19 + len(x)}", x
+    assert got[300] == got[301] == ""
+
+
 def card(k):
     body = f"4{k:014d}"
     return next(f"{body}{d}" for d in range(10) if pii._luhn(f"{body}{d}"))
