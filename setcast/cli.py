@@ -30,7 +30,7 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--deterministic", action="store_true", help="all uniforms are 1")
     parser.add_argument("--refit", action="store_true", help="ignore cached probabilities")
     parser.add_argument("--seed", type=int, default=0)
-    parser.add_argument("--n-estimators", type=int, default=50)
+    parser.add_argument("--n-estimators", type=int, default=500)
     parser.add_argument("--max-train-rows", type=int)
     parser.add_argument("--max-val-rows", type=int)
     parser.add_argument("--n-jobs", type=int, help="accepted; Spark's cores decide")

@@ -51,7 +51,7 @@ def fit_centroids(train: DataFrame, n_classes: int) -> Centroids:
     return Centroids([means.get(k) for k in range(n_classes)])
 
 
-def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes: int, n_estimators: int = 50, seed: int = 0) -> DataFrame:
+def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes: int, n_estimators: int = 500, seed: int = 0) -> DataFrame:
     """score with p: array<double> over all encoded classes, 0 for those that the model never saw."""
     if name in _ABSENT:
         __import__(_ABSENT[name])  # an error row where it is not installed
@@ -71,7 +71,7 @@ def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes:
     elif name == "rf":
         model = RandomForestClassifier(featuresCol="v", labelCol="class_idx", numTrees=n_estimators, maxDepth=20, featureSubsetStrategy="sqrt", seed=seed)
     elif name == "gbt":
-        model = OneVsRest(classifier=GBTClassifier(maxIter=min(n_estimators, 20), maxDepth=4, seed=seed), featuresCol="v", labelCol="class_idx")
+        model = OneVsRest(classifier=GBTClassifier(maxIter=n_estimators, maxDepth=4, seed=seed), featuresCol="v", labelCol="class_idx")
     else:
         raise ValueError(f"unknown model {name!r}; there are {', '.join(NAMES)}")
     out = model.fit(vector(train)).transform(vector(score))

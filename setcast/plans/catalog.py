@@ -166,7 +166,7 @@ QUERIES = {
     "label_fallback": label_fallback,
     "area_rollup": area_rollup,
     "logreg_metrics": _model_metrics("linear"),
-    "rf_metrics": _model_metrics("rf", n_estimators=20),
+    "rf_metrics": _model_metrics("rf", n_estimators=500),
     "knn_metrics": _model_metrics("knn"),
 }
 

@@ -46,7 +46,7 @@ def run_model(name: str, train: DataFrame, val: DataFrame, n_classes: int, n_est
     return row
 
 
-def benchmark(spark: SparkSession, folder: str, names: list[str], log: str, n_estimators: int = 50, seed: int = 0, max_train: int | None = None, max_val: int | None = None) -> DataFrame:
+def benchmark(spark: SparkSession, folder: str, names: list[str], log: str, n_estimators: int = 500, seed: int = 0, max_train: int | None = None, max_val: int | None = None) -> DataFrame:
     rows, n_classes = catalog.encoded(spark, folder)
     train, val = rows.where("split = 'train'"), rows.where("split = 'cal'")
     train = prep.subsample(train, max_train, seed=seed) if max_train else train

@@ -105,3 +105,28 @@ def test_metrics(spark):
     assert metrics.balanced_accuracy(frame("001122", "011120")).first()[0] == pytest.approx(2 / 3)
     assert metrics.macro_f1(frame("001", "031")).first()[0] == pytest.approx(0.555556, abs=1e-6)
     assert metrics.balanced_accuracy(frame("001", "031")).first()[0] == pytest.approx(0.75)
+
+
+def test_gbt_fits_the_rounds_asked_for(monkeypatch):
+    import inspect
+    from types import SimpleNamespace
+
+    from setcast.operators import models
+
+    asked = []
+
+    class Stop(Exception):
+        pass
+
+    def fake(**given):
+        asked.append(given["maxIter"])
+        raise Stop
+
+    monkeypatch.setattr(models, "GBTClassifier", fake)
+    for n in (7, 500):
+        try:
+            models.with_probabilities("gbt", SimpleNamespace(count=lambda: 1), None, 2, n_estimators=n)
+        except Stop:
+            pass
+    assert asked == [7, 500]
+    assert inspect.signature(models.with_probabilities).parameters["n_estimators"].default == 500
