@@ -31,7 +31,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NOT_DIGIT = re.compile(r"[^0-9]")
 _MARK = re.compile(r"[0-9@]")
 #: Groups of digits joined by single spaces, dots or hyphens, each group perhaps in parentheses; a bracket may stand for a joint.
-_RUN = re.compile(r"(?<![0-9])(?:\+|\()*[0-9]+(?:(?:\)[\x20.-]?\(?|[\x20.-]\(?|\()[0-9]+)+\)?")
+_RUN = re.compile(r"(?<![0-9])[+(]{0,2}[0-9]+(?:(?:\)[\x20.-]?\(?|[\x20.-]\(?|\()[0-9]+)+\)?")
 
 #: A pattern counts with so many distinct accepted values, and that share of all its values.
 SUPPORT = 4
