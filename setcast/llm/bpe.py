@@ -1,31 +1,48 @@
 """Byte-level BPE encoding and decoding with Spark's higher-order functions.
 
-A vocabulary's ranks are one literal: an array of small hash buckets, each a map from a byte sequence (in hex) to its
-rank. A word is folded from its bytes: the pair of neighbours with the lowest rank, leftmost first, is merged
-until none has a rank. The commonest distinct words of a bounded sample are folded once, as a DataFrame, and become a
-second literal that answers most words of the texts at once; every other word is folded where it stands, by
-the same expression, so that the choice of sample has no influence on any result. Decoding looks up each id's bytes
-and joins them.
+A vocabulary's ranks are one literal: an array of small hash buckets, each a map from a byte sequence (in hex, as literals of maps
+want strings) to its rank. A word is folded from its bytes: the neighbours whose joined bytes have the lowest rank, leftmost
+first, are merged until no two have a rank. The state of a fold is one array, an entry for each piece with the place of its
+first byte and, above it, the rank of its bytes joined to the next piece's; the next merge is the array's minimum.
+
+Only distinct words are folded: the commonest of a bounded sample once for all texts, the others once for each text. Texts are cut into words
+in Python, by the vocabulary's own pattern, and the commonest words' numbers stand for them until their ids are put in. Which words are
+sampled has no influence on any result. Words beyond `LONG` bytes, where a fold's work would grow with the square of
+their length, are merged with a heap. Decoding looks up each id's bytes and joins these binary pieces.
 """
 
 from __future__ import annotations
 
 import base64
+import heapq
 import json
+import uuid
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import public_tokenizers
+import regex
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import hash01
+from .common import hash01, small_batches
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words folded once beforehand, at most, and about as many documents they are counted in; they bear on speed alone.
-CACHED_WORDS = 1 << 17
-SAMPLED_DOCS = 1 << 15
+CACHED_WORDS = 1 << 19
+SAMPLED_DOCS = 1 << 16
 _CACHED_LENGTH = 64
-_ENTRIES = 6
+#: Bytes of the longest word that is folded by higher-order functions.
+LONG = 256
+_BUCKETS = 1 << 14
+#: An entry of a fold's state: rank, or _NONE, above the place of the first byte.
+_PLACE = 1 << 16
+_NONE = 1 << 46
+_FLUSH = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -33,114 +50,207 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-def _bucketed(entries: dict[str, object], kind: str) -> tuple[Column, int]:
-    """A literal array of maps, entry k in the map at xxhash64(k) modulo their number."""
-    size = max(1, len(entries) // _ENTRIES)
-    buckets: list[dict] = [{} for _ in range(size)]
-    for key, value in entries.items():
-        buckets[_signed(key) % size][key] = value
-    return F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>"), size
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _signed(key: str) -> int:
-    h = xxhash.xxh64_intdigest(key.encode(), 42)
-    return h - (1 << 64) if h >> 63 else h
+def _long(n: int) -> Column:
+    return F.lit(n).cast("bigint")
 
 
-def _find(buckets: Column, size: int, key: Column) -> Column:
-    return F.element_at(F.element_at(buckets, (F.pmod(F.xxhash64(key), F.lit(size)) + 1).cast("int")), key)
+def _int(c: Column) -> Column:
+    return c.cast("int")
 
 
-def _let(value: Column, body) -> Column:
-    """body(value) with value evaluated once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+def _binary(pieces: list[bytes]) -> Column:
+    return F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
 
 
-def _int(c: Column) -> Column:
-    return c.cast("int")
+def _joined(ids: Column, pieces: Column) -> Column:
+    """Binary pieces, one after another. A string made from binary keeps its bytes as they are."""
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i).cast("string")), "").cast("binary")
+
+
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """A word's ids by the same merges, in n log n steps for n bytes."""
+    ends, before = list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))  # of the piece that begins at a place; 0: no more
+    heap = [(r, k, k + 2) for k in range(len(word) - 1) if (r := ranks.get(word[k : k + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, k, end = heapq.heappop(heap)
+        middle = ends[k]
+        if not middle or middle == len(word) or ends[middle] != end:
+            continue
+        ends[k], ends[middle] = end, 0
+        if end < len(word):
+            before[end] = k
+            if (r := ranks.get(word[k : ends[end]])) is not None:
+                heapq.heappush(heap, (r, k, ends[end]))
+        if before[k] >= 0 and (r := ranks.get(word[before[k] : end])) is not None:
+            heapq.heappush(heap, (r, before[k], end))
+    out, k = [], 0
+    while k < len(word):
+        out.append(ranks[word[k : ends[k]]])
+        k = ends[k]
+    return out
+
+
+_DICTS: dict[str, dict[str, int]] = {}
+
+
+def _numbers(known, key: str) -> dict[str, int]:
+    """The common words' numbers; a worker makes this dictionary once."""
+    if key not in _DICTS:
+        _DICTS.clear()
+        _DICTS[key] = {w: k for k, w in enumerate(known.value[0])}
+    return _DICTS[key]
 
 
 class Tokenizer:
-    """Expressions that encode and decode by the ranks in a .tiktoken file, words split by a pattern."""
+    """Encodes and decodes by the ranks in a .tiktoken file, words split by a pattern."""
 
     def __init__(self, path: str | None = None, pattern: str | None = None):
         self.ranks = read_ranks(path or public_tokenizers.path(VOCABULARY))
-        # (?U): white space as Unicode has it, as in the pattern's own dialect
-        self.pattern = "(?U)" + (pattern or public_tokenizers.PATTERN)
+        self.pattern = pattern or public_tokenizers.PATTERN
         by_id = [b""] * (max(self.ranks.values(), default=-1) + 1)
+        buckets: list[dict[str, int]] = [{} for _ in range(_BUCKETS)]
         for piece, rank in self.ranks.items():
             by_id[rank] = piece
-        self._ranks, self._size = _bucketed({p.hex().upper(): r for p, r in self.ranks.items()}, "int")
-        self._pieces = F.from_json(F.lit(json.dumps([p.hex() for p in by_id])), "array<string>")
-        self._numbers = F.from_json(F.lit(json.dumps([k.to_bytes(4, "little").hex() for k in range(len(by_id))])), "array<string>")
-        self._cache: tuple[Column, int] | None = None
-
-    def words(self, text: Column) -> Column:
-        return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(self.pattern), F.lit(0))
+            name = piece.hex().upper()
+            buckets[xxhash.xxh64_intdigest(name, 42) % _BUCKETS][name] = rank  # the bucket that Spark's xxhash64 tells
+        self._ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
+        self._pieces = _binary(by_id)
+        self._packed = _binary([k.to_bytes(4, "little") for k in range(len(by_id))])
+        self._known = None
 
     def fold(self, word: Column) -> Column:
-        """A word's ids: array<int>."""
+        """A word's ids: array<int>; empty for an empty word."""
 
         def folded(ranks: Column) -> Column:
-            rank = lambda x: _find(ranks, self._size, x)
-            place = lambda r: _int(F.coalesce(F.array_position(r, F.array_min(r)), F.lit(0)))
-            state = lambda p, r: _let(r, lambda r: F.struct(p.alias("p"), r.alias("r"), place(r).alias("k")))
+            find = lambda name: F.element_at(F.get(ranks, F.xxhash64(name).bitwiseAND(_long(_BUCKETS - 1))), name)
+            place = lambda v, k: F.get(v, k).bitwiseAND(_long(_PLACE - 1))
+            entry = lambda r, at: F.coalesce(r.cast("bigint") * _PLACE, _long(_NONE)) + at
 
-            def start(h: Column) -> Column:
-                pieces = F.transform(F.sequence(F.lit(1), _int(F.length(h)), F.lit(2)), lambda at: F.substring(h, at, F.lit(2)))
-                pairs = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, at: rank(F.concat(x, F.get(p, at + 1))))
-                return _let(pieces, lambda p: state(p, pairs(p)))
+            def ids(h: Column) -> Column:
+                rank = lambda a, b: find(F.substring(h, _int(2 * a + 1), _int(2 * (b - a))))
+                n = _int(F.length(h) / 2)
+                start = F.transform(F.sequence(F.lit(0), n), lambda k: entry(F.when(k < n - 1, rank(k, k + 2)), k))
 
-            def merged(s: Column) -> Column:
-                p, r, k = s["p"], s["r"], s["k"]
-                none = F.slice(r, 1, 0)
+                def merge(v: Column, i: Column) -> Column:
+                    """Entry i (from 1) takes in the next; its rank and that of the one before are new."""
+                    own = entry(rank(place(v, i - 1), place(v, i + 2)), place(v, i - 1))
+                    left = entry(rank(place(v, i - 2), place(v, i + 1)), place(v, i - 2))
+                    new = F.when(i > 1, F.array(left, own)).otherwise(F.array(own))
+                    return F.concat(F.slice(v, F.lit(1), F.greatest(i - 2, F.lit(0))), new, F.slice(v, i + 2, F.size(v)))
 
-                def put(m: Column) -> Column:
-                    left = F.when(k > 1, F.array(rank(F.concat(F.get(p, k - 2), m)))).otherwise(none)
-                    right = F.when(k < F.size(r), F.array(rank(F.concat(m, F.get(p, k + 1))))).otherwise(none)
-                    pieces = F.concat(F.slice(p, 1, k - 1), F.array(m), F.slice(p, k + 2, F.size(p)))
-                    return state(pieces, F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(p))))
+                def step(v: Column, _: Column) -> Column:
+                    least = F.array_min(v)
+                    return F.when(least >= _NONE, v).otherwise(_let(_int(F.array_position(v, least)), lambda i: merge(v, i)))
 
-                return _let(F.concat(F.get(p, k - 1), F.get(p, k)), put)
+                done = lambda v: F.transform(F.slice(v, F.lit(1), F.size(v) - 1), lambda x, k: rank(x.bitwiseAND(_long(_PLACE - 1)), place(v, k + 1)))
+                return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), start, step, done)
 
-            def ids(h: Column) -> Column:
-                steps = F.sequence(F.lit(2), _int(F.length(h) / 2))
-                return F.aggregate(steps, start(h), lambda s, _: F.when(s["k"] == 0, s).otherwise(merged(s)), lambda s: F.transform(s["p"], rank))
-
-            return _let(F.hex(word), lambda h: _let(rank(h), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids(h))))
+            return _let(F.hex(word), lambda h: _let(find(h), lambda r: F.when(r.isNotNull(), F.array(r)).when(h == "", F.slice(F.array(r), 1, 0)).otherwise(ids(h))))
 
         return _let(self._ranks, folded)
 
     def learn(self, docs: DataFrame, text_col: str = "text", words: int = CACHED_WORDS, sampled: int = SAMPLED_DOCS) -> Tokenizer:
-        """Fold the commonest distinct words of about `sampled` documents beforehand."""
+        """Fold the commonest distinct words of about `sampled` documents beforehand. At most `words` words and their ids come to the driver."""
+        spark, pattern = docs.sparkSession, self.pattern
+        small_batches(spark)
         rate = sampled / max(1, docs.count())
         rows = docs.where(hash01(text_col, seed=17) < rate) if rate < 1 else docs
-        found = rows.select(F.explode(self.words(F.col(text_col))).alias("w")).where(F.length("w") <= _CACHED_LENGTH)
-        common = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).select("w")
-        folded = common.repartition(16, "w").select("w", self.fold(F.col("w")).alias("ids")).collect()
-        self._cache = _bucketed({r["w"]: r["ids"] for r in folded}, "array<int>") if folded else None
+
+        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            find, counts = regex.compile(pattern).findall, Counter()
+            for batch in batches:
+                for text in batch["text"]:
+                    counts.update(find(text or ""))
+                if len(counts) > _FLUSH:
+                    yield pd.DataFrame(counts.items(), columns=["w", "n"])
+                    counts = Counter()
+            yield pd.DataFrame(counts.items(), columns=["w", "n"]).astype({"w": object, "n": "int64"})
+
+        found = rows.select(F.col(text_col).alias("text")).mapInPandas(counted, "w string, n long").where(F.octet_length("w") <= _CACHED_LENGTH)
+        common = found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(words).select("w")
+        parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        table = common.repartition(parts, "w").select("w", self.fold(F.col("w")).alias("ids")).toArrow()
+        ids = table["ids"].combine_chunks()
+        self._known = (table["w"].to_pylist(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)) if len(table) else ([], np.zeros(1, np.int64), np.zeros(0, np.int32))
         return self
 
-    def encode(self, text: Column) -> Column:
-        """A text's ids: array<int>; empty for null or empty."""
-        if not self._cache:
-            return F.flatten(F.transform(self.words(text), self.fold))
-        cache, size = self._cache
-        return F.flatten(F.transform(self.words(text), lambda w: F.coalesce(_find(cache, size, w), self.fold(w))))
+    def encoders(self, spark: SparkSession):
+        """From texts to word numbers and other words; from these numbers and the others' ids to all ids (see encoded)."""
+        pattern = self.pattern
+        known = spark.sparkContext.broadcast(self._known or ([], np.zeros(1, np.int64), np.zeros(0, np.int32)))
+        ranks, key = spark.sparkContext.broadcast(self.ranks), uuid.uuid4().hex
+        other = T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+        shape = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(other))])
+
+        @F.pandas_udf(shape)
+        def coded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            """Each word's number, or, from -1 down, its place among the text's other distinct words."""
+            find, number = regex.compile(pattern).findall, _numbers(known, key).get
+            for batch in texts:
+                codes, others = [], []
+                for text in batch:
+                    words, own = find(text or ""), {}
+                    row = list(map(number, words))
+                    if None in row:
+                        row = [-1 - own.setdefault(w, len(own)) if c is None else c for c, w in zip(row, words, strict=True)]
+                    codes.append(np.array(row, np.int32))
+                    others.append([(w, merged(b, ranks.value) if len(w) > LONG // 4 and len(b := w.encode()) > LONG else None) for w in own])
+                yield pd.DataFrame({"codes": codes, "others": others})
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def filled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            """The ids in place of the numbers."""
+            _, offsets, flat = known.value
+            for codes, folded in batches:
+                out = []
+                for c, lists in zip(codes, folded, strict=True):
+                    own = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32)
+                    ends = np.cumsum([len(x) for x in lists], dtype=np.int64) if len(lists) else np.zeros(1, np.int64)
+                    starts = np.concatenate([np.zeros(1, np.int64), ends])
+                    c = np.asarray(c, np.int64)
+                    common, place = c >= 0, np.where(c >= 0, c, -1 - c)
+                    safe = np.where(common, place, 0), np.where(common, 0, place)
+                    begin = np.where(common, offsets[safe[0]], starts[safe[1]])
+                    size = np.where(common, offsets[np.minimum(safe[0] + 1, len(offsets) - 1)], starts[safe[1] + 1]) - begin
+                    at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    from_common = np.repeat(common, size)
+                    ids = np.empty(len(at), np.int32)
+                    ids[from_common] = flat[at[from_common]]
+                    ids[~from_common] = own[at[~from_common]]
+                    out.append(ids)
+                yield pd.Series(out, dtype=object)
+
+        return coded, filled
 
     def packed(self, ids: Column) -> Column:
         """ids as little-endian unsigned 32-bit integers: binary."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._numbers, i)), ""))
+        return _joined(ids, self._packed)
 
     def decode(self, ids: Column) -> Column:
         """The bytes that ids stand for: binary."""
-        return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(self._pieces, i)), ""))
+        return _joined(ids, self._pieces)
 
 
 def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
-    """docs with ids (array<int>). Null and empty texts have no ids; repeated rows are encoded alike."""
-    keep = [F.col(c) for c in docs.columns if c != "ids"]
-    return docs.select(*keep, tokenizer.encode(F.col(text_col)).alias("ids"))
+    """docs with ids (array<int>) in place of any such column; other columns stay, whatever their names.
+
+    Null and empty texts have no ids; repeated rows are encoded alike; texts and words of any length are encoded whole; ties between
+    equal pairs go to the leftmost; an empty table gives an empty result.
+    """
+    small_batches(docs.sparkSession)
+    keep = [c for c in docs.columns if c != "ids"]
+    coded, filled = tokenizer.encoders(docs.sparkSession)
+    rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), coded(F.col(text_col)).alias("c"))
+    folded = F.transform("c.others", lambda o: F.coalesce(o["ids"], tokenizer.fold(o["word"])))
+    # The array of one is exploded to keep the fold out of the arguments of a Python function, where Spark would not evaluate it.
+    rows = rows.select("row", F.explode(F.array(F.struct("c.codes", folded.alias("folded")))).alias("c"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in keep), filled("c.codes", "c.folded").alias("ids"))
 
 
 def op10(docs: DataFrame, path: str | None = None) -> DataFrame:

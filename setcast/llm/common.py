@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 #: Fixed value: what separates words, everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows and bytes of a batch for Python workers.
+BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+_OWN_DIRS: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,12 +20,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set and Spark runs in one process (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="setcast-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _OWN_DIRS:
+        _OWN_DIRS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="setcast-")
+    return _OWN_DIRS[spark.sparkContext.applicationId]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on Python workers of this session get few rows at a time: the usual 10,000 whole texts would take hundreds of MB in each worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:

@@ -109,6 +109,29 @@ def test_bpe_agrees_with_the_library(spark):
     assert bpe.op10(df.limit(0)).count() == 0
 
 
+def test_bpe_folds_every_word_alike(spark):
+    """With and without words folded beforehand; unbroken words of any length; the heap and the fold agree."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(14)
+    tokenizer = bpe.Tokenizer()
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=tokenizer.ranks, special_tokens={})
+    texts = ["".join(r.choice(s) for _ in range(n)) for s, n in (("ab", 64), ("ab", 65), ("a", 100), ("abcé", 255), ("xyz", 256), ("xyz", 257), ("é日", 700), ("thein", 100_000), ("日本語", 20_000), ("0123", 5_000))]
+    words = [w for t in texts for w in tiktoken._educational.regex.findall(public_tokenizers.PATTERN, t)] if hasattr(tiktoken, "_educational") else texts
+    for w in words:
+        assert bpe.merged(w.encode(), tokenizer.ranks) == library.encode_ordinary(w) or w not in texts
+    df = docs(spark, [(k, f"{t} the end {t[:40]}", None, None) for k, t in enumerate(texts)])
+    short = df.where("length(text) < 400").select(F.col("text"), tokenizer.fold(F.substring("text", 1, 12)).alias("ids"))
+    for row in short.collect():
+        assert row["ids"] == bpe.merged(row["text"][:12].encode(), tokenizer.ranks)
+    for some in (tokenizer, bpe.Tokenizer().learn(df, words=3)):
+        got = {x["doc_id"]: x for x in bpe.encoded(df.withColumn("ids", F.lit(1)), some).withColumn("back", some.decode(F.col("ids"))).collect()}
+        for k, t in enumerate(texts):
+            text = f"{t} the end {t[:40]}"
+            assert got[k]["ids"] == library.encode_ordinary(text), k
+            assert bytes(got[k]["back"]) == text.encode()
+
+
 def test_mixing_keeps_its_promises(spark):
     r = random.Random(6)
     rows = [(k, " " * (k % 2) + " ".join(f"w{k}_{j}" for j in range(r.randrange(1, 300))), None, r.choice(["a", "a", "a", "a", "b", "c", None])) for k in range(300)]
