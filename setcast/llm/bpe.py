@@ -3,11 +3,12 @@
 A vocabulary's ranks are one literal: an array of small hash buckets, each a map from a byte sequence (in hex, as literals of maps
 want strings) to its rank. A word is folded from its bytes: the neighbours whose joined bytes have the lowest rank, leftmost
 first, are merged until no two have a rank. The state of a fold is one array, an entry for each piece with the place of its
-first byte and, above it, the rank of its bytes joined to the next piece's; the next merge is the array's minimum.
+first byte, its id and, above them, the rank of its bytes joined to the next piece's; the next merge is the array's minimum.
 
 Only distinct words are folded: the commonest of a bounded sample once for all texts, the others once for each text. Texts are cut into words
-in Python, by the vocabulary's own pattern, and the commonest words' numbers stand for them until their ids are put in. Which words are
-sampled has no influence on any result. Words beyond `LONG` bytes, where a fold's work would grow with the square of
+in Python, by the vocabulary's own pattern, and the commonest words' numbers stand for them until their ids are put in. By that pattern no word
+holds white space behind another sign, so that texts can be cut before such white space and the words of common stretches remembered. Which words are
+sampled or remembered has no influence on any result. Words beyond `LONG` bytes, where a fold's work would grow with the square of
 their length, are merged with a heap. Decoding looks up each id's bytes and joins these binary pieces.
 """
 
@@ -19,6 +20,7 @@ import json
 import uuid
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,9 +41,10 @@ _CACHED_LENGTH = 64
 #: Bytes of the longest word that is folded by higher-order functions.
 LONG = 256
 _BUCKETS = 1 << 14
-#: An entry of a fold's state: rank, or _NONE, above the place of the first byte.
-_PLACE = 1 << 16
-_NONE = 1 << 46
+#: An entry of a fold's state: the rank of a piece joined to the next, or _NONE; 12 bits with the place of its first byte; 20 bits with its id.
+_RANK, _PLACE, _NONE = 32, 20, 1 << 62
+_ID = (1 << _PLACE) - 1
+#: Distinct words counted, and stretches of text remembered, at most, before a worker's memory of them ends.
 _FLUSH = 1 << 18
 
 
@@ -64,12 +67,12 @@ def _int(c: Column) -> Column:
 
 
 def _binary(pieces: list[bytes]) -> Column:
-    return F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>")
+    """A literal of binary pieces, as strings: these keep the bytes as they are."""
+    return F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>").cast("array<string>")
 
 
 def _joined(ids: Column, pieces: Column) -> Column:
-    """Binary pieces, one after another. A string made from binary keeps its bytes as they are."""
-    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i).cast("string")), "").cast("binary")
+    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").cast("binary")
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -96,6 +99,21 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _stretches(text: str) -> list[str]:
+    """text cut before each space that follows a sign other than white space."""
+    parts = text.split(" ")
+    out = [parts[0], *[f" {p}" for p in parts[1:]]]
+    if "" not in parts and not any(map(str.isspace, [p[-1] for p in parts])):
+        return out
+    joined = [out[0]]
+    for part in out[1:]:
+        if joined[-1] and not joined[-1][-1].isspace():
+            joined.append(part)
+        else:
+            joined[-1] += part
+    return joined
+
+
 _DICTS: dict[str, dict[str, int]] = {}
 
 
@@ -129,18 +147,20 @@ class Tokenizer:
 
         def folded(ranks: Column) -> Column:
             find = lambda name: F.element_at(F.get(ranks, F.xxhash64(name).bitwiseAND(_long(_BUCKETS - 1))), name)
-            place = lambda v, k: F.get(v, k).bitwiseAND(_long(_PLACE - 1))
-            entry = lambda r, at: F.coalesce(r.cast("bigint") * _PLACE, _long(_NONE)) + at
+            place = lambda v, k: F.shiftright(F.get(v, k), _PLACE).bitwiseAND(_long(4095))
+            entry = lambda r, low: F.coalesce(F.shiftleft(r.cast("bigint"), _RANK), _long(_NONE)) + low
 
             def ids(h: Column) -> Column:
                 rank = lambda a, b: find(F.substring(h, _int(2 * a + 1), _int(2 * (b - a))))
                 n = _int(F.length(h) / 2)
-                start = F.transform(F.sequence(F.lit(0), n), lambda k: entry(F.when(k < n - 1, rank(k, k + 2)), k))
+                start = F.transform(F.sequence(F.lit(0), n), lambda k: entry(F.when(k < n - 1, rank(k, k + 2)), k.cast("bigint") * (1 << _PLACE) + _ID))
 
                 def merge(v: Column, i: Column) -> Column:
-                    """Entry i (from 1) takes in the next; its rank and that of the one before are new."""
-                    own = entry(rank(place(v, i - 1), place(v, i + 2)), place(v, i - 1))
-                    left = entry(rank(place(v, i - 2), place(v, i + 1)), place(v, i - 2))
+                    """Entry i (from 1) takes in the next; its id, its rank and the rank of the one before are new."""
+                    best, before = F.get(v, i - 1), F.get(v, i - 2)
+                    same_place = best.bitwiseAND(_long((1 << _RANK) - 1 - _ID))
+                    own = entry(rank(place(v, i - 1), place(v, i + 2)), same_place + F.shiftright(best, _RANK))
+                    left = entry(rank(place(v, i - 2), place(v, i + 1)), before.bitwiseAND(_long((1 << _RANK) - 1)))
                     new = F.when(i > 1, F.array(left, own)).otherwise(F.array(own))
                     return F.concat(F.slice(v, F.lit(1), F.greatest(i - 2, F.lit(0))), new, F.slice(v, i + 2, F.size(v)))
 
@@ -148,7 +168,12 @@ class Tokenizer:
                     least = F.array_min(v)
                     return F.when(least >= _NONE, v).otherwise(_let(_int(F.array_position(v, least)), lambda i: merge(v, i)))
 
-                done = lambda v: F.transform(F.slice(v, F.lit(1), F.size(v) - 1), lambda x, k: rank(x.bitwiseAND(_long(_PLACE - 1)), place(v, k + 1)))
+                def done(v: Column) -> Column:
+                    """A piece of one byte has no id as yet."""
+                    known = lambda x: x.bitwiseAND(_long(_ID))
+                    byte = lambda x: F.shiftright(x, _PLACE).bitwiseAND(_long(4095))
+                    return F.transform(F.slice(v, F.lit(1), F.size(v) - 1), lambda x: F.when(known(x) == _ID, rank(byte(x), byte(x) + 1)).otherwise(_int(known(x))))
+
                 return F.aggregate(F.sequence(F.lit(2), F.greatest(F.lit(2), n)), start, step, done)
 
             return _let(F.hex(word), lambda h: _let(find(h), lambda r: F.when(r.isNotNull(), F.array(r)).when(h == "", F.slice(F.array(r), 1, 0)).otherwise(ids(h))))
@@ -163,14 +188,22 @@ class Tokenizer:
         rows = docs.where(hash01(text_col, seed=17) < rate) if rate < 1 else docs
 
         def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            find, counts = regex.compile(pattern).findall, Counter()
+            find, stretches = regex.compile(pattern).findall, Counter()
+
+            def words() -> pd.DataFrame:
+                counts = Counter()
+                for stretch, n in stretches.items():
+                    for w in find(stretch):
+                        counts[w] += n
+                return pd.DataFrame(counts.items(), columns=["w", "n"]).astype({"w": object, "n": "int64"})
+
             for batch in batches:
                 for text in batch["text"]:
-                    counts.update(find(text or ""))
-                if len(counts) > _FLUSH:
-                    yield pd.DataFrame(counts.items(), columns=["w", "n"])
-                    counts = Counter()
-            yield pd.DataFrame(counts.items(), columns=["w", "n"]).astype({"w": object, "n": "int64"})
+                    stretches.update(_stretches(text or "") if pattern == public_tokenizers.PATTERN else [text or ""])
+                if len(stretches) > _FLUSH:
+                    yield words()
+                    stretches.clear()
+            yield words()
 
         found = rows.select(F.col(text_col).alias("text")).mapInPandas(counted, "w string, n long").where(F.octet_length("w") <= _CACHED_LENGTH)
         common = found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(words).select("w")
@@ -191,15 +224,21 @@ class Tokenizer:
         @F.pandas_udf(shape)
         def coded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             """Each word's number, or, from -1 down, its place among the text's other distinct words."""
-            find, number = regex.compile(pattern).findall, _numbers(known, key).get
+            find, number, cut = regex.compile(pattern).findall, _numbers(known, key).get, pattern == public_tokenizers.PATTERN
+            memory: dict[str, tuple[int, ...]] = {}
             for batch in texts:
                 codes, others = [], []
                 for text in batch:
-                    words, own = find(text or ""), {}
-                    row = list(map(number, words))
-                    if None in row:
-                        row = [-1 - own.setdefault(w, len(own)) if c is None else c for c, w in zip(row, words, strict=True)]
-                    codes.append(np.array(row, np.int32))
+                    stretches, own = _stretches(text or "") if cut else [text or ""], {}
+                    row = list(map(memory.get, stretches))
+                    for at in [k for k, c in enumerate(row) if c is None]:
+                        words = find(stretches[at])
+                        row[at] = found = tuple(map(number, words))
+                        if None in found:
+                            row[at] = [-1 - own.setdefault(w, len(own)) if c is None else c for c, w in zip(found, words, strict=True)]
+                        elif cut and len(memory) < _FLUSH:
+                            memory[stretches[at]] = found
+                    codes.append(np.array(list(chain.from_iterable(row)), np.int32))
                     others.append([(w, merged(b, ranks.value) if len(w) > LONG // 4 and len(b := w.encode()) > LONG else None) for w in own])
                 yield pd.DataFrame({"codes": codes, "others": others})
 

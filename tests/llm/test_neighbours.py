@@ -71,8 +71,11 @@ def test_every_pair_within_four_bits_is_linked(spark):
         for k in range(6):
             have.add(b ^ sum(1 << x for x in r.sample(range(64), k)))
     have = sorted(h - (1 << 64) if h >> 63 else h for h in have)
-    got = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(h,) for h in have], "fp long")).collect()}
-    assert got == {(a, b) for a in have for b in have if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    for plan in simhash.PLANS:
+        got = {(x.a, x.b) for x in simhash.links(spark.createDataFrame([(h,) for h in have], "fp long"), plan).collect()}
+        assert got == {(a, b) for a in have for b in have if a < b and ((a ^ b) & (1 << 64) - 1).bit_count() <= 4}
+    assert simhash.plan(10**6) == simhash.PLANS[0] and simhash.plan(10**10) == simhash.PLANS[1]
+    assert sorted(simhash.ball(4, 2)) == sorted(x for x in range(16) if x.bit_count() <= 2)
 
 
 def test_embeddings_match_brute_force(spark):

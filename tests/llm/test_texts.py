@@ -45,7 +45,7 @@ def test_quality_counts_and_bounds(spark):
 
 
 def test_quality_rejects_bad_and_spares_good(spark):
-    good = [(k, " ".join(f"word{(k * 31 + j) % 977}" for j in range(60)), None, None) for k in range(3000)]
+    good = [(k, " ".join(f"word{(k * 31 + j) % 3001}" for j in range(60)), None, None) for k in range(3000)]
     bad = [(5000 + k, " ".join(f"w{k}{j}###%%%" for j in range(60)), None, None) for k in range(50)]
     labels = spark.createDataFrame([(x[0], 1) for x in good] + [(x[0], 0) for x in bad], "doc_id long, quality int")
     got = {r["doc_id"]: r["kept"] for r in quality.op1(docs(spark, good + bad), labels).collect()}
@@ -109,6 +109,16 @@ def test_bpe_agrees_with_the_library(spark):
     assert bpe.op10(df.limit(0)).count() == 0
 
 
+def test_bpe_stretches_hold_whole_words():
+    import regex
+
+    r, find = random.Random(15), regex.compile(public_tokenizers.PATTERN).findall
+    for k in range(20_000):
+        text = "".join(r.choice("  \n\t\xa0\u2003\x1c\x85a1é.'sT日½") for _ in range(r.randrange(12)))
+        assert "".join(bpe._stretches(text)) == text
+        assert [w for s in bpe._stretches(text) for w in find(s)] == find(text), repr(text)
+
+
 def test_bpe_folds_every_word_alike(spark):
     """With and without words folded beforehand; unbroken words of any length; the heap and the fold agree."""
     from pyspark.sql import functions as F
@@ -257,12 +267,148 @@ def test_pipeline(spark, tmp_path):
 
     r = random.Random(3)
     texts = [" ".join(r.choice(["thing", "and", "over", "tree", "sky", "lamp", "rock"]) + str(r.choice("abc")) for _ in range(80)) for _ in range(30)]
-    rows = [(k, t, "en", "s1", len(t)) for k, t in enumerate(texts)] + [(100 + k, t, "en", "s2", 1) for k, t in enumerate(texts[:5])] + [(200, "123 456", "en", "s1", 7), (201, None, None, None, None), (202, texts[7] + " me@x.example", "en", "s1", 1)]
+    rows = [(k, t, "en", "s1", len(t)) for k, t in enumerate(texts)] + [(100 + k, t, "en", "s2", 1) for k, t in enumerate(texts[:5])] + [(200, "123 456", "en", "s1", 7), (201, None, None, None, None), (202, texts[7] + " me@x.example", "en", "s1", 1), (203, "½ ① ²³", "en", "s1", 1)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
-    found = spark.read.parquet(f"{tmp_path}/documents.parquet")
-    given = found.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        found = stage(spark, found, str(tmp_path))
-        assert found.columns == given, name
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    clashing = plain.selectExpr("*", "'kept' AS score", "'kept' AS lang_pred", "'kept' AS _lang", "'kept' AS row", "'kept' AS found", "'kept' AS key", "'kept' AS fp", "'kept' AS c", "'kept' AS spans")
+    for docs in (plain, clashing, clashing.limit(0)):
+        found = docs
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            found = stage(spark, found, str(tmp_path))
+            assert found.dtypes == docs.dtypes, name
+        kept = found.collect()
+        if docs is clashing:
+            assert len(kept) >= 29 and all(x[c] == "kept" for x in kept for c in docs.columns[5:])
+    assert kept == [] and corpus_pipeline.STAGES[-1][1](spark, found, str(tmp_path)).collect() == []
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in got} <= set(range(30)) | {202} and len({x["doc_id"] for x in got}) >= 29
+
+
+def test_pipeline_keeps_one_of_each_group(spark):
+    """Several texts of one id are told apart; which of them stay does not depend on the order of rows."""
+    import corpus_pipeline
+
+    long = [" ".join(f"w{k}_{j}" for j in range(50)) for k in range(6)]
+    rows = [(1, long[0], "a"), (1, long[1], "b"), (1, long[1], "c"), (2, long[0], "d"), (None, long[2], "e"), (None, long[2], "f"), (3, None, "g"), (4, "", "h"), (5, long[3], "i")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = corpus_pipeline.near_duplicates(spark, df, "").collect()
+    assert sorted(str(x["text"])[:5] for x in got) == sorted(["w0_0 ", "w1_0 ", "w2_0 ", "None", "w3_0 "])
+    assert {x["source"] for x in got if x["doc_id"] not in (1, None)} == {"g", "i"} and {"a"} <= {x["source"] for x in got}
+    for parts in (1, 7):
+        assert sorted(map(str, corpus_pipeline.near_duplicates(spark, df.repartition(parts, "source"), "").collect())) == sorted(map(str, got))
+
+
+def test_number_signs_are_no_letters(spark):
+    assert [langid.letters(t) for t in ("½ ②x² Ⅷ", "été_1a", None, "²³ ①")] == [["x"], ["été", "a"], [], []]
+    assert langid.features("²³ ½ ①") is None
+
+
+def test_language_votes_by_hand(spark):
+    """Predictions recomputed from the model's weights, with features counted gram by gram."""
+    import numpy as np
+
+    r = random.Random(18)
+    parts = {"en": "th er in ed", "de": "sch ein ung der", "nl": "ij oe een van", "fr": "eau ou é que", "es": "ción os la ñ"}
+    rows = [(k, " ".join(r.choice(parts[lang].split()) + r.choice("abc") for _ in range(20)), lang, None) for k, lang in enumerate(r.choice(list(parts)) for _ in range(150))]
+    model = langid.train(docs(spark, rows))
+    assert sorted(model.languages["germanic"]) == ["de", "en", "nl"] and sorted(model.languages["romance"]) == ["es", "fr"]
+
+    def slow(text):
+        s, mask, counts = "  " + " ".join(langid.letters(text)) + " ", (1 << 64) - 1, np.zeros(langid.DIM)
+        for k in range(2, len(s)):
+            h = ord(s[k]) * 0x9E3779B97F4A7C15 & mask
+            for f in (lambda h: h, lambda h: (h ^ ord(s[k - 1]) + 1) * 0xC2B2AE3D27D4EB4F & mask, lambda h: (h ^ ord(s[k - 2]) + 2) * 0x165667B19E3779F9 & mask):
+                h = f(h)
+                counts[h >> 64 - langid.DIM.bit_length() + 1] += 1
+        x = np.sqrt(counts) / np.linalg.norm(np.sqrt(counts))
+        own = model.languages[model.families[int(np.argmax(model.weights @ x + model.bias))]]
+        wins = {a: 0 for a in own}
+        for a in own:
+            for b in own:
+                if a < b:
+                    w, c = model.pairs[a, b]
+                    wins[b if w @ x + c > 0 else a] += 1
+        return {a for a in own if wins[a] == max(wins.values())}
+
+    for _, text, _, _ in rows[:60]:
+        assert model.predict(text)[0] in slow(text)
+    assert langid.Model([], np.zeros((0, 1)), np.zeros(0), {}, {}).predict("abc") == ("und", 0.0)
+
+
+def test_quality_of_very_long_texts_and_copies(spark):
+    r = random.Random(21)
+    words = [r.choice("abcdef") for _ in range(9000)]
+    plain = quality._LARGE
+    try:
+        got = quality.repeated_words(words), quality.repeated_words(words[:5000] + [f"u{k}" for k in range(5000)]), quality.repeated_words(["x"] * 300_000)
+        quality._LARGE = 1 << 60
+        assert got == (quality.repeated_words(words), quality.repeated_words(words[:5000] + [f"u{k}" for k in range(5000)]), 300_000)
+    finally:
+        quality._LARGE = plain
+    # A thousand copies of one good document are one draw: no bound can be told from it, so no rule rejects.
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(k, text, None, None) for k in range(1000)] + [(2000, " ".join(f"w{k}###" for k in range(60)), None, None)]
+    labels = spark.createDataFrame([(k, 1) for k in range(1000)], "doc_id long, quality int")
+    assert all(x["kept"] for x in quality.op1(docs(spark, rows), labels).collect())
+
+
+def test_toxicity_features_by_hand():
+    learned = {"zorgl": 2.0}
+    text = "You IDIOT! y0u id1ot zorgl tree tree tree tree tree tree fool"
+    words = "you idiot you idiot zorgl tree tree tree tree tree tree fool".split()
+    n, bad = len(words), [w in toxicity.ABUSE or w in learned for w in words]
+    near = sum(any(words[j] in toxicity.SECOND for j in range(max(0, k - 5), k)) for k in range(n) if bad[k]) + sum(any(bad[j] for j in range(max(0, k - 5), k)) for k in range(n) if words[k] in toxicity.SECOND)
+    got = dict(zip(toxicity.FEATURES, toxicity.features(text, learned), strict=True))
+    assert got["abuse_count"] == 3 and got["learned_count"] == 1 and got["second_density"] == 2 / n and got["near_count"] == near
+    assert got["learned_weight"] == 2 / math.sqrt(n) and got["obfuscated_rate"] == 2 / n and got["obfuscated_abuse"] == 1 and got["mark_rate"] == 1 / n
+    assert got["log_words"] == math.log1p(n) and got["capital_share"] == 6 / sum(c.isascii() and c.isalpha() for c in text)
+    assert toxicity.features(None, {}) == toxicity.features("", {}) == [0.0] * len(toxicity.FEATURES)
+    assert toxicity.features("you idiot " * 200_000, learned)[1] == 200_000
+
+
+def test_secrets_are_discovered_from_assignments(spark):
+    """Seeds in assignments induce patterns that reach values of another shape; long hexadecimal values elsewhere stay alone."""
+    r = random.Random(12)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(38)) + "a1" for _ in range(30)]
+    rows = [(k, f"word{k} x{k}y token = \"{h}\" more{k}", None, None) for k, h in enumerate(hexes)]
+    rows += [(100, 'q token = "short-12345-x" z', None, None), (101, f"commit {hexes[0][::-1]} of b", None, None), (102, 'TOKEN = "' + "ab1" * 200 + '"!! Z!!', None, None), (103, "x" * 200 + "12345" * 40 + " alone", None, None)]
+    got = {x["doc_id"]: x for x in pii.op6(docs(spark, rows)).collect()}
+    for k, (_, text, _, _) in enumerate(rows[:30]):
+        start = text.index('"') + 1
+        assert got[k]["spans"] == f"secret:{start}:{start + 40}" and got[k]["n_card"] == 0
+    assert got[100]["spans"] == "secret:11:24" and got[102]["spans"] == "secret:9:609" and got[101]["spans"] == got[103]["spans"] == ""
+    assert all(x["base_sha256"] == hashlib.sha256(b"").hexdigest() for x in got.values())
+
+
+def test_pattern_rounds_by_brute_force(spark):
+    r = random.Random(30)
+    edges = [(f"p{r.randrange(25)}", f"v{r.randrange(60)}", r.choice([None, None, 0, 2])) for _ in range(500)]
+    accepted = {(v, k) for _, v, k in edges if k is not None}
+    values = {}
+    for p, v, _ in edges:
+        values.setdefault(p, set()).add(v)
+    for rounds in (1, 2, 3):
+        held = set(accepted)
+        for k in range(rounds):
+            sure = {(p, kind, n / len(vs)) for p, vs in values.items() for kind in (0, 2) if (n := sum((v, kind) in held for v in vs)) >= 4 and n / len(vs) >= 0.6}
+            held |= {(v, kind) for p, kind, _ in sure for v in values[p]}
+        got = {tuple(x) for x in pii.patterns(spark.createDataFrame(edges, "pattern string, value string, kind long"), 4, 0.6, rounds).collect()}
+        assert {(p, k, round(c, 9)) for p, k, c in got} == {(p, k, round(c, 9)) for p, k, c in sure}
+    assert pii.patterns(spark.createDataFrame([], "pattern string, value string, kind long")).count() == 0
+
+
+def test_base_spans_by_plain_patterns():
+    """The contract's patterns as they stand, on random strings of the signs that matter."""
+    email, ip = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+    card, phone = r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"
+    digits = lambda x: re.sub("[^0-9]", "", x)
+    luhn = lambda d: sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(reversed(d))) % 10 == 0
+    fine = (lambda m: True, lambda m: all(int(x) <= 255 for x in m.split(".")), lambda m: 14 <= len(digits(m)) <= 19 and luhn(digits(m)), lambda m: 10 <= len(digits(m)) <= 15)
+    r = random.Random(40)
+    for k in range(4000):
+        alphabet = r.choice(["ab@.- 1", "0123456789. ", "0123456789 -", "+0123456789 ().-", "a1@.+- ()"])
+        text = "".join(r.choice(alphabet) for _ in range(r.randrange(60)))
+        want = sorted((m.start(), kind, m.end()) for kind, p in enumerate((email, ip, card, phone)) for m in re.finditer(p, text) if fine[kind](m[0]))
+        assert pii.base_spans(text) == want, text
+    long = "1.2.3.4 a@b.c " * 20_000
+    assert len(pii.instances(long)[0]) == 40_000
