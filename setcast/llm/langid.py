@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, hash01, written
+from .common import dropped, hash01, small_batches, written
 
 PER_LANGUAGE = 500
 DIM = 2048
@@ -35,7 +35,7 @@ FAMILIES = {
     "turkic": "az kk ky tr tt ug uz",
 }
 _FAMILY = {code: family for family, codes in FAMILIES.items() for code in codes.split()}
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(r"[^\W\d_]+")  # and number signs such as ½, which letters() leaves out
 _BLOCK = 1 << 18
 #: Rows of an Arrow batch of vectors, 1 MB: the usual thousands would take hundreds of MB in each worker.
 _ROWS = 64
@@ -45,9 +45,17 @@ def family(code: str) -> str:
     return _FAMILY.get(code.lower().split("-")[0].split("_")[0], f"only {code}")
 
 
+def letters(text: str | None) -> list[str]:
+    """Lower-case runs of letters (Unicode's, without digits and other number signs)."""
+    found = _LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return " ".join("".join(c if c.isalpha() else " " for c in run) for run in found).split()
+
+
 def features(text: str | None, dim: int = DIM) -> np.ndarray | None:
     """Unit vector of hashed 1- to 3-grams; None if there is no letter. dim: a power of two."""
-    words = _LETTERS.findall((text or "").lower())
+    words = letters(text)
     if not words:
         return None
     codes = np.frombuffer(f"  {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
@@ -74,7 +82,11 @@ def _vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class Model:
-    """Weights of the family stage and of each pair of languages; small: (families + pairs) x DIM numbers."""
+    """Weights of the family stage and of each pair of languages; small: (families + pairs) x DIM numbers.
+
+    The language with the most votes of its family's pairs wins; among ties the one with the larger sum of votes' certainty, then the
+    one that sorts first. Among equally likely families the one that sorts first is taken.
+    """
 
     def __init__(self, families: list[str], weights: np.ndarray, bias: np.ndarray, languages: dict[str, list[str]], pairs: dict[tuple[str, str], tuple[np.ndarray, float]]):
         self.families, self.weights, self.bias, self.languages, self.pairs = families, weights, bias, languages, pairs
@@ -101,8 +113,10 @@ class Model:
 def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """From labelled(doc_id, text, lang); rows with a null or without a letter are left out."""
     rows = labelled.select("doc_id", "text", "lang").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL")
-    rate = rows.groupBy("lang").agg(F.least(F.lit(1.0), per_language / F.count("*")).alias("rate"))
-    sample = rows.join(F.broadcast(rate), "lang").where(hash01("doc_id", seed=11) < F.col("rate"))
+    # A row per language, as few as the models of their pairs, which the driver holds in any case.
+    counts = rows.groupBy("lang").count().collect()
+    rate = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, per_language / r["count"])))) if counts else F.create_map().cast("map<string,double>")
+    sample = rows.where(hash01("doc_id", seed=11) < F.element_at(rate, F.col("lang")))
     sample = written(sample.select("lang", "text").mapInPandas(_vectors, "lang string, x array<double>"), "langid")
     codes = sorted(r["lang"] for r in sample.select("lang").distinct().collect())
     languages: dict[str, list[str]] = defaultdict(list)
@@ -127,16 +141,22 @@ def train(labelled: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     return Model(families, weights, bias, dict(languages), pairs)
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with lang_pred and score; `und` and 0 for a text that is null or has no letter, or if nothing was learned."""
+def predictions(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """row, all columns of docs, and found: (lang_pred, score)."""
 
     @F.pandas_udf(T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
     def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:
             yield pd.DataFrame([model.predict(t) for t in batch], columns=["lang_pred", "score"]).astype({"score": "float64"})
 
-    keep = [F.col(c) for c in docs.columns if c not in ("lang_pred", "score", "_lang")]
-    return docs.select(*keep, predict(F.col("text")).alias("_lang")).select(*keep, "_lang.lang_pred", "_lang.score")
+    small_batches(docs.sparkSession)
+    return docs.select(F.struct(*docs.columns).alias("row"), predict(F.col(text_col)).alias("found"))
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """docs with lang_pred and score in place of any such columns; `und` and 0 for a text that is null or has no letter, or if nothing was learned."""
+    keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    return predictions(docs, model).select(*(F.col("row")[c].alias(c) for c in keep), "found.lang_pred", "found.score")
 
 
 def held_out():
@@ -147,9 +167,16 @@ def held_out():
 def language_id(docs: DataFrame) -> DataFrame:
     """Train on docs(doc_id, text, lang) outside the held-out rows, then predict every row; other columns stay.
 
-    Repeated rows are predicted alike; an empty table gives an empty result.
+    A null text or one without a letter is `und` with score 0, number signs being no letters; null languages and ids teach nothing, texts of any
+    length count whole, columns named lang_pred or score are replaced, repeated rows are predicted alike; an empty table gives an empty result.
     """
-    return identify(docs, train(docs.where(~held_out())))
+    return identify(docs, learned(docs))
+
+
+def learned(docs: DataFrame) -> Model:
+    """The model of docs(doc_id, text, lang) outside the held-out rows."""
+    small_batches(docs.sparkSession)
+    return train(docs.where(~held_out()))
 
 
 def op2(docs: DataFrame) -> DataFrame:

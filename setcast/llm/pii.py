@@ -1,8 +1,9 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-Base patterns find emails, IP addresses, card and phone numbers. Their values are the seeds. Words around a seed make
-lexical patterns (the two words before; the word before and the word after; each with the shape of the value). The
-edges between patterns and the distinct values seen in them, over all documents, are a bipartite graph that Spark scores in
+Base patterns find emails, IP addresses, card and phone numbers. Their values are seeds; so are long hexadecimal values that stand in an
+assignment (`name = "..."`), of the kind secret, which are no spans by themselves. The words around a seed make lexical patterns: the two
+words before it; in an assignment, the name; the word before and the word after; each with the signs that stand directly before the value and with its shape.
+The edges between patterns and the distinct values seen in them, over all documents, are a bipartite graph that Spark scores in
 rounds: a pattern's confidence in a kind is the share of its values already accepted as that kind, given enough of them;
 a value that a confident pattern holds is accepted, and so supports further patterns. In the end the occurrences
 of confident patterns that no base span touches become spans.
@@ -11,17 +12,20 @@ of confident patterns that no base span touches become spans.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import dropped, written
+from .common import dropped, small_batches, written
 
-#: The kinds in their order, and their patterns.
-KINDS = ("email", "ip", "card", "phone")
+#: The base kinds in their order, and their patterns.
+BASE = ("email", "ip", "card", "phone")
+SECRET = len(BASE)
+KINDS = (*BASE, "secret")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _HOST = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 # No match begins within a run of digits: the one before would have taken the run.
@@ -37,13 +41,16 @@ _RUN = re.compile(r"(?<![0-9])[+(]{0,2}[0-9]+(?:(?:\)[\x20.-]?\(?|[\x20.-]\(?|\(
 SUPPORT = 4
 CONFIDENCE = 0.75
 ROUNDS = 3
-#: An identifier has so many digits, or an @, and at most that length.
-DIGITS, LENGTH = 5, 80
+#: An identifier has so many digits, or an @.
+DIGITS = 5
+#: A secret's seed: hexadecimal, of so many signs or more, some of them letters and some digits.
+_SEED = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}")
+#: Confident patterns are broadcast up to so many, of some hundred bytes each.
+BROADCAST_PATTERNS = 100_000
 _STOPS = frozenset(" \t\n\r\x0b\x0c\"'<>()[]{}=,;:|")
 _TRIM = ".,!?*#$%&-/\\"
-_BEFORE = re.compile(r"([^\s]+)\s+([^\s]+)\s*$|([^\s]+)\s*$")
-_AFTER = re.compile(r"\s*([^\s]+)")
-_REACH = 80
+_WORDS = re.compile(r"[^\W_]+")
+_SHORT = 64
 
 
 def _luhn(digits: str) -> bool:
@@ -86,12 +93,33 @@ def _shape(value: str) -> str:
     return "@" if "@" in value else "a" if any(c.isalpha() for c in value) else "9"
 
 
-def _contexts(text: str, start: int, end: int, shape: str) -> list[str]:
-    clean = lambda w: w.lower().strip(_TRIM + "".join(_STOPS))
-    before, after = _BEFORE.search(text[max(0, start - _REACH) : start]), _AFTER.match(text, end, end + _REACH)
-    two, one = (clean(before[1] or ""), clean(before[2] or before[3] or "")) if before else ("", "")
-    right = clean(after[1]) if after else ""
-    return [f"{shape}<{two} {one}"] * bool(two and one) + [f"{shape}{one}_{right}"] * bool(one and right)
+def _name(text: str) -> str:
+    """text in lower case, or a digest of it if it is long."""
+    return text.lower() if len(text) <= _SHORT else f"#{xxhash.xxh3_128_hexdigest(text.lower().encode('utf-8', 'surrogatepass'))}"
+
+
+class _Words:
+    """The words of a text and what stands around a value."""
+
+    def __init__(self, text: str):
+        self.text, self.starts, self.ends = text, [], []
+        for m in _WORDS.finditer(text):
+            self.starts.append(m.start())
+            self.ends.append(m.end())
+
+    def word(self, k: int) -> str:
+        return _name(self.text[self.starts[k] : self.ends[k]]) if 0 <= k < len(self.starts) else ""
+
+    def signs(self, start: int) -> str:
+        """The signs directly before a value, without white space."""
+        k = bisect_right(self.ends, start) - 1
+        return "".join(self.text[self.ends[k] if k >= 0 else 0 : start].split())[-4:]
+
+    def contexts(self, start: int, end: int, shape: str) -> list[str]:
+        k, after = bisect_right(self.ends, start) - 1, bisect_left(self.starts, end)
+        one, two, right, signs = self.word(k), self.word(k - 1), self.word(after), self.signs(start)
+        out = [f"{shape}<{two} {one}{signs}"] * bool(one and two) + [f"{shape}{one}{signs}_{right}"] * bool(one and right)
+        return out + [f"{shape}<{one}{signs}"] * bool(one and ("=" in signs or ":" in signs))
 
 
 def _runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -103,7 +131,7 @@ def _runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
             b -= 1  # the bracket closes one before the run
         if text[a] == "(" and text.count("(", a, b) > text.count(")", a, b):
             a += 1
-        if b - a > LENGTH or sum("0" <= c <= "9" for c in text[a:b]) < DIGITS:
+        if sum("0" <= c <= "9" for c in text[a:b]) < DIGITS:
             continue
         if a > 0 and (text[a - 1] not in _STOPS and text[a - 1] not in _TRIM) or b < len(text) and (text[b] not in _STOPS and text[b] not in _TRIM):
             continue  # part of a word: left to the tokens
@@ -117,11 +145,15 @@ def _runs(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def instances(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, str, int | None, list[str]]]]:
     """The base spans, and (start, end, value, kind or None, patterns) of base spans and of other identifier-like tokens."""
     text, spans = text or "", base_spans(text)
-    out = [(a, b, text[a:b].lower(), kind, _contexts(text, a, b, _shape(text[a:b]))) for a, kind, b in spans]
-    taken, k, mark = [(a, b) for a, _, b in spans], 0, _MARK.search(text)
-    runs = _runs(text, taken) if mark else []
+    mark = _MARK.search(text)
+    if not mark:
+        return spans, []
+    words = _Words(text)
+    out = [(a, b, _name(text[a:b]), kind, words.contexts(a, b, _shape(text[a:b]))) for a, kind, b in spans]
+    taken, k = [(a, b) for a, _, b in spans], 0
+    runs = _runs(text, taken)
     for a, b in runs:
-        out.append((a, b, text[a:b].lower(), None, _contexts(text, a, b, "9")))
+        out.append((a, b, _name(text[a:b]), None, words.contexts(a, b, "9")))
     taken = sorted(taken + runs)
     while mark:
         start = end = mark.start()
@@ -137,11 +169,13 @@ def instances(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
             b -= 1
         while k < len(taken) and taken[k][1] <= a:
             k += 1
-        if any(s < b and a < e for s, e in taken[max(0, k - 4) : k + 4]) or b - a > LENGTH:
+        if any(s < b and a < e for s, e in taken[max(0, k - 4) : k + 4]):
             continue
         value = text[a:b].lower()
         if "@" in value or sum("0" <= c <= "9" for c in value) >= DIGITS:
-            out.append((a, b, value, None, _contexts(text, a, b, _shape(value))))
+            signs = words.signs(a)
+            secret = ("=" in signs or ":" in signs) and _SEED.fullmatch(value)
+            out.append((a, b, _name(value), SECRET if secret else None, words.contexts(a, b, _shape(value))))
     return spans, out
 
 
@@ -165,19 +199,26 @@ def patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFI
 
     Scores are over distinct values, so that copies of a document don't add to them; a value of several kinds counts for each.
     """
+    if rounds < 1:
+        raise ValueError("rounds must be at least 1")
     accepted = written(edges.where("kind IS NOT NULL").select("value", "kind").distinct(), "accepted")
-    pairs = written(edges.select("pattern", "value").distinct(), "graph")
-    totals = pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    # A pattern with fewer values than it needs can never count: most go at once.
+    pairs = edges.select("pattern", "value").distinct()
+    totals = written(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "totals")
+    pairs = written(pairs.join(totals, "pattern", "left_semi"), "graph")
     for k in range(rounds):
         held = pairs.join(accepted, "value").groupBy("pattern", "kind").agg(F.count("*").alias("held")).where(F.col("held") >= support)
         sure = held.join(totals, "pattern").select("pattern", "kind", (F.col("held") / F.col("n")).alias("confidence")).where(F.col("confidence") >= confidence)
         if k == rounds - 1:
-            return written(sure, "patterns")
+            break
         more = pairs.join(sure, "pattern").groupBy("value", "kind").agg(F.max("confidence")).select("value", "kind")
         then = written(accepted.union(more).distinct(), "accepted")
         dropped(accepted)
         accepted = then
-    raise ValueError("rounds must be at least 1")
+    found = written(sure, "patterns")
+    for used in (accepted, pairs, totals):
+        dropped(used)
+    return found
 
 
 def _joined(spans: Column) -> Column:
@@ -189,23 +230,35 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """doc_id, base and spans: arrays of (start, kind, end), sorted, kind an index of KINDS, base ones among spans; with carry
     also row, all columns of docs.
 
-    Null and empty texts have no spans. A null id and repeated rows are rows like any other; equal texts get equal spans.
-    Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no spans. A null id and repeated rows are rows like any other; equal texts get equal spans. An occurrence
+    that confident patterns of several kinds hold is of the most confident kind, among ties the first. Texts, values and words of any length
+    count whole. Other columns are ignored; an empty table gives an empty result.
     """
+    small_batches(docs.sparkSession)
     row = F.struct(*docs.columns) if carry else F.lit(None).cast("string")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col, F.length(text_col)).alias("key"), _found(F.col(text_col)).alias("f"), row.alias("row"))
-    rows = written(rows.select("doc_id", "key", "f.spans", "f.instances", "row"), "pii")
-    seen = rows.select("key", F.explode("instances").alias("i"))
+    # Numbered before they are written, so that the numbers hold.
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(id_col).alias("doc_id"), _found(F.col(text_col)).alias("f"), row.alias("row"))
+    rows = written(rows.select("key", "doc_id", "f.spans", "f.instances", "row"), "pii")
+    seen = rows.select(F.explode("instances").alias("i"))
     sure = patterns(seen.select(F.explode("i.patterns").alias("pattern"), "i.value", "i.kind"))
-    unseen = seen.where("i.kind IS NULL").select("key", "i.start", "i.end", F.explode("i.patterns").alias("pattern"))
+    sure = F.broadcast(sure) if sure.count() <= BROADCAST_PATTERNS else sure
+    # Only rows with an occurrence that is no base span need what the patterns say.
+    is_open = lambda i: i["kind"].isNull() | (i["kind"] == SECRET)
+    has_open = F.exists("instances", is_open)
+    unseen = rows.where(has_open).select("key", F.explode(F.filter("instances", is_open)).alias("i"))
+    unseen = unseen.select("key", "i.start", "i.end", F.explode("i.patterns").alias("pattern"))
     best = unseen.join(sure, "pattern").groupBy("key", "start", "end").agg(F.max_by("kind", F.struct("confidence", -F.col("kind"))).alias("kind"))
     extra = best.groupBy("key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
-    spans = F.array_sort(F.concat("spans", F.coalesce("extra", F.expr("slice(spans, 1, 0)"))))
-    return rows.join(extra, "key", "left").select("doc_id", F.col("spans").alias("base"), spans.alias("spans"), "row")
+    told = rows.where(has_open).join(extra, "key", "left")
+    told = told.select("doc_id", F.col("spans").alias("base"), F.array_sort(F.concat("spans", F.coalesce("extra", F.expr("slice(spans, 1, 0)")))).alias("spans"), "row")
+    return told.union(rows.where(~has_open).select("doc_id", F.col("spans").alias("base"), "spans", "row"))
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with every span in text replaced by its kind in brackets (overlapping ones by the first's), n_chars following; other columns stay."""
+    """docs with every span in text replaced by its kind in brackets (overlapping ones by the first's), n_chars following; other columns stay.
+
+    Null texts stay null; ties, repeated rows and empty tables as in personal_data().
+    """
     rows = personal_data(docs, carry=True)
     place = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     text = F.col("row.text")
@@ -224,5 +277,5 @@ def masked(docs: DataFrame) -> DataFrame:
 def op6(docs: DataFrame) -> DataFrame:
     rows = personal_data(docs)
     of_kind = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [of_kind(k).alias(f"n_{name}") for k, name in enumerate(BASE)]
     return rows.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))

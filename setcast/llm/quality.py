@@ -15,12 +15,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, written
+from .common import WORD, small_batches, written
 
 ALPHA = 0.02
 DELTA = 0.05
@@ -28,6 +29,8 @@ WINDOW = 5
 #: Loosest first.
 GRID = (*(k / 100 for k in range(95, 5, -5)), *(k / 100 for k in range(5, 0, -1)))
 _WORD = re.compile(WORD)
+#: Windows from which repeated ones are told by sorting numbers, for their memory.
+_LARGE = 4096
 _SYMBOLS = b"#*$%&|<>"
 _UPPER, _LOWER, _SHOUT = bytes(range(65, 91)), bytes(range(97, 123)), b"!?"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_lower", "n_shout")
@@ -35,6 +38,19 @@ _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def repeated_words(words: list[str], window: int = WINDOW) -> int:
     """Words in windows of so many words that the text has twice or more, the first included."""
+    n = len(words) - window + 1
+    if n > _LARGE:
+        # Numbers in place of words; windows of k + 1 words from those of k, exact and in a few arrays of n numbers.
+        number: dict[str, int] = {}
+        ids = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+        code = ids[:n]
+        for k in range(1, window):
+            code = np.unique(code * len(number) + ids[k : k + n], return_inverse=True)[1]
+        again = (np.bincount(code)[code] > 1).astype(np.int64)
+        inside = np.zeros(len(words) + 1, np.int64)
+        inside[:n] += again
+        inside[window : n + window] -= again
+        return int((np.cumsum(inside) > 0).sum())
     grams = list(zip(*(words[k:] for k in range(window)), strict=False))
     if len(set(grams)) == len(grams):
         return 0
@@ -95,12 +111,14 @@ def binomial_tail(k: int, n: int, p: float) -> float:
 def calibrate(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> dict[str, dict[str, float]]:
     """{stratum: {rule: cutoff}} from counts and labels(doc_id, quality); a rule without an acceptable cutoff is absent.
 
-    A document that is labelled twice is good only if all its labels say so. The driver gets one number per stratum,
+    A document that is labelled twice is good only if all its labels say so. Copies of a text (by a 128-bit digest) are one draw of the
+    holdout, good only if every labelled copy is: the binomial bound wants independent draws. The driver gets one number per stratum,
     rule and place in the grid.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1 AND doc_id IS NOT NULL").select("doc_id")
+    marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     values = F.array(*(F.struct(F.lit(name).alias("rule"), sum((v > c).cast("int") for c in GRID).alias("over")) for name, v in rules().items()))
-    held = counts.join(good, "doc_id").select(stratum().alias("stratum"), F.explode(values).alias("x")).groupBy("stratum", "x.rule", "x.over").count().collect()
+    texts = counts.join(marks, "doc_id").groupBy("digest").agg(F.min("quality").alias("quality"), *(F.first(c).alias(c) for c in _COUNTS)).where("quality = 1")
+    held = texts.select(stratum().alias("stratum"), F.explode(values).alias("x")).groupBy("stratum", "x.rule", "x.over").count().collect()
     strata, found = {r["stratum"] for r in held}, {}
     for s in strata:
         for rule in rules():
@@ -128,9 +146,11 @@ def quality(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: flo
     """doc_id, the counts, base_failed and kept for every row of docs(doc_id, text).
 
     A null or empty text has no words and fails; repeated rows are judged alike; rows without an id or label are
-    judged but don't calibrate; without labels only the base rules reject; other columns are ignored.
+    judged but don't calibrate; without labels only the base rules reject; texts of any length count whole; a value equal to its cutoff
+    passes; other columns are ignored; an empty table gives an empty result.
     """
-    counts = written(docs.select("doc_id", _text_counts("text").alias("c")).select("doc_id", "c.*"), "quality")
+    small_batches(docs.sparkSession)
+    counts = written(docs.select("doc_id", F.md5("text").alias("digest"), _text_counts("text").alias("c")).select("doc_id", "digest", "c.*"), "quality")
     return judged(counts, calibrate(counts, labels, alpha, delta))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash01, written
+from .common import dropped, hash01, small_batches, written
 
 SAMPLE = 20_000
 #: A learned word is in so many sampled documents, that many times likelier toxic than others, and one of the so many strongest.
@@ -96,13 +96,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     Null and empty texts are scored like any other, as texts without words. A document labelled twice is toxic if any label
     says so; null labels and ids teach nothing. With no label of either class, every score is the share of toxic labels, 0 if there is none.
-    Repeated rows are scored alike; other columns are ignored; an empty table gives an empty result.
+    Repeated rows are scored alike; a score of 0.5 is predicted toxic; texts of any length count whole; other columns are ignored; an empty table gives an empty result.
     """
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     seen = marks.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("t")).first()
-    marks = marks.where(hash01("doc_id", seed=23) < sample / max(1, seen["n"]))
+    small_batches(docs.sparkSession)
+    marks = written(marks.where(hash01("doc_id", seed=23) < sample / max(1, seen["n"])), "toxic-marks")
+    few = F.broadcast(marks) if marks.count() <= 4 * sample else marks  # an id and a number each: texts stay where they are
     plain = docs.select("doc_id", "text")
-    texts = written(plain.join(marks, "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
+    texts = written(plain.join(few, "doc_id").select("doc_id", "text", "toxic"), "toxic-sample")
     spread = texts.agg(F.min("toxic"), F.max("toxic")).first()
     if spread[0] == spread[1]:
         return plain.select("doc_id", F.lit(seen["t"] / max(1, seen["n"])).alias("score"))
@@ -114,11 +116,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
             yield pd.Series([[float(x) for x in features(t, learned)] for t in batch], dtype=object)
 
     ready = written(texts.select("doc_id", "toxic", dense("text").alias("x")), "toxic-features")
+    vectors = ready
     ready = ready.select("doc_id", F.col("toxic").cast("double").alias("label"), array_to_vector("x").alias("features"))
     for_trees = hash01("doc_id", seed=31) < 0.7
     trees = GBTClassifier(maxIter=20, maxDepth=3, stepSize=0.3, maxBins=32, seed=1).fit(ready.where(for_trees).repartition(4))
     chance = lambda df: trees.transform(df).withColumn("p", vector_to_array("probability")[1])
     isotonic = IsotonicRegression(featuresCol="p").fit(chance(ready.where(~for_trees)).select("label", "p"))
+    for used in (marks, texts, vectors):
+        dropped(used)
     scored = isotonic.transform(chance(plain.select("doc_id", array_to_vector(dense("text")).alias("features"))).select("doc_id", "p"))
     return scored.select("doc_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "prediction")).alias("score"))
 
