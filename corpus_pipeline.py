@@ -14,31 +14,44 @@ from setcast.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told stay; those without a letter go. lang becomes the language found."""
-    found = langid.language_id(docs).where("lang_pred <> 'und'")
-    return found.select(*(F.col("lang_pred").alias("lang") if c == "lang" else F.col(c) for c in docs.columns))
+    """Documents in a language that can be told stay, lang becomes the language found; null texts and those without a letter go.
+
+    All other columns stay, whatever their names. Repeated rows are judged alike, texts of any length whole; ties go as langid.Model says;
+    an empty table stays empty, and with nothing to learn from every document is undetermined and goes.
+    """
+    found = langid.predictions(docs, langid.learned(docs)).where("found.lang_pred <> 'und'")
+    return found.select(*((F.col("found.lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; rows without an id cannot be told apart from their group and stay."""
-    found = simhash.near_duplicates(docs)
-    least = found.where("doc_id = component_id").select("doc_id").distinct()
-    once = docs.where("doc_id IS NOT NULL").join(least, "doc_id", "left_semi")
-    return once.dropDuplicates(["doc_id"]).union(docs.where("doc_id IS NULL")).select(*docs.columns)
+    """One document of each group stays: that with the smallest id, among several of one id that with the smallest hash of its columns.
+
+    Documents without an id belong to groups like any other, behind those with one; null and wordless texts form a group. An empty table stays empty.
+    """
+    return simhash.survivors(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data in texts is replaced by its kind."""
+    """Personal data in texts is replaced by its kind; no document goes. Null and empty texts stay as they are, overlapping spans are replaced by
+    the first's kind, repeated rows alike; texts of any length are searched whole; an empty table stays empty."""
     return pii.masked(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as the mix takes them, those taken twice in two rows."""
+    """Documents as the mix takes them, those taken twice in two rows.
+
+    Null and empty texts have nothing to take and go; a null source is one of its own; repeated rows and ids are documents of their own;
+    an empty table stays empty. Reruns agree.
+    """
     return mixing.mixed_texts(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, the token ids, their number, and the digests of ids and decoded bytes."""
+    """doc_id, lang, source, the token ids, their number, and the digests of ids and decoded bytes.
+
+    Null and empty texts have no ids; texts and words of any length are encoded whole, repeated rows alike; other columns are left out; an empty
+    table gives no rows.
+    """
     tokenizer = bpe.Tokenizer().learn(docs)
     ids = F.col("ids")
     rows = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer)
