@@ -69,7 +69,7 @@ def links(prints: DataFrame, segments: tuple = PLANS[0]) -> DataFrame:
         value = F.shiftrightunsigned("fp", low).bitwiseAND(long((1 << bits) - 1)).bitwiseOR(long(k << 32))
         around = F.from_json(F.lit(json.dumps(ball(bits, radius))), "array<bigint>")
         stored.append(value)
-        asked.append(F.transform(F.array(value), lambda v, around=around: F.transform(around, lambda x, v=v: v.bitwiseXOR(x)))[0])
+        asked.append(F.transform(around, lambda x: value.bitwiseXOR(x)))  # noqa: B023  called at once
     have = prints.select(F.col("fp").alias("b"), F.explode(F.array(*stored)).alias("key"))
     ask = prints.select(F.col("fp").alias("a"), F.explode(F.concat(*asked)).alias("key"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= DISTANCE
