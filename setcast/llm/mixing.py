@@ -1,17 +1,21 @@
 """Mixing sources to target weights, in fixed-length blocks of words. DataFrame functions only.
 
-Each source's documents are laid end to end and cut into blocks of `BLOCK` words. A source's target, in words, gives its number of
-slots; each slot draws its output shard by a hash, so that the counts of sources within a shard are multinomial
-while every source's total is exact. A source's slots are numbered, and slot k takes block perm(k mod blocks), perm a
-pseudorandom permutation of that source's block numbers (swap-or-not rounds, a bijection on any number of
-blocks). Every block is thus taken equally often, give or take one. Slots, blocks and documents meet in joins by (source, block).
-
-Documents are placed by two-level prefix sums: within buckets of a source, then over its buckets, so that a source of any
+Each source's documents are laid end to end and cut into blocks of `BLOCK` words. The mix is a number of output shards of `SHARD_SLOTS` slots each;
+every slot draws its source, so that a shard's counts of sources are multinomial, with the targets as weights. A
+source's slots are numbered through the shards, and its slot k takes block perm(k mod blocks), perm a pseudorandom permutation of that
+source's block numbers (swap-or-not rounds, a bijection on any number of blocks). Every block is thus taken equally
+often, give or take one. No block is taken more than `LIMIT` times: what a source is drawn beyond that, which happens where its target is the
+limit itself, is drawn anew among the sources below theirs. Slots, blocks and documents meet in joins by (source, block).
+
+Documents are placed, and shards numbered, by prefix sums in levels: within buckets of a source, then over its buckets, so that a source of any
 size is spread over tasks.
 """
 
 from __future__ import annotations
 
+import json
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,9 +26,10 @@ SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 LIMIT = 2.0
 SHARD_SLOTS = 4096
-#: Documents of a bucket, about.
-BUCKET = 500
-_CHUNK = 4096
+#: Sources whose numbers are broadcast, at most.
+FEW_SOURCES = 10_000
+#: Documents of a bucket, and buckets or shards of a group of them, about.
+BUCKET, GROUP = 500, 1024
 _ROUNDS = 12
 
 
@@ -66,6 +71,19 @@ def permuted(index: Column, count: Column, key: Column, rounds: int = _ROUNDS) -
     return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), index, step)
 
 
+def before(rows: DataFrame, by: str, order: str, value: str, name: str) -> DataFrame:
+    """rows(by, order, value), one for each by and order, with name: the sum of value at smaller numbers in order. Two levels, so that no
+    window holds more than some GROUP rows, or one for each group."""
+    rows = rows.withColumn("_group", F.floor(F.col(order) / GROUP))
+    groups = rows.groupBy(by, "_group").agg(F.sum(value).alias("_sum"))
+    earlier = Window.partitionBy(by).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
+    groups = groups.select(F.col(by).alias("_by"), F.col("_group").alias("_at"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(by, "_group").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("_own", F.coalesce(F.sum(value).over(within), F.lit(0)))
+    joined = rows.join(groups, (F.col(by) == F.col("_by")) & (F.col("_group") == F.col("_at")))
+    return joined.withColumn(name, (F.col("_own") + F.col("_base")).cast("long")).drop("_group", "_own", "_by", "_at", "_base")
+
+
 def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs(doc_id, source, size, tie, ...) -> the rows with bucket and at (words of its bucket before it), and per bucket its first word in the source."""
     count = docs.count()
@@ -73,8 +91,32 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     within = Window.partitionBy("source", "bucket").orderBy("doc_id", "tie", "size").rowsBetween(Window.unboundedPreceding, -1)
     rows = docs.withColumn("at", F.coalesce(F.sum("size").over(within), F.lit(0)))
     by_bucket = docs.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    over = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    return rows, by_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(over), F.lit(0)).alias("first_word"))
+    return rows, before(by_bucket, "source", "bucket", "words", "first_word").select("source", "bucket", "first_word")
+
+
+def drawn(slots: DataFrame, weights: list[tuple[int, float]], seed: int) -> DataFrame:
+    """slots(id) -> (shard, number, count): each slot draws a source by weights(number, weight), and the draws of a shard are counted.
+
+    The source is the first whose upper bound in (0, 1] exceeds a hash of the slot, found by halving.
+    """
+    total, upto, bounds = sum(w for _, w in weights), 0.0, []
+    for _, w in weights:
+        upto += w
+        bounds.append(upto / total)
+    limits = F.from_json(F.lit(json.dumps(bounds[:-1])), "array<double>")
+    numbers = F.from_json(F.lit(json.dumps([n for n, _ in weights])), "array<int>")
+    u = hash01("id", seed=seed)
+
+    def halve(s: Column, _: Column) -> Column:
+        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        above = F.get(limits, middle) <= u
+        halved = F.struct(F.when(above, middle + 1).otherwise(s["low"]).alias("low"), F.when(above, s["high"]).otherwise(middle).alias("high"))
+        return F.when(s["low"] < s["high"], halved).otherwise(s)
+
+    start = F.struct(F.lit(0).alias("low"), F.lit(len(weights) - 1).alias("high"))
+    place = F.aggregate(F.sequence(F.lit(1), F.lit(len(weights).bit_length())), start, halve, lambda s: s["low"])
+    rows = slots.select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.get(numbers, place).alias("number"))
+    return rows.groupBy("shard", "number").agg(F.count("*").alias("count"))
 
 
 class Mix:
@@ -82,7 +124,7 @@ class Mix:
     columns of the input if they are carried; sources: (source, number, source_size, target, blocks, slots)."""
 
     def __init__(self, docs: DataFrame, block: int = BLOCK, seed: int = 0, carry: bool = False):
-        self.block, self.seed = block, seed
+        self.block, self.seed, self._counts = block, seed, None
         row = F.struct(*docs.columns) if carry else F.lit(None).cast("string")
         sized = docs.select("doc_id", "source", size(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), row.alias("row"))
         sized = sized if carry else written(sized, "sizes")
@@ -90,24 +132,58 @@ class Mix:
         blocks = F.ceil(F.col("source_size") / block).cast("long")
         slots = F.least(F.round(F.col("target") * F.col("blocks") / F.greatest("source_size", F.lit(1))).cast("long"), int(LIMIT) * F.col("blocks"))
         self.sources = written(targets(totals).withColumn("blocks", blocks).withColumn("slots", slots), "sources")
+        self.few = self.sources.count() <= FEW_SOURCES
         numbers = self.sources.select(F.col("source").alias("name"), "number")
         numbered = sized.join(numbers, F.col("source").eqNullSafe(F.col("name"))).select("doc_id", F.col("number").alias("source"), "size", "tie", "row")
         rows, firsts = placed(numbered)
         self.docs = written(rows.join(firsts, ["source", "bucket"]).select("doc_id", F.col("source").alias("number"), "size", (F.col("at") + F.col("first_word")).alias("first"), "row"), "placed")
 
+    def counts(self) -> DataFrame:
+        """(shard, number, count, first): a shard's slots of a source, and how many the source has in the shards before. Made once.
+
+        A source whose count would pass its most is cut off there; as many slots as are so left over are drawn again, in shards behind, among
+        the sources with room, until none is left over or none has room. The driver holds a row for each source.
+        """
+        if self._counts is not None:
+            return self._counts
+        spark = self.sources.sparkSession
+        held = [(r["number"], float(r["slots"]), int(LIMIT) * r["blocks"]) for r in self.sources.where("slots > 0").orderBy("number").collect()]
+        tables, room, open_slots, first_shard, again = [], {n: most for n, _, most in held}, round(sum(w for _, w, _ in held)), 0, 0
+        empty = spark.createDataFrame([], "shard long, number int, count long, first long")
+        taken = dict.fromkeys(room, 0)
+        while open_slots > 0 and (weights := [(n, w) for n, w, _ in held if room[n] > 0]):
+            tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_slots >> 20)
+            found = drawn(spark.range(0, open_slots, 1, min(tasks, -(-open_slots // SHARD_SLOTS))), weights, self.seed * 1000 + 1 + again)
+            found = before(found.withColumn("shard", (F.col("shard") + first_shard).cast("long")), "number", "shard", "count", "first")
+            left = F.element_at(F.create_map(*(F.lit(x) for n, _ in weights for x in (n, room[n]))), F.col("number"))
+            found = found.withColumn("count", F.greatest(F.lit(0), F.least("count", left - F.col("first"))).cast("long"))
+            earlier = F.element_at(F.create_map(*(F.lit(x) for n, _ in weights for x in (n, taken[n]))), F.col("number"))
+            found = written(found.select("shard", "number", "count", (F.col("first") + earlier).cast("long").alias("first")).where("count > 0"), "shards")
+            tables.append(found)
+            got = {r["number"]: r["n"] for r in found.groupBy("number").agg(F.sum("count").alias("n")).collect()}
+            for n, k in got.items():
+                room[n] -= k
+                taken[n] += k
+            first_shard += -(-open_slots // SHARD_SLOTS)
+            open_slots -= sum(got.values())
+            again += 1
+        self._counts = reduce(DataFrame.union, tables, empty) if tables else empty
+        return self._counts
+
     def slots(self) -> DataFrame:
-        """(number, slot, shard, block): the block that each slot takes. A source's slots come in chunks, dealt out over tasks."""
-        total = self.sources.agg(F.sum("slots")).first()[0] or 0
-        shards = max(1, -(-total // SHARD_SLOTS))
-        chunks = self.sources.where("slots > 0").select("number", "slots", "blocks", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / _CHUNK))).alias("chunk"))
-        low = F.col("chunk") * _CHUNK
-        # Chunks are few bytes but much work: a fixed number of tasks keeps them from being merged into one.
-        tasks = max(1, min(-(-total // _CHUNK), max(int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions")), total >> 20)))
-        rows = chunks.repartition(tasks, "number", "chunk").select("number", "blocks", F.explode(F.sequence(low, F.least(low + _CHUNK, "slots") - 1)).alias("slot"))
+        """(number, slot, shard, place, block): the block that each slot takes, and its place in its shard. Shards are dealt out over tasks."""
+        spark, counts = self.sources.sparkSession, self.counts()
+        within = Window.partitionBy("shard").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+        counts = counts.withColumn("begin", F.coalesce(F.sum("count").over(within), F.lit(0)))
+        about = F.broadcast(self.sources.select(F.col("number").alias("n"), "blocks")) if self.few else self.sources.select(F.col("number").alias("n"), "blocks")
+        total = counts.agg(F.sum("count")).first()[0] or 0
+        # Counts are few bytes but much work: a fixed number of tasks keeps them from being merged into one.
+        tasks = max(1, min(-(-total // SHARD_SLOTS), max(int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 20)))
+        rows = counts.join(about, F.col("number") == F.col("n")).repartition(tasks, "shard", "number")
+        rows = rows.select("number", "shard", "begin", "first", "blocks", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("count") - 1)).alias("slot"))
         key = F.xxhash64(F.lit(self.seed), "number", F.floor(F.col("slot") / F.col("blocks")))
         block = permuted(F.col("slot") % F.col("blocks"), F.col("blocks"), key)
-        shard = F.floor(hash01("number", "slot", seed=self.seed + 1) * shards).cast("long")
-        return rows.select("number", "slot", shard.alias("shard"), block.alias("block"))
+        return rows.select("number", "slot", "shard", (F.col("begin") + F.col("slot") - F.col("first")).alias("place"), block.alias("block"))
 
     def pieces(self) -> DataFrame:
         """(doc_id, number, first, block, low, high): words [low, high) of a document lie in a block of its source."""
@@ -131,8 +207,8 @@ class Mix:
         return rows.join(about, "number").select("doc_id", "size", "source", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
     def order(self) -> DataFrame:
-        """The mix itself: (shard, number, slot, doc_id, low, high), the words [low, high) of a document in each slot of each output shard."""
-        return self.slots().hint("merge").join(self.pieces(), ["number", "block"]).select("shard", "number", "slot", "doc_id", "low", "high")
+        """The mix itself: (shard, place, number, slot, doc_id, low, high), the words [low, high) of a document in each slot of each output shard."""
+        return self.slots().hint("merge").join(self.pieces(), ["number", "block"]).select("shard", "place", "number", "slot", "doc_id", "low", "high")
 
     def texts(self) -> DataFrame:
         """Needs carry: the input's columns, text now the words that the mix takes (see mixed_texts)."""
@@ -153,7 +229,8 @@ def mix(docs: DataFrame, block: int = BLOCK, seed: int = 0) -> Mix:
 
     A null text has size 0, a null source is a source (the last); documents of size 0 take 0 words; repeated rows and ids are
     documents of their own, in the order of a hash of their texts; other columns are ignored; an empty table
-    gives an empty mix. Reruns agree: all draws are hashes.
+    gives an empty mix; texts of any length, and a source that dominates all others, are taken like any. Reruns agree: all draws are hashes. A
+    source's taken words lie about its target as the draws do: with n slots of a share p, by about sqrt(n p (1 - p)) slots.
     """
     return Mix(docs, block, seed)
 

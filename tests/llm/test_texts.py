@@ -166,12 +166,64 @@ def test_mixing_keeps_its_promises(spark):
     for s, total in sizes.items():
         own = [x for x in got if source[str(x[0])] == s]
         assert all(x[2] == total and x[3] == pytest.approx(want[s]) and x[4] <= 2 * x[1] for x in own)
-        assert abs(sum(x[4] for x in own) - want[s]) <= 2 * mixing.BLOCK
+        p, n = want[s] / sum(want.values()), sum(want.values()) / mixing.BLOCK
+        assert abs(sum(x[4] for x in own) - want[s]) <= mixing.BLOCK * (2 + 5 * math.sqrt(n * p * (1 - p)))  # the draws are multinomial
     texts = mixing.mixed_texts(df).collect()
     assert sum(size(x["text"]) for x in texts) == sum(x[4] for x in got)
     assert mixing.op9(df.limit(0)).count() == 0 and mixing.mixed_texts(df.limit(0)).columns == df.columns
 
 
+def test_mixing_slot_by_slot(spark, monkeypatch):
+    """Shards, draws, permutations and words recomputed slot by slot from the library's hashes; one source dominates, one text is very long."""
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(mixing, "SHARD_SLOTS", 64)
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    monkeypatch.setattr(mixing, "BUCKET", 10)
+    r = random.Random(16)
+    rows = [(k, " ".join("w" for _ in range(r.randrange(1, 90))), None, r.choice("aaaaaaaabc")) for k in range(150)] + [(900, "long " * 5000, None, "a"), (901, None, None, "b"), (902, "", None, None)]
+    plan = mixing.mix(docs(spark, rows))
+    about = {x["number"]: x for x in plan.sources.collect()}
+    counts = [tuple(x) for x in plan.counts().select("shard", "number", "count", "first").collect()]
+    slots = plan.slots().collect()
+    total = sum(x["slots"] for x in about.values())
+    assert len(slots) == sum(c for _, _, c, _ in counts) == total
+    # The draws: every slot's source by its hash; no redraw if all have room.
+    bounds, upto = [], 0.0
+    drawn = [n for n in sorted(about) if about[n]["slots"] > 0]
+    for n in drawn:
+        upto += about[n]["slots"] / total
+        bounds.append(upto)
+    us = [x[0] for x in spark.range(total).orderBy("id").select(mixing.hash01("id", seed=1)).collect()]
+    want = Counter((k // 64, drawn[sum(b <= u for b in bounds[:-1])]) for k, u in enumerate(us))
+    room, seen = {n: 2 * about[n]["blocks"] for n in drawn}, Counter()
+    for (shard, n), c in sorted(want.items()):
+        want[shard, n] = max(0, min(c, room[n] - seen[n]))
+        seen[n] += c
+    first = [x for x in counts if x[0] < -(-total // 64)]
+    assert {(s, n): c for s, n, c, _ in first} == {k: c for k, c in want.items() if c}
+    for n in drawn:  # slots numbered through the shards without a gap
+        spans = sorted((f, c) for _, m, c, f in counts if m == n)
+        assert all(f + c == g for (f, c), (g, _) in zip(spans, spans[1:], strict=False)) and (not spans or spans[0][0] == 0)
+        own = [x for x in slots if x["number"] == n]
+        passes = Counter(x["slot"] // about[n]["blocks"] for x in own)
+        assert sorted(x["slot"] for x in own) == list(range(len(own))) and set(passes) <= {0, 1}
+        assert all(len({x["block"] for x in own if x["slot"] // about[n]["blocks"] == k}) == passes[k] for k in passes)
+    assert all(sorted(x["place"] for x in slots if x["shard"] == s) == list(range(sum(c for t, _, c, _ in counts if t == s))) for s in {x["shard"] for x in slots})
+    # Words: documents end to end, blocks of 32, each slot adds those of its block.
+    taken, at = Counter(), {(x["number"], x["first"]): x for x in plan.docs.where("size > 0").collect()}
+    for x in slots:
+        for (n, f), d in at.items():
+            if n == x["number"]:
+                taken[d["doc_id"]] += max(0, min(f + d["size"], (x["block"] + 1) * 32) - max(f, x["block"] * 32))
+    got = {x["doc_id"]: x["taken"] for x in plan.taken().collect()}
+    assert got == {k: taken[k] for k, *_ in rows}
+    order = plan.order().groupBy("doc_id").agg(F.sum(F.col("high") - F.col("low")).alias("n")).collect()
+    assert {x["doc_id"]: x["n"] for x in order} == {k: n for k, n in taken.items() if n}
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
