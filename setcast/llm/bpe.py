@@ -7,8 +7,8 @@ first byte, its id and, above them, the rank of its bytes joined to the next pie
 
 Only distinct words are folded: the commonest of a bounded sample once for all texts, the others once for each text. Texts are cut into words
 in Python, by the vocabulary's own pattern, and the commonest words' numbers stand for them until their ids are put in. By that pattern no word
-holds white space behind another sign, so that texts can be cut before such white space and the words of common stretches remembered. Which words are
-sampled or remembered has no influence on any result. Words beyond `LONG` bytes, where a fold's work would grow with the square of
+holds white space behind another sign, so that texts can be cut before such white space and a stretch's words found once for many texts. Which words are
+sampled, and which texts share a batch, has no influence on any result. Words beyond `LONG` bytes, where a fold's work would grow with the square of
 their length, are merged with a heap. Decoding looks up each id's bytes and joins these binary pieces.
 """
 
@@ -23,8 +23,9 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,7 +45,7 @@ _BUCKETS = 1 << 14
 #: An entry of a fold's state: the rank of a piece joined to the next, or _NONE; 12 bits with the place of its first byte; 20 bits with its id.
 _RANK, _PLACE, _NONE = 32, 20, 1 << 62
 _ID = (1 << _PLACE) - 1
-#: Distinct words counted, and stretches of text remembered, at most, before a worker's memory of them ends.
+#: Distinct words that a worker counts before it hands the counts on.
 _FLUSH = 1 << 18
 
 
@@ -99,19 +100,51 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _stretches(text: str) -> list[str]:
-    """text cut before each space that follows a sign other than white space."""
-    parts = text.split(" ")
-    out = [parts[0], *[f" {p}" for p in parts[1:]]]
-    if "" not in parts and not any(map(str.isspace, [p[-1] for p in parts])):
-        return out
-    joined = [out[0]]
-    for part in out[1:]:
-        if joined[-1] and not joined[-1][-1].isspace():
-            joined.append(part)
-        else:
-            joined[-1] += part
-    return joined
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All texts cut at every space, and where each one's parts begin."""
+    lists = pc.split_pattern(texts.cast(pa.string()).fill_null(""), " ")
+    return lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())]).astype(np.int64)
+
+
+def _spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... as many as size[0] tells, then the same from begin[1], and so on."""
+    return np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+def _offsets(sizes) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.asarray(sizes, np.int64))]).astype(np.int64)
+
+
+def cut(texts: pa.Array, find, number, whole: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(codes, offsets, others) of a batch: each text's words in turn as numbers, or as -1 - k for others[k].
+
+    Words are found once for each distinct stretch of the batch, a stretch being a space and what follows up to the next. That holds where each
+    space but a text's first stretch follows a sign other than white space; other texts, and all if `whole`, are searched as they are.
+    """
+    parts, at = _parts(texts)
+    encoded = parts.dictionary_encode()
+    place, distinct = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
+    odd = np.array([not p or p[-1].isspace() for p in distinct] + [True], bool)
+    plain = np.ones(len(texts), bool) if not whole else np.zeros(len(texts), bool)
+    plain &= np.add.reduceat(odd[place].astype(np.int64), at[:-1]) == 0 if len(texts) else plain
+    place[at[:-1]] = len(distinct) + np.arange(len(texts))  # a text's first stretch has no space before it; odd texts have no other
+    used = np.repeat(plain, np.diff(at))
+    used[at[:-1]] = True
+    place = np.where(used, place, len(distinct) + len(texts))
+    needed = np.zeros(len(distinct), bool)
+    needed[place[place < len(distinct)]] = True
+    own: dict[str, int] = {}
+    codes, sizes = [], []
+    firsts = (parts[k].as_py() if ok else texts[j].as_py() or "" for j, (k, ok) in enumerate(zip(at[:-1].tolist(), plain.tolist(), strict=True)))
+    for stretch in chain((f" {p}" if n else "" for p, n in zip(distinct, needed.tolist(), strict=True)), firsts):
+        words = find(stretch)
+        sizes.append(len(words))
+        for w in words:
+            c = number(w)
+            codes.append(-1 - own.setdefault(w, len(own)) if c is None else c)
+    begin, size = _offsets([*sizes, 0]), np.array([*sizes, 0], np.int64)
+    flat = np.array(codes, np.int64)[_spread(begin[place], size[place])] if codes else np.zeros(0, np.int64)
+    return flat, _offsets(np.add.reduceat(size[place], at[:-1]) if len(texts) else []), list(own)
 
 
 _DICTS: dict[str, dict[str, int]] = {}
@@ -187,25 +220,18 @@ class Tokenizer:
         rate = sampled / max(1, docs.count())
         rows = docs.where(hash01(text_col, seed=17) < rate) if rate < 1 else docs
 
-        def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            find, stretches = regex.compile(pattern).findall, Counter()
-
-            def words() -> pd.DataFrame:
-                counts = Counter()
-                for stretch, n in stretches.items():
-                    for w in find(stretch):
-                        counts[w] += n
-                return pd.DataFrame(counts.items(), columns=["w", "n"]).astype({"w": object, "n": "int64"})
-
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            find, counts = regex.compile(pattern).findall, Counter()
             for batch in batches:
-                for text in batch["text"]:
-                    stretches.update(_stretches(text or "") if pattern == public_tokenizers.PATTERN else [text or ""])
-                if len(stretches) > _FLUSH:
-                    yield words()
-                    stretches.clear()
-            yield words()
-
-        found = rows.select(F.col(text_col).alias("text")).mapInPandas(counted, "w string, n long").where(F.octet_length("w") <= _CACHED_LENGTH)
+                for x in _parts(batch.column(0))[0].value_counts().to_pylist():
+                    for w in find(f" {x['values']}"):
+                        counts[w] += x["counts"]
+                if len(counts) > _FLUSH:
+                    yield pa.RecordBatch.from_pydict({"w": list(counts), "n": list(counts.values())})
+                    counts.clear()
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["w", "n"])
+
+        found = rows.select(F.col(text_col).alias("text")).mapInArrow(counted, "w string, n long").where(F.octet_length("w") <= _CACHED_LENGTH)
         common = found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(words).select("w")
         parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
         table = common.repartition(parts, "w").select("w", self.fold(F.col("w")).alias("ids")).toArrow()
@@ -221,49 +247,42 @@ class Tokenizer:
         other = T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
         shape = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(other))])
 
-        @F.pandas_udf(shape)
-        def coded(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        @F.arrow_udf(shape)
+        def coded(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             """Each word's number, or, from -1 down, its place among the text's other distinct words."""
-            find, number, cut = regex.compile(pattern).findall, _numbers(known, key).get, pattern == public_tokenizers.PATTERN
-            memory: dict[str, tuple[int, ...]] = {}
-            for batch in texts:
-                codes, others = [], []
-                for text in batch:
-                    stretches, own = _stretches(text or "") if cut else [text or ""], {}
-                    row = list(map(memory.get, stretches))
-                    for at in [k for k, c in enumerate(row) if c is None]:
-                        words = find(stretches[at])
-                        row[at] = found = tuple(map(number, words))
-                        if None in found:
-                            row[at] = [-1 - own.setdefault(w, len(own)) if c is None else c for c, w in zip(found, words, strict=True)]
-                        elif cut and len(memory) < _FLUSH:
-                            memory[stretches[at]] = found
-                    codes.append(np.array(list(chain.from_iterable(row)), np.int32))
-                    others.append([(w, merged(b, ranks.value) if len(w) > LONG // 4 and len(b := w.encode()) > LONG else None) for w in own])
-                yield pd.DataFrame({"codes": codes, "others": others})
-
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def filled(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+            find, number = regex.compile(pattern).findall, _numbers(known, key).get
+            for texts in batches:
+                codes, at, words = cut(texts, find, number, pattern != public_tokenizers.PATTERN)
+                rare = np.flatnonzero(codes < 0)
+                text = np.repeat(np.arange(len(texts)), np.diff(at))[rare]
+                pairs, back = np.unique(text * (len(words) + 1) + (-1 - codes[rare]), return_inverse=True)
+                first = np.searchsorted(pairs, np.arange(len(texts) + 1) * (len(words) + 1))
+                codes[rare] = -1 - (back - first[text])
+                long = [merged(b, ranks.value) if len(w) > LONG // 4 and len(b := w.encode()) > LONG else None for w in words]
+                which = pa.array(pairs % (len(words) + 1), pa.int64())
+                own = pa.StructArray.from_arrays([pa.array(words, pa.string()).take(which), pa.array(long, pa.list_(pa.int32())).take(which)], ["word", "ids"])
+                lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(codes, pa.int32())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), own)
+                yield pa.StructArray.from_arrays(lists, ["codes", "others"])
+
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def filled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             """The ids in place of the numbers."""
             _, offsets, flat = known.value
-            for codes, folded in batches:
-                out = []
-                for c, lists in zip(codes, folded, strict=True):
-                    own = np.concatenate([np.zeros(0, np.int32), *lists]).astype(np.int32)
-                    ends = np.cumsum([len(x) for x in lists], dtype=np.int64) if len(lists) else np.zeros(1, np.int64)
-                    starts = np.concatenate([np.zeros(1, np.int64), ends])
-                    c = np.asarray(c, np.int64)
-                    common, place = c >= 0, np.where(c >= 0, c, -1 - c)
-                    safe = np.where(common, place, 0), np.where(common, 0, place)
-                    begin = np.where(common, offsets[safe[0]], starts[safe[1]])
-                    size = np.where(common, offsets[np.minimum(safe[0] + 1, len(offsets) - 1)], starts[safe[1] + 1]) - begin
-                    at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
-                    from_common = np.repeat(common, size)
-                    ids = np.empty(len(at), np.int32)
-                    ids[from_common] = flat[at[from_common]]
-                    ids[~from_common] = own[at[~from_common]]
-                    out.append(ids)
-                yield pd.Series(out, dtype=object)
+            for numbers, folded in batches:
+                codes, size = numbers.flatten().to_numpy().astype(np.int64), pc.list_value_length(numbers).to_numpy().astype(np.int64)
+                lists = folded.flatten()
+                own, starts = lists.flatten().to_numpy(), _offsets(pc.list_value_length(lists).to_numpy())
+                of_text = np.repeat(_offsets(pc.list_value_length(folded).to_numpy())[:-1], size)
+                common = codes >= 0
+                low, high = np.where(common, codes, 0), np.where(common, 0, of_text - 1 - codes)
+                begin = np.where(common, offsets[low], starts[high])
+                length = np.where(common, offsets[np.minimum(low + 1, len(offsets) - 1)], starts[np.minimum(high + 1, len(starts) - 1)]) - begin
+                at, from_common = _spread(begin, length), np.repeat(common, length)
+                ids = np.empty(len(at), np.int32)
+                ids[from_common] = flat[at[from_common]]
+                ids[~from_common] = own[at[~from_common]]
+                of_row = _offsets(length)[_offsets(size)]
+                yield pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), pa.array(ids, pa.int32()))
 
         return coded, filled
 

@@ -109,14 +109,21 @@ def test_bpe_agrees_with_the_library(spark):
     assert bpe.op10(df.limit(0)).count() == 0
 
 
-def test_bpe_stretches_hold_whole_words():
+def test_bpe_cuts_whole_words():
+    import pyarrow as pa
     import regex
 
     r, find = random.Random(15), regex.compile(public_tokenizers.PATTERN).findall
-    for k in range(20_000):
-        text = "".join(r.choice("  \n\t\xa0\u2003\x1c\x85a1é.'sT日½") for _ in range(r.randrange(12)))
-        assert "".join(bpe._stretches(text)) == text
-        assert [w for s in bpe._stretches(text) for w in find(s)] == find(text), repr(text)
+    known = {" a": 0, "a": 1, " ": 2, "é": 3, "'s": 4}
+    names = {v: k for k, v in known.items()}
+    for k in range(400):
+        texts = ["".join(r.choice("   \n\t\xa0\u2003\x1c\x85a1é.'sT日½" if j % 2 else "a .1é '") for _ in range(r.randrange(12))) for j in range(r.randrange(40))] + [None, ""]
+        for whole in (False, True):
+            codes, at, others = bpe.cut(pa.array(texts, pa.string()), find, known.get, whole)
+            for j, text in enumerate(texts):
+                assert [names[c] if c >= 0 else others[-1 - c] for c in codes[at[j] : at[j + 1]]] == find(text or ""), repr(text)
+            assert len(set(others)) == len(others) and known.keys().isdisjoint(others)
+    assert bpe.cut(pa.array([], pa.string()), find, known.get)[1].tolist() == [0]
 
 
 def test_bpe_folds_every_word_alike(spark):
