@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from setcast.operators.order import order_statistics
+
 
 def subsample(df: DataFrame, n: int, key: str = "sample_id", seed: int = 0) -> DataFrame:
     """Exactly min(n, rows) rows without replacement: those with the smallest portable hash of the key. A top-n, not a global sort."""
@@ -23,7 +25,7 @@ def encode_labels(*labels: DataFrame) -> DataFrame:
 def with_classes(df: DataFrame, classes: DataFrame) -> DataFrame:
     """df with class_idx. A code that was never encoded is an error, raised when the row is read."""
     unseen = F.raise_error(F.concat(F.lit("unseen label "), F.col("code").cast("string"))).cast("int")
-    joined = df.join(F.broadcast(classes), "code", "left")
+    joined = df.join(classes, "code", "left")
     return joined.withColumn("class_idx", F.when(F.col("class_idx").isNull() & F.col("code").isNotNull(), unseen).otherwise(F.col("class_idx")))
 
 
@@ -36,19 +38,25 @@ def split_sizes(df: DataFrame) -> DataFrame:
 
 
 def label_fallback(df: DataFrame, fine: str, coarse: str, lookup: DataFrame, key: str) -> DataFrame:
-    """The fine label where there is one, else the coarse; then a broadcast lookup table."""
-    return df.withColumn(key, F.coalesce(fine, coarse)).join(F.broadcast(lookup), key, "left")
+    """The fine label where there is one, else the coarse; then a lookup table, broadcast if Spark finds it small enough."""
+    return df.withColumn(key, F.coalesce(fine, coarse)).join(lookup, key, "left")
 
 
 def zonal_stats(df: DataFrame, zone: str, kind: str, value: str, threshold: float) -> DataFrame:
-    """Median, maximum, standard deviation and share above a threshold, per zone and class."""
-    v = F.col(value)
-    return df.groupBy(zone, kind).agg(F.median(v).alias("median"), F.max(v).alias("max"), F.stddev_pop(v).alias("sd"), F.avg((v > threshold).cast("double")).alias("share_above"))
-
-
-def merge_zonal(stats: DataFrame, zone: str, kind: str, value: str, kinds: list) -> DataFrame:
-    """One row per zone, a column per class."""
-    return stats.groupBy(zone).pivot(kind, kinds).agg(F.first(value))
+    """Median, maximum, standard deviation and share above a threshold, per zone and class; the median exact and without gathering a group's values."""
+    v, keys = F.col(value), [zone, kind]
+    stats = df.groupBy(*keys).agg(F.max(v).alias("max"), F.stddev_pop(v).alias("sd"), F.avg((v > threshold).cast("double")).alias("share_above"), F.count(v).alias("_n"))
+    middle = F.explode(F.array(F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1))
+    wanted = stats.where("_n > 0").select(*keys, middle.alias("m")).distinct()
+    halves = order_statistics(df.select(*keys, v.cast("double").alias("score")), wanted, keys)
+    medians = halves.groupBy(*keys).agg(F.avg("score").alias("median"))
+    return stats.join(medians, keys, "left").select(*keys, "median", "max", "sd", "share_above")
+
+
+def merge_zonal(stats: DataFrame, zone: str, kind: str, values: tuple[str, ...], kinds: list) -> DataFrame:
+    """One row per zone, a column <value>_<class> for each statistic and class."""
+    wide = [F.max(F.when(F.col(kind) == k, F.col(v))).alias(f"{v}_{k}") for k in kinds for v in values]
+    return stats.groupBy(zone).agg(*wide)
 
 
 def area_rollup(df: DataFrame, outer: str, inner: str, area: str) -> DataFrame:

@@ -19,15 +19,16 @@ def _rounded(df: DataFrame) -> DataFrame:
     return df.select(*(F.round(c, 6).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
 
 
-def encoded(spark: SparkSession, folder: str) -> tuple[DataFrame, int]:
-    rows = tables.samples(spark, folder)
-    classes = prep.encode_labels(rows)
-    return prep.with_classes(rows, classes), classes.count()
+def encoded(spark: SparkSession, folder: str, seed: int = 0) -> tuple[DataFrame, int]:
+    """Rows with class_idx, and how many classes there are; these are few and come to the driver once."""
+    rows = tables.samples(spark, folder, seed=seed)
+    classes = [tuple(r) for r in prep.encode_labels(rows).collect()]
+    return prep.with_classes(rows, spark.createDataFrame(classes, "code int, class_idx int")), len(classes)
 
 
 def probs(spark: SparkSession, folder: str, model: str = "centroid", **options) -> DataFrame:
-    """(sample_id, split, y, u, p) of calibration and test rows."""
-    rows, k = encoded(spark, folder)
+    """(sample_id, split, y, u, p) of calibration and test rows. seed, if given, decides u as well as the model's draws."""
+    rows, k = encoded(spark, folder, options.get("seed", 0))
     scored = models.with_probabilities(model, rows.where("split = 'train'"), rows.where("split <> 'train'"), k, **options)
     return scored.select("sample_id", "split", F.col("class_idx").alias("y"), "u", "p")
 
@@ -73,6 +74,9 @@ def conformal_tau(spark, folder):
     return _rounded(conformal.thresholds(cells, conformal.ALPHAS))
 
 
+_ZONAL = ("median", "max", "sd", "share_above")
+
+
 def _metrics_of(method, lam, k_reg):
     def run(spark, folder):
         sets = conformal.score_sets(_ranked(spark, folder), ((method, lam, k_reg),), conformal.ALPHAS)
@@ -103,10 +107,12 @@ def zonal_stats(spark, folder):
 
 
 def zonal_merged(spark, folder):
-    rows = _long(probs(spark, folder), "p", "p").withColumn("zone", F.col("sample_id") % 5)
+    """A column for each statistic and encoded class."""
+    found = probs(spark, folder)
+    n = found.select(F.size("p")).first()
+    rows = _long(found, "p", "p").withColumn("zone", F.col("sample_id") % 5)
     stats = prep.zonal_stats(rows, "zone", "class_idx", "p", 0.1)
-    wide = prep.merge_zonal(stats, "zone", "class_idx", "max", list(range(3)))
-    return _rounded(wide.select("zone", *(F.col(str(k)).alias(f"max_{k}") for k in range(3))))
+    return _rounded(prep.merge_zonal(stats, "zone", "class_idx", _ZONAL, list(range(n[0] if n else 0))))
 
 
 def label_fallback(spark, folder):
@@ -247,6 +253,8 @@ _RANK = f"""{_RANKED}, counts AS (
 _PRED = f"""{_RANKED}, pred AS (SELECT y, class_idx AS pred FROM ranked WHERE split = 'test' AND rank = 1), confusion AS (
   SELECT y, pred, count(*) AS n FROM pred GROUP BY y, pred
 )"""
+#: The driver's embeddings have ten classes.
+_MERGED = ", ".join(f"round({f} FILTER (WHERE class_idx = {k}), 6) AS {name}_{k}" for k in range(10) for name, f in zip(_ZONAL, ("median(p)", "max(p)", "stddev_pop(p)", "avg(CAST(p > 0.1 AS INTEGER))"), strict=True))
 _LONG = "SELECT sample_id, class_idx, round({score}, 6) AS score FROM (SELECT *, CAST({lam} AS DOUBLE) AS lam, 1 AS k_reg FROM ranked)"
 _SWEEP = tuple(("SAPS", lam, None) for lam in conformal.SAPS_LAMS)
 
@@ -267,21 +275,21 @@ SQL = {
     "raps_scores": f"WITH {_RANKED} {_LONG.format(score=_SCORE['RAPS'], lam=0.01)}",
     "conformal_tau": f"WITH {_cells(conformal.COMPARED)} SELECT method, lam, alpha, round(tau, 6) AS tau FROM tau",
     "prediction_sets": f"WITH {_cells((('SAPS', 0.2, None),))} SELECT sample_id, class_idx FROM scored JOIN tau USING (method, lam) WHERE split = 'test' AND alpha = 0.1 AND score <= tau",
-    "saps_sweep": f"WITH {_cells(_SWEEP)} SELECT alpha, lam, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, lam, sets.tau",
+    "saps_sweep": f"WITH {_cells(_SWEEP)} SELECT alpha, round(1 - alpha, 6) AS target_coverage, lam, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, lam, sets.tau",
     "aps_metrics": f"WITH {_cells((('APS', 0.0, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
     "raps_metrics": f"WITH {_cells((('RAPS', 0.01, 1),))} SELECT alpha, round(tau, 6) AS tau, {_STATS} FROM sets GROUP BY alpha, sets.tau",
     "rank_threshold": f"WITH {_RANK} SELECT alpha, n, r_star, below, n_at, k_pick, CASE WHEN isfinite(pi_star) THEN round(pi_star, 6) END AS pi_star FROM stars",
     "rank_metrics": f"WITH {_RANK} SELECT alpha, r_star, {_STATS} FROM rank_sets GROUP BY alpha, r_star",
-    "compare_methods": f"""SELECT * FROM (WITH {_cells(conformal.COMPARED)} SELECT method, alpha, CASE WHEN method <> 'APS' THEN lam END AS lam, CASE WHEN method = 'RAPS' THEN k_reg END AS k_reg,
-  round(tau, 6) AS tau, {_STATS}, CAST(NULL AS INTEGER) AS r_star FROM sets GROUP BY method, alpha, sets.lam, sets.k_reg, sets.tau)
-UNION ALL SELECT * FROM (WITH {_RANK} SELECT 'RANK', alpha, CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), {_STATS}, r_star FROM rank_sets GROUP BY alpha, r_star)""",
+    "compare_methods": f"""SELECT * FROM (WITH {_cells(conformal.COMPARED)} SELECT method, alpha, round(1 - alpha, 6) AS target_coverage, CASE WHEN method <> 'APS' THEN lam END AS hp_lam, CASE WHEN method = 'RAPS' THEN k_reg END AS hp_k_reg,
+  round(tau, 6) AS tau, {_STATS}, CAST(NULL AS INTEGER) AS hp_r_star FROM sets GROUP BY method, alpha, sets.lam, sets.k_reg, sets.tau)
+UNION ALL SELECT * FROM (WITH {_RANK} SELECT 'RANK', alpha, round(1 - alpha, 6), CAST(NULL AS DOUBLE), CAST(NULL AS INTEGER), CAST(NULL AS DOUBLE), {_STATS}, r_star FROM rank_sets GROUP BY alpha, r_star)""",
     "confusion_matrix": f"WITH {_PRED} SELECT y, pred, n FROM confusion",
     "macro_f1": f"""WITH {_PRED}, both_sides AS (SELECT y AS k, n AS total, CASE WHEN y = pred THEN n ELSE 0 END AS hit FROM confusion UNION ALL SELECT pred, n, 0 FROM confusion)
 SELECT round(avg(f1), 6) AS f1_macro FROM (SELECT k, 2.0 * CAST(sum(hit) AS DOUBLE) / CAST(sum(total) AS DOUBLE) AS f1 FROM both_sides GROUP BY k)""",
     "balanced_accuracy": f"WITH {_PRED} SELECT round(avg(recall), 6) AS balanced_accuracy FROM (SELECT y, CAST(sum(CASE WHEN y = pred THEN n ELSE 0 END) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS recall FROM confusion GROUP BY y)",
     "set_size_hist": f"WITH {_cells(conformal.COMPARED)} SELECT method, alpha, CAST(size AS INTEGER) AS size, count(*) AS n, CAST(sum(covered) AS BIGINT) AS covered FROM sets GROUP BY method, alpha, size",
     "zonal_stats": f"WITH {_PROBS} SELECT sample_id % 5 AS zone, class_idx, round(median(p), 6) AS median, round(max(p), 6) AS max, round(stddev_pop(p), 6) AS sd, round(avg(CAST(p > 0.1 AS INTEGER)), 6) AS share_above FROM probs GROUP BY zone, class_idx",
-    "zonal_merged": f"WITH {_PROBS} SELECT sample_id % 5 AS zone, round(max(p) FILTER (WHERE class_idx = 0), 6) AS max_0, round(max(p) FILTER (WHERE class_idx = 1), 6) AS max_1, round(max(p) FILTER (WHERE class_idx = 2), 6) AS max_2 FROM probs GROUP BY zone",
+    "zonal_merged": f"WITH {_PROBS} SELECT sample_id % 5 AS zone, {_MERGED} FROM probs GROUP BY zone",
     "label_fallback": f"WITH {_SAMPLES}, l AS (SELECT sample_id, coalesce(CASE WHEN sample_id % 3 > 0 THEN code END, code % 4) AS code FROM samples) SELECT sample_id, code, n_name AS name FROM l LEFT JOIN nation ON n_nationkey = code",
     "area_rollup": "SELECT r_name, n_name, CAST(sum(c_custkey) AS BIGINT) AS area FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
 }

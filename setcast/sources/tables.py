@@ -38,16 +38,18 @@ def load_clean(df: DataFrame, target: str = TARGET, dropped: tuple[str, ...] = D
     return df.select(*narrow, F.col(target).cast("int").alias(target))
 
 
-def uniform(sample_id) -> Column:
-    return F.pmod(sample_id * F.lit(_MULTIPLIER), F.lit(_MODULUS)) / F.lit(float(_MODULUS))
+def uniform(sample_id, seed: int = 0) -> Column:
+    """In [0, 1), decided by the id and the seed."""
+    small = F.pmod(sample_id + F.lit(seed * 104_729), F.lit(1 << 31))  # so that no product leaves 64 bits
+    return F.pmod(small * F.lit(_MULTIPLIER), F.lit(_MODULUS)) / F.lit(float(_MODULUS))
 
 
-def samples(spark: SparkSession, folder: str, deterministic: bool = False) -> DataFrame:
+def samples(spark: SparkSession, folder: str, deterministic: bool = False, seed: int = 0) -> DataFrame:
     """(sample_id, split, features, code, u) from the embeddings table; six tenths train, two each cal and test."""
     rows = table(spark, folder, "embeddings").where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
     part = F.pmod(F.col("vec_id"), F.lit(10))
     split = F.when(part < 6, "train").when(part < 8, "cal").otherwise("test")
-    u = F.lit(1.0) if deterministic else uniform(F.col("vec_id"))
+    u = F.lit(1.0) if deterministic else uniform(F.col("vec_id"), seed)
     return rows.select(F.col("vec_id").alias("sample_id"), split.alias("split"), F.col("embedding").alias("features"), F.col("label").cast("int").alias("code"), u.alias("u"))
 
 
