@@ -17,6 +17,7 @@ def _floats(text: str) -> tuple[float, ...]:
 
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="setcast", description=__doc__)
+    # Names and defaults of the public command line.
     parser.add_argument("command", choices=("benchmark", "saps", "compare"))
     parser.add_argument("--data", help="folder of the input tables; else SETCAST_DATA_DIR")
     parser.add_argument("--out", default="results")
@@ -34,22 +35,25 @@ def main(argv: list[str] | None = None) -> None:
     parser.add_argument("--max-train-rows", type=int)
     parser.add_argument("--max-val-rows", type=int)
     parser.add_argument("--n-jobs", type=int, help="accepted; Spark's cores decide")
-    parser.add_argument("--device", default="auto", help="accepted; Spark's resources decide")
+    parser.add_argument("--tracking-mode", default="online", choices=("online", "offline", "disabled"), help="both of the first append to the run log under --out; there is no network")
+    parser.add_argument("--device", default="auto", choices=("auto", "cpu", "cuda"), help="accepted; Spark's resources decide")
     a = parser.parse_args(argv)
     spark, folder = SparkSession.builder.getOrCreate(), tables.data_dir(a.data)
     if a.command == "benchmark":
         names = [x.strip() for x in a.models.split(",") if x.strip()]
-        found = harness.benchmark(spark, folder, names, f"{a.out}/run-log", a.n_estimators, a.seed, a.max_train_rows, a.max_val_rows)
+        found = harness.benchmark(spark, folder, names, f"{a.out}/run-log", a.n_estimators, a.seed, a.max_train_rows, a.max_val_rows, a.tracking_mode, f"{a.out}/benchmark")
     else:
-        config = {"data": folder, "model": a.model, "n_estimators": a.n_estimators, "seed": a.seed}
+        config = {"data": folder, "rows": tables.data_print(tables.samples(spark, folder)), "model": a.model, "n_estimators": a.n_estimators, "seed": a.seed}
         probs = tables.cached(spark, f"{a.out}/cache", config, lambda: catalog.probs(spark, folder, a.model, n_estimators=a.n_estimators, seed=a.seed), a.refit)
         rows = conformal.ranked(probs.selectExpr("sample_id", "split", "y", "1D AS u" if a.deterministic else "u", "p"))
         if a.command == "saps":
             found = conformal.saps_sweep(rows, _floats(a.alpha), _floats(a.lam))
         else:
             cells = (("APS", 0.0, 1), ("RAPS", a.raps_lam, a.raps_kreg), ("SAPS", a.saps_lam, None))
-            found = conformal.compare_methods(rows, _floats(a.alpha), cells)
-    tables.write_csv(found, f"{a.out}/{a.command}")
+            found = conformal.timed_comparison(rows, _floats(a.alpha), cells)
+    if a.command != "benchmark":  # which writes after every model
+        tables.write_csv(found, f"{a.out}/{a.command}")
+    print(f"Saved to {a.out}/{a.command}")
     found.show(100, truncate=False)
 
 

@@ -13,6 +13,7 @@ import time
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from setcast.functions import kernels as K
 from setcast.operators.order import order_statistics, picked
@@ -202,4 +203,5 @@ def timed_comparison(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, cells:
                 out += [(*r, took) for r in got]
     finally:
         kept.unpersist()
-    return rows.sparkSession.createDataFrame(out, schema.add("time_ms", "double"))
+    fields = [T.StructField(f.name, f.dataType) for f in schema] if alphas else []
+    return rows.sparkSession.createDataFrame(out, T.StructType([*fields, T.StructField("time_ms", T.DoubleType())]))

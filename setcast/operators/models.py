@@ -7,14 +7,18 @@ are not installed raise, which the harness turns into an error row.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Digits that probabilities are rounded to, so that engines agree on ties and thresholds.
 DIGITS = 9
@@ -77,7 +81,7 @@ def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes:
     out = model.fit(vector(train)).transform(vector(score))
     if name == "gbt":  # margins only: a softmax makes them comparable
         margins = vector_to_array("rawPrediction")
-        powers = F.transform(margins, lambda m: F.exp(m))
+        powers = F.transform(margins, lambda m: F.exp(m - F.array_max(margins)))
         p = F.transform(powers, lambda e: e / F.aggregate(powers, F.lit(0.0), lambda s, d: s + d))
     else:
         p = vector_to_array("probability")
@@ -86,16 +90,24 @@ def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes:
 
 
 def _neighbours(train: DataFrame, score: DataFrame, n_classes: int) -> DataFrame:
-    """Votes of the nearest rows of a support set of at most SUPPORT rows, held as one literal: an in-context stand-in."""
+    """Votes of the nearest rows of a support set of at most SUPPORT rows, which every task holds: an in-context stand-in. Ties go to the support row
+    that comes first; features are of one length; with no support every probability is 0."""
     support = train.orderBy(F.md5(F.col("sample_id").cast("string"))).limit(SUPPORT).select("class_idx", "features").collect()
-    points, classes = _matrix([[float(x) for x in r["features"]] for r in support]), [r["class_idx"] for r in support]
-    labels = F.from_json(F.lit(json.dumps(classes)), "array<int>")
-    x = F.transform("features", lambda v: v.cast("double"))
-    near = F.transform(points, lambda c, i: F.struct(F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d).alias("d"), F.get(labels, i).alias("k")))
-    nearest = F.slice(F.array_sort(near), 1, NEIGHBOURS)
-    rows = score.withColumn("_near", nearest)
-    p = F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: F.size(F.filter("_near", lambda e: e["k"] == k)) / F.size("_near"))
-    return rows.withColumn("p", p).drop("_near")
+    points = np.array([r["features"] for r in support], np.float64)
+    classes = np.array([r["class_idx"] for r in support], np.int64)
+    squares, k = (points * points).sum(1) if support else np.zeros(0), min(NEIGHBOURS, len(support))
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def votes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            out = np.zeros((len(batch), n_classes))
+            if k and len(batch):
+                x = np.array([np.asarray(v, np.float64) for v in batch])
+                near = np.argsort(squares - 2 * x @ points.T, axis=1, kind="stable")[:, :k]
+                np.add.at(out, (np.repeat(np.arange(len(batch)), k), classes[near].ravel()), 1 / k)
+            yield pd.Series(list(out))
+
+    return score.withColumn("p", votes("features"))
 
 
 def predicted(df: DataFrame) -> Column:

@@ -22,6 +22,17 @@ def encode_labels(*labels: DataFrame) -> DataFrame:
     return codes.where("code IS NOT NULL").distinct().select("code", (F.row_number().over(Window.orderBy("code")) - 1).alias("class_idx"))
 
 
+#: Classes that are broadcast, at most.
+FEW_CLASSES = 10_000
+
+
+def known_classes(*frames: DataFrame) -> tuple[DataFrame, int]:
+    """The encoded labels of all frames, brought to the driver once, to be broadcast if they are few; and their number."""
+    found = [tuple(r) for r in encode_labels(*frames).collect()]
+    known = frames[0].sparkSession.createDataFrame(found, "code int, class_idx int")
+    return F.broadcast(known) if len(found) <= FEW_CLASSES else known, len(found)
+
+
 def with_classes(df: DataFrame, classes: DataFrame) -> DataFrame:
     """df with class_idx. A code that was never encoded is an error, raised when the row is read."""
     unseen = F.raise_error(F.concat(F.lit("unseen label "), F.col("code").cast("string"))).cast("int")

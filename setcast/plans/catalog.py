@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setcast.operators import conformal, metrics, models, prep
+from setcast.operators import conformal, grid, metrics, models, prep
 from setcast.sources import tables
 
 FLAGSHIP = "compare_methods"
@@ -22,8 +22,8 @@ def _rounded(df: DataFrame) -> DataFrame:
 def encoded(spark: SparkSession, folder: str, seed: int = 0) -> tuple[DataFrame, int]:
     """Rows with class_idx, and how many classes there are; these are few and come to the driver once."""
     rows = tables.samples(spark, folder, seed=seed)
-    classes = [tuple(r) for r in prep.encode_labels(rows).collect()]
-    return prep.with_classes(rows, spark.createDataFrame(classes, "code int, class_idx int")), len(classes)
+    classes, k = prep.known_classes(rows)
+    return prep.with_classes(rows, classes), k
 
 
 def probs(spark: SparkSession, folder: str, model: str = "centroid", **options) -> DataFrame:
@@ -133,6 +133,48 @@ def stratified_sample(spark, folder):
     return tables.samples(spark, folder).withColumn("k", F.row_number().over(h)).where("k <= 10").select("sample_id", "code")
 
 
+def _points(spark, folder):
+    """Order lines as points on a plane of 1000 by 1000 units, with a class and a value."""
+    kind = F.when(F.col("l_returnflag") == "A", 1).when(F.col("l_returnflag") == "N", 2).otherwise(3)
+    rows = tables.table(spark, folder, "lineitem")
+    return rows.select((F.col("l_orderkey") % 1000).alias("x"), (F.col("l_partkey") % 1000).alias("y"), F.col("l_quantity").alias("value"), F.col("l_suppkey").alias("key"), kind.alias("kind"))
+
+
+def grid_resample(spark, folder):
+    return _rounded(grid.resample(_points(spark, folder), "value", 50))
+
+
+def grid_align(spark, folder):
+    rows = _points(spark, folder)
+    one = grid.resample(rows.where("kind = 1"), "value", 20).select("cx", "cy", F.col("value").alias("first"))
+    two = grid.resample(rows.where("kind = 3 AND value > 40"), "value", 20).select("cx", "cy", F.col("value").alias("second"))
+    return _rounded(grid.align(one, two))
+
+
+def clip_counts(spark, folder):
+    nation, region, customer = (tables.table(spark, folder, t) for t in ("nation", "region", "customer"))
+    inside = nation.join(region.where("r_regionkey < 2"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("c_nationkey"))
+    return grid.clip(customer, inside, "c_nationkey").groupBy("c_mktsegment").agg(F.count("*").alias("n"))
+
+
+def background_fill(spark, folder):
+    rows = _points(spark, folder).withColumn("cx", grid.cell("x", 100)).withColumn("cy", grid.cell("y", 100))
+    cells = rows.where("kind = 1 AND value > 45").groupBy("cx", "cy").agg(F.max("kind").alias("kind"))
+    return grid.fill(cells, rows, "kind")
+
+
+def focal_mode(spark, folder):
+    """The class of a cell's smallest key; cells with few points are unsure."""
+    rows = _points(spark, folder).groupBy(grid.cell("x", 50).alias("cx"), grid.cell("y", 50).alias("cy")).agg(F.min_by("kind", F.struct("key", "kind")).alias("kind"), F.count("*").alias("n"))
+    return grid.smooth(rows, "kind", F.col("n") % 2 == 0)
+
+
+def above_line(spark, folder):
+    customer = tables.table(spark, folder, "customer")
+    line = customer.where("c_nationkey > 2").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("most")).select("c_nationkey", (F.col("most") / 2).alias("line"))
+    return grid.above_line(customer, line, "c_nationkey", "c_acctbal", "line").groupBy("side").agg(F.count("*").alias("n"))
+
+
 def _model_metrics(name, **options):
     def run(spark, folder):
         pred = _predictions(spark, folder, name, **options)
@@ -148,6 +190,12 @@ QUERIES = {
     "class_distribution": lambda s, d: prep.class_distribution(encoded(s, d)[0].where("split = 'train'"), "class_idx"),
     "subsample_exact": subsample_exact,
     "stratified_sample": stratified_sample,
+    "grid_resample": grid_resample,
+    "grid_align": grid_align,
+    "clip_counts": clip_counts,
+    "background_fill": background_fill,
+    "focal_mode": focal_mode,
+    "above_line": above_line,
     "dummy_predict": dummy_predict,
     "centroid_probs": lambda s, d: _rounded(_long(probs(s, d), "p", "p")),
     "class_ranks": lambda s, d: _long(_ranked(s, d), "ranks", "rank"),
@@ -174,6 +222,7 @@ QUERIES = {
     "logreg_metrics": _model_metrics("linear"),
     "rf_metrics": _model_metrics("rf", n_estimators=500),
     "knn_metrics": _model_metrics("knn"),
+    "gbt_metrics": _model_metrics("gbt", n_estimators=3),
 }
 
 # SQL, from common table expressions that build on each other.
@@ -258,7 +307,25 @@ _MERGED = ", ".join(f"round({f} FILTER (WHERE class_idx = {k}), 6) AS {name}_{k}
 _LONG = "SELECT sample_id, class_idx, round({score}, 6) AS score FROM (SELECT *, CAST({lam} AS DOUBLE) AS lam, 1 AS k_reg FROM ranked)"
 _SWEEP = tuple(("SAPS", lam, None) for lam in conformal.SAPS_LAMS)
 
+_POINTS = """points AS (
+  SELECT l_orderkey % 1000 AS x, l_partkey % 1000 AS y, l_quantity AS value, l_suppkey AS key, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'N' THEN 2 ELSE 3 END AS kind FROM lineitem
+)"""
+_CELL = "CAST(floor(x / {0}.0) AS BIGINT) AS cx, CAST(floor(y / {0}.0) AS BIGINT) AS cy"
+
 SQL = {
+    "grid_resample": f"WITH {_POINTS} SELECT {_CELL.format(50)}, count(*) AS n, round(avg(value), 6) AS value FROM points GROUP BY cx, cy",
+    "grid_align": f"""WITH {_POINTS}, a AS (SELECT {_CELL.format(20)}, avg(value) AS first FROM points WHERE kind = 1 GROUP BY cx, cy), b AS (
+  SELECT {_CELL.format(20)}, avg(value) AS second FROM points WHERE kind = 3 AND value > 40 GROUP BY cx, cy)
+SELECT cx, cy, round(first, 6) AS first, round(second, 6) AS second FROM a FULL JOIN b USING (cx, cy)""",
+    "clip_counts": "SELECT c_mktsegment, count(*) AS n FROM customer WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 2) GROUP BY c_mktsegment",
+    "background_fill": f"""WITH {_POINTS}, cells AS (SELECT {_CELL.format(100)}, max(CASE WHEN kind = 1 AND value > 45 THEN 1 ELSE 0 END) AS kind FROM points GROUP BY cx, cy)
+SELECT cx, cy, CAST(kind AS INTEGER) AS kind FROM cells""",
+    "focal_mode": f"""WITH {_POINTS}, cells AS (SELECT {_CELL.format(50)}, arg_min(kind, key * 10 + kind) AS kind, count(*) % 2 = 0 AS sure FROM points GROUP BY cx, cy), near AS (
+  SELECT c.cx, c.cy, n.kind, count(*) AS votes FROM cells c JOIN cells n ON n.sure AND abs(c.cx - n.cx) <= 1 AND abs(c.cy - n.cy) <= 1 AND (c.cx <> n.cx OR c.cy <> n.cy) GROUP BY c.cx, c.cy, n.kind
+), best AS (SELECT cx, cy, kind AS best FROM near QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY votes DESC, kind) = 1)
+SELECT cx, cy, CAST(CASE WHEN sure THEN kind ELSE coalesce(best, kind) END AS INTEGER) AS kind FROM cells LEFT JOIN best USING (cx, cy)""",
+    "above_line": """WITH line AS (SELECT c_nationkey, max(c_acctbal) / 2 AS line FROM customer WHERE c_nationkey > 2 GROUP BY c_nationkey)
+SELECT CASE WHEN c_acctbal > line THEN 'above' WHEN c_acctbal <= line THEN 'below' END AS side, count(*) AS n FROM customer LEFT JOIN line USING (c_nationkey) GROUP BY side""",
     "load_clean": """SELECT vec_id, CAST(f AS FLOAT) AS f, code FROM (SELECT vec_id, CASE WHEN vec_id % 7 = 3 THEN NULL WHEN vec_id % 11 = 5 THEN CAST('NaN' AS DOUBLE) ELSE CAST(vec_id AS DOUBLE) / 4 END AS f,
   CASE WHEN vec_id % 13 <> 1 THEN 'a' END AS split, label AS code FROM embeddings) WHERE f IS NOT NULL AND NOT isnan(f) AND split IS NOT NULL AND code IS NOT NULL""",
     "split_sizes": f"WITH {_SAMPLES} SELECT split, count(*) AS n, max(len(features)) AS n_features, count(DISTINCT code) AS n_classes FROM samples GROUP BY split",

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setcast.operators import metrics, models, prep
-from setcast.plans import catalog
 from setcast.sources import tables
 
 #: In-context models take at most so many training and validation rows.
@@ -24,10 +24,21 @@ def driver_mb() -> float | None:
     return psutil.Process().memory_info().rss / 1024**2
 
 
+def memory_line() -> str:
+    """Memory of the driver's machine, where it can be told."""
+    try:
+        import psutil
+    except ImportError:
+        return "memory unknown"
+    found = psutil.virtual_memory()
+    return f"available: {found.available / 1024**3:.1f} GB ({found.percent}% used)"
+
+
 def run_model(name: str, train: DataFrame, val: DataFrame, n_classes: int, n_estimators: int, seed: int) -> dict:
     if name in SUPPORT_MODELS:
         train, val = prep.subsample(train, SUPPORT_ROWS, seed=seed), prep.subsample(val, SUPPORT_ROWS, seed=seed)
-    row = {"model": name, "n_train_used": train.count(), "n_val_used": val.count()}
+    row, pred = {"model": name, "n_train_used": train.count(), "n_val_used": val.count()}, None
+    print(f"  [mem] {memory_line()}  train: {row['n_train_used']}  val: {row['n_val_used']}")
     try:
         before, began = driver_mb(), time.perf_counter()
         scored = models.with_probabilities(name, train, val, n_classes, n_estimators, seed)
@@ -40,19 +51,36 @@ def run_model(name: str, train: DataFrame, val: DataFrame, n_classes: int, n_est
         row["balanced_accuracy"] = round(metrics.balanced_accuracy(pred).first()[0], 4)
         if before is not None:
             row |= {"peak_mem_mb": round(driver_mb(), 1), "fit_mem_delta_mb": round(after - before, 1)}
-        pred.unpersist()
     except Exception as e:  # one model's failure must not end the benchmark
         row["error"] = f"{type(e).__name__}: {e}"[:300]
+    finally:
+        if pred is not None:
+            pred.unpersist()
     return row
 
 
-def benchmark(spark: SparkSession, folder: str, names: list[str], log: str, n_estimators: int = 500, seed: int = 0, max_train: int | None = None, max_val: int | None = None) -> DataFrame:
-    rows, n_classes = catalog.encoded(spark, folder)
+def benchmark(spark: SparkSession, folder: str, names: list[str], log: str, n_estimators: int = 500, seed: int = 0, max_train: int | None = None, max_val: int | None = None, tracking: str = "online", csv: str | None = None) -> DataFrame:
+    """One row per model, in order. Row caps come before labels are encoded, by the classes of the rows left.
+
+    Unless tracking is disabled, the configuration and each row are appended to the run log under this run's identifier, at once; csv, if given,
+    has the rows so far after every model.
+    """
+    rows = tables.samples(spark, folder, seed=seed)
     train, val = rows.where("split = 'train'"), rows.where("split = 'cal'")
     train = prep.subsample(train, max_train, seed=seed) if max_train else train
     val = prep.subsample(val, max_val, seed=seed) if max_val else val
-    done = []
+    classes, n_classes = prep.known_classes(train, val)
+    train, val, run = prep.with_classes(train, classes), prep.with_classes(val, classes), uuid.uuid4().hex
+    print("  class distribution (train):", {r["class_idx"]: r["n"] for r in prep.class_distribution(train, "class_idx").collect()})
+    if tracking != "disabled":
+        config = {"folder": folder, "models": names, "n_estimators": n_estimators, "seed": seed, "max_train": max_train, "max_val": max_val, "n_classes": n_classes}
+        tables.log_config(spark, run, config, f"{log}-config")
+    done: list[dict] = []
     for name in names:
-        done.append(run_model(name, train, val, n_classes, n_estimators, seed))
-        tables.log_rows(spark, done[-1:], log)
-    return spark.read.parquet(log)
+        print(f"=== {name} ===")
+        done.append(run_model(name, train, val, n_classes, n_estimators, seed) | {"run": run})
+        if tracking != "disabled":
+            tables.log_rows(spark, done[-1:], log)
+        if csv:
+            tables.write_csv(tables.result_rows(spark, done), csv)
+    return tables.result_rows(spark, done)

@@ -69,10 +69,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+_RESULT = "run string, model string, n_train_used long, n_val_used long, train_time_s double, val_time_s double, f1_macro double, balanced_accuracy double, peak_mem_mb double, fit_mem_delta_mb double, error string"
+
+
+def result_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """Benchmark results as a table; keys that a row lacks are null."""
+    names = [c.split()[0] for c in _RESULT.split(", ")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], _RESULT)
+
+
 def log_rows(spark: SparkSession, rows: list[dict], path: str) -> DataFrame:
-    """Append result rows to the run log; keys that a row lacks are null. Called after each model, so that a crash keeps what is done."""
-    schema = "model string, n_train_used long, n_val_used long, train_time_s double, val_time_s double, f1_macro double, balanced_accuracy double, peak_mem_mb double, fit_mem_delta_mb double, error string"
-    names = [c.split()[0] for c in schema.split(", ")]
-    df = spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], schema)
+    """Append result rows to the run log, whose column run tells runs apart. Called after each model, so that a crash keeps what is done."""
+    df = result_rows(spark, rows)
     df.coalesce(1).write.mode("append").parquet(path)
     return df
+
+
+def log_config(spark: SparkSession, run: str, config: dict, path: str) -> None:
+    """Append a run's configuration, as JSON."""
+    spark.createDataFrame([(run, json.dumps(config, sort_keys=True))], "run string, config string").coalesce(1).write.mode("append").parquet(path)
+
+
+def data_print(df: DataFrame) -> str:
+    """A digest of a table's rows, whatever their order: part of a cache's key, so that changed data make another cache."""
+    columns = [F.col(c) for c in df.columns]
+    found = df.select(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b")).agg(F.count("*"), F.sum(F.col("a").cast("decimal(38,0)")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+    return "-".join(map(str, found))
