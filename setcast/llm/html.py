@@ -13,11 +13,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import dropped, small_batches, written
 
 # Elements by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,6 +26,8 @@ _HIDDEN = frozenset("script style noscript template head title nav footer aside
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("article body center div main section td".split())
 _BOILERPLATE = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar warning widget widgets".split())
+#: Hosts whose winning paths are broadcast, at most, and tasks that share a host's pages beyond that.
+BROADCAST_HOSTS, SALTS = 20_000, 64
 #: A path wins if it holds so much of the text; a host's paths count for a page if they hold so much of its text.
 KEEP, LEAST = 0.1, 0.2
 #: A name that starts with a boilerplate word is boilerplate if one of these ends it; one with a word of the second kind tells of a layout.
@@ -36,6 +39,8 @@ _ROLES = frozenset("alert banner complementary contentinfo dialog form menu menu
 #: An open element of the first kind is closed by the start of one of the second.
 _CLOSES = {"p": _BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody"}, "th": {"td", "th", "tr", "tbody"}, "option": {"option"}}
 _SCOPES = frozenset("article aside body div footer form header main nav ol section table td th ul".split())
+#: A path longer than that goes on from its digest.
+_LONG_PATH = 512
 _SPACE = re.compile(r"\s+")
 _NAMES = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
@@ -62,6 +67,10 @@ class _Page(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []  # tag, hidden, container, cover
+        # Places in open: of each tag, of scopes, of elements whose end tag may be left out. No step has to walk the open elements.
+        self.where: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.closable: list[int] = []
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.tags: list[str] = [""]
@@ -80,13 +89,18 @@ class _Page(HTMLParser):
 
     def pop(self) -> None:
         tag = self.open.pop()[0]
+        self.where[tag].pop()
+        if tag in _SCOPES:
+            self.scopes.pop()
+        if tag in _CLOSES:
+            self.closable.pop()
         if tag in _BLOCKS:
             self.flush()
         self.in_link -= tag == "a"
         self.hidden, self.container, self.cover = self.open[-1][1:] if self.open else (False, 0, 0)
 
     def unwanted(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag in _HIDDEN and tag != "form" or tag == "header" and not any(x[0] in ("article", "main") for x in self.open):
+        if tag in _HIDDEN and tag != "form" or tag == "header" and not self.where.get("article") and not self.where.get("main"):
             return True
         return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
 
@@ -95,11 +109,6 @@ class _Page(HTMLParser):
             return True
         return tag not in ("html", "body", "article", "main") and _boilerplate(attrs)
 
-    def around(self, cover: int) -> Iterator[int]:
-        while cover > 0:
-            yield cover
-            cover = self.covers[cover][0]
-
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _VOID:
             if tag in _BLOCKS:
@@ -107,13 +116,13 @@ class _Page(HTMLParser):
             elif tag == "br" and not self.hidden:
                 self.parts.append((self.cover, " ", False))
             return
-        for k in range(len(self.open) - 1, -1, -1):  # elements whose end tag may be left out
-            if tag in _CLOSES.get(self.open[k][0], ()):
+        for k in reversed(self.closable):  # one of a kind within a scope at most
+            if self.scopes and k < self.scopes[-1]:
+                break
+            if tag in _CLOSES[self.open[k][0]]:
                 while len(self.open) > k:
                     self.pop()
                 break
-            if self.open[k][0] in _SCOPES:
-                break
         if tag in _BLOCKS:
             self.flush()
         given = dict(attrs)
@@ -125,10 +134,16 @@ class _Page(HTMLParser):
             self.articles.append(cover)
         if tag in _CONTAINERS and not hidden:
             names = sorted({_DIGITS.sub("#", c).replace(">", "") for c in (given.get("class") or "").lower().split()})
-            self.paths.append(f"{self.paths[container]}>{'.'.join([tag, *names])}")
+            path = f"{self.paths[container]}>{'.'.join([tag, *names])}"
+            self.paths.append(path if len(path) <= _LONG_PATH else f"#{xxhash.xxh3_128_hexdigest(path)}")
             self.parents.append(container)
             self.tags.append(tag)
             container = len(self.paths) - 1
+        self.where.setdefault(tag, []).append(len(self.open))
+        if tag in _SCOPES:
+            self.scopes.append(len(self.open))
+        if tag in _CLOSES:
+            self.closable.append(len(self.open))
         self.open.append((tag, hidden, container, cover))
         self.in_link += tag == "a"
         self.hidden, self.container, self.cover = hidden, container, cover
@@ -139,13 +154,13 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        for k in range(len(self.open) - 1, -1, -1):
-            if self.open[k][0] == tag:
-                while len(self.open) > k:
-                    self.pop()
-                return
-            if self.open[k][0] in _SCOPES and tag not in _SCOPES and tag not in ("html", "head"):
-                return
+        if not self.where.get(tag):
+            return
+        k = self.where[tag][-1]
+        if self.scopes and self.scopes[-1] > k and tag not in _SCOPES and tag not in ("html", "head"):
+            return
+        while len(self.open) > k:
+            self.pop()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
@@ -161,7 +176,11 @@ class _Page(HTMLParser):
         for k in range(len(texts) - 1, 0, -1):
             if self.covers[k][0] > 0:
                 inside[self.covers[k][0]] += inside[k]
-        found = set() if 0 in self.articles else {k for cover in self.articles for k in self.around(cover)}
+        found: set[int] = set()
+        for cover in [] if 0 in self.articles else self.articles:
+            while cover > 0 and cover not in found:
+                found.add(cover)
+                cover = self.covers[cover][0]
         for k in range(1, len(texts)):
             if inside[k] > _FORM * total and (self.covers[k][1] or bare < _LITTLE * total):
                 found.add(k)
@@ -173,7 +192,9 @@ class _Page(HTMLParser):
             self.pop()
         self.flush()
         shown = self.lifted() if len(self.covers) > 1 else set()
-        seen = [all(k in shown for k in self.around(c)) for c in range(len(self.covers))]
+        seen = [True]
+        for k in range(1, len(self.covers)):
+            seen.append(k in shown and seen[self.covers[k][0]])
         for container, parts in self.held:
             text = _SPACE.sub(" ", "".join(x for cover, x, _ in parts if seen[cover])).strip()
             if text:
@@ -212,12 +233,19 @@ def votes(page: _Page) -> list[tuple[str, float, float]]:
     return sorted(((p, *x) for p, x in by_path.items()), key=lambda x: (-x[1], x[0]))
 
 
-def _chain(page: _Page, k: int) -> list[int]:
-    """A container and those around it, to the outermost."""
-    out = []
-    while k > 0:
-        out.append(k)
-        k = page.parents[k]
+def _down(page: _Page, marked) -> list[bool]:
+    """Whether a container or one around it is marked. A container comes after those around it."""
+    out: list[bool] = []
+    for k, parent in enumerate(page.parents):
+        out.append(marked(k) or parent >= 0 and out[parent])
+    return out
+
+
+def _up(page: _Page, values: list[float]) -> list[float]:
+    """Each container's value and those of all within it, added up."""
+    out = list(values)
+    for k in range(len(out) - 1, 0, -1):
+        out[page.parents[k]] += out[k]
     return out
 
 
@@ -227,45 +255,51 @@ def extract(html: str | None, paths: list[str] | None) -> str:
     own = votes(page)
     if not own:
         return "\n\n".join(text for _, text, _ in page.blocks)
-    alone = {p: x for p, _, x in own}
+    count, held = len(page.paths), _worth(page)
+    alone, text_in_all = {p: x for p, _, x in own}, sum(held.values())
     known = set(page.paths)
-    below = lambda p, top: p == top or p.startswith(f"{top}>")
 
     def present(given: list[str]) -> list[str]:
         """Those on the page; a path around others (like body, from pages of another kind) only if it is the best or holds text itself."""
-        on = [p for p in given if p in known]
-        return [p for p in on if p == given[0] or alone.get(p, 0.0) >= KEEP or not any(q != p and below(q, p) for q in on)]
-
-    won = present(list(paths)) if paths is not None and len(paths) else []
-    if not won or sum(x for p, x in alone.items() if any(below(p, q) for q in won)) < LEAST:
-        won = present([own[0][0], *(p for p, _, x in own[1:] if x >= KEEP)])
-    held = _worth(page)
-    chains = {k: _chain(page, k) for k in range(len(page.paths))}
-    full = {k for c in held if held[c] for k in chains[c]}
-    hits = {k for k, p in enumerate(page.paths) if p in won and k in full}
-    tops = {k for k in hits if hits.isdisjoint(chains[k][1:])}
-    common = set.intersection(*(set(chains[t]) for t in tops))
-    up = max(common, default=0)  # a container comes after those around it
-    article = lambda k: next((x for x in chains[k] if page.tags[x] in ("article", "main")), None)
-    outer = article(up)
-    if outer is not None:
-        regions = {outer}
-    elif page.tags[up] not in ("", "body", "html") or all(article(t) is None for t in tops):
+        on = {p for p in given if p in known}
+        within = _up(page, [float(p in on) for p in page.paths])
+        around_others = {p for k, p in enumerate(page.paths) if p in on and within[k] > 1}
+        return [p for p in given if p in on and (p == given[0] or alone.get(p, 0.0) >= KEEP or p not in around_others)]
+
+    won = set(present(list(paths))) if paths is not None and len(paths) else set()
+    covered = _down(page, lambda k: page.paths[k] in won)
+    if not won or sum(x for k, x in held.items() if covered[k]) < LEAST * text_in_all:
+        won = set(present([own[0][0], *(p for p, _, x in own[1:] if x >= KEEP)]))
+    full = _up(page, [held.get(k, 0.0) for k in range(count)])
+    hit = [page.paths[k] in won and full[k] > 0 for k in range(count)]
+    under_hit = _down(page, lambda k: hit[k])
+    tops = {k for k in range(count) if hit[k] and not under_hit[page.parents[k]]}
+    holds = _up(page, [float(k in tops) for k in range(count)])
+    up = max(k for k in range(count) if holds[k] == len(tops))  # the common container farthest in
+    article: list[int | None] = []  # the nearest article or main around a container, itself included
+    for k, parent in enumerate(page.parents):
+        article.append(k if page.tags[k] in ("article", "main") else article[parent] if parent >= 0 else None)
+    if article[up] is not None:
+        regions = {article[up]}
+    elif page.tags[up] not in ("", "body", "html") or all(article[t] is None for t in tops):
         regions = {up}
     else:  # several under the body, some of them articles
-        regions = {t if article(t) is None else article(t) for t in tops}
+        regions = {t if article[t] is None else article[t] for t in tops}
     # Within a region, a side container that is mostly links stays out; around it, the text that stands beside it (a title) comes along.
-    weight: dict[int, list[float]] = {}
-    for container, text, links in page.blocks:
-        for k in chains[container]:
-            w = weight.setdefault(k, [0.0, 0.0])
-            w[0] += len(text)
-            w[1] += len(text) * links
-    around = {k for t in tops for k in chains[t]}
-    lists = {k for k, (n, links) in weight.items() if links > n / 2 and k not in regions and k not in around and tops.isdisjoint(chains[k])}
-    beside = {k for r in regions for k in chains[r][1:] if page.tags[k] != "body"}
-    inside = [k in beside or (not regions.isdisjoint(chains[k]) or 0 in regions) and lists.isdisjoint(chains[k]) for k in range(len(page.paths))]
-    return "\n\n".join(text for container, text, links in page.blocks if inside[container] and (links < 0.5 or container not in beside))
+    text, linked = [0.0] * count, [0.0] * count
+    for container, block, links in page.blocks:
+        text[container] += len(block)
+        linked[container] += len(block) * links
+    text, linked, in_top = _up(page, text), _up(page, linked), _down(page, lambda k: k in tops)
+    listed = _down(page, lambda k: linked[k] > text[k] / 2 and k not in regions and not holds[k] and not in_top[k])
+    beside: set[int] = set()
+    for k in regions:
+        while (k := page.parents[k]) > 0 and k not in beside:
+            beside.add(k)
+    beside = {k for k in beside if page.tags[k] != "body"}
+    in_region = _down(page, lambda k: k in regions)
+    inside = [k in beside or in_region[k] and not listed[k] for k in range(count)]
+    return "\n\n".join(block for container, block, links in page.blocks if inside[container] and (links < 0.5 or container not in beside))
 
 
 @F.udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("own", T.DoubleType())])), useArrow=True)
@@ -282,10 +316,11 @@ def _extract(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url and text for every row of pages(page_id, url, html).
 
-    A null or empty html gives an empty text. Pages without a url, or with one that has no host, vote together. Ties go to the path that
+    A null or empty html gives an empty text; pages of any length, depth and number of unclosed tags are taken whole, in time that grows with their length. Pages without a url, or with one that has no host, vote together. Ties go to the path that
     sorts first; repeated rows vote each; a page without a container gives all its visible blocks. Other columns are ignored; an
     empty table gives an empty result.
     """
+    small_batches(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     exact = lambda c: F.sum(F.round(c, 6).cast("decimal(20,6)"))
@@ -294,7 +329,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     fair = cast.join(best, "host").where((F.col("own") >= F.col("least")) | (F.col("path") == F.col("best")))
     order = F.array_sort(F.collect_list(F.struct((F.col("path") != F.col("best")).alias("later"), -F.col("votes").alias("v"), "path")))
     winners = written(fair.groupBy("host").agg(F.transform(order, lambda x: x["path"]).alias("paths")), "paths")  # at most 1 / KEEP and the best
-    joined = rows.join(winners, "host", "left")
+    dropped(cast)
+    # A host's paths are few: where there are so many hosts that they are not broadcast, a host's pages are dealt over SALTS tasks.
+    if winners.count() > BROADCAST_HOSTS:
+        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        joined = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(winners.select("*", salt), ["host", "salt"], "left")
+    else:
+        joined = rows.join(F.broadcast(winners), "host", "left")
     return joined.select("page_id", "url", _extract("html", "paths").alias("text"))
 
 

@@ -300,6 +300,32 @@ def test_main_text_is_whole(spark):
     assert got[10] == got[11] == f"Title\n\n{lead * 5}\n\n{long.strip()}"
 
 
+def test_pages_of_any_depth():
+    import time
+
+    began = time.process_time()
+    assert html.extract("<body>" + "<div class=a1>" * 8000 + "<p>deep text here</p>", None) == "deep text here"
+    got = html.extract("<body>" + "".join(f"<div class=a{k}>text {k} " for k in range(3000)), None)
+    assert got.startswith("text 0") and got.endswith("text 2999") and got.count("text") == 3000
+    assert html.extract("<body><p>" + "<b>x" * 20_000 + "</i>" * 20_000 + "</p><p>end</p>", None) == "x" * 20_000 + "\n\nend"
+    assert html.extract("<body>" + "<p>a" * 20_000, None).count("a") == 20_000
+    assert html.extract("<body><i><div>" + "<b>" * 20_000 + "</i>" * 20_000 + "z", None) == "z"
+    assert len(html.extract("<article>" + "<p>word</p>" * 50_000 + "</article>", None)) == 50_000 * 6 - 2
+    assert time.process_time() - began < 30
+
+
+def test_articles_keep_their_parts():
+    """An article's sections, a lead beside the body and a table among prose all belong to it; ties go to the path that sorts first."""
+    prose, cells = "Some prose of the story. " * 8, "".join(f"<tr><td>cell {k} of the long table</td><td>{k}</td></tr>" for k in range(60))
+    page = "<body><article><h1>T</h1><section class=intro><p>In.</p></section><section class=body><p>" + prose * 5 + "</p></section><section class=end><p>Out.</p></section></article>"
+    got = html.extract(page, None)
+    assert got.startswith("T\n\nIn.\n\nSome prose") and got.endswith("Out.")
+    assert html.extract(f"<main><div class=lead><h1>Head</h1></div><div class=content><p>{prose}</p></div></main>", None) == f"Head\n\n{prose.strip()}"
+    got = html.extract(f"<body><article><p>{prose}</p><table>{cells}</table><p>After it.</p></article><div class=ad>buy</div>", None)
+    assert prose.strip() in got and "cell 59" in got and got.endswith("After it.")
+    assert html.votes(html.parsed("<div class=b><p>same</p></div><div class=a><p>same</p></div>"))[0][0] == ">div.a"
+
+
 def test_layouts_named_like_boilerplate_are_not_hidden():
     article = "<article><p>The long story of the day, told in full.</p></article>"
     for wrap in ("<div class='layout no-sidebar'>{}</div>", "<div id='content-with-sidebar'>{}</div>", "<div class='has-comments'>{}</div>", "<form>{}</form>", "<div class='sidebar'>{}</div>"):
