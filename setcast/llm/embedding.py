@@ -3,9 +3,9 @@
 Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Vectors go to the cell of their nearest pivot.
 For a pair x, y within r the triangle inequality gives d(x, p) <= d(x, own) + 2r for y's pivot p, and, in
 Euclidean space, x lies within r of the plane between the two pivots: (d(x, p)^2 - d(x, own)^2) / (2 d(p, own)) <= r.
-x is replicated to just the cells that pass both. Every cell then joins on its own: a vector's links are all
-found in its home cell. Equal vectors are one vector with a multiplicity; a large cell is cut into blocks that
-meet pairwise in separate tasks, so no task ever holds more than two blocks.
+x visits just the cells that pass both, and of two cells only one sends visitors to the other, so that a pair meets in one cell.
+Every cell then joins on its own, its own vectors among themselves and with its visitors. Equal vectors are one vector with a multiplicity; a large cell
+is cut into blocks that meet pairwise in separate tasks, so no task ever holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -18,12 +18,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, hash01, written
+from .common import components, dropped, hash01, small_batches, written
 
 COSINE = 0.98
-BLOCK = 2048
+#: Numbers in a block of vectors, so that it takes some MB whatever their length.
+BLOCK_NUMBERS = 1 << 19
 #: Most pivots; their number follows the square root of the number of vectors up to here.
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 1 << 14
+#: Distances to pivots computed at once.
+_AT_ONCE = 1 << 21
 _SLACK = 1e-9
 
 
@@ -40,21 +43,29 @@ def _valid(v: str) -> Column:
     return F.col(v).isNotNull() & fine & F.exists(v, lambda x: x != 0)
 
 
+def _visits(own: np.ndarray, cells: np.ndarray) -> np.ndarray:
+    """Whether a vector of the cell own visits another: of any two cells, one does."""
+    return ((own + cells) % 2 == 1) == (cells < own)
+
+
 def _cells(pivots: dict[int, np.ndarray], radius: float):
     """pivots by length of the vectors; vectors of a length without pivots share one cell."""
-    gaps = {dim: np.sqrt(np.maximum(0, 2 - 2 * p @ p.T)) for dim, p in pivots.items()}
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for dim, rows in batch.groupby("dim", sort=False):
-                for at in range(0, len(rows), 4096):
-                    part = rows.iloc[at : at + 4096]
+                step = max(16, _AT_ONCE // len(pivots[dim])) if dim in pivots else len(rows)
+                for at in range(0, len(rows), step):
+                    part = rows.iloc[at : at + step]
                     if dim in pivots:
-                        squares = np.maximum(0, 2 - 2 * _unit(_stack(part["v"], dim)) @ pivots[dim].T)
+                        p = pivots[dim]
+                        squares = np.maximum(0, 2 - 2 * _unit(_stack(part["v"], dim)) @ p.T)
                         own = squares.argmin(1)
+                        gaps = np.sqrt(np.maximum(0, 2 - 2 * p[own] @ p.T))
                         least = squares[np.arange(len(part)), own]
                         near = np.sqrt(squares) <= np.sqrt(least)[:, None] + 2 * radius + _SLACK
-                        near &= squares - least[:, None] <= 2 * radius * gaps[dim][own] + _SLACK
+                        near &= squares - least[:, None] <= 2 * radius * gaps + _SLACK
+                        near &= _visits(own[:, None], np.arange(len(p)))
                         near[np.arange(len(part)), own] = True
                     else:
                         own, near = np.zeros(len(part), np.int64), np.ones((len(part), 1), bool)
@@ -66,7 +77,7 @@ def _cells(pivots: dict[int, np.ndarray], radius: float):
 
 def _block_links(cosine: float):
     def match(part: pd.DataFrame) -> pd.DataFrame:
-        """One pair of blocks (i <= j) of a cell: how many vectors each home row meets, and the smallest node of each row's group."""
+        """One pair of blocks (i <= j) of a cell: how many vectors each row meets, and the smallest node of each row's group. Visitors don't meet."""
         if part.empty:
             return pd.DataFrame({"node": pd.Series(dtype="int64"), "n": pd.Series(dtype="int64"), "tree": pd.Series(dtype="int64")})
         i, j = int(part["i"].iat[0]), int(part["j"].iat[0])
@@ -74,12 +85,13 @@ def _block_links(cosine: float):
         a = part[part["block"] == i].reset_index(drop=True)
         b = a if i == j else part[part["block"] == j].reset_index(drop=True)
         x, y = _unit(_stack(a["v"], dim)), _unit(_stack(b["v"], dim))
+        home_a, home_b = a["home"].to_numpy(bool), b["home"].to_numpy(bool)
         na, nb, ca, cb = a["node"].to_numpy(), b["node"].to_numpy(), a["copies"].to_numpy(), b["copies"].to_numpy()
         nodes = na if i == j else np.concatenate([na, nb])
         group, shift = np.arange(len(nodes)), 0 if i == j else len(na)
         counts, back = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
         for at in range(0, len(a), 512):
-            hit = x[at : at + 512] @ y.T >= cosine
+            hit = (x[at : at + 512] @ y.T >= cosine) & (home_a[at : at + 512, None] | home_b)
             if i == j:
                 hit[np.arange(len(hit)), np.arange(at, at + len(hit))] = False
             counts[at : at + 512] = hit @ cb
@@ -90,15 +102,14 @@ def _block_links(cosine: float):
                     group[np.isin(group, met[1:])] = met[0]
         least = np.full(len(nodes), np.iinfo(np.int64).max)
         np.minimum.at(least, group, nodes)
-        home = [a["home"]] if i == j else [a["home"], b["home"]]
         n = counts if i == j else np.concatenate([counts, back])
-        out = pd.DataFrame({"node": nodes, "n": np.where(np.concatenate(home), n, 0), "tree": least[group]})
+        out = pd.DataFrame({"node": nodes, "n": n, "tree": least[group]})
         return out[(out["n"] > 0) | (out["tree"] != out["node"])].astype("int64")
 
     return match
 
 
-def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cosine: float = COSINE, block_numbers: int = BLOCK_NUMBERS) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept (vec_id = component_id).
 
     A vector that is null, zero, or with null or non-finite components, and one without a label, has no links and is
@@ -109,34 +120,38 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
     rows = rows.withColumn("v", F.when(_valid("v") & F.col("label").isNotNull(), F.col("v")))
-    rows = written(rows.withColumn("node", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))), "vectors")
+    small_batches(spark)
+    # 128 bits tell vectors apart.
+    rows = written(rows.withColumn("key", F.xxhash64("label", "v")).withColumn("key2", F.xxhash64(F.lit(17), "v", "label")), "vectors")
     alone = F.col("v").isNull()
     unlinked = lambda r: r.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     kept = lambda r: r.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
     usable = rows.where(~alone)
     if usable.isEmpty():
         return kept(unlinked(rows))
-    once = usable.groupBy("node").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
-    once = written(once.withColumn("dim", F.size("v")), "distinct")
-    # Pivots of each length, about so many: chosen by a hash, without an order over all vectors. Lengths of few vectors need none.
+    once = usable.groupBy("key", "key2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
+    once = written(once.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "distinct")
+    # Pivots of each length, about so many: chosen by a hash, without an order over all vectors. Lengths of few vectors need none, and there are
+    # fewer lengths than vectors that have them by far.
     sizes = once.groupBy("dim").agg(F.count("*").alias("n")).withColumn("k", F.least(F.lit(MAX_PIVOTS), F.floor(F.sqrt("n") / 2))).where("k > 1")
-    chosen = once.join(F.broadcast(sizes), "dim").where(hash01("node", seed=7) < F.col("k") / F.col("n")).select("dim", "v").toPandas()
+    chosen = once.join(F.broadcast(sizes), "dim").where(hash01("key", "key2", seed=7) < F.col("k") / F.col("n")).select("dim", "v").toPandas()
     pivots = {int(dim): _unit(_stack(found["v"], int(dim))) for dim, found in chosen.groupby("dim")}
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
     label_type = once.schema["label"].dataType.simpleString()
     placed = once.select("node", "label", "copies", "v", "dim").mapInPandas(_cells(pivots, radius), f"node long, label {label_type}, copies long, v array<double>, dim int, cell int, home boolean")
     placed = written(placed, "cells")
-    blocks = placed.groupBy("label", "dim", "cell").count().select("label", "dim", "cell", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    blocks = placed.groupBy("label", "dim", "cell").count().select("label", "dim", "cell", F.ceil(F.col("count") * F.greatest("dim", F.lit(1)) / block_numbers).cast("int").alias("blocks"))
     in_blocks = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, "block").alias("i"), F.greatest(o, "block").alias("j")))
     pairs = in_blocks.select("*", F.explode(meets).alias("ij")).select("label", "dim", "cell", F.col("ij.i").alias("i"), F.col("ij.j").alias("j"), "block", "node", "copies", "v", "home")
     found = written(pairs.groupBy("label", "dim", "cell", "i", "j").applyInPandas(_block_links(cosine), "node long, n long, tree long"), "found")
+    dropped(placed)
     counts = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.where("tree <> node").select(F.col("node").alias("a"), F.col("tree").alias("b")))
-    group = once.select("node", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    group = once.select("node", "key", "key2", "copies", "first_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = group.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    by_node = group.join(least, "root").join(counts, "node", "left").select("node", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    linked = usable.select("vec_id", "node").join(by_node, "node").select("vec_id", "n_links", "component_id")
+    by_node = group.join(least, "root").join(counts, "node", "left").select("key", "key2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    linked = usable.select("vec_id", "key", "key2").join(by_node, ["key", "key2"]).select("vec_id", "n_links", "component_id")
     return kept(linked.union(unlinked(rows.where(alone))))
 
 
