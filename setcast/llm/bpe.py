@@ -154,7 +154,7 @@ def _numbers(known, key: str) -> dict[str, int]:
     """The common words' numbers; a worker makes this dictionary once."""
     if key not in _DICTS:
         _DICTS.clear()
-        _DICTS[key] = {w: k for k, w in enumerate(known.value[0])}
+        _DICTS[key] = {w: k for k, w in enumerate(known.value[0].to_pylist())}
     return _DICTS[key]
 
 
@@ -173,7 +173,7 @@ class Tokenizer:
         self._ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
         self._pieces = _binary(by_id)
         self._packed = _binary([k.to_bytes(4, "little") for k in range(len(by_id))])
-        self._known = None
+        self._known = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def fold(self, word: Column) -> Column:
         """A word's ids: array<int>; empty for an empty word."""
@@ -236,13 +236,14 @@ class Tokenizer:
         parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
         table = common.repartition(parts, "w").select("w", self.fold(F.col("w")).alias("ids")).toArrow()
         ids = table["ids"].combine_chunks()
-        self._known = (table["w"].to_pylist(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy().astype(np.int32)) if len(table) else ([], np.zeros(1, np.int64), np.zeros(0, np.int32))
+        if len(table):
+            self._known = table["w"].combine_chunks(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
         return self
 
     def encoders(self, spark: SparkSession):
         """From texts to word numbers and other words; from these numbers and the others' ids to all ids (see encoded)."""
         pattern = self.pattern
-        known = spark.sparkContext.broadcast(self._known or ([], np.zeros(1, np.int64), np.zeros(0, np.int32)))
+        known = spark.sparkContext.broadcast(self._known)
         ranks, key = spark.sparkContext.broadcast(self.ranks), uuid.uuid4().hex
         other = T.StructType([T.StructField("word", T.StringType()), T.StructField("ids", T.ArrayType(T.IntegerType()))])
         shape = T.StructType([T.StructField("codes", T.ArrayType(T.IntegerType())), T.StructField("others", T.ArrayType(other))])

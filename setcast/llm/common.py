@@ -13,6 +13,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of a batch for Python workers.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 _OWN_DIRS: dict[str, str] = {}
+_LEFT: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,18 +40,42 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors.
+
+    What a result still reads cannot be deleted here; left() and release() let a caller do so when the result is no longer needed.
+    """
+    name = f"{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(df.sparkSession)}/{name}"
     df.write.parquet(path)
+    _LEFT[name] = path
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, name: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(_LEFT.pop(name))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _names(df: DataFrame) -> set[str]:
+    """The written tables that df reads."""
+    return {f.split("/")[-2] for f in df.inputFiles()} & _LEFT.keys()
+
+
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
-    jvm = df.sparkSession._jvm
-    for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for name in _names(df):
+        _delete(df.sparkSession, name)
+
+
+def left() -> set[str]:
+    """Names of all tables that written() made in this process and that are not deleted yet."""
+    return set(_LEFT)
+
+
+def release(spark: SparkSession, names: set[str], reading: DataFrame | None = None) -> None:
+    """Delete these tables, but for those that a table still in use reads."""
+    for name in names & _LEFT.keys() - (_names(reading) if reading is not None else set()):
+        _delete(spark, name)
 
 
 def hash01(*cols: Column | str, seed: int = 0) -> Column:

@@ -497,3 +497,17 @@ def test_base_spans_by_plain_patterns():
         assert pii.base_spans(text) == want, text
     long = "1.2.3.4 a@b.c " * 20_000
     assert len(pii.instances(long)[0]) == 40_000
+
+
+def test_written_tables_are_released(spark):
+    from setcast.llm import common
+
+    before = common.left()
+    one, two = common.written(spark.range(3), "one"), common.written(spark.range(4), "two")
+    assert len(common.left() - before) == 2
+    common.release(spark, common.left() - before, reading=one.where("id > 0"))
+    assert one.count() == 3 and len(common.left() - before) == 1
+    common.dropped(one)
+    assert common.left() == before
+    with pytest.raises(Exception, match="(?i)exist|found"):
+        two.count()
