@@ -9,6 +9,7 @@ import struct
 
 import duckdb
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -110,7 +111,6 @@ def test_bpe_agrees_with_the_library(spark):
 
 
 def test_bpe_cuts_whole_words():
-    import pyarrow as pa
     import regex
 
     r, find = random.Random(15), regex.compile(public_tokenizers.PATTERN).findall
@@ -337,13 +337,19 @@ def test_layouts_named_like_boilerplate_are_not_hidden():
 
 
 def test_perspectives_agree_with_sql(spark):
+    """Repeated rows, null turns and roles, and dialogues beyond a row's turns, some with one turn number for all."""
     rows = [(1, 0, "system", "s"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 2, "bob", None), (1, 2000, "ann", "🙂"), (2, None, None, "x"), (None, 0, "c", "y"), (3, 0, "system", "alone"), (1, None, "bob", "")]
+    rows += [(4, k if k % 3 else None, "ann" if k % 2 else "bob", f"t{k}") for k in range(2500)] + [(5, 7, "eve", "same")] * 1500 + [(6, 0, "eve", "long " * 50_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = sorted(str(tuple(x)) for x in chat.op5(df.selectExpr("*", "1 AS mask")).select("conv_id", "perspective", "segment", "n_turns", "text", "mask", "n_masked").collect())
+    names = ["conv_id", "perspective", "segment", "start", "n_turns", "text", "mask", "n_masked"]
+    got = chat.op5(df.selectExpr("*", "1 AS mask", "2 AS place", "3 AS part")).select(*names).collect()
     con = duckdb.connect()
-    con.sql("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
-    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
-    assert got == sorted(str(x) for x in con.sql(chat.SQL).fetchall())
+    con.register("rows", pa.table({c: [r[k] for r in rows] for k, c in enumerate(("conv_id", "turn", "role", "text"))}))
+    con.sql("CREATE TABLE conversations AS SELECT * FROM rows")
+    assert sorted(map(str, map(tuple, got))) == sorted(str(x) for x in con.sql(chat.SQL).select(*names).fetchall())
+    whole = "".join(x["text"] for x in sorted(got, key=lambda x: x["segment"]) if x["conv_id"] == 4 and x["perspective"] == "ann")
+    spans = [tuple(map(int, s.split(":"))) for x in got if x["conv_id"] == 4 and x["perspective"] == "ann" for s in x["mask"].split(",")]
+    assert len(spans) == 1250 and all(whole[: a].endswith("<|im_start|>assistant\n") and whole[a:b].endswith("<|im_end|>\n") for a, b in spans)
     assert chat.op5(df.limit(0)).count() == 0
 
 
