@@ -47,6 +47,8 @@ _RANK, _PLACE, _NONE = 32, 20, 1 << 62
 _ID = (1 << _PLACE) - 1
 #: Distinct words that a worker counts before it hands the counts on.
 _FLUSH = 1 << 18
+#: Signs that are no letters, digits, white space or apostrophes.
+_SIGNS = frozenset(".,;:!?()[]{}<>#*$%&|/+-=_")
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -67,13 +69,14 @@ def _int(c: Column) -> Column:
     return c.cast("int")
 
 
-def _binary(pieces: list[bytes]) -> Column:
-    """A literal of binary pieces, as strings: these keep the bytes as they are."""
-    return F.from_json(F.lit(json.dumps([base64.b64encode(p).decode() for p in pieces])), "array<binary>").cast("array<string>")
+def _binaries(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Binary values of so many bytes each, one after another in data."""
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(_offsets(sizes).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _joined(ids: Column, pieces: Column) -> Column:
-    return F.array_join(F.transform(ids, lambda i: F.get(pieces, i)), "").cast("binary")
+def _lists(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch, and how many each row has; a null has none."""
+    return ids.flatten().to_numpy().astype(np.int64), pc.list_value_length(ids).fill_null(0).to_numpy().astype(np.int64)
 
 
 def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -100,6 +103,10 @@ def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return out
 
 
+def _strings(column: pa.Array) -> list[str]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """All texts cut at every space, and where each one's parts begin."""
     lists = pc.split_pattern(texts.cast(pa.string()).fill_null(""), " ")
@@ -118,33 +125,50 @@ def _offsets(sizes) -> np.ndarray:
 def cut(texts: pa.Array, find, number, whole: bool = False) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """(codes, offsets, others) of a batch: each text's words in turn as numbers, or as -1 - k for others[k].
 
-    Words are found once for each distinct stretch of the batch, a stretch being a space and what follows up to the next. That holds where each
-    space but a text's first stretch follows a sign other than white space; other texts, and all if `whole`, are searched as they are.
+    Words are found once for each distinct stretch of the batch, a stretch being a space and what follows up to the next, and not at all for one
+    that is a numbered word itself. That holds where each space but a text's first stretch follows a sign other than white space; other texts,
+    and all if `whole`, are searched as they are.
     """
     parts, at = _parts(texts)
     encoded = parts.dictionary_encode()
-    place, distinct = encoded.indices.to_numpy().astype(np.int64), encoded.dictionary.to_pylist()
+    place, distinct = encoded.indices.to_numpy().astype(np.int64), _strings(encoded.dictionary)
+    count, firsts = len(distinct), at[:-1]
     odd = np.array([not p or p[-1].isspace() for p in distinct] + [True], bool)
-    plain = np.ones(len(texts), bool) if not whole else np.zeros(len(texts), bool)
-    plain &= np.add.reduceat(odd[place].astype(np.int64), at[:-1]) == 0 if len(texts) else plain
-    place[at[:-1]] = len(distinct) + np.arange(len(texts))  # a text's first stretch has no space before it; odd texts have no other
+    plain = np.zeros(len(texts), bool) if whole or not len(texts) else np.add.reduceat(odd[place].astype(np.int64), firsts) == 0
+    place[firsts] = count + np.arange(len(texts))  # a text's first stretch has no space before it; odd texts have no other
     used = np.repeat(plain, np.diff(at))
-    used[at[:-1]] = True
-    place = np.where(used, place, len(distinct) + len(texts))
-    needed = np.zeros(len(distinct), bool)
-    needed[place[place < len(distinct)]] = True
+    used[firsts] = True
+    place = np.where(used, place, count + len(texts))
+    needed = np.zeros(count + len(texts) + 1, bool)
+    needed[place] = True
+    stretches = [f" {p}" for p in distinct]
+    single = list(map(number, stretches))
+    # The codes of stretch k are flat[begin[k] :][: size[k]]; those that are one word stand at k.
+    flat = [0 if c is None else c for c in single]
+    begin, size = np.arange(count + len(texts) + 1), np.ones(count + len(texts) + 1, np.int64)
+    size[-1] = 0
     own: dict[str, int] = {}
-    codes, sizes = [], []
-    firsts = (parts[k].as_py() if ok else texts[j].as_py() or "" for j, (k, ok) in enumerate(zip(at[:-1].tolist(), plain.tolist(), strict=True)))
-    for stretch in chain((f" {p}" if n else "" for p, n in zip(distinct, needed.tolist(), strict=True)), firsts):
-        words = find(stretch)
-        sizes.append(len(words))
+
+    def add(k: int, words: list[str]) -> None:
+        begin[k], size[k] = len(flat), len(words)
         for w in words:
             c = number(w)
-            codes.append(-1 - own.setdefault(w, len(own)) if c is None else c)
-    begin, size = _offsets([*sizes, 0]), np.array([*sizes, 0], np.int64)
-    flat = np.array(codes, np.int64)[_spread(begin[place], size[place])] if codes else np.zeros(0, np.int64)
-    return flat, _offsets(np.add.reduceat(size[place], at[:-1]) if len(texts) else []), list(own)
+            flat.append(-1 - own.setdefault(w, len(own)) if c is None else c)
+
+    for k in [k for k, c in enumerate(single) if c is None]:
+        if needed[k]:
+            part, stretch = distinct[k], stretches[k]
+            if part.isalpha():  # letters are one word
+                flat[k] = -1 - own.setdefault(stretch, len(own))
+            elif part[-1] in _SIGNS and part[:-1].isalpha():  # and a sign behind them another
+                add(k, [stretch[:-1], part[-1]])
+            else:
+                add(k, find(stretch))
+    starts = _strings(parts.take(pa.array(firsts)))
+    for j, ok in enumerate(plain.tolist()):
+        add(count + j, find(starts[j] if ok else texts[j].as_py() or ""))
+    codes = np.array(flat, np.int64)[_spread(begin[place], size[place])] if flat else np.zeros(0, np.int64)
+    return codes, _offsets(np.add.reduceat(size[place], firsts) if len(texts) else []), list(own)
 
 
 _DICTS: dict[str, dict[str, int]] = {}
@@ -154,7 +178,7 @@ def _numbers(known, key: str) -> dict[str, int]:
     """The common words' numbers; a worker makes this dictionary once."""
     if key not in _DICTS:
         _DICTS.clear()
-        _DICTS[key] = {w: k for k, w in enumerate(known.value[0].to_pylist())}
+        _DICTS[key] = {w: k for k, w in enumerate(_strings(known.value[0]))}
     return _DICTS[key]
 
 
@@ -171,8 +195,7 @@ class Tokenizer:
             name = piece.hex().upper()
             buckets[xxhash.xxh64_intdigest(name, 42) % _BUCKETS][name] = rank  # the bucket that Spark's xxhash64 tells
         self._ranks = F.from_json(F.lit(json.dumps(buckets)), "array<map<string,int>>")
-        self._pieces = _binary(by_id)
-        self._packed = _binary([k.to_bytes(4, "little") for k in range(len(by_id))])
+        self._pieces = np.frombuffer(b"".join(by_id), np.uint8), _offsets([len(p) for p in by_id])
         self._known = pa.array([], pa.string()), np.zeros(1, np.int64), np.zeros(0, np.int32)
 
     def fold(self, word: Column) -> Column:
@@ -223,9 +246,10 @@ class Tokenizer:
         def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             find, counts = regex.compile(pattern).findall, Counter()
             for batch in batches:
-                for x in _parts(batch.column(0))[0].value_counts().to_pylist():
-                    for w in find(f" {x['values']}"):
-                        counts[w] += x["counts"]
+                found = _parts(batch.column(0))[0].value_counts()
+                for part, n in zip(_strings(found.field("values")), found.field("counts").to_numpy().tolist(), strict=True):
+                    for w in find(f" {part}"):
+                        counts[w] += n
                 if len(counts) > _FLUSH:
                     yield pa.RecordBatch.from_pydict({"w": list(counts), "n": list(counts.values())})
                     counts.clear()
@@ -288,12 +312,29 @@ class Tokenizer:
         return coded, filled
 
     def packed(self, ids: Column) -> Column:
-        """ids as little-endian unsigned 32-bit integers: binary."""
-        return _joined(ids, self._packed)
+        """ids as little-endian unsigned 32-bit integers: binary; empty for null."""
+
+        @F.arrow_udf(T.BinaryType())
+        def pack(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                flat, sizes = _lists(batch)
+                yield _binaries(flat.astype("<u4").view(np.uint8), 4 * sizes)
+
+        return pack(ids)
 
     def decode(self, ids: Column) -> Column:
-        """The bytes that ids stand for: binary."""
-        return _joined(ids, self._pieces)
+        """The bytes that ids stand for, their binary pieces one after another; empty for null."""
+        pieces, offsets = self._pieces
+
+        @F.arrow_udf(T.BinaryType())
+        def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for batch in batches:
+                flat, sizes = _lists(batch)
+                length = np.diff(offsets)[flat]
+                ends = _offsets(length)[_offsets(sizes)]
+                yield _binaries(pieces[_spread(offsets[flat], length)], np.diff(ends))
+
+        return join(ids)
 
 
 def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
