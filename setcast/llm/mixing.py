@@ -26,6 +26,8 @@ SHARE = 1.5
 WEIGHTS = (3, 1, 2)
 LIMIT = 2.0
 SHARD_SLOTS = 4096
+#: Sources whose bounds are compared one by one, at most.
+CHAIN = 32
 #: Sources whose numbers are broadcast, at most.
 FEW_SOURCES = 10_000
 #: Documents of a bucket, and buckets or shards of a group of them, about.
@@ -97,12 +99,19 @@ def placed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 def drawn(slots: DataFrame, weights: list[tuple[int, float]], seed: int) -> DataFrame:
     """slots(id) -> (shard, number, count): each slot draws a source by weights(number, weight), and the draws of a shard are counted.
 
-    The source is the first whose upper bound in (0, 1] exceeds a hash of the slot, found by halving.
+    The source is the first whose upper bound in (0, 1] exceeds a hash of the slot: a chain of comparisons for few sources, for many found by halving.
     """
     total, upto, bounds = sum(w for _, w in weights), 0.0, []
     for _, w in weights:
         upto += w
         bounds.append(upto / total)
+    counted = lambda rows: rows.groupBy("shard", "number").agg(F.count("*").alias("count"))
+    if len(weights) <= CHAIN:
+        number = F.lit(weights[-1][0])
+        for (n, _), bound in reversed(list(zip(weights[:-1], bounds, strict=False))):
+            number = F.when(F.col("u") < bound, n).otherwise(number)
+        rows = slots.select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), hash01("id", seed=seed).alias("u"))
+        return counted(rows.select("shard", number.alias("number")))
     limits = F.from_json(F.lit(json.dumps(bounds[:-1])), "array<double>")
     numbers = F.from_json(F.lit(json.dumps([n for n, _ in weights])), "array<int>")
     u = hash01("id", seed=seed)
@@ -116,7 +125,7 @@ def drawn(slots: DataFrame, weights: list[tuple[int, float]], seed: int) -> Data
     start = F.struct(F.lit(0).alias("low"), F.lit(len(weights) - 1).alias("high"))
     place = F.aggregate(F.sequence(F.lit(1), F.lit(len(weights).bit_length())), start, halve, lambda s: s["low"])
     rows = slots.select(F.floor(F.col("id") / SHARD_SLOTS).alias("shard"), F.get(numbers, place).alias("number"))
-    return rows.groupBy("shard", "number").agg(F.count("*").alias("count"))
+    return counted(rows)
 
 
 class Mix:

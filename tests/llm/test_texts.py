@@ -231,6 +231,15 @@ def test_mixing_slot_by_slot(spark, monkeypatch):
     assert {x["doc_id"]: x["n"] for x in order} == {k: n for k, n in taken.items() if n}
 
 
+def test_draws_of_few_and_many_sources_agree(spark, monkeypatch):
+    r = random.Random(17)
+    weights = [(3 * n, r.random()) for n in range(30)]
+    draw = lambda: {tuple(x) for x in mixing.drawn(spark.range(20_000), weights, 5).collect()}
+    few = draw()
+    monkeypatch.setattr(mixing, "CHAIN", 0)
+    assert few == draw() and sum(x[2] for x in few) == 20_000 and {x[1] for x in few} == {n for n, _ in weights}
+
+
 def test_permutation_is_one(spark):
     from pyspark.sql import functions as F
 
