@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, embedding, html, langid, mixing, pii, quality, simhash, toxicity
+from . import bpe, chat, clusters, embedding, html, langid, licenses, mixing, negatives, pii, quality, simhash, toxicity
 from .common import table
 
 QUERIES = {
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_html_consensus": lambda s, d: html.op8(table(s, d, "pages")),
     "op9_mixing": lambda s, d: mixing.op9(table(s, d, "documents")),
     "op10_byte_bpe": lambda s, d: bpe.op10(table(s, d, "documents")),
+    "op11_license_scans": lambda s, d: licenses.op11(table(s, d, "documents")),
+    "op12_centroid_clusters": lambda s, d: clusters.op12(table(s, d, "embeddings")),
+    "op13_hard_negatives": lambda s, d: negatives.op13(table(s, d, "embeddings")),
 }
 
-SQL = {"op5_chat_perspectives": chat.SQL}
+SQL = {"op5_chat_perspectives": chat.SQL, "op11_license_scans": licenses.SQL, "op12_centroid_clusters": clusters.SQL, "op13_hard_negatives": negatives.SQL}
