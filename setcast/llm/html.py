@@ -3,14 +3,18 @@
 Every page's containers are scored by the text that their own blocks hold, less link text. The share of each container is a vote for
 its generalised path (tags with classes, digits blanked). Spark sums the votes per host; the best path wins, and with it all others whose
 own text is a fair share of the host's. Then every page is extracted again: from the common ancestor of its containers on its host's
-paths, or of its own best ones where the host's hold little of its text, and from the article or main element around it.
+paths, or of its own best ones where the host's hold little of its text, and from the article or main element around it; without such an
+element, the headline and the prose that stand beside the region belong to it. Within the region names hide advertising, comments and the
+like, and what is mostly links, but no prose.
+
+Markup is read as browsers read it, in one pass: a tag, comment or script that never ends takes the rest of the page.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pandas as pd
 import xxhash
@@ -22,10 +26,14 @@ from .common import dropped, small_batches, written
 
 # Elements by their part in a page.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_HIDDEN = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe svg math object canvas dialog menu audio video".split())
+_HIDDEN = frozenset("script style noscript template head title nav footer aside form button select option textarea iframe svg object canvas dialog menu audio video".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _CONTAINERS = frozenset("article body center div main section td".split())
 _BOILERPLATE = frozenset("ad ads adv advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus footer form gdpr login masthead menu modal nav navbar navigation newsletter notice overlay pager pagination popup promo promoted promotion reader-comments recommended related replies reply search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar warning widget widgets".split())
+#: Of these, the words that tell of boilerplate outside an article's text only: within it they may name any prose.
+_SOFT = frozenset("banner breadcrumb breadcrumbs disclaimer footer form masthead notice recommended related search share sharing social tags toolbar warning".split())
+#: Elements whose content is no markup.
+_RAW = frozenset("script style title textarea iframe noembed noframes".split())
 #: Hosts whose winning paths are broadcast, at most, and tasks that share a host's pages beyond that.
 BROADCAST_HOSTS, SALTS = 20_000, 64
 #: A path wins if it holds so much of the text; a host's paths count for a page if they hold so much of its text.
@@ -42,30 +50,52 @@ _SCOPES = frozenset("article aside body div footer form header main nav ol secti
 #: A path longer than that goes on from its digest.
 _LONG_PATH = 512
 _SPACE = re.compile(r"\s+")
+_TAG_NAME = re.compile(r"[A-Za-z][^\t\n\f\r />]*+")
+#: The end of a tag, or one attribute: name, value in double quotes, in single quotes, in none.
+_ATTRIBUTE = re.compile(r"""[\t\n\f\r /]*+(?:(>)|([^\t\n\f\r />][^\t\n\f\r />=]*+)[\t\n\f\r ]*+(?:=[\t\n\f\r ]*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^\t\n\f\r >]*+)))?+)""")
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\t\n\f\r />])", re.IGNORECASE) for tag in _RAW}
+#: Numbers in character references: zeros in front, and numbers that are no character's.
+_ZEROS, _BEYOND = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])"), re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
+#: The end of a sentence; the start of a line that is no prose.
+_SENTENCE, _RIGHTS = re.compile(r"[.!?\u2026\u3002][\"'\u2019\u201d\u00bb)\]]*$"), re.compile(r"(?i)\u00a9|\(c\)|copyright\b|all rights reserved")
+#: A cover that names may hide within an article shows with so many words, or as a sentence.
+_PROSE_WORDS = 4
 _NAMES = re.compile(r"[^a-z0-9]+")
 _DIGITS = re.compile(r"[0-9]+")
 
 
-def _boilerplate(attrs: dict[str, str | None]) -> bool:
-    """Whether a whole name of the class or id, or its last part, is a boilerplate word."""
-    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".lower().split():
+def _boilerplate(attrs: dict[str, str]) -> str | None:
+    """The boilerplate word that a whole name of the class or id is, or that its last part is."""
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         parts = [x for x in _NAMES.split(name) if x]
         if not parts or not _STATES.isdisjoint(parts):
             continue
-        if name in _BOILERPLATE or parts[-1] in _BOILERPLATE or parts[0] in _BOILERPLATE and parts[-1] in _HOLDERS:
-            return True
-    return False
+        if name in _BOILERPLATE:
+            return name
+        if parts[-1] in _BOILERPLATE:
+            return parts[-1]
+        if parts[0] in _BOILERPLATE and parts[-1] in _HOLDERS:
+            return parts[0]
+    return None
+
 
+def characters(text: str) -> str:
+    """text with its character references decoded; numbers that are no character's become U+FFFD, however long."""
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        text = _BEYOND.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return unescape(text)
 
-class _Page(HTMLParser):
-    """Blocks of a page in order: (index of its container in paths, text, share of link text).
+
+class _Page:
+    """Blocks of a page in order: (index of its container in paths, text, share of link text, whether it is a headline).
 
     Scripts, navigation and the like are hidden at once. Forms, and elements whose name or role tells of boilerplate, are
     covers: what they hold is kept until the whole page is known, as a layout may bear such a name (see finish).
     """
 
     def __init__(self):
-        super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, bool, int, int]] = []  # tag, hidden, container, cover
         # Places in open: of each tag, of scopes, of elements whose end tag may be left out. No step has to walk the open elements.
         self.where: dict[str, list[int]] = {}
@@ -74,18 +104,71 @@ class _Page(HTMLParser):
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.tags: list[str] = [""]
-        self.blocks: list[tuple[int, str, float]] = []
-        self.held: list[tuple[int, list[tuple[int, str, bool]]]] = []
+        self.blocks: list[tuple[int, str, float, bool]] = []
+        self.held: list[tuple[int, list[tuple[int, str, bool]], bool]] = []
         self.parts: list[tuple[int, str, bool]] = []  # cover, text, whether in a link
-        self.covers: list[tuple[int, bool]] = [(-1, False)]  # the cover around it, whether it is a form; 0: none
+        self.headline = False
+        self.covers: list[tuple[int, bool, int]] = [(-1, False, -1)]  # the cover around it, whether it is a form, the container around it if names alone hide it there (else -1); 0: none
+        self.shown: set[int] = set()
         self.articles: list[int] = []  # covers that hold an article or main element at once
         self.in_link = 0
         self.hidden, self.container, self.cover = False, 0, 0
 
+    def feed(self, page: str) -> None:
+        """Read the page's markup, each character a fixed number of times."""
+        at = begin = 0
+        while (at := page.find("<", at)) >= 0:
+            sign = page[at + 1 : at + 2]
+            if sign in ("!", "?") and sign:
+                self.handle_data(page[begin:at])
+                end = page.find("-->", at + 2) + 2 if page.startswith("<!--", at) else page.find(">", at + 2)
+                if page.startswith("<!--", at) and end < 2 or end < 0:
+                    return
+                at = begin = end + 1
+            elif sign == "/":
+                name = _TAG_NAME.match(page, at + 2)
+                self.handle_data(page[begin:at])
+                end = page.find(">", at + 2)
+                if end < 0:
+                    return
+                if name:
+                    self.handle_endtag(name[0].lower())
+                at = begin = end + 1
+            elif name := _TAG_NAME.match(page, at + 1):
+                self.handle_data(page[begin:at])
+                at = begin = self.start(page, name[0].lower(), name.end())
+                if at < 0:
+                    return
+            else:
+                at += 1
+        self.handle_data(page[begin:])
+
+    def start(self, page: str, tag: str, at: int) -> int:
+        """A start tag whose name ends at this place; where the text goes on, -1 if it never does."""
+        attrs: dict[str, str] = {}
+        while True:
+            m = _ATTRIBUTE.match(page, at)
+            if not m:
+                return -1
+            at = m.end()
+            if m[1]:
+                break
+            name = m[2].lower()
+            if name not in attrs:
+                attrs[name] = characters(m[m.lastindex] if m.lastindex > 2 else "")
+        self.handle_starttag(tag, attrs)
+        closed = page[at - 2] == "/"
+        if tag in _RAW and not closed:
+            end = _RAW_END[tag].search(page, at)
+            return end.start() if end else -1
+        if tag in _RAW:
+            self.handle_endtag(tag)
+        return at
+
     def flush(self) -> None:
         if self.parts:
-            self.held.append((self.container, self.parts))
-        self.parts = []
+            self.held.append((self.container, self.parts, self.headline))
+        self.parts, self.headline = [], False
 
     def pop(self) -> None:
         tag = self.open.pop()[0]
@@ -99,17 +182,20 @@ class _Page(HTMLParser):
         self.in_link -= tag == "a"
         self.hidden, self.container, self.cover = self.open[-1][1:] if self.open else (False, 0, 0)
 
-    def unwanted(self, tag: str, attrs: dict[str, str | None]) -> bool:
+    def unwanted(self, tag: str, attrs: dict[str, str]) -> bool:
         if tag in _HIDDEN and tag != "form" or tag == "header" and not self.where.get("article") and not self.where.get("main"):
             return True
-        return "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true"
+        return "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true"
 
-    def covering(self, tag: str, attrs: dict[str, str | None]) -> bool:
-        if tag == "form" or (attrs.get("role") or "").lower() in _ROLES:
-            return True
-        return tag not in ("html", "body", "article", "main") and _boilerplate(attrs)
+    def covering(self, tag: str, attrs: dict[str, str]) -> tuple[bool, int] | None:
+        """Whether the cover that the element is stands for a form, and the container in which only its name hides it, or -1."""
+        role = attrs.get("role", "").lower()
+        if tag == "form" or role in _ROLES:
+            return tag == "form" or role == "form", -1
+        word = _boilerplate(attrs) if tag not in ("html", "body", "article", "main") else None
+        return (False, self.container if word in _SOFT else -1) if word else None
 
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+    def handle_starttag(self, tag: str, given: dict[str, str]) -> None:
         if tag in _VOID:
             if tag in _BLOCKS:
                 self.flush()
@@ -125,15 +211,14 @@ class _Page(HTMLParser):
                 break
         if tag in _BLOCKS:
             self.flush()
-        given = dict(attrs)
         hidden, container, cover = self.hidden or self.unwanted(tag, given), self.container, self.cover
-        if not hidden and self.covering(tag, given):
-            self.covers.append((cover, tag == "form" or (given.get("role") or "").lower() == "form"))
+        if not hidden and (kind := self.covering(tag, given)):
+            self.covers.append((cover, *kind))
             cover = len(self.covers) - 1
-        if tag in ("article", "main") and not hidden and _BOILERPLATE.isdisjoint(_NAMES.split(f"{given.get('class') or ''} {given.get('id') or ''}".lower())):
+        if tag in ("article", "main") and not hidden and _BOILERPLATE.isdisjoint(_NAMES.split(f"{given.get('class', '')} {given.get('id', '')}".lower())):
             self.articles.append(cover)
         if tag in _CONTAINERS and not hidden:
-            names = sorted({_DIGITS.sub("#", c).replace(">", "") for c in (given.get("class") or "").lower().split()})
+            names = sorted({_DIGITS.sub("#", c).replace(">", "") for c in given.get("class", "").lower().split()})
             path = f"{self.paths[container]}>{'.'.join([tag, *names])}"
             self.paths.append(path if len(path) <= _LONG_PATH else f"#{xxhash.xxh3_128_hexdigest(path)}")
             self.parents.append(container)
@@ -148,11 +233,6 @@ class _Page(HTMLParser):
         self.in_link += tag == "a"
         self.hidden, self.container, self.cover = hidden, container, cover
 
-    def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag in ("script", "style"):
-            self.handle_endtag(tag)
-
     def handle_endtag(self, tag: str) -> None:
         if not self.where.get(tag):
             return
@@ -163,13 +243,16 @@ class _Page(HTMLParser):
             self.pop()
 
     def handle_data(self, data: str) -> None:
-        if not self.hidden:
+        if data and not self.hidden:
+            data = characters(data)
             self.parts.append((self.cover, data, self.in_link > 0))
+            if self.where.get("h1") and not data.isspace():
+                self.headline = True
 
     def lifted(self) -> set[int]:
         """Covers that are no boilerplate: those around the page's only articles, forms with most of its text, others with nearly all of it."""
         texts = [0] * len(self.covers)
-        for _, parts in self.held:
+        for _, parts, _ in self.held:
             for cover, text, link in parts:
                 texts[cover] += 0 if link else len(text.strip())
         bare, total, inside = texts[0], sum(texts), list(texts)
@@ -186,19 +269,38 @@ class _Page(HTMLParser):
                 found.add(k)
         return found
 
-    def finish(self) -> _Page:
-        self.close()
-        while self.open:
-            self.pop()
-        self.flush()
-        shown = self.lifted() if len(self.covers) > 1 else set()
-        seen = [True]
+    def prose(self, region: list[bool]) -> set[int]:
+        """Covers that names alone hide, within the region, and that hold prose rather than links."""
+        texts, links = [[] for _ in self.covers], [0] * len(self.covers)
+        for _, parts, _ in self.held:
+            for cover, text, link in parts:
+                texts[cover].append(text)
+                links[cover] += len(text) if link else 0
+        found: set[int] = set()
+        for k, (_, _, around) in enumerate(self.covers):
+            if around >= 0 and region[around]:
+                text = _SPACE.sub(" ", "".join(texts[k])).strip()
+                if links[k] <= len(text) / 2 and (text.count(" ") + 1 >= _PROSE_WORDS or _SENTENCE.search(text)):
+                    found.add(k)
+        return found
+
+    def assembled(self, shown: set[int]) -> list[tuple[int, str, float, bool]]:
+        """The blocks, with the text of these covers and of none."""
+        seen, out = [True], []
         for k in range(1, len(self.covers)):
             seen.append(k in shown and seen[self.covers[k][0]])
-        for container, parts in self.held:
+        for container, parts, headline in self.held:
             text = _SPACE.sub(" ", "".join(x for cover, x, _ in parts if seen[cover])).strip()
             if text:
-                self.blocks.append((container, text, min(1.0, sum(len(x) for cover, x, link in parts if link and seen[cover]) / len(text))))
+                out.append((container, text, min(1.0, sum(len(x) for cover, x, link in parts if link and seen[cover]) / len(text)), headline))
+        return out
+
+    def finish(self) -> _Page:
+        while self.open:
+            self.pop()
+        self.flush()
+        self.shown = self.lifted() if len(self.covers) > 1 else set()
+        self.blocks = self.assembled(self.shown)
         return self
 
 
@@ -211,7 +313,7 @@ def parsed(html: str | None) -> _Page:
 def _worth(page: _Page) -> dict[int, float]:
     """The text that each container's own blocks hold, less link text."""
     own: dict[int, float] = {}
-    for container, text, links in page.blocks:
+    for container, text, links, _ in page.blocks:
         own[container] = own.get(container, 0.0) + len(text) * (1 - links)
     return own
 
@@ -254,7 +356,7 @@ def extract(html: str | None, paths: list[str] | None) -> str:
     page = parsed(html)
     own = votes(page)
     if not own:
-        return "\n\n".join(text for _, text, _ in page.blocks)
+        return "\n\n".join(text for _, text, _, _ in page.blocks)
     count, held = len(page.paths), _worth(page)
     alone, text_in_all = {p: x for p, _, x in own}, sum(held.values())
     known = set(page.paths)
@@ -285,21 +387,36 @@ def extract(html: str | None, paths: list[str] | None) -> str:
         regions = {up}
     else:  # several under the body, some of them articles
         regions = {t if article[t] is None else article[t] for t in tops}
-    # Within a region, a side container that is mostly links stays out; around it, the text that stands beside it (a title) comes along.
-    text, linked = [0.0] * count, [0.0] * count
-    for container, block, links in page.blocks:
-        text[container] += len(block)
-        linked[container] += len(block) * links
-    text, linked, in_top = _up(page, text), _up(page, linked), _down(page, lambda k: k in tops)
-    listed = _down(page, lambda k: linked[k] > text[k] / 2 and k not in regions and not holds[k] and not in_top[k])
+    in_region = _down(page, lambda k: k in regions)
+    blocks = page.blocks
+    if len(page.covers) > 1 and (more := page.prose([x and page.tags[k] not in ("", "body", "html") for k, x in enumerate(in_region)])):
+        blocks = page.assembled(page.shown | more)
+    # Around a region, the text that stands beside it (a title) comes along; without an article the prose next to it as well.
     beside: set[int] = set()
     for k in regions:
         while (k := page.parents[k]) > 0 and k not in beside:
             beside.add(k)
     beside = {k for k in beside if page.tags[k] != "body"}
-    in_region = _down(page, lambda k: k in regions)
-    inside = [k in beside or in_region[k] and not listed[k] for k in range(count)]
-    return "\n\n".join(block for container, block, links in page.blocks if inside[container] and (links < 0.5 or container not in beside))
+    titled = any(headline and in_region[container] for container, _, _, headline in blocks)
+    alone = all(article[k] is None for k in regions)
+    # In a region that is no article, a side container that is mostly links stays out.
+    text, linked = [0.0] * count, [0.0] * count
+    for container, block, links, _ in blocks if alone else ():
+        text[container] += len(block)
+        linked[container] += len(block) * links
+    text, linked, in_top = _up(page, text), _up(page, linked), _down(page, lambda k: k in tops)
+    listed = _down(page, lambda k: linked[k] > text[k] / 2 and k not in regions and not holds[k] and not in_top[k])
+    out = []
+    for container, block, links, headline in blocks:
+        if in_region[container]:
+            wanted = not listed[container]
+        elif links >= 0.5 or _RIGHTS.match(block):
+            wanted = False
+        else:
+            wanted = container in beside or headline and not titled or alone and article[container] is None and bool(_SENTENCE.search(block))
+        if wanted:
+            out.append(block)
+    return "\n\n".join(out)
 
 
 @F.udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("share", T.DoubleType()), T.StructField("own", T.DoubleType())])), useArrow=True)
