@@ -40,13 +40,14 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors.
+    """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors. Packed with zstd: texts take
+    two thirds of what they take by default.
 
     What a result still reads cannot be deleted here; left() and release() let a caller do so when the result is no longer needed.
     """
     name = f"{tag}-{uuid.uuid4().hex}"
     path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _LEFT[name] = path
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -56,14 +57,14 @@ def _delete(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def _names(df: DataFrame) -> set[str]:
+def names(df: DataFrame) -> set[str]:
     """The written tables that df reads."""
     return {f.split("/")[-2] for f in df.inputFiles()} & _LEFT.keys()
 
 
 def dropped(df: DataFrame) -> None:
     """Delete the files of a table made by written()."""
-    for name in _names(df):
+    for name in names(df):
         _delete(df.sparkSession, name)
 
 
@@ -72,9 +73,9 @@ def left() -> set[str]:
     return set(_LEFT)
 
 
-def release(spark: SparkSession, names: set[str], reading: DataFrame | None = None) -> None:
+def release(spark: SparkSession, tables: set[str], reading: DataFrame | None = None) -> None:
     """Delete these tables, but for those that a table still in use reads."""
-    for name in names & _LEFT.keys() - (_names(reading) if reading is not None else set()):
+    for name in (tables - (names(reading) if reading is not None else set())) & _LEFT.keys():
         _delete(spark, name)
 
 

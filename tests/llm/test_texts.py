@@ -526,3 +526,15 @@ def test_written_tables_are_released(spark):
     assert common.left() == before
     with pytest.raises(Exception, match="(?i)exist|found"):
         two.count()
+
+
+def test_results_of_stages_stay_readable_side_by_side(spark):
+    """A stage deletes nothing that another stage's result still reads; run() leaves only what its result reads."""
+    import corpus_pipeline
+    from setcast.llm import common
+
+    one = docs(spark, [(k, f"some words of text number {k} in one table", "en", "a") for k in range(20)])
+    two = docs(spark, [(k, f"other words for text {k} in a second table", "en", "b") for k in range(30)])
+    a, b = corpus_pipeline.near_duplicates(spark, one, ""), corpus_pipeline.near_duplicates(spark, two, "")
+    c = corpus_pipeline.personal_data(spark, a, "")
+    assert a.count() == c.count() > 0 and b.count() > 0
