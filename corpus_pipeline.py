@@ -7,38 +7,18 @@ return the columns of documents; each works on all that the one before it kept.
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setcast.llm import bpe, langid, mixing, pii, simhash
-from setcast.llm.common import left, release, table, written
+from setcast.llm.common import left, names, release, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Words that the last stage folds beforehand: fewer than the operator's own, for the driver's memory after four other stages. They bear on speed alone.
 COMMON_WORDS = 1 << 17
-#: Working tables of the last stage that ran.
-_working: set[str] = set()
 
 
-def _stage(function: Stage) -> Stage:
-    """The working tables of the stage before are deleted as this one begins, unless its docs still read them: write a stage's rows before the next."""
-
-    @wraps(function)
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release(spark, _working, reading=docs)
-        before = left()
-        out = function(spark, docs, sf_dir)
-        _working.update(left() - before)
-        _working.intersection_update(left())
-        return out
-
-    return run
-
-
-
-@_stage
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that can be told stay, lang becomes the language found; null texts and those without a letter go.
 
@@ -49,7 +29,6 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.select(*((F.col("found.lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
-@_stage
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: that with the smallest id, among several of one id that with the smallest hash of its columns.
 
@@ -58,14 +37,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return simhash.survivors(docs)
 
 
-@_stage
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; no document goes. Null and empty texts stay as they are, overlapping spans are replaced by
     the first's kind, repeated rows alike; texts of any length are searched whole; an empty table stays empty."""
     return pii.masked(docs)
 
 
-@_stage
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them, those taken twice in two rows.
 
@@ -75,7 +52,6 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed_texts(docs)
 
 
-@_stage
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, the token ids, their number, and the digests of ids and decoded bytes.
 
@@ -101,8 +77,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again, but for the last."""
+    """All stages over documents, each written to the shared folder and read again, but for the last. Once a stage's rows are written, its
+    working tables and its docs are deleted; tables of other results are left alone. What the result reads stays: the caller may delete it by
+    setcast.llm.common.release(). A stage that is called by itself deletes nothing that its result reads."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
+        before = left() - names(docs)
         docs = written(stage(spark, docs, sf_dir), name.split()[0].lower())
+        release(spark, left() - before, reading=docs)
     return STAGES[-1][1](spark, docs, sf_dir)

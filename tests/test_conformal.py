@@ -22,7 +22,9 @@ def golden(spark):
         for line in lines:
             *p, y = map(int, line.split())
             rows.append((len(rows), split, y, 1.0, [x / 16 for x in p]))
-    return conformal.ranked(spark.createDataFrame(rows, "sample_id long, split string, y int, u double, p array<double>")).cache()
+    kept = conformal.ranked(spark.createDataFrame(rows, "sample_id long, split string, y int, u double, p array<double>")).cache()
+    yield kept
+    kept.unpersist(blocking=True)
 
 
 @pytest.mark.parametrize(
@@ -85,6 +87,7 @@ def test_sets_nest_and_raps_without_penalty_is_aps(spark):
         assert members == by["APS", alpha, i] and (alpha == 0.05 or members <= by[method, 0.05, i])
     again = conformal.compare_methods(rows.repartition(5)).collect()
     assert sorted(map(str, again)) == sorted(map(str, conformal.compare_methods(rows).collect()))
+    rows.unpersist(blocking=True)
 
 
 def test_preparation(spark):
