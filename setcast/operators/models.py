@@ -1,14 +1,15 @@
 """Classifiers that give a probability per encoded class.
 
-The centroid model is portable: nearest class mean with a softmax, in plain expressions. The others wrap MLlib. Names whose libraries
-are not installed raise, which the harness turns into an error row.
+The centroid model is portable: nearest class mean with a softmax, in plain expressions. xgboost, lightgbm and catboost name the ways of growing
+trees in boosting.py, with those libraries' usual parameters. The others wrap MLlib. Names whose weights
+are not available raise, which the harness turns into an error row.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -20,13 +21,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from setcast.operators import boosting, codes
+
 #: Digits that probabilities are rounded to, so that engines agree on ties and thresholds.
 DIGITS = 9
 SHARPNESS = 10.0
 SUPPORT = 5_000
 NEIGHBOURS = 15
 NAMES = ("dummy", "linear", "rf", "xgboost", "lightgbm", "catboost", "tabpfn", "tabicl", "centroid", "gbt", "knn")
-_ABSENT = {"xgboost": "xgboost", "lightgbm": "lightgbm", "catboost": "catboost", "tabpfn": "tabpfn", "tabicl": "tabicl"}
+_ABSENT = {"tabpfn": "tabpfn", "tabicl": "tabicl"}
+_BOOSTED = {"xgboost": boosting.LEVEL_WISE, "lightgbm": boosting.LEAF_WISE, "catboost": boosting.SYMMETRIC}
+#: A name that starts so is a model over output codes.
+CODED = "coded-"
 
 
 def _matrix(rows: list) -> Column:
@@ -39,20 +45,47 @@ class Centroids:
 
     means: list[list[float] | None]
 
-    def probabilities(self, features: Column) -> Column:
+    def probabilities(self, features: Column, digits: int | None = DIGITS) -> Column:
+        shown = lambda v: v if digits is None else F.round(v, digits)
         x = F.transform(features, lambda v: v.cast("double"))
         minus = F.transform(_matrix(self.means), lambda c: -SHARPNESS * F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
         powers = F.transform(F.array(minus), lambda z: F.transform(z, lambda v: F.coalesce(F.exp(v - F.array_max(z)), F.lit(0.0))))
-        return F.element_at(F.transform(powers, lambda e: F.transform(e, lambda v: F.round(v / F.aggregate(e, F.lit(0.0), lambda s, d: s + d), DIGITS))), 1)
+        return F.element_at(F.transform(powers, lambda e: F.transform(e, lambda v: shown(v / F.aggregate(e, F.lit(0.0), lambda s, d: s + d)))), 1)
+
+
+def _class_sums(train: DataFrame) -> dict[int, tuple[int, list[float]]]:
+    """Rows and sums of each dimension by class, in one aggregation that is combined before the shuffle; the driver gets a number per class and dimension."""
+    rows = train.select("class_idx", F.posexplode("features").alias("d", "x")).groupBy("class_idx", "d").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("s")).collect()
+    out: dict[int, tuple[int, list[float]]] = {}
+    for r in sorted(rows, key=lambda r: r["d"]):
+        out.setdefault(r["class_idx"], (r["n"], []))[1].append(r["s"])
+    return out
+
+
+def _means(sums: dict[int, tuple[int, list[float]]], groups: list[list[int]]) -> Centroids:
+    """The mean of the rows of each group of classes."""
+    means: list[list[float] | None] = []
+    for own in groups:
+        found = [sums[k] for k in own if k in sums]
+        n = sum(x[0] for x in found)
+        means.append([sum(x) / n for x in zip(*(x[1] for x in found), strict=True)] if n else None)
+    return Centroids(means)
 
 
 def fit_centroids(train: DataFrame, n_classes: int) -> Centroids:
-    """train(features, class_idx): one aggregation with a mean per dimension, combined before the shuffle."""
-    first = train.select(F.size("features")).first()
-    dims = first[0] if first else 0
-    rows = train.groupBy("class_idx").agg(*(F.avg(F.get("features", F.lit(d)).cast("double")).alias(f"d{d}") for d in range(dims))).collect()
-    means = {r["class_idx"]: [r[f"d{d}"] for d in range(dims)] for r in rows}
-    return Centroids([means.get(k) for k in range(n_classes)])
+    """train(features, class_idx), features of one length."""
+    return _means(_class_sums(train), [[k] for k in range(n_classes)])
+
+
+def coded_centroids(train: DataFrame, score: DataFrame, n_classes: int, digits: int | None = DIGITS) -> DataFrame:
+    """Output codes over centroids: the models of all places come from one aggregation, as a sign's mean is that of its classes."""
+    book, sums = codes.code_book(n_classes), _class_sums(train)
+    places = []
+    for j in range(len(book[0])):
+        signs, n = codes.signs(book, j)
+        model = _means(sums, [[k for k, s in enumerate(signs) if s == sign] for sign in range(n)])
+        places.append(model.probabilities(F.col("features"), None))
+    return score.withColumn("p", codes.decoded(places, book, digits))
 
 
 def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes: int, n_estimators: int = 500, seed: int = 0) -> DataFrame:
@@ -65,6 +98,13 @@ def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes:
     if name == "dummy":
         top = train.groupBy("class_idx").count().orderBy(F.desc("count"), "class_idx").first()
         return score.withColumn("p", F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda k: (k == top["class_idx"]).cast("double")))
+    if name in _BOOSTED:
+        return score.withColumn("p", boosting.fit(train, n_classes, n_estimators, replace(_BOOSTED[name], seed=seed)).probabilities(F.col("features"), DIGITS))
+    if name == f"{CODED}centroid" and n_classes > codes.ALPHABET:
+        return coded_centroids(train, score, n_classes)
+    if name.startswith(CODED):
+        base = lambda t, s, k: with_probabilities(name.removeprefix(CODED), t, s, k, n_estimators, seed)
+        return codes.with_probabilities(base, train, score, n_classes)
     if name == "knn":
         return _neighbours(train, score, n_classes)
     vector = lambda df: df.withColumn("v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
@@ -77,7 +117,7 @@ def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes:
     elif name == "gbt":
         model = OneVsRest(classifier=GBTClassifier(maxIter=n_estimators, maxDepth=4, seed=seed), featuresCol="v", labelCol="class_idx")
     else:
-        raise ValueError(f"unknown model {name!r}; there are {', '.join(NAMES)}")
+        raise ValueError(f"unknown model {name!r}; there are {', '.join(NAMES)}, and {CODED}NAME over output codes")
     out = model.fit(vector(train)).transform(vector(score))
     if name == "gbt":  # margins only: a softmax makes them comparable
         margins = vector_to_array("rawPrediction")

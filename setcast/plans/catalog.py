@@ -6,10 +6,12 @@ six digits in both engines.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setcast.operators import conformal, grid, metrics, models, prep
+from setcast.operators import boosting, codes, conformal, grid, metrics, models, prep
 from setcast.sources import tables
 
 FLAGSHIP = "compare_methods"
@@ -183,6 +185,28 @@ def _model_metrics(name, **options):
     return run
 
 
+#: The query of histogram boosting: one round on given edges, which SQL can follow.
+_EDGES, _ONE_ROUND = (-0.2, -0.1, 0.0, 0.1, 0.2), boosting.Growth(depth=2)
+#: Classes of the query over output codes.
+_MANY = 22
+
+
+def _boosted(how, edges=None, rounds=1):
+    def run(spark, folder):
+        rows, k = encoded(spark, folder)
+        model = boosting.fit(rows.where("split = 'train'"), k, rounds, how, [edges] * 64 if edges else None)
+        scored = rows.where("split <> 'train'").withColumn("p", model.probabilities(F.col("features")))
+        return _rounded(_long(scored, "p", "p"))
+
+    return run
+
+
+def output_code_probs(spark, folder):
+    """The centroid model over output codes, for classes made from labels and ids."""
+    rows = tables.samples(spark, folder).withColumn("class_idx", F.expr(f"CAST((code * 3 + sample_id DIV 10) % {_MANY} AS INT)"))
+    return _rounded(_long(models.coded_centroids(rows.where("split = 'train'"), rows.where("split <> 'train'"), _MANY, None), "p", "p"))
+
+
 QUERIES = {
     "load_clean": load_clean,
     "split_sizes": lambda s, d: prep.split_sizes(tables.samples(s, d)),
@@ -223,6 +247,10 @@ QUERIES = {
     "rf_metrics": _model_metrics("rf", n_estimators=500),
     "knn_metrics": _model_metrics("knn"),
     "gbt_metrics": _model_metrics("gbt", n_estimators=3),
+    "hist_boost_probs": _boosted(_ONE_ROUND, _EDGES),
+    "leaf_boost_probs": _boosted(replace(boosting.LEAF_WISE, leaves=8), rounds=1),
+    "symmetric_boost_probs": _boosted(replace(boosting.SYMMETRIC, depth=4), rounds=2),
+    "output_code_probs": output_code_probs,
 }
 
 # SQL, from common table expressions that build on each other.
@@ -312,7 +340,54 @@ _POINTS = """points AS (
 )"""
 _CELL = "CAST(floor(x / {0}.0) AS BIGINT) AS cx, CAST(floor(y / {0}.0) AS BIGINT) AS cy"
 
+_DIMS = f"""{_SAMPLES}, dims AS (
+  SELECT sample_id, split, class_idx AS y, CAST(unnest(features) AS DOUBLE) AS x, generate_subscripts(features, 1) - 1 AS d FROM samples JOIN classes USING (code)
+)"""
+
+
+def _level(n: int, nodes: str) -> str:
+    """Sums of a level's nodes(sample_id, cls, node), their prefix sums, and each node's best split."""
+    won = "({0}) * ({0}) / (({1}) + 1.0)"
+    g, h, lg, lh = (f"{c} / 67108864.0::DOUBLE" for c in ("g", "h", "lg", "lh"))
+    gained = f"{won.format(lg, lh)} + {won.format(f'{g} - {lg}', f'{h} - {lh}')} - {won.format(g, h)}"
+    return f"""sums{n} AS MATERIALIZED (
+  SELECT cls, node, d, bin, CAST(sum(g) AS BIGINT) AS g, CAST(sum(h) AS BIGINT) AS h FROM {nodes} JOIN grads USING (sample_id, cls) JOIN bins USING (sample_id) GROUP BY cls, node, d, bin
+), upto{n} AS (
+  SELECT cls, node, d, bin, CAST(sum(g) OVER w AS BIGINT) AS lg, CAST(sum(h) OVER w AS BIGINT) AS lh, CAST(sum(g) OVER (PARTITION BY cls, node, d) AS BIGINT) AS g, CAST(sum(h) OVER (PARTITION BY cls, node, d) AS BIGINT) AS h
+  FROM sums{n} WINDOW w AS (PARTITION BY cls, node, d ORDER BY bin)
+), best{n} AS MATERIALIZED (
+  SELECT * FROM (SELECT *, {gained} AS won FROM upto{n} WHERE {lh} >= 1 AND {h} - {lh} >= 1) WHERE won > 1e-6
+  QUALIFY row_number() OVER (PARTITION BY cls, node ORDER BY won DESC, d, bin) = 1
+), totals{n} AS (SELECT DISTINCT cls, node, g, h FROM upto{n})"""
+
+
+_BOOST = f"""{_DIMS}, bins AS MATERIALIZED (
+  SELECT sample_id, split, d, {" + ".join(f"CAST(x > CAST({e} AS DOUBLE) AS INTEGER)" for e in _EDGES)} AS bin FROM dims
+), k AS (SELECT CAST(1 AS DOUBLE) / count(*) AS p FROM classes), grads AS MATERIALIZED (
+  SELECT sample_id, class_idx AS cls, CAST(round((p - CAST(y = class_idx AS INTEGER)) * 67108864) AS BIGINT) AS g, CAST(round(2 * p * (1 - p) * 67108864) AS BIGINT) AS h
+  FROM (SELECT DISTINCT sample_id, y FROM dims WHERE split = 'train') CROSS JOIN classes CROSS JOIN k
+), nodes0 AS (SELECT sample_id, class_idx AS cls, 0 AS node FROM samples CROSS JOIN classes), {_level(0, "nodes0")}, nodes1 AS MATERIALIZED (
+  SELECT n.sample_id, n.cls, CASE WHEN b.d IS NULL THEN 0 WHEN x.bin <= b.bin THEN 1 ELSE 2 END AS node
+  FROM nodes0 n LEFT JOIN best0 b USING (cls) LEFT JOIN bins x ON x.sample_id = n.sample_id AND x.d = b.d
+), {_level(1, "nodes1")}, leaves AS (
+  SELECT n.sample_id, n.cls, CASE WHEN n.node = 0 OR b.d IS NULL THEN t.g WHEN x.bin <= b.bin THEN b.lg ELSE b.g - b.lg END AS g,
+    CASE WHEN n.node = 0 OR b.d IS NULL THEN t.h WHEN x.bin <= b.bin THEN b.lh ELSE b.h - b.lh END AS h
+  FROM nodes1 n LEFT JOIN totals1 t USING (cls, node) LEFT JOIN best1 b USING (cls, node) LEFT JOIN bins x ON x.sample_id = n.sample_id AND x.d = b.d
+), margins AS (SELECT sample_id, cls, coalesce(-0.3 * (g / 67108864.0::DOUBLE) / (h / 67108864.0::DOUBLE + 1), 0) AS m FROM leaves)"""
+_CODED = f"""{_SAMPLES}, many AS (SELECT sample_id, split, (code * 3 + sample_id // 10) % {_MANY} AS y, features FROM samples), dims AS (
+  SELECT sample_id, split, y, CAST(unnest(features) AS DOUBLE) AS x, generate_subscripts(features, 1) AS d FROM many
+), book(k, j, s) AS (VALUES {", ".join(f"({k}, {j}, {s})" for k, w in enumerate(codes.code_book(_MANY)) for j, s in enumerate(w))}), centroids AS (
+  SELECT j, s, d, avg(x) AS c FROM dims JOIN book ON k = y WHERE split = 'train' GROUP BY j, s, d
+), minus AS (
+  SELECT sample_id, j, s, -10.0 * sum((x - c) * (x - c)) AS z FROM dims JOIN centroids USING (d) WHERE split <> 'train' GROUP BY sample_id, j, s
+), powers AS (SELECT sample_id, j, s, exp(z - max(z) OVER (PARTITION BY sample_id, j)) AS e FROM minus), signs AS (
+  SELECT sample_id, j, s, e / sum(e) OVER (PARTITION BY sample_id, j) AS p FROM powers
+), logs AS (SELECT sample_id, k AS class_idx, sum(ln(greatest(p, 1e-9))) AS z FROM signs JOIN book USING (j, s) GROUP BY sample_id, k)"""
+
 SQL = {
+    "hist_boost_probs": f"""WITH {_BOOST} SELECT sample_id, cls AS class_idx, round(exp(m) / sum(exp(m)) OVER (PARTITION BY sample_id), 6) AS p
+FROM margins JOIN samples USING (sample_id) WHERE split <> 'train'""",
+    "output_code_probs": f"WITH {_CODED} SELECT sample_id, class_idx, round(exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY sample_id), 6) AS p FROM (SELECT *, max(z) OVER (PARTITION BY sample_id) AS top FROM logs)",
     "grid_resample": f"WITH {_POINTS} SELECT {_CELL.format(50)}, count(*) AS n, round(avg(value), 6) AS value FROM points GROUP BY cx, cy",
     "grid_align": f"""WITH {_POINTS}, a AS (SELECT {_CELL.format(20)}, avg(value) AS first FROM points WHERE kind = 1 GROUP BY cx, cy), b AS (
   SELECT {_CELL.format(20)}, avg(value) AS second FROM points WHERE kind = 3 AND value > 40 GROUP BY cx, cy)

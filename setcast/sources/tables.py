@@ -5,6 +5,8 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,6 +66,36 @@ def cached(spark: SparkSession, folder: str, config: dict, make, refit: bool = F
     return spark.read.parquet(path)
 
 
+_OWN_FOLDERS: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: spark.checkpoint.dir, or a local one where none is set and Spark runs in one process."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("Set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if spark.sparkContext.applicationId not in _OWN_FOLDERS:
+        _OWN_FOLDERS[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="setcast-core-")
+    return _OWN_FOLDERS[spark.sparkContext.applicationId]
+
+
+def settled(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read again: its lineage is cut, and it outlives lost executors."""
+    path = f"{shared_folder(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def removed(df: DataFrame) -> None:
+    """Delete the files of a table made by settled(); nothing may read it any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     """A small result table as one CSV with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)

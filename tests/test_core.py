@@ -82,8 +82,8 @@ def test_seeded_uniforms(spark):
 def test_harness_logs_each_model(spark, tmp_path):
     log, out, before = f"{tmp_path}/log", f"{tmp_path}/csv", persisted(spark)
     for _ in range(2):
-        found = harness.benchmark(spark, FOLDER, ["dummy", "xgboost", "centroid"], log, max_train=90, max_val=40, csv=out).collect()
-        assert [r["model"] for r in found] == ["dummy", "xgboost", "centroid"] and found[1]["error"] and found[2]["f1_macro"] >= 0 and found[0]["n_train_used"] == 90
+        found = harness.benchmark(spark, FOLDER, ["dummy", "tabicl", "centroid"], log, max_train=90, max_val=40, csv=out).collect()
+        assert [r["model"] for r in found] == ["dummy", "tabicl", "centroid"] and found[1]["error"] and found[2]["f1_macro"] >= 0 and found[0]["n_train_used"] == 90
     logged = spark.read.parquet(log)
     assert logged.count() == 6 and logged.select("run").distinct().count() == 2 and spark.read.parquet(f"{log}-config").count() == 2
     (file,) = glob.glob(f"{out}/*.csv")
