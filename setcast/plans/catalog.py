@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setcast.operators import boosting, codes, conformal, grid, metrics, models, prep
+from setcast.operators import boosting, codes, conformal, grid, metrics, models, prep, regions
 from setcast.sources import tables
 
 FLAGSHIP = "compare_methods"
@@ -171,6 +171,16 @@ def focal_mode(spark, folder):
     return grid.smooth(rows, "kind", F.col("n") % 2 == 0)
 
 
+def _kind_cells(spark, folder):
+    """Cells of 50 units with the class of their smallest key; not all are there."""
+    rows = _points(spark, folder).groupBy(grid.cell("x", 50).alias("cx"), grid.cell("y", 50).alias("cy")).agg(F.min_by("kind", F.struct("key", "kind")).alias("kind"))
+    return rows.where("(cx * 7 + cy * 3) % 11 > 0")
+
+
+#: Cells along a tile's side in the query, so that its regions span tiles.
+_QUERY_TILE = 8
+
+
 def above_line(spark, folder):
     customer = tables.table(spark, folder, "customer")
     line = customer.where("c_nationkey > 2").groupBy("c_nationkey").agg(F.max("c_acctbal").alias("most")).select("c_nationkey", (F.col("most") / 2).alias("line"))
@@ -220,6 +230,8 @@ QUERIES = {
     "background_fill": background_fill,
     "focal_mode": focal_mode,
     "above_line": above_line,
+    "region_components": lambda s, d: regions.regions(_kind_cells(s, d), _QUERY_TILE),
+    "region_outlines": lambda s, d: regions.outlines(regions.regions(_kind_cells(s, d), _QUERY_TILE)),
     "dummy_predict": dummy_predict,
     "centroid_probs": lambda s, d: _rounded(_long(probs(s, d), "p", "p")),
     "class_ranks": lambda s, d: _long(_ranked(s, d), "ranks", "rank"),
@@ -384,7 +396,31 @@ _CODED = f"""{_SAMPLES}, many AS (SELECT sample_id, split, (code * 3 + sample_id
   SELECT sample_id, j, s, e / sum(e) OVER (PARTITION BY sample_id, j) AS p FROM powers
 ), logs AS (SELECT sample_id, k AS class_idx, sum(ln(greatest(p, 1e-9))) AS z FROM signs JOIN book USING (j, s) GROUP BY sample_id, k)"""
 
+_REGIONS = f"""{_POINTS}, cells AS MATERIALIZED (
+  SELECT * FROM (SELECT {_CELL.format(50)}, CAST(arg_min(kind, key * 10 + kind) AS BIGINT) AS kind FROM points GROUP BY cx, cy) WHERE (cx * 7 + cy * 3) % 11 > 0
+), reach(x0, y0, cx, cy, kind) AS (
+  SELECT cx, cy, cx, cy, kind FROM cells
+  UNION SELECT r.x0, r.y0, c.cx, c.cy, c.kind FROM reach r JOIN cells c ON c.kind = r.kind AND abs(c.cx - r.cx) + abs(c.cy - r.cy) = 1
+), regions AS MATERIALIZED (
+  SELECT cx, cy, kind, min(x0 * 1000 + y0) // 1000 AS region_x, min(x0 * 1000 + y0) % 1000 AS region_y FROM reach GROUP BY cx, cy, kind
+)"""
+_OUTLINES = f"""{_REGIONS}, sides AS MATERIALIZED (
+  SELECT region_x AS rx, region_y AS ry, cx + i AS x, cy + j AS y, way, cx + i2 AS x2, cy + j2 AS y2 FROM regions r
+  CROSS JOIN (VALUES (0, 0, 0, 1, 0, 0, -1), (1, 0, 1, 1, 1, 1, 0), (1, 1, 2, 0, 1, 0, 1), (0, 1, 3, 0, 0, -1, 0)) s(i, j, way, i2, j2, nx, ny)
+  WHERE NOT EXISTS (SELECT 1 FROM regions o WHERE o.cx = r.cx + nx AND o.cy = r.cy + ny AND o.region_x = r.region_x AND o.region_y = r.region_y)
+), numbered AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY rx, ry, x, y, way) AS e FROM sides), linked AS MATERIALIZED (
+  SELECT a.e, a.way <> b.way AS corner, b.e AS nxt FROM numbered a JOIN numbered b ON a.rx = b.rx AND a.ry = b.ry AND a.x2 = b.x AND a.y2 = b.y
+  QUALIFY count(*) OVER (PARTITION BY a.e) = 1 OR b.way = (a.way + 1) % 4
+), walk(first, e, step) AS (
+  SELECT e, e, 0 FROM numbered UNION ALL SELECT w.first, l.nxt, w.step + 1 FROM walk w JOIN linked l ON w.e = l.e WHERE l.nxt <> w.first
+), rings AS (SELECT first, count(*) AS n FROM walk GROUP BY first HAVING min(e) = first), areas AS (
+  SELECT first, n, sum(x * y2 - x2 * y) AS area FROM rings JOIN walk USING (first) JOIN numbered USING (e) GROUP BY first, n
+)"""
+
 SQL = {
+    "region_components": f"WITH RECURSIVE {_REGIONS} SELECT * FROM regions",
+    "region_outlines": f"""WITH RECURSIVE {_OUTLINES} SELECT s.rx AS region_x, s.ry AS region_y, f.x AS ring_x, f.y AS ring_y, area < 0 AS hole, CAST((step + 1) % n AS BIGINT) AS place, s.x2 AS x, s.y2 AS y
+FROM areas JOIN walk USING (first) JOIN numbered s USING (e) JOIN linked USING (e) JOIN numbered f ON f.e = areas.first WHERE corner""",
     "hist_boost_probs": f"""WITH {_BOOST} SELECT sample_id, cls AS class_idx, round(exp(m) / sum(exp(m)) OVER (PARTITION BY sample_id), 6) AS p
 FROM margins JOIN samples USING (sample_id) WHERE split <> 'train'""",
     "output_code_probs": f"WITH {_CODED} SELECT sample_id, class_idx, round(exp(z - top) / sum(exp(z - top)) OVER (PARTITION BY sample_id), 6) AS p FROM (SELECT *, max(z) OVER (PARTITION BY sample_id) AS top FROM logs)",
