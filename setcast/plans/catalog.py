@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setcast.operators import boosting, codes, conformal, grid, metrics, models, prep, regions
+from setcast.operators import boosting, codes, conformal, grid, metrics, models, polygons, prep, projection, regions
 from setcast.sources import tables
 
 FLAGSHIP = "compare_methods"
@@ -187,6 +187,53 @@ def above_line(spark, folder):
     return grid.above_line(customer, line, "c_nationkey", "c_acctbal", "line").groupBy("side").agg(F.count("*").alias("n"))
 
 
+def _shapes(spark, folder):
+    """A pentagon with a notch for each supplier, some with a hole."""
+    corner = lambda x, y: f"struct(CAST(x0 + {x} AS DOUBLE) AS x, CAST(y0 + {y} AS DOUBLE) AS y)"
+    ring = lambda points: f"array({', '.join(corner(*p) for p in points)})"
+    rows = tables.table(spark, folder, "supplier").selectExpr("s_suppkey AS zone", *(f"{e} AS {c}" for c, e in _SHAPE.items()))
+    return rows.selectExpr("zone", f"CASE WHEN zone % 3 = 0 THEN array({ring(_OUTLINE)}, {ring(_HOLE)}) ELSE array({ring(_OUTLINE)}) END AS rings")
+
+
+#: Corner and size of a supplier's shape, its points as steps from the corner, and points drawn.
+_SHAPE = {"x0": "s_suppkey * 37 % 900", "y0": "s_suppkey * 61 % 900", "w": "20 + s_suppkey % 50", "h": "20 + s_suppkey % 40"}
+_OUTLINE = (("0", "0"), ("w", "0"), ("w", "h"), ("floor(w / 2)", "floor(h / 3)"), ("0", "h"))
+_HOLE = (("floor(w / 4)", "2"), ("floor(w / 2)", "2"), ("floor(w / 4)", "5"))
+_DRAWN = 2000
+
+
+def polygon_points(spark, folder):
+    return _rounded(polygons.draw_points(_shapes(spark, folder), _DRAWN))
+
+
+def zone_areas(spark, folder):
+    """Areas that suppliers' L-shapes share with the fields of a 5 by 5 grid, added up by both."""
+    point = lambda x, y: f"struct(CAST({x} AS DOUBLE) AS x, CAST({y} AS DOUBLE) AS y)"
+    corners = (("x0", "y0"), ("x0 + w", "y0"), ("x0 + w", "y0 + floor(h / 2)"), ("x0 + floor(w / 2)", "y0 + floor(h / 2)"), ("x0 + floor(w / 2)", "y0 + h"), ("x0", "y0 + h"))
+    towns = tables.table(spark, folder, "supplier").selectExpr("s_suppkey", *(f"{e} AS {c}" for c, e in _SHAPE.items()))
+    towns = towns.selectExpr("s_suppkey % 20 AS town", "s_suppkey AS a", f"array(array({', '.join(point(*c) for c in corners)})) AS rings")
+    field = (("x", "y"), ("x", "y + 200"), ("x + 200", "y + 200"), ("x + 200", "y"))
+    fields = tables.table(spark, folder, "nation").selectExpr("n_nationkey AS b", "n_nationkey % 5 * 200 AS x", "floor(n_nationkey / 5) * 200 AS y").selectExpr("b", f"array(array({', '.join(point(*c) for c in field)})) AS rings")
+    found = polygons.overlay_areas(towns, fields, 100.0).join(towns.select("a", "town"), "a")
+    return _rounded(prep.area_rollup(found.withColumnRenamed("b", "field"), "town", "field", "area"))
+
+
+def _customers(spark, folder):
+    """Customers as points of zone 32."""
+    return tables.table(spark, folder, "customer").selectExpr("c_custkey AS id", "CAST(250000 + c_custkey * 7919 % 300000 AS DOUBLE) AS x", "CAST(6400000 + c_custkey * 104729 % 900000 AS DOUBLE) AS y", "c_nationkey < 5 AS present")
+
+
+def reprojection(spark, folder):
+    rows = projection.reprojected(_customers(spark, folder), 25832, 25833)
+    return rows.select("id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+
+
+def presence_tiles(spark, folder):
+    """Points of one kind by 10 km tile of another coordinate system; tiles with none of it have 0."""
+    rows = projection.tiled(projection.reprojected(_customers(spark, folder), 25832, 32633))
+    return rows.groupBy("tile_x", "tile_y").agg(F.count_if("present").alias("n"))
+
+
 def _model_metrics(name, **options):
     def run(spark, folder):
         pred = _predictions(spark, folder, name, **options)
@@ -232,6 +279,10 @@ QUERIES = {
     "above_line": above_line,
     "region_components": lambda s, d: regions.regions(_kind_cells(s, d), _QUERY_TILE),
     "region_outlines": lambda s, d: regions.outlines(regions.regions(_kind_cells(s, d), _QUERY_TILE)),
+    "polygon_points": polygon_points,
+    "zone_areas": zone_areas,
+    "reprojection": reprojection,
+    "presence_tiles": presence_tiles,
     "dummy_predict": dummy_predict,
     "centroid_probs": lambda s, d: _rounded(_long(probs(s, d), "p", "p")),
     "class_ranks": lambda s, d: _long(_ranked(s, d), "ranks", "rank"),
@@ -417,7 +468,77 @@ _OUTLINES = f"""{_REGIONS}, sides AS MATERIALIZED (
   SELECT first, n, sum(x * y2 - x2 * y) AS area FROM rings JOIN walk USING (first) JOIN numbered USING (e) GROUP BY first, n
 )"""
 
+_SQL_SHAPE = ", ".join(f"{e} AS {c}" for c, e in _SHAPE.items())
+
+
+def _sql_edges() -> str:
+    out = []
+    for k, ring in enumerate((_OUTLINE, _HOLE)):
+        for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1], strict=True):
+            point = [f"CAST({c} + {e} AS DOUBLE)" for c, e in (("x0", x1), ("y0", y1), ("x0", x2), ("y0", y2))]
+            out.append(f"SELECT zone, {k} AS ring, {point[0]} AS x1, {point[1]} AS y1, {point[2]} AS x2, {point[3]} AS y2 FROM shapes" + " WHERE zone % 3 = 0" * k)
+    return " UNION ALL ".join(out)
+
+
+_DRAWS = f"""shapes AS (SELECT s_suppkey AS zone, {_SQL_SHAPE} FROM supplier), edges AS MATERIALIZED ({_sql_edges()}), areas AS (
+  SELECT zone, sum(CASE WHEN ring = 0 THEN a ELSE -a END) AS area FROM (SELECT zone, ring, abs(sum(x1 * y2 - x2 * y1) / 2) AS a FROM edges GROUP BY zone, ring) GROUP BY zone
+), quotas AS (
+  SELECT zone, area, CAST(floor(upto * {_DRAWN} / total) - floor((upto - area) * {_DRAWN} / total) AS BIGINT) AS quota
+  FROM (SELECT zone, area, sum(area) OVER (ORDER BY zone) AS upto, sum(area) OVER () AS total FROM areas)
+), boxes AS (
+  SELECT zone, min(x1) AS l, min(y1) AS low, greatest(max(x1) - min(x1), max(y1) - min(y1)) / 16 AS side FROM edges GROUP BY zone
+), banded AS (
+  SELECT zone, l, low, side, b, x1, y1, x2, y2, low + b * side AS bottom, low + (b + 1) * side AS top FROM boxes JOIN edges USING (zone) CROSS JOIN range(16) r(b)
+), ends AS (
+  SELECT zone, l, low, side, b, CASE WHEN y1 = y2 THEN x1 ELSE x1 + (x2 - x1) * (greatest(least(y, top), bottom) - y1) / (y2 - y1) END AS x
+  FROM (SELECT *, unnest([y1, y2]) AS y FROM banded WHERE least(y1, y2) <= top AND greatest(y1, y2) >= bottom)
+  UNION ALL SELECT zone, l, low, side, b, unnest([x1, x2]) FROM banded WHERE y1 = y2 AND y1 <= top AND y1 >= bottom
+), bands AS (
+  SELECT zone, l, low, side, b, floor((min(x) - l) / side) AS first, least(floor((max(x) - l) / side), 15) - floor((min(x) - l) / side) + 1 AS n FROM ends GROUP BY zone, l, low, side, b
+), cover AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY zone ORDER BY b) - n AS upto, sum(n) OVER (PARTITION BY zone) AS total FROM bands), digests AS (
+  SELECT zone, quota, j, md5('0:' || zone || ':' || j) AS h FROM (SELECT zone, quota, unnest(range(40 * quota + 200)) AS j FROM quotas WHERE quota > 0)
+), drawn AS (
+  SELECT zone, quota, j, CAST('0x' || substr(h, 1, 8) AS BIGINT) / 4294967296.0::DOUBLE AS t, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0::DOUBLE AS u, CAST('0x' || substr(h, 17, 8) AS BIGINT) / 4294967296.0::DOUBLE AS v FROM digests
+), placed AS MATERIALIZED (
+  SELECT zone, quota, j, l + (first + floor(t * total) - upto + u) * side AS x, low + (b + v) * side AS y
+  FROM drawn JOIN cover USING (zone) WHERE floor(t * total) >= upto AND floor(t * total) < upto + n
+), kept AS (
+  SELECT zone, quota, j, x, y FROM placed JOIN edges USING (zone)
+  GROUP BY zone, quota, j, x, y HAVING count(*) FILTER (WHERE (y1 > y) <> (y2 > y) AND x > (x2 - x1) * (y - y1) / (y2 - y1) + x1) % 2 = 1
+)"""
+
+
+def _sql_series(grid, forward: bool, x: str, y: str) -> tuple[str, str]:
+    rows = grid.alpha if forward else grid.beta
+    sign = "+" if forward else "-"
+    return tuple(f"({first} {sign} ({' + '.join(f'{c!r}::DOUBLE * {f}(2 * {j} * {x}) * {g}(2 * {j} * {y})' for j, c in enumerate(rows, 1))}))" for first, f, g in ((x, "sin", "cosh"), (y, "cos", "sinh")))
+
+
+def _sql_reprojected(source: int, target: int) -> str:
+    """customers(id, x, y, present) in the other system, step by step."""
+    a, b = projection.SYSTEMS[source], projection.SYSTEMS[target]
+    xi, eta = _sql_series(a, False, "p", "q")
+    xi2, eta2 = _sql_series(b, True, "xi", "eta")
+    lat = " + ".join(f"{d!r}::DOUBLE * sin(2 * {j} * chi)" for j, d in enumerate(a.delta, 1))
+    return f"""customers AS (SELECT c_custkey AS id, 250000 + c_custkey * 7919 % 300000 AS x, 6400000 + c_custkey * 104729 % 900000 AS y, c_nationkey < 5 AS present FROM customer
+), s1 AS (SELECT id, present, y / {a.radius!r}::DOUBLE AS p, (x - {a.east!r}::DOUBLE) / {a.radius!r}::DOUBLE AS q FROM customers
+), s2 AS (SELECT id, present, {xi} AS xi, {eta} AS eta FROM s1
+), s3 AS (SELECT id, present, asin(sin(xi) / cosh(eta)) AS chi, {a.lon0!r}::DOUBLE + degrees(atan2(sinh(eta), cos(xi))) AS lon FROM s2
+), s4 AS (SELECT id, present, lon, sin(chi + {lat}) AS s, radians(lon - {b.lon0!r}::DOUBLE) AS turn FROM s3
+), s5 AS (SELECT id, present, turn, sinh(atanh(s) - {b.e!r}::DOUBLE * atanh({b.e!r}::DOUBLE * s)) AS t FROM s4
+), s6 AS (SELECT id, present, atan2(t, cos(turn)) AS xi, atanh(sin(turn) / sqrt(1 + t * t)) AS eta FROM s5
+), s7 AS (SELECT id, present, {b.east!r}::DOUBLE + {b.radius!r}::DOUBLE * {eta2} AS x, {b.radius!r}::DOUBLE * {xi2} AS y FROM s6)"""
+
+
+_SHARED = "greatest(0, least({1}, f.x + 200) - greatest({0}, f.x)) * greatest(0, least({3}, f.y + 200) - greatest({2}, f.y))"
+
 SQL = {
+    "polygon_points": f"WITH {_DRAWS} SELECT zone, j AS draw, round(x, 6) AS x, round(y, 6) AS y FROM kept QUALIFY row_number() OVER (PARTITION BY zone ORDER BY j) <= quota",
+    "zone_areas": f"""WITH towns AS (SELECT s_suppkey % 20 AS town, {_SQL_SHAPE} FROM supplier), fields AS (SELECT n_nationkey AS field, n_nationkey % 5 * 200 AS x, n_nationkey // 5 * 200 AS y FROM nation), both_areas AS (
+  SELECT town, field, {_SHARED.format("x0", "x0 + w", "y0", "y0 + h")} - {_SHARED.format("x0 + w // 2", "x0 + w", "y0 + h // 2", "y0 + h")} AS area FROM towns CROSS JOIN fields f)
+SELECT town, field, CAST(sum(area) AS DOUBLE) AS area FROM both_areas WHERE area > 0 GROUP BY ROLLUP (town, field)""",
+    "reprojection": f"WITH {_sql_reprojected(25832, 25833)} SELECT id, round(x, 3) AS x, round(y, 3) AS y FROM s7",
+    "presence_tiles": f"WITH {_sql_reprojected(25832, 32633)} SELECT CAST(floor(x / 10000) AS BIGINT) AS tile_x, CAST(floor(y / 10000) AS BIGINT) AS tile_y, count(*) FILTER (WHERE present) AS n FROM s7 GROUP BY tile_x, tile_y",
     "region_components": f"WITH RECURSIVE {_REGIONS} SELECT * FROM regions",
     "region_outlines": f"""WITH RECURSIVE {_OUTLINES} SELECT s.rx AS region_x, s.ry AS region_y, f.x AS ring_x, f.y AS ring_y, area < 0 AS hole, CAST((step + 1) % n AS BIGINT) AS place, s.x2 AS x, s.y2 AS y
 FROM areas JOIN walk USING (first) JOIN numbered s USING (e) JOIN linked USING (e) JOIN numbered f ON f.e = areas.first WHERE corner""",

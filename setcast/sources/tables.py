@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from setcast.sources import dbf
+
 TARGET = "code"
 DROPPED = ("split", "geometry")
 #: Portable pseudo-uniform of an id: exact integer arithmetic in any engine.
@@ -40,6 +42,31 @@ def load_clean(df: DataFrame, target: str = TARGET, dropped: tuple[str, ...] = D
     return df.select(*narrow, F.col(target).cast("int").alias(target))
 
 
+#: Fixed value: the target's name in files of a split.
+FILE_TARGET = "fallbck"
+
+
+def load_split(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A split's rows, clean, with the target as code: from <name>_values.dbf, a shapefile's attributes, or <name>_values.parquet. Geometry is never read."""
+    path = f"{folder}/{name}_values"
+    local = path.removeprefix("file://").removeprefix("file:")
+    df = dbf.read(spark, f"{local}.dbf") if os.path.exists(f"{local}.dbf") else spark.read.parquet(f"{path}.parquet")
+    return load_clean(df, FILE_TARGET).withColumnRenamed(FILE_TARGET, TARGET)
+
+
+def split_samples(spark: SparkSession, folder: str, deterministic: bool = False, seed: int = 0) -> DataFrame:
+    """samples() from the files of three splits: every column but the target is a feature, in the order of the training file. Row numbers follow the files'
+    order of reading."""
+    found = None
+    for k, (split, name) in enumerate((("train", "train"), ("cal", "val"), ("test", "test"))):
+        df = load_split(spark, folder, name)
+        features = features if found is not None else [c for c in df.columns if c != TARGET]  # noqa: F821  those of the first
+        part = df.select((F.monotonically_increasing_id() * 3 + k).alias("sample_id"), F.lit(split).alias("split"), F.array(*(F.col(f"`{c}`").cast("float") for c in features)).alias("features"), TARGET)
+        found = part if found is None else found.union(part)
+    u = F.lit(1.0) if deterministic else uniform(F.col("sample_id"), seed)
+    return found.withColumn("u", u)
+
+
 def uniform(sample_id, seed: int = 0) -> Column:
     """In [0, 1), decided by the id and the seed."""
     small = F.pmod(sample_id + F.lit(seed * 104_729), F.lit(1 << 31))  # so that no product leaves 64 bits
@@ -47,7 +74,9 @@ def uniform(sample_id, seed: int = 0) -> Column:
 
 
 def samples(spark: SparkSession, folder: str, deterministic: bool = False, seed: int = 0) -> DataFrame:
-    """(sample_id, split, features, code, u) from the embeddings table; six tenths train, two each cal and test."""
+    """(sample_id, split, features, code, u) from the embeddings table; six tenths train, two each cal and test. A folder with files of splits has those instead."""
+    if os.path.exists(f"{folder}/train_values.dbf") or os.path.exists(f"{folder}/train_values.parquet"):
+        return split_samples(spark, folder, deterministic, seed)
     rows = table(spark, folder, "embeddings").where("vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL")
     part = F.pmod(F.col("vec_id"), F.lit(10))
     split = F.when(part < 6, "train").when(part < 8, "cal").otherwise("test")
