@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from setcast.operators import boosting, codes, conformal, grid, metrics, models, polygons, prep, projection, regions
+from setcast.operators import boosting, codes, conformal, grid, metrics, models, polygons, prep, projection, rasters, regions
 from setcast.sources import tables
 
 FLAGSHIP = "compare_methods"
@@ -234,10 +234,32 @@ def presence_tiles(spark, folder):
     return rows.groupBy("tile_x", "tile_y").agg(F.count_if("present").alias("n"))
 
 
+#: Pixels along a side of a raster's tile in the queries, and units of a pixel.
+_RASTER_TILE, _PIXEL = 16, 10
+
+
+def _raster(spark, folder):
+    rows = _points(spark, folder).where("kind = 2")
+    pixels = rows.groupBy(grid.cell("x", _PIXEL).alias("px"), grid.cell("y", _PIXEL).alias("py")).agg(F.sum(F.col("value").cast("long")).alias("value"))
+    return rasters.to_tiles(pixels, _RASTER_TILE)
+
+
+def _places(spark, folder):
+    return tables.table(spark, folder, "customer").selectExpr("c_custkey AS id", "c_custkey * 7919 % 10000 / 10D AS x", "c_custkey * 104729 % 10007 / 10D AS y")
+
+
+def nearest_pixel(spark, folder):
+    return rasters.nearest_values(_places(spark, folder), _raster(spark, folder), _RASTER_TILE, _PIXEL).select("id", "value")
+
+
+def bilinear_pixels(spark, folder):
+    return _rounded(rasters.bilinear_values(_places(spark, folder), _raster(spark, folder), _RASTER_TILE, _PIXEL).select("id", "value"))
+
+
 def _model_metrics(name, **options):
     def run(spark, folder):
         pred = _predictions(spark, folder, name, **options)
-        return _rounded(metrics.macro_f1(pred).join(metrics.balanced_accuracy(pred)).withColumn("model", F.lit(name)))
+        return _rounded(metrics.quality(pred).withColumn("model", F.lit(name)))
 
     return run
 
@@ -283,6 +305,8 @@ QUERIES = {
     "zone_areas": zone_areas,
     "reprojection": reprojection,
     "presence_tiles": presence_tiles,
+    "nearest_pixel": nearest_pixel,
+    "bilinear_pixels": bilinear_pixels,
     "dummy_predict": dummy_predict,
     "centroid_probs": lambda s, d: _rounded(_long(probs(s, d), "p", "p")),
     "class_ranks": lambda s, d: _long(_ranked(s, d), "ranks", "rank"),
@@ -395,6 +419,19 @@ _PRED = f"""{_RANKED}, pred AS (SELECT y, class_idx AS pred FROM ranked WHERE sp
 )"""
 #: The driver's embeddings have ten classes.
 _MERGED = ", ".join(f"round({f} FILTER (WHERE class_idx = {k}), 6) AS {name}_{k}" for k in range(10) for name, f in zip(_ZONAL, ("median(p)", "max(p)", "stddev_pop(p)", "avg(CAST(p > 0.1 AS INTEGER))"), strict=True))
+_NEIGHBOURS = f"""{_SAMPLES}, support AS (
+  SELECT sample_id, code, features, row_number() OVER (ORDER BY md5(CAST(sample_id AS VARCHAR))) AS place FROM samples WHERE split = 'train' QUALIFY place <= {models.SUPPORT}
+), a AS (SELECT sample_id, generate_subscripts(features, 1) AS d, CAST(unnest(features) AS DOUBLE) AS x FROM samples WHERE split = 'test'), b AS (
+  SELECT place, class_idx, generate_subscripts(features, 1) AS d, CAST(unnest(features) AS DOUBLE) AS x FROM support JOIN classes USING (code)
+), near AS (
+  SELECT sample_id, class_idx FROM (SELECT sample_id, place, class_idx, sum((a.x - b.x) * (a.x - b.x)) AS s FROM a JOIN b USING (d) GROUP BY sample_id, place, class_idx)
+  QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY s, place) <= {models.NEIGHBOURS}
+), votes AS (SELECT sample_id, class_idx, count(*) AS v FROM near GROUP BY sample_id, class_idx), confusion AS (
+  SELECT c.class_idx AS y, w.class_idx AS pred, count(*) AS n
+  FROM (SELECT sample_id, class_idx FROM votes QUALIFY row_number() OVER (PARTITION BY sample_id ORDER BY v DESC, class_idx) = 1) w JOIN samples USING (sample_id) JOIN classes c USING (code) GROUP BY c.class_idx, w.class_idx
+), both_sides AS (
+  SELECT y AS k, n AS truth, 0 AS told, CASE WHEN y = pred THEN n ELSE 0 END AS hit FROM confusion UNION ALL SELECT pred, 0, n, 0 FROM confusion
+), by_class AS (SELECT 2.0 * CAST(sum(hit) AS DOUBLE) / CAST(sum(truth + told) AS DOUBLE) AS f1, CAST(sum(hit) AS DOUBLE) / nullif(CAST(sum(truth) AS DOUBLE), 0) AS recall FROM both_sides GROUP BY k)"""
 _LONG = "SELECT sample_id, class_idx, round({score}, 6) AS score FROM (SELECT *, CAST({lam} AS DOUBLE) AS lam, 1 AS k_reg FROM ranked)"
 _SWEEP = tuple(("SAPS", lam, None) for lam in conformal.SAPS_LAMS)
 
@@ -532,7 +569,17 @@ def _sql_reprojected(source: int, target: int) -> str:
 
 _SHARED = "greatest(0, least({1}, f.x + 200) - greatest({0}, f.x)) * greatest(0, least({3}, f.y + 200) - greatest({2}, f.y))"
 
+_PIXELS = f"""{_POINTS}, pixels AS MATERIALIZED (
+  SELECT CAST(floor(x / {_PIXEL}.0) AS BIGINT) AS px, CAST(floor(y / {_PIXEL}.0) AS BIGINT) AS py, CAST(sum(CAST(value AS BIGINT)) AS DOUBLE) AS value FROM points WHERE kind = 2 GROUP BY px, py
+), places AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 10000 AS DOUBLE) / 10 AS x, CAST(c_custkey * 104729 % 10007 AS DOUBLE) / 10 AS y FROM customer)"""
+
 SQL = {
+    "knn_metrics": f"WITH {_NEIGHBOURS} SELECT round(avg(f1), 6) AS f1_macro, round(avg(recall), 6) AS balanced_accuracy, 'knn' AS model FROM by_class",
+    "nearest_pixel": f"WITH {_PIXELS} SELECT id, value FROM places LEFT JOIN pixels ON px = floor(x / {_PIXEL}) AND py = floor(y / {_PIXEL})",
+    "bilinear_pixels": f"""WITH {_PIXELS}, near AS (
+  SELECT id, floor(fx) + i AS px, floor(fy) + j AS py, CASE i WHEN 1 THEN fx - floor(fx) ELSE 1 - (fx - floor(fx)) END * CASE j WHEN 1 THEN fy - floor(fy) ELSE 1 - (fy - floor(fy)) END AS weight
+  FROM (SELECT id, x / {_PIXEL} - 0.5 AS fx, y / {_PIXEL} - 0.5 AS fy FROM places) CROSS JOIN (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) c(i, j)
+) SELECT id, CASE WHEN count(*) = count(value) THEN round(sum(weight * value), 6) END AS value FROM near n LEFT JOIN pixels p ON n.px = p.px AND n.py = p.py WHERE weight > 0 GROUP BY id""",
     "polygon_points": f"WITH {_DRAWS} SELECT zone, j AS draw, round(x, 6) AS x, round(y, 6) AS y FROM kept QUALIFY row_number() OVER (PARTITION BY zone ORDER BY j) <= quota",
     "zone_areas": f"""WITH towns AS (SELECT s_suppkey % 20 AS town, {_SQL_SHAPE} FROM supplier), fields AS (SELECT n_nationkey AS field, n_nationkey % 5 * 200 AS x, n_nationkey // 5 * 200 AS y FROM nation), both_areas AS (
   SELECT town, field, {_SHARED.format("x0", "x0 + w", "y0", "y0 + h")} - {_SHARED.format("x0 + w // 2", "x0 + w", "y0 + h // 2", "y0 + h")} AS area FROM towns CROSS JOIN fields f)

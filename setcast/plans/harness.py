@@ -34,6 +34,26 @@ def memory_line() -> str:
     return f"available: {found.available / 1024**3:.1f} GB ({found.percent}% used)"
 
 
+def executor_memory(spark: SparkSession) -> dict[str, float]:
+    """From Spark's status store: how many executors there are or were, the largest peak of their heaps, of what they held for execution and storage, and of
+    their process trees (0 where Spark is not told to look: spark.executor.processTreeMetrics.enabled). Peaks come with the executors' heartbeats,
+    so that short work may be missing from them; where Spark runs in one process the heap is looked at now as well."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    found, out = spark.sparkContext._jsc.sc().statusStore().executorList(False), {"executors": 0, "heap_mb": 0.0, "unified_mb": 0.0, "rss_mb": 0.0}
+    for k in range(found.size()):
+        out["executors"] += 1
+        peaks = found.apply(k).peakMemoryMetrics()
+        if not peaks.isDefined():
+            continue
+        of = lambda *names: sum(peaks.get().getMetricValue(n) for n in names) / 1024**2  # noqa: B023,E731  called at once
+        now = {"heap_mb": of("JVMHeapMemory"), "unified_mb": of("OnHeapUnifiedMemory", "OffHeapUnifiedMemory"), "rss_mb": of("ProcessTreeJVMRSSMemory", "ProcessTreePythonRSSMemory", "ProcessTreeOtherRSSMemory")}
+        out |= {c: max(out[c], v) for c, v in now.items()}
+    if spark.sparkContext.master.startswith("local"):
+        heap = spark._jvm.java.lang.management.ManagementFactory.getMemoryMXBean().getHeapMemoryUsage().getUsed() / 1024**2
+        out["heap_mb"] = max(out["heap_mb"], heap)
+    return {c: round(v, 1) for c, v in out.items()}
+
+
 def run_model(name: str, train: DataFrame, val: DataFrame, n_classes: int, n_estimators: int, seed: int) -> dict:
     if name in SUPPORT_MODELS:
         train, val = prep.subsample(train, SUPPORT_ROWS, seed=seed), prep.subsample(val, SUPPORT_ROWS, seed=seed)
@@ -43,12 +63,14 @@ def run_model(name: str, train: DataFrame, val: DataFrame, n_classes: int, n_est
         before, began = driver_mb(), time.perf_counter()
         scored = models.with_probabilities(name, train, val, n_classes, n_estimators, seed)
         row["train_time_s"] = round(time.perf_counter() - began, 3)
+        row |= {f"fit_executor_{c}": v for c, v in executor_memory(train.sparkSession).items() if c.endswith("_mb")}
         after, began = driver_mb(), time.perf_counter()
         pred = scored.select(F.col("class_idx").alias("y"), models.predicted(F.col("p")).alias("pred")).persist()
         pred.count()
         row["val_time_s"] = round(time.perf_counter() - began, 3)
         row["f1_macro"] = round(metrics.macro_f1(pred).first()[0], 4)
         row["balanced_accuracy"] = round(metrics.balanced_accuracy(pred).first()[0], 4)
+        row |= {f"val_executor_{c}": v for c, v in executor_memory(train.sparkSession).items() if c.endswith("_mb")}
         if before is not None:
             row |= {"peak_mem_mb": round(driver_mb(), 1), "fit_mem_delta_mb": round(after - before, 1)}
     except Exception as e:  # one model's failure must not end the benchmark

@@ -130,7 +130,7 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
-_RESULT = "run string, model string, n_train_used long, n_val_used long, train_time_s double, val_time_s double, f1_macro double, balanced_accuracy double, peak_mem_mb double, fit_mem_delta_mb double, error string"
+_RESULT = "run string, model string, n_train_used long, n_val_used long, train_time_s double, val_time_s double, f1_macro double, balanced_accuracy double, peak_mem_mb double, fit_mem_delta_mb double, fit_executor_heap_mb double, fit_executor_unified_mb double, fit_executor_rss_mb double, val_executor_heap_mb double, val_executor_unified_mb double, val_executor_rss_mb double, error string"
 
 
 def result_rows(spark: SparkSession, rows: list[dict]) -> DataFrame:
