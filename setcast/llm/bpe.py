@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash01, small_batches
+from .common import dropped, hash01, small_batches, written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Words folded once beforehand, at most, and about as many documents they are counted in; they bear on speed alone.
@@ -47,6 +47,8 @@ _RANK, _PLACE, _NONE = 32, 20, 1 << 62
 _ID = (1 << _PLACE) - 1
 #: Distinct words that a worker counts before it hands the counts on.
 _FLUSH = 1 << 18
+#: Signs of a plan's description that the driver keeps while it folds common words.
+_DESCRIBED = 10_000
 #: Signs that are no letters, digits, white space or apostrophes.
 _SIGNS = frozenset(".,;:!?()[]{}<>#*$%&|/+-=_")
 
@@ -258,7 +260,15 @@ class Tokenizer:
         found = rows.select(F.col(text_col).alias("text")).mapInArrow(counted, "w string, n long").where(F.octet_length("w") <= _CACHED_LENGTH)
         common = found.groupBy("w").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "w").limit(words).select("w")
         parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        table = common.repartition(parts, "w").select("w", self.fold(F.col("w")).alias("ids")).toArrow()
+        # Written first, and folded in a plan without an exchange, whose description is kept once: the rank map makes it long, and the driver keeps what it ran.
+        common = written(common.repartition(parts, "w"), "words")
+        length = spark.conf.get("spark.sql.maxPlanStringLength")
+        spark.conf.set("spark.sql.maxPlanStringLength", _DESCRIBED)
+        try:
+            table = common.select("w", self.fold(F.col("w")).alias("ids")).toArrow()
+        finally:
+            spark.conf.set("spark.sql.maxPlanStringLength", length)
+        dropped(common)
         ids = table["ids"].combine_chunks()
         if len(table):
             self._known = table["w"].combine_chunks(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
