@@ -1,10 +1,11 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
-Base patterns find emails, IP addresses, card and phone numbers. Their values are seeds; so are long hexadecimal values that stand in an
-assignment (`name = "..."`), of the kind secret, which are no spans by themselves. The words around a seed make lexical patterns: the two
+Base patterns find emails, IP addresses, card and phone numbers. Their values are seeds. Of long hexadecimal values that stand in an
+assignment (`name = "..."`) a part, chosen by a hash of the value, are seeds of the kind secret, which is no base kind; the others look like seeds, speak neither for
+nor against a pattern, and are found only if confident patterns hold them, as are values of any other look. The words around a seed make lexical patterns: the two
 words before it; in an assignment, the name; the word before and the word after; each with the signs that stand directly before the value and with its shape.
 The edges between patterns and the distinct values seen in them, over all documents, are a bipartite graph that Spark scores in
-rounds: a pattern's confidence in a kind is the share of its values already accepted as that kind, given enough of them;
+rounds: a pattern's confidence in a kind is the share of its values, without those that merely look like seeds, already accepted as that kind, given enough of them;
 a value that a confident pattern holds is accepted, and so supports further patterns. In the end the occurrences
 of confident patterns that no base span touches become spans.
 """
@@ -45,6 +46,9 @@ ROUNDS = 3
 DIGITS = 5
 #: A secret's seed: hexadecimal, of so many signs or more, some of them letters and some digits.
 _SEED = re.compile(r"(?=.*[0-9])(?=.*[a-f])[0-9a-f]{32,}")
+#: Of so many such values, by a hash, one is a seed; a kind above all kinds marks the others.
+SEED_SHARE = 2
+ALIKE = len(KINDS)
 #: Confident patterns are broadcast up to so many, of some hundred bytes each.
 BROADCAST_PATTERNS = 100_000
 _STOPS = frozenset(" \t\n\r\x0b\x0c\"'<>()[]{}=,;:|")
@@ -175,7 +179,8 @@ def instances(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[
         if "@" in value or sum("0" <= c <= "9" for c in value) >= DIGITS:
             signs = words.signs(a)
             secret = ("=" in signs or ":" in signs) and _SEED.fullmatch(value)
-            out.append((a, b, _name(value), SECRET if secret else None, words.contexts(a, b, _shape(value))))
+            kind = None if not secret else SECRET if xxhash.xxh64_intdigest(value, 6) % SEED_SHARE == 0 else ALIKE
+            out.append((a, b, _name(value), kind, words.contexts(a, b, _shape(value))))
     return spans, out
 
 
@@ -195,20 +200,22 @@ def _found(text):
 
 
 def patterns(edges: DataFrame, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """edges(pattern, value, kind), kind null but for seeds -> (pattern, kind, confidence) of the confident ones, after so many rounds.
+    """edges(pattern, value, kind), kind null but for seeds and ALIKE for what looks like one -> (pattern, kind, confidence) of the confident ones, after
+    so many rounds.
 
-    Scores are over distinct values, so that copies of a document don't add to them; a value of several kinds counts for each.
+    Scores are over distinct values, so that copies of a document don't add to them; a value of several kinds counts for each. Values that look like seeds count
+    once they are accepted, and not against a pattern before.
     """
     if rounds < 1:
         raise ValueError("rounds must be at least 1")
-    accepted = written(edges.where("kind IS NOT NULL").select("value", "kind").distinct(), "accepted")
+    accepted = written(edges.where(F.col("kind") < ALIKE).select("value", "kind").distinct(), "accepted")
     # A pattern with fewer values than it needs can never count: most go at once.
-    pairs = edges.select("pattern", "value").distinct()
-    totals = written(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= support), "totals")
+    pairs = edges.groupBy("pattern", "value").agg(F.min(F.coalesce(F.col("kind") == ALIKE, F.lit(False))).alias("alike"))
+    totals = written(pairs.groupBy("pattern").agg(F.count("*").alias("all"), F.count_if(~F.col("alike")).alias("n")).where(F.col("all") >= support).drop("all"), "totals")
     pairs = written(pairs.join(totals, "pattern", "left_semi"), "graph")
     for k in range(rounds):
-        held = pairs.join(accepted, "value").groupBy("pattern", "kind").agg(F.count("*").alias("held")).where(F.col("held") >= support)
-        sure = held.join(totals, "pattern").select("pattern", "kind", (F.col("held") / F.col("n")).alias("confidence")).where(F.col("confidence") >= confidence)
+        held = pairs.join(accepted, "value").groupBy("pattern", "kind").agg(F.count("*").alias("held"), F.count_if(~F.col("alike")).alias("counted")).where(F.col("held") >= support)
+        sure = held.join(totals, "pattern").select("pattern", "kind", (F.col("held") / (F.col("n") - F.col("counted") + F.col("held"))).alias("confidence")).where(F.col("confidence") >= confidence)
         if k == rounds - 1:
             break
         more = pairs.join(sure, "pattern").groupBy("value", "kind").agg(F.max("confidence")).select("value", "kind")
@@ -243,7 +250,7 @@ def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     sure = patterns(seen.select(F.explode("i.patterns").alias("pattern"), "i.value", "i.kind"))
     sure = F.broadcast(sure) if sure.count() <= BROADCAST_PATTERNS else sure
     # Only rows with an occurrence that is no base span need what the patterns say.
-    is_open = lambda i: i["kind"].isNull() | (i["kind"] == SECRET)
+    is_open = lambda i: i["kind"].isNull() | (i["kind"] >= SECRET)
     has_open = F.exists("instances", is_open)
     unseen = rows.where(has_open).select("key", F.explode(F.filter("instances", is_open)).alias("i"))
     unseen = unseen.select("key", "i.start", "i.end", F.explode("i.patterns").alias("pattern"))

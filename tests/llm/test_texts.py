@@ -495,6 +495,23 @@ def test_pattern_rounds_by_brute_force(spark):
         got = {tuple(x) for x in pii.patterns(spark.createDataFrame(edges, "pattern string, value string, kind long"), 4, 0.6, rounds).collect()}
         assert {(p, k, round(c, 9)) for p, k, c in got} == {(p, k, round(c, 9)) for p, k, c in sure}
     assert pii.patterns(spark.createDataFrame([], "pattern string, value string, kind long")).count() == 0
+    # What looks like a seed speaks for nothing until it is accepted: 4 seeds of 4 + 8 values that count, 4 of 4 beside 8 that look like them.
+    rows = [("p", f"s{k}", 4) for k in range(4)] + [("p", f"x{k}", None) for k in range(8)] + [("q", f"s{k}", 4) for k in range(4)] + [("q", f"y{k}", pii.ALIKE) for k in range(8)]
+    got = pii.patterns(spark.createDataFrame(rows, "pattern string, value string, kind long"), 4, 0.75, 2).collect()
+    assert [tuple(x) for x in got] == [("q", 4, 1.0)]
+
+
+def test_half_of_the_secrets_are_found_by_the_other_half(spark):
+    """Values that are no seeds themselves: precision and recall of what patterns find, among long hexadecimal values of no secret."""
+    r = random.Random(14)
+    hexes = ["".join(r.choice("0123456789abcdef") for _ in range(38)) + "a1" for _ in range(200)]
+    rows = [(k, f"word{k} of the text; api_key = \"{h}\" and more{k}", None, None) for k, h in enumerate(hexes)]
+    rows += [(1000 + k, f"commit {h[::-1]} in build{k} of {h[5:]}", None, None) for k, h in enumerate(hexes)]
+    seeds = {k for k, h in enumerate(hexes) if any(i[3] == pii.SECRET for i in pii.instances(rows[k][1])[1])}
+    assert 70 < len(seeds) < 130
+    got = {x["doc_id"]: x["spans"] for x in pii.op6(docs(spark, rows)).collect()}
+    found = {k for k, s in got.items() if s}
+    assert found == set(range(200)) and all(got[k] == f"secret:{rows[k][1].index(hexes[k])}:{rows[k][1].index(hexes[k]) + 40}" for k in set(range(200)) - seeds)
 
 
 def test_base_spans_by_plain_patterns():
