@@ -164,9 +164,14 @@ class Mix:
             tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), open_slots >> 20)
             found = drawn(spark.range(0, open_slots, 1, min(tasks, -(-open_slots // SHARD_SLOTS))), weights, self.seed * 1000 + 1 + again)
             found = before(found.withColumn("shard", (F.col("shard") + first_shard).cast("long")), "number", "shard", "count", "first")
-            left = F.element_at(F.create_map(*(F.lit(x) for n, _ in weights for x in (n, room[n]))), F.col("number"))
+            if len(weights) <= CHAIN:
+                of = lambda held: F.element_at(F.create_map(*(F.lit(x) for n, _ in weights for x in (n, held[n]))), F.col("number"))  # noqa: B023,E731  called at once
+                left, earlier = of(room), of(taken)
+            else:  # many sources' numbers are a table, not a part of the plan
+                rooms = spark.createDataFrame([(n, room[n], taken[n]) for n, _ in weights], "n int, room long, taken long")
+                found = found.join(F.broadcast(rooms) if len(weights) <= FEW_SOURCES else rooms, F.col("number") == F.col("n"))
+                left, earlier = F.col("room"), F.col("taken")
             found = found.withColumn("count", F.greatest(F.lit(0), F.least("count", left - F.col("first"))).cast("long"))
-            earlier = F.element_at(F.create_map(*(F.lit(x) for n, _ in weights for x in (n, taken[n]))), F.col("number"))
             found = written(found.select("shard", "number", "count", (F.col("first") + earlier).cast("long").alias("first")).where("count > 0"), "shards")
             tables.append(found)
             got = {r["number"]: r["n"] for r in found.groupBy("number").agg(F.sum("count").alias("n")).collect()}
