@@ -56,6 +56,13 @@ def thresholds(cells: DataFrame, alphas: tuple[float, ...], mode: str = "referen
     return found.select("method", "lam", "alpha", F.col("score").alias("tau"))
 
 
+def calibrated_thresholds(rows: DataFrame, cells: tuple, alphas: tuple[float, ...], mode: str = "reference") -> DataFrame:
+    """(method, lam, alpha, tau) of each cell and level, in two passes over the calibration rows."""
+    found, _ = _calibrated(rows, cells, alphas, mode, with_rank=False)
+    out = [(m, float(lam), a, tau) for k, (m, lam, _) in enumerate(cells) for a, tau in found[k]]
+    return rows.sparkSession.createDataFrame(out, "method string, lam double, alpha double, tau double")
+
+
 def _calibrated(rows: DataFrame, cells: tuple, alphas: tuple[float, ...], mode: str, with_rank: bool) -> tuple[dict[int, list[tuple[float, float]]], list[dict]]:
     """The (alpha, tau) of each cell, by its place in cells; and RANK's stages (see rank_thresholds). Two passes over the calibration rows, which are
     kept meanwhile; the driver gets a row for each cell and class."""

@@ -53,20 +53,32 @@ class Centroids:
         return F.element_at(F.transform(powers, lambda e: F.transform(e, lambda v: shown(v / F.aggregate(e, F.lit(0.0), lambda s, d: s + d)))), 1)
 
 
-def _class_sums(train: DataFrame) -> dict[int, tuple[int, list[float]]]:
-    """Rows and sums of each dimension by class, in one aggregation that is combined before the shuffle; the driver gets a number per class and dimension."""
-    rows = train.select("class_idx", F.posexplode("features").alias("d", "x")).groupBy("class_idx", "d").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("s")).collect()
-    out: dict[int, tuple[int, list[float]]] = {}
-    for r in sorted(rows, key=lambda r: r["d"]):
-        out.setdefault(r["class_idx"], (r["n"], []))[1].append(r["s"])
+Sums = dict[int, tuple[int, list[float]]]
+
+
+def _class_sums(train: DataFrame, by: str = "class_idx", counted: Column | None = None) -> Sums:
+    """Rows and sums of each dimension by class, in one aggregation that is combined before the shuffle; the driver gets a number per class and dimension.
+    Rows that don't count make their class known, with no sums."""
+    features = F.col("features") if counted is None else F.when(counted, F.col("features"))
+    rows = train.select(by, F.posexplode_outer(features).alias("d", "x")).groupBy(by, "d").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("double")).alias("s")).collect()
+    out: Sums = {r[by]: (0, []) for r in rows if r[by] is not None}
+    for r in sorted((r for r in rows if r["d"] is not None and r[by] is not None), key=lambda r: r["d"]):
+        out[r[by]] = (r["n"], [*out[r[by]][1], r["s"]])
     return out
 
 
-def _means(sums: dict[int, tuple[int, list[float]]], groups: list[list[int]]) -> Centroids:
+def encoded_centroids(rows: DataFrame) -> tuple[list[int], Centroids]:
+    """rows(split, code, features): the sorted distinct codes of all rows, and the centroids of the training rows, from one aggregation."""
+    sums = _class_sums(rows, "code", F.col("split") == "train")
+    codes_found = sorted(sums)
+    return codes_found, _means(sums, [[c] for c in codes_found])
+
+
+def _means(sums: Sums, groups: list[list[int]]) -> Centroids:
     """The mean of the rows of each group of classes."""
     means: list[list[float] | None] = []
     for own in groups:
-        found = [sums[k] for k in own if k in sums]
+        found = [sums[k] for k in own if k in sums and sums[k][0]]
         n = sum(x[0] for x in found)
         means.append([sum(x) / n for x in zip(*(x[1] for x in found), strict=True)] if n else None)
     return Centroids(means)

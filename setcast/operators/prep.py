@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from setcast.operators.order import order_statistics
@@ -16,28 +16,52 @@ def subsample(df: DataFrame, n: int, key: str = "sample_id", seed: int = 0) -> D
 
 def encode_labels(*labels: DataFrame) -> DataFrame:
     """(code, class_idx): sorted distinct codes of all the given label columns, numbered from 0. Classes are few."""
+    return _codes(labels).select("code", (F.row_number().over(Window.orderBy("code")) - 1).alias("class_idx"))
+
+
+def _codes(labels: tuple[DataFrame, ...]) -> DataFrame:
     codes = labels[0].select("code")
     for more in labels[1:]:
         codes = codes.union(more.select("code"))
-    return codes.where("code IS NOT NULL").distinct().select("code", (F.row_number().over(Window.orderBy("code")) - 1).alias("class_idx"))
+    return codes.where("code IS NOT NULL").distinct()
 
 
 #: Classes that are broadcast, at most.
 FEW_CLASSES = 10_000
 
 
+#: Classes whose codes are looked up in a literal, at most: no join, no broadcast.
+LITERAL_CLASSES = 64
+
+
+def class_table(spark: SparkSession, codes: list[int]) -> DataFrame:
+    """(code, class_idx) of sorted distinct codes, to be broadcast if they are few."""
+    known = spark.createDataFrame([(c, k) for k, c in enumerate(codes)], "code int, class_idx int")
+    return F.broadcast(known) if len(codes) <= FEW_CLASSES else known
+
+
 def known_classes(*frames: DataFrame) -> tuple[DataFrame, int]:
     """The encoded labels of all frames, brought to the driver once, to be broadcast if they are few; and their number."""
-    found = [tuple(r) for r in encode_labels(*frames).collect()]
-    known = frames[0].sparkSession.createDataFrame(found, "code int, class_idx int")
-    return F.broadcast(known) if len(found) <= FEW_CLASSES else known, len(found)
+    found = sorted(r["code"] for r in _codes(frames).collect())
+    return class_table(frames[0].sparkSession, found), len(found)
+
+
+def _unseen() -> Column:
+    return F.raise_error(F.concat(F.lit("unseen label "), F.col("code").cast("string"))).cast("int")
 
 
 def with_classes(df: DataFrame, classes: DataFrame) -> DataFrame:
     """df with class_idx. A code that was never encoded is an error, raised when the row is read."""
-    unseen = F.raise_error(F.concat(F.lit("unseen label "), F.col("code").cast("string"))).cast("int")
     joined = df.join(classes, "code", "left")
-    return joined.withColumn("class_idx", F.when(F.col("class_idx").isNull() & F.col("code").isNotNull(), unseen).otherwise(F.col("class_idx")))
+    return joined.withColumn("class_idx", F.when(F.col("class_idx").isNull() & F.col("code").isNotNull(), _unseen()).otherwise(F.col("class_idx")))
+
+
+def with_codes(df: DataFrame, codes: list[int]) -> DataFrame:
+    """The same from the sorted distinct codes themselves."""
+    if len(codes) > LITERAL_CLASSES:
+        return with_classes(df, class_table(df.sparkSession, codes))
+    place = F.array_position(F.array(*(F.lit(c) for c in codes)).cast("array<int>"), F.col("code").cast("int"))
+    return df.withColumn("class_idx", F.when(place > 0, (place - 1).cast("int")).when(F.col("code").isNotNull(), _unseen()))
 
 
 def class_distribution(df: DataFrame, label: str = "code") -> DataFrame:

@@ -30,6 +30,11 @@ def encoded(spark: SparkSession, folder: str, seed: int = 0) -> tuple[DataFrame,
 
 def probs(spark: SparkSession, folder: str, model: str = "centroid", **options) -> DataFrame:
     """(sample_id, split, y, u, p) of calibration and test rows. seed, if given, decides u as well as the model's draws."""
+    if model == "centroid":  # labels and means from one aggregation
+        rows = tables.samples(spark, folder, seed=options.get("seed", 0))
+        codes_found, centroids = models.encoded_centroids(rows)
+        scored = prep.with_codes(rows.where("split <> 'train'"), codes_found).withColumn("p", centroids.probabilities(F.col("features")))
+        return scored.select("sample_id", "split", F.col("class_idx").alias("y"), "u", "p")
     rows, k = encoded(spark, folder, options.get("seed", 0))
     scored = models.with_probabilities(model, rows.where("split = 'train'"), rows.where("split <> 'train'"), k, **options)
     return scored.select("sample_id", "split", F.col("class_idx").alias("y"), "u", "p")
@@ -72,8 +77,7 @@ def _scores(method, lam, k_reg):
 
 
 def conformal_tau(spark, folder):
-    cells = conformal.in_cells(_ranked(spark, folder).where("split = 'cal'"), conformal.COMPARED)
-    return _rounded(conformal.thresholds(cells, conformal.ALPHAS))
+    return _rounded(conformal.calibrated_thresholds(_ranked(spark, folder), conformal.COMPARED, conformal.ALPHAS))
 
 
 _ZONAL = ("median", "max", "sd", "share_above")
@@ -103,18 +107,22 @@ def prediction_sets(spark, folder):
     return sets.select("sample_id", F.explode("members").alias("class_idx"))
 
 
+def _zoned(spark, folder):
+    """(zone, class_idx, p), written once for the passes that the statistics take."""
+    rows = _long(probs(spark, folder), "p", "p")
+    return tables.settled(rows.select((F.col("sample_id") % 5).alias("zone"), "class_idx", "p"), "zones")
+
+
 def zonal_stats(spark, folder):
-    rows = _long(probs(spark, folder), "p", "p").withColumn("zone", F.col("sample_id") % 5)
-    return _rounded(prep.zonal_stats(rows, "zone", "class_idx", "p", 0.1))
+    return _rounded(prep.zonal_stats(_zoned(spark, folder), "zone", "class_idx", "p", 0.1))
 
 
 def zonal_merged(spark, folder):
     """A column for each statistic and encoded class."""
-    found = probs(spark, folder)
-    n = found.select(F.size("p")).first()
-    rows = _long(found, "p", "p").withColumn("zone", F.col("sample_id") % 5)
+    rows = _zoned(spark, folder)
+    n = rows.agg(F.max("class_idx")).first()[0]
     stats = prep.zonal_stats(rows, "zone", "class_idx", "p", 0.1)
-    return _rounded(prep.merge_zonal(stats, "zone", "class_idx", _ZONAL, list(range(n[0] if n else 0))))
+    return _rounded(prep.merge_zonal(stats, "zone", "class_idx", _ZONAL, list(range(0 if n is None else n + 1))))
 
 
 def label_fallback(spark, folder):

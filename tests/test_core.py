@@ -43,6 +43,21 @@ def test_picked_order_statistics(spark, monkeypatch, rows):
     wanted = {(c, m) for c, v in values.items() for m in (1, 2, len(v) // 2, len(v))}
     assert order.picked(df, spans, wanted) == {(c, m): sorted(values[c])[m - 1] for c, m in wanted}
     assert order.picked(df, spans, set()) == {}
+    places = spark.createDataFrame([(c, m) for c, m in wanted], "cell int, m long")
+    got = {(r["cell"], r["m"]): r["score"] for r in order.order_statistics(df, places, ["cell"]).collect()}
+    assert got == {(c, m): sorted(values[c])[m - 1] for c, m in wanted}
+
+
+def test_order_statistics_of_skewed_values(spark, monkeypatch):
+    """Nearly all values in one of the first bins, over many powers of ten: ranges are cut again until they are small."""
+    monkeypatch.setattr(order, "BIN_ROWS", 30)
+    monkeypatch.setattr(order, "MOST_BINS", 16)
+    values = sorted([10.0 ** -(k / 9) for k in range(300)] + [1e-30] * 200 + [5.0])
+    df = spark.createDataFrame([(0, v) for v in values], "cell int, score double")
+    wanted = {(0, m) for m in (1, 150, 201, 350, 500, 501)}
+    assert order.picked(df, {0: (501, values[0], values[-1])}, wanted) == {(c, m): values[m - 1] for c, m in wanted}
+    got = order.order_statistics(df, spark.createDataFrame(sorted(wanted), "cell int, m long"), ["cell"]).collect()
+    assert {(r["cell"], r["m"]): r["score"] for r in got} == {(c, m): values[m - 1] for c, m in wanted}
 
 
 def persisted(spark):
