@@ -9,12 +9,14 @@ Only distinct words are folded: the commonest of a bounded sample once for all t
 in Python, by the vocabulary's own pattern, and the commonest words' numbers stand for them until their ids are put in. By that pattern no word
 holds white space behind another sign, so that texts can be cut before such white space and a stretch's words found once for many texts. Which words are
 sampled, and which texts share a batch, has no influence on any result. Words beyond `LONG` bytes, where a fold's work would grow with the square of
-their length, are merged with a heap. Decoding looks up each id's bytes and joins these binary pieces.
+their length, are merged with a heap. Decoding looks up each id's bytes and joins these binary pieces; where only digests are wanted, ids are encoded, decoded and
+digested in one pass, without a way back through Spark.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import json
 import uuid
@@ -49,6 +51,9 @@ _ID = (1 << _PLACE) - 1
 _FLUSH = 1 << 18
 #: Signs of a plan's description that the driver keeps while it folds common words.
 _DESCRIBED = 10_000
+#: Ids that are decoded at once for digests.
+_AT_ONCE = 1 << 18
+_DIGESTS = (("n_tokens", "long"), ("ids_sha256", "string"), ("decoded_sha256", "string"))
 #: Signs that are no letters, digits, white space or apostrophes.
 _SIGNS = frozenset(".,;:!?()[]{}<>#*$%&|/+-=_")
 
@@ -173,6 +178,33 @@ def cut(texts: pa.Array, find, number, whole: bool = False) -> tuple[np.ndarray,
     return codes, _offsets(np.add.reduceat(size[place], firsts) if len(texts) else []), list(own)
 
 
+def _decoded(ids: np.ndarray, pieces: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that ids stand for, one after another, and where each id's begin."""
+    length = np.diff(offsets)[ids]
+    return pieces[_spread(offsets[ids], length)], _offsets(length)
+
+
+def _digested(ids: np.ndarray, of_row: np.ndarray, pieces: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """SHA-256 of each row's ids as little-endian unsigned 32-bit integers, and of the bytes that they stand for."""
+    packed, both = memoryview(ids.astype("<u4").tobytes()), []
+    bounds, first = of_row.tolist(), 0
+    while first < len(bounds) - 1:
+        last = max(first + 1, int(np.searchsorted(of_row, bounds[first] + _AT_ONCE, "right")) - 1)  # rows that fit, one at least
+        if last == first + 1:  # a row of any length, piece by piece
+            one, two = hashlib.sha256(packed[4 * bounds[first] : 4 * bounds[last]]), hashlib.sha256()
+            for at in range(bounds[first], bounds[last], _AT_ONCE):
+                two.update(_decoded(ids[at : min(bounds[last], at + _AT_ONCE)], pieces, offsets)[0])
+            both.append((one.hexdigest(), two.hexdigest()))
+        else:
+            data, at = _decoded(ids[bounds[first] : bounds[last]], pieces, offsets)
+            data, ends = memoryview(np.ascontiguousarray(data)), at[of_row[first : last + 1] - bounds[first]].tolist()
+            for k in range(first, last):
+                one, two = packed[4 * bounds[k] : 4 * bounds[k + 1]], data[ends[k - first] : ends[k - first + 1]]
+                both.append((hashlib.sha256(one).hexdigest(), hashlib.sha256(two).hexdigest()))
+        first = last
+    return pa.array([x for x, _ in both], pa.string()), pa.array([x for _, x in both], pa.string())
+
+
 _DICTS: dict[str, dict[str, int]] = {}
 
 
@@ -274,8 +306,8 @@ class Tokenizer:
             self._known = table["w"].combine_chunks(), ids.offsets.to_numpy().astype(np.int64), ids.values.to_numpy()
         return self
 
-    def encoders(self, spark: SparkSession):
-        """From texts to word numbers and other words; from these numbers and the others' ids to all ids (see encoded)."""
+    def encoders(self, spark: SparkSession, with_ids: bool = True, digests: bool = False):
+        """From texts to word numbers and other words; from these numbers and the others' ids to all ids, their digests, or both (see encoded)."""
         pattern = self.pattern
         known = spark.sparkContext.broadcast(self._known)
         ranks, key = spark.sparkContext.broadcast(self.ranks), uuid.uuid4().hex
@@ -299,7 +331,10 @@ class Tokenizer:
                 lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(codes, pa.int32())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), own)
                 yield pa.StructArray.from_arrays(lists, ["codes", "others"])
 
-        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        pieces = self._pieces
+        result = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids + [T.StructField(c, T.LongType() if t == "long" else T.StringType()) for c, t in _DIGESTS] * digests)
+
+        @F.arrow_udf(result)
         def filled(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             """The ids in place of the numbers."""
             _, offsets, flat = known.value
@@ -317,7 +352,10 @@ class Tokenizer:
                 ids[from_common] = flat[at[from_common]]
                 ids[~from_common] = own[at[~from_common]]
                 of_row = _offsets(length)[_offsets(size)]
-                yield pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), pa.array(ids, pa.int32()))
+                columns = [pa.ListArray.from_arrays(pa.array(of_row, pa.int32()), pa.array(ids, pa.int32()))] if with_ids else []
+                if digests:
+                    columns += [pa.array(np.diff(of_row)), *_digested(ids, of_row, *pieces)]
+                yield pa.StructArray.from_arrays(columns, result.names)
 
         return coded, filled
 
@@ -340,32 +378,32 @@ class Tokenizer:
         def join(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 flat, sizes = _lists(batch)
-                length = np.diff(offsets)[flat]
-                ends = _offsets(length)[_offsets(sizes)]
-                yield _binaries(pieces[_spread(offsets[flat], length)], np.diff(ends))
+                data, at = _decoded(flat, pieces, offsets)
+                yield _binaries(data, np.diff(at[_offsets(sizes)]))
 
         return join(ids)
 
 
-def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text") -> DataFrame:
-    """docs with ids (array<int>) in place of any such column; other columns stay, whatever their names.
+def encoded(docs: DataFrame, tokenizer: Tokenizer, text_col: str = "text", with_ids: bool = True, digests: bool = False) -> DataFrame:
+    """docs with ids (array<int>) in place of any such column; other columns stay, whatever their names. With digests also n_tokens, ids_sha256 (of the ids as
+    little-endian unsigned 32-bit integers) and decoded_sha256 (of the bytes that the ids decode to), without ids these alone.
 
     Null and empty texts have no ids; repeated rows are encoded alike; texts and words of any length are encoded whole; ties between
     equal pairs go to the leftmost; an empty table gives an empty result.
     """
     small_batches(docs.sparkSession)
-    keep = [c for c in docs.columns if c != "ids"]
-    coded, filled = tokenizer.encoders(docs.sparkSession)
+    added = ["ids"] * with_ids + [c for c, _ in _DIGESTS] * digests
+    keep = [c for c in docs.columns if c not in added]
+    coded, filled = tokenizer.encoders(docs.sparkSession, with_ids, digests)
     rows = docs.select(F.struct(*(F.col(c) for c in keep)).alias("row"), coded(F.col(text_col)).alias("c"))
     folded = F.transform("c.others", lambda o: F.coalesce(o["ids"], tokenizer.fold(o["word"])))
     # The array of one is exploded to keep the fold out of the arguments of a Python function, where Spark would not evaluate it.
     rows = rows.select("row", F.explode(F.array(F.struct("c.codes", folded.alias("folded")))).alias("c"))
-    return rows.select(*(F.col("row")[c].alias(c) for c in keep), filled("c.codes", "c.folded").alias("ids"))
+    rows = rows.select("row", filled("c.codes", "c.folded").alias("f"))
+    return rows.select(*(F.col("row")[c].alias(c) for c in keep), *(F.col("f")[c].alias(c) for c in added))
 
 
 def op10(docs: DataFrame, path: str | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text")
     tokenizer = Tokenizer(path).learn(docs)
-    sha = lambda c: F.sha2(c, 256)
-    rows = encoded(docs, tokenizer).select("doc_id", "ids")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), sha(tokenizer.packed(F.col("ids"))).alias("ids_sha256"), sha(tokenizer.decode(F.col("ids"))).alias("decoded_sha256"))
+    return encoded(docs, tokenizer, with_ids=False, digests=True).select("doc_id", *(c for c, _ in _DIGESTS))

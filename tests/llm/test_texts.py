@@ -110,6 +110,20 @@ def test_bpe_agrees_with_the_library(spark):
     assert bpe.op10(df.limit(0)).count() == 0
 
 
+def test_digests_of_rows_of_any_length(monkeypatch):
+    tokenizer, r = bpe.Tokenizer(), random.Random(3)
+    import numpy as np
+
+    rows = [[r.randrange(50_000) for _ in range(n)] for n in (0, 5, 0, 1, 40, 7, 300, 0, 2, 2)]
+    ids, ends = np.array([i for row in rows for i in row], np.int32), np.cumsum([0, *map(len, rows)])
+    pieces = {rank: piece for piece, rank in tokenizer.ranks.items()}
+    want = [(hashlib.sha256(struct.pack(f"<{len(x)}I", *x)).hexdigest(), hashlib.sha256(b"".join(pieces[i] for i in x)).hexdigest()) for x in rows]
+    for at_once in (1, 6, 50, 1 << 18):
+        monkeypatch.setattr(bpe, "_AT_ONCE", at_once)
+        one, two = bpe._digested(ids, ends, *tokenizer._pieces)
+        assert list(zip(one.to_pylist(), two.to_pylist(), strict=True)) == want
+
+
 def test_bpe_cuts_whole_words():
     import regex
 
