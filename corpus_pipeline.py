@@ -59,9 +59,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     table gives no rows.
     """
     tokenizer = bpe.Tokenizer().learn(docs, words=COMMON_WORDS)
-    ids = F.col("ids")
-    rows = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer)
-    return rows.select("doc_id", "lang", "source", "ids", F.size(ids).cast("long").alias("n_tokens"), F.sha2(tokenizer.packed(ids), 256).alias("ids_sha256"), F.sha2(tokenizer.decode(ids), 256).alias("decoded_sha256"))
+    rows = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer, digests=True)
+    return rows.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 STAGES = [
