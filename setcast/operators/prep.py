@@ -41,8 +41,11 @@ def class_table(spark: SparkSession, codes: list[int]) -> DataFrame:
 
 
 def known_classes(*frames: DataFrame) -> tuple[DataFrame, int]:
-    """The encoded labels of all frames, brought to the driver once, to be broadcast if they are few; and their number."""
-    found = sorted(r["code"] for r in _codes(frames).collect())
+    """The encoded labels of all frames and their number. Few come to the driver once and are broadcast; of more only their number does."""
+    found = sorted(r["code"] for r in _codes(frames).limit(FEW_CLASSES + 1).collect())
+    if len(found) > FEW_CLASSES:
+        classes = encode_labels(*frames)
+        return classes, classes.count()
     return class_table(frames[0].sparkSession, found), len(found)
 
 
