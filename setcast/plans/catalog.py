@@ -6,6 +6,7 @@ six digits in both engines.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -264,6 +265,26 @@ def bilinear_pixels(spark, folder):
     return _rounded(rasters.bilinear_values(_places(spark, folder), _raster(spark, folder), _RASTER_TILE, _PIXEL).select("id", "value"))
 
 
+#: Units of a tile's side in the query of tiled prediction, and its tiles between two entries of the manifest.
+_PREDICTED_TILE, _PREDICTED_BATCH = 25, 6
+
+
+def tile_predictions(spark, folder):
+    """Classes of test rows that lie on a plane, tile by tile, in a run that is ended after its first batch and a second one that goes on."""
+    rows = tables.samples(spark, folder)
+    codes_found, centroids = models.encoded_centroids(rows)
+    place = f"{tables.shared_folder(spark)}/tiles-{uuid.uuid4().hex}"
+    test = rows.where("split = 'test'").selectExpr("sample_id", "features", "sample_id * 37 % 100 AS x", "sample_id * 61 % 100 AS y")
+    grid.write_tiles(test, f"{place}/in", _PREDICTED_TILE)
+
+    def predict(tiles):
+        return tiles.withColumn("p", centroids.probabilities(F.col("features"))).select("sample_id", "tile", models.predicted(F.col("p")).alias("pred"))
+
+    for most in (1, None):
+        rasters.predict_tiles(spark, f"{place}/in", f"{place}/out", predict, _PREDICTED_BATCH, most)
+    return rasters.predicted_tiles(spark, f"{place}/out")
+
+
 def _model_metrics(name, **options):
     def run(spark, folder):
         pred = _predictions(spark, folder, name, **options)
@@ -313,6 +334,7 @@ QUERIES = {
     "zone_areas": zone_areas,
     "reprojection": reprojection,
     "presence_tiles": presence_tiles,
+    "tile_predictions": tile_predictions,
     "nearest_pixel": nearest_pixel,
     "bilinear_pixels": bilinear_pixels,
     "dummy_predict": dummy_predict,
@@ -582,6 +604,8 @@ _PIXELS = f"""{_POINTS}, pixels AS MATERIALIZED (
 ), places AS (SELECT c_custkey AS id, CAST(c_custkey * 7919 % 10000 AS DOUBLE) / 10 AS x, CAST(c_custkey * 104729 % 10007 AS DOUBLE) / 10 AS y FROM customer)"""
 
 SQL = {
+    "tile_predictions": f"""WITH {_RANKED} SELECT sample_id, (sample_id * 37 % 100 // {_PREDICTED_TILE}) || '_' || (sample_id * 61 % 100 // {_PREDICTED_TILE}) AS tile, class_idx AS pred
+FROM ranked WHERE split = 'test' AND rank = 1""",
     "knn_metrics": f"WITH {_NEIGHBOURS} SELECT round(avg(f1), 6) AS f1_macro, round(avg(recall), 6) AS balanced_accuracy, 'knn' AS model FROM by_class",
     "nearest_pixel": f"WITH {_PIXELS} SELECT id, value FROM places LEFT JOIN pixels ON px = floor(x / {_PIXEL}) AND py = floor(y / {_PIXEL})",
     "bilinear_pixels": f"""WITH {_PIXELS}, near AS (
