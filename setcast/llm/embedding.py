@@ -1,6 +1,7 @@
 """Near-duplicate embeddings: an exact metric range join within equal labels and lengths.
 
-Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Vectors go to the cell of their nearest pivot.
+Unit vectors with cosine >= c lie within r = sqrt(2 - 2c) of each other. Vectors go to the cell of the nearest pivot of their own label and length; a label's
+pivots, about half the square root of its vectors, meet shares of these in tasks, so that neither the driver nor a broadcast holds them.
 For a pair x, y within r the triangle inequality gives d(x, p) <= d(x, own) + 2r for y's pivot p, and, in
 Euclidean space, x lies within r of the plane between the two pivots: (d(x, p)^2 - d(x, own)^2) / (2 d(p, own)) <= r.
 x visits just the cells that pass both, and of two cells only one sends visitors to the other, so that a pair meets in one cell.
@@ -23,8 +24,8 @@ from .common import components, dropped, hash01, small_batches, written
 COSINE = 0.98
 #: Numbers in a block of vectors, so that it takes some MB whatever their length.
 BLOCK_NUMBERS = 1 << 19
-#: Most pivots; their number follows the square root of the number of vectors up to here.
-MAX_PIVOTS = 1 << 14
+#: Vectors of a label and length that meet its pivots in a task, about.
+SHARE_ROWS = 1 << 15
 #: Distances to pivots computed at once.
 _AT_ONCE = 1 << 21
 _SLACK = 1e-9
@@ -48,29 +49,32 @@ def _visits(own: np.ndarray, cells: np.ndarray) -> np.ndarray:
     return ((own + cells) % 2 == 1) == (cells < own)
 
 
-def _cells(pivots: dict[int, np.ndarray], radius: float):
-    """pivots by length of the vectors; vectors of a length without pivots share one cell."""
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for dim, rows in batch.groupby("dim", sort=False):
-                step = max(16, _AT_ONCE // len(pivots[dim])) if dim in pivots else len(rows)
-                for at in range(0, len(rows), step):
-                    part = rows.iloc[at : at + step]
-                    if dim in pivots:
-                        p = pivots[dim]
-                        squares = np.maximum(0, 2 - 2 * _unit(_stack(part["v"], dim)) @ p.T)
-                        own = squares.argmin(1)
-                        gaps = np.sqrt(np.maximum(0, 2 - 2 * p[own] @ p.T))
-                        least = squares[np.arange(len(part)), own]
-                        near = np.sqrt(squares) <= np.sqrt(least)[:, None] + 2 * radius + _SLACK
-                        near &= squares - least[:, None] <= 2 * radius * gaps + _SLACK
-                        near &= _visits(own[:, None], np.arange(len(p)))
-                        near[np.arange(len(part)), own] = True
-                    else:
-                        own, near = np.zeros(len(part), np.int64), np.ones((len(part), 1), bool)
-                    row, cell = near.nonzero()
-                    yield pd.DataFrame({"node": part["node"].to_numpy()[row], "label": part["label"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "dim": np.int32(dim), "cell": cell.astype(np.int32), "home": own[row] == cell})
+def _cells(radius: float):
+    """A share of a label's vectors and its pivots: the cells that each vector belongs to or visits. Without pivots there is one cell."""
+
+    def assign(rows: pd.DataFrame, chosen: pd.DataFrame) -> pd.DataFrame:
+        names = ["node", "label", "copies", "v", "dim", "cell", "home"]
+        if rows.empty:
+            return pd.DataFrame({c: pd.Series(dtype="object") for c in names})
+        dim, out = int(rows["dim"].iat[0]), []
+        p = _unit(_stack(chosen["v"], dim)) if len(chosen) else None
+        step = len(rows) if p is None else max(16, _AT_ONCE // len(p))
+        for at in range(0, len(rows), step):
+            part = rows.iloc[at : at + step]
+            if p is None:
+                own, near = np.zeros(len(part), np.int64), np.ones((len(part), 1), bool)
+            else:
+                squares = np.maximum(0, 2 - 2 * _unit(_stack(part["v"], dim)) @ p.T)
+                own = squares.argmin(1)
+                gaps = np.sqrt(np.maximum(0, 2 - 2 * p[own] @ p.T))
+                least = squares[np.arange(len(part)), own]
+                near = np.sqrt(squares) <= np.sqrt(least)[:, None] + 2 * radius + _SLACK
+                near &= squares - least[:, None] <= 2 * radius * gaps + _SLACK
+                near &= _visits(own[:, None], np.arange(len(p)))
+                near[np.arange(len(part)), own] = True
+            row, cell = near.nonzero()
+            out.append(pd.DataFrame({"node": part["node"].to_numpy()[row], "label": part["label"].to_numpy()[row], "copies": part["copies"].to_numpy()[row], "v": part["v"].to_numpy()[row], "dim": np.int32(dim), "cell": cell.astype(np.int32), "home": own[row] == cell}))
+        return pd.concat(out)[names]
 
     return assign
 
@@ -131,14 +135,20 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         return kept(unlinked(rows))
     once = usable.groupBy("key", "key2").agg(F.first("label").alias("label"), F.first("v").alias("v"), F.count("*").alias("copies"), F.min("vec_id").alias("first_id"))
     once = written(once.withColumn("dim", F.size("v")).withColumn("node", F.monotonically_increasing_id()), "distinct")
-    # Pivots of each length, about so many: chosen by a hash, without an order over all vectors. Lengths of few vectors need none, and there are
-    # fewer lengths than vectors that have them by far.
-    sizes = once.groupBy("dim").agg(F.count("*").alias("n")).withColumn("k", F.least(F.lit(MAX_PIVOTS), F.floor(F.sqrt("n") / 2))).where("k > 1")
-    chosen = once.join(F.broadcast(sizes), "dim").where(hash01("key", "key2", seed=7) < F.col("k") / F.col("n")).select("dim", "v").toPandas()
-    pivots = {int(dim): _unit(_stack(found["v"], int(dim))) for dim, found in chosen.groupby("dim")}
+    # A label's vectors of one length, if they fill more than a block, are dealt into shares, and each share meets all pivots of its label, chosen by a hash in one
+    # order in every share. Fewer vectors are one cell.
+    label_type, dims = once.schema["label"].dataType.simpleString(), F.greatest("dim", F.lit(1))
+    sizes = once.groupBy("label", "dim").agg(F.count("*").alias("n")).where(F.col("n") * dims > block_numbers).withColumnsRenamed({"label": "of_label", "dim": "of_dim"})
+    sizes = sizes.select("of_label", "of_dim", "n", F.ceil(F.col("n") / SHARE_ROWS).cast("int").alias("shares"), F.floor(F.sqrt("n") / 2).alias("k"))
+    known = once.select("node", "label", "copies", "v", "dim", "key", "key2").join(sizes, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim")), "left")
+    few = known.where("shares IS NULL").select("node", "label", "copies", "v", "dim", F.lit(0).alias("cell"), F.lit(True).alias("home"))
+    many = known.where("shares IS NOT NULL").withColumn("share", F.pmod(F.xxhash64("node", F.lit(5)), F.col("shares")).cast("int"))
+    chosen = known.where("shares IS NOT NULL").where(hash01("key", "key2", seed=7) < F.col("k") / F.col("n"))
+    chosen = chosen.select(F.col("label").alias("label"), F.col("dim").alias("dim"), F.col("v").alias("v"), F.col("key").alias("key"), F.col("key2").alias("key2"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
     radius = math.sqrt(max(0.0, 2 - 2 * cosine)) + _SLACK
-    label_type = once.schema["label"].dataType.simpleString()
-    placed = once.select("node", "label", "copies", "v", "dim").mapInPandas(_cells(pivots, radius), f"node long, label {label_type}, copies long, v array<double>, dim int, cell int, home boolean")
+    schema = f"node long, label {label_type}, copies long, v array<double>, dim int, cell int, home boolean"
+    meet, by = _cells(radius), ["label", "dim", "share"]
+    placed = many.select(*by, "node", "copies", "v").groupBy(*by).cogroup(chosen.groupBy(*by)).applyInPandas(lambda rows, pivots: meet(rows, pivots.sort_values(["key", "key2"])), schema).union(few)
     placed = written(placed, "cells")
     blocks = placed.groupBy("label", "dim", "cell").count().select("label", "dim", "cell", F.ceil(F.col("count") * F.greatest("dim", F.lit(1)) / block_numbers).cast("int").alias("blocks"))
     in_blocks = placed.join(blocks, ["label", "dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))

@@ -78,7 +78,7 @@ def test_every_pair_within_four_bits_is_linked(spark):
     assert sorted(simhash.ball(4, 2)) == sorted(x for x in range(16) if x.bit_count() <= 2)
 
 
-def test_embeddings_match_brute_force(spark):
+def test_embeddings_match_brute_force(spark, monkeypatch):
     r = np.random.default_rng(3)
     rows = []
     for i in range(60):
@@ -105,7 +105,8 @@ def test_embeddings_match_brute_force(spark):
     counts = [sum(linked(i, j) for j in range(len(rows)) if i != j) for i in range(len(rows))]
     expected = sorted((x[0], n, c, x[0] == c) for x, n, c in zip(rows, counts, want, strict=True))
     assert sum(counts) > 200
-    for numbers in (embedding.BLOCK_NUMBERS, 7 * 16):
+    for numbers, share in ((embedding.BLOCK_NUMBERS, 1 << 15), (7 * 16, 1 << 15), (20 * 16, 13)):
+        monkeypatch.setattr(embedding, "SHARE_ROWS", share)
         got = sorted(tuple(x) for x in embedding.near_duplicates(df, block_numbers=numbers).select("vec_id", "n_links", "component_id", "kept").collect())
         assert got == expected
     assert embedding.op4(df.limit(0)).collect() == []
