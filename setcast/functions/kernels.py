@@ -75,6 +75,17 @@ def aps_scores(p: Column, ranks: Column, sorted_p: Column, before: Column, u: Co
     return F.transform(ranks, lambda r: F.element_at(before, r) + u * F.element_at(sorted_p, r) + weight * F.greatest(F.lit(0), r - k_reg))
 
 
+def saps_score(p: Column, rank: Column, u: Column, lam: Column) -> Column:
+    """That of the class with this rank alone; null for a null rank."""
+    top = F.array_max(p)
+    return F.when(rank == 1, top * u).when(rank > 1, top + (rank - 2 + u) * lam)
+
+
+def aps_score(rank: Column, sorted_p: Column, before: Column, u: Column, lam: Column, k_reg: Column) -> Column:
+    """That of the class with this rank alone; null for a null rank."""
+    return F.get(before, rank - 1) + u * F.get(sorted_p, rank - 1) + F.greatest(lam, F.lit(0.0)) * F.greatest(F.lit(0), rank - k_reg)
+
+
 def register(spark: SparkSession) -> None:
     """The kernels as SQL functions, which the analyzer puts in place as expressions."""
     order = "transform(array_sort(transform(p, (v, i) -> struct(-v AS minus, i AS k))), e -> e.k)"

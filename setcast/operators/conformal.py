@@ -39,6 +39,14 @@ def scores(method: str, lam: float, k_reg: int | None) -> Column:
     return K.aps_scores(F.col("p"), F.col("ranks"), F.col("sorted_p"), F.col("before"), F.col("u"), F.lit(float(lam)), F.lit(int(k_reg or 1)))
 
 
+def label_score(method: str, lam: float, k_reg: int | None) -> Column:
+    """The true class's score, without those of the others; null where the class is none."""
+    rank = K.at_label(F.col("ranks"), F.col("y"))
+    if method == "SAPS":
+        return K.saps_score(F.col("p"), rank, F.col("u"), F.lit(float(lam)))
+    return K.aps_score(rank, F.col("sorted_p"), F.col("before"), F.col("u"), F.lit(float(lam)), F.lit(int(k_reg or 1)))
+
+
 def in_cells(rows: DataFrame, cells: tuple) -> DataFrame:
     """A row per sample and (method, lam, k_reg) cell with its scores."""
     each = [F.struct(F.lit(m).alias("method"), F.lit(float(lam)).alias("lam"), F.lit(k).cast("int").alias("k_reg"), scores(m, lam, k).alias("scores")) for m, lam, k in cells]
@@ -67,7 +75,7 @@ def _calibrated(rows: DataFrame, cells: tuple, alphas: tuple[float, ...], mode:
     """The (alpha, tau) of each cell, by its place in cells; and RANK's stages (see rank_thresholds). Two passes over the calibration rows, which are
     kept meanwhile; the driver gets a row for each cell and class."""
     cal = rows.where("split = 'cal'")
-    own = [F.struct(F.lit(k).alias("cell"), K.at_label(scores(*c), F.col("y")).alias("score")) for k, c in enumerate(cells)]
+    own = [F.struct(F.lit(k).alias("cell"), label_score(*c).alias("score")) for k, c in enumerate(cells)]
     first_rank = len(cells)  # the cell of rank 0, which no class has
     rank = K.at_label(F.col("ranks"), F.col("y"))
     if with_rank:
@@ -180,11 +188,11 @@ def compare_methods(rows: DataFrame, alphas: tuple[float, ...] = ALPHAS, cells:
         parts = {"method": F.lit(method), "alpha": F.lit(alpha), "tau": tau.cast("double"), "hp_lam": lam.cast("double"), "hp_k_reg": k_reg.cast("int"), "hp_r_star": r_star.cast("int"), "size": size, "covered": covered}
         return F.struct(*(c.alias(name) for name, c in parts.items()))
 
-    test = rows.where("split = 'test'").select("y", "ranks", "sorted_p", *(scores(*c).alias(f"s{k}") for k, c in enumerate(cells)))
+    test = rows.where("split = 'test'").select("y", "ranks", "sorted_p", *(scores(*c).alias(f"s{k}") for k, c in enumerate(cells)), *(label_score(*c).alias(f"y{k}") for k, c in enumerate(cells)))
     sets = []
     for k, (m, lam, k_reg) in enumerate(cells):
         for alpha, tau in found[k]:
-            covered = F.coalesce(K.at_label(F.col(f"s{k}"), F.col("y")) <= tau, F.lit(False))
+            covered = F.coalesce(F.col(f"y{k}") <= tau, F.lit(False))
             size = F.size(F.filter(f"s{k}", lambda s: s <= tau))  # noqa: B023  called at once
             sets.append(of(m, alpha, F.lit(tau), none if m == "APS" else F.lit(float(lam)), F.lit(k_reg) if m == "RAPS" else none, none, size, covered))
     for s in stages:
