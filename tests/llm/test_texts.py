@@ -194,6 +194,18 @@ def test_mixing_keeps_its_promises(spark):
     assert mixing.op9(df.limit(0)).count() == 0 and mixing.mixed_texts(df.limit(0)).columns == df.columns
 
 
+def test_mixing_of_many_sources(spark):
+    """More sources than are compared one by one: every word is known by its source, and nothing is taken more than twice."""
+    rows = [(k, " ".join(["w"] * (200 + k % 7)), None, f"s{k % 150:03d}") for k in range(600)]
+    got = mixing.op9(docs(spark, rows)).collect()
+    assert len(got) == 600 and all(0 <= x["taken"] <= 2 * x["size"] for x in got)
+    size, taken = sum(x["size"] for x in got), sum(x["taken"] for x in got)
+    assert abs(taken - 1.5 * size) <= 0.03 * size
+    heavy = [x["taken"] / x["size"] for x in got if x["doc_id"] % 150 % 3 == 0]  # weight 3
+    light = [x["taken"] / x["size"] for x in got if x["doc_id"] % 150 % 3 == 1]  # weight 1
+    assert sum(heavy) / len(heavy) > 1.8 > 1.2 > sum(light) / len(light)
+
+
 def test_mixing_slot_by_slot(spark, monkeypatch):
     """Shards, draws, permutations and words recomputed slot by slot from the library's hashes; one source dominates, one text is very long."""
     from collections import Counter
