@@ -1,7 +1,7 @@
 """Classifiers that give a probability per encoded class.
 
 The centroid model is portable: nearest class mean with a softmax, in plain expressions. xgboost, lightgbm and catboost name the ways of growing
-trees in boosting.py, with those libraries' usual parameters. The others wrap MLlib. Names whose weights
+trees in boosting.py, with those libraries' usual parameters, rf the forest of forest.py. The others wrap MLlib. Names whose weights
 are not available raise, which the harness turns into an error row.
 """
 
@@ -14,14 +14,14 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from setcast.operators import boosting, codes
+from setcast.operators import boosting, codes, forest
 
 #: Digits that probabilities are rounded to, so that engines agree on ties and thresholds.
 DIGITS = 9
@@ -119,13 +119,13 @@ def with_probabilities(name: str, train: DataFrame, score: DataFrame, n_classes:
         return codes.with_probabilities(base, train, score, n_classes)
     if name == "knn":
         return _neighbours(train, score, n_classes)
+    if name == "rf":
+        return forest.with_probabilities(train, score, n_classes, n_estimators, seed=seed)
     vector = lambda df: df.withColumn("v", array_to_vector(F.transform("features", lambda x: x.cast("double"))))
     n = train.count()
     if name == "linear":
         scaler = StandardScaler(inputCol="v", outputCol="scaled", withMean=True)
         model = Pipeline(stages=[scaler, LogisticRegression(featuresCol="scaled", labelCol="class_idx", family="multinomial", maxIter=2000, regParam=1 / max(1, n), elasticNetParam=0.0)])
-    elif name == "rf":
-        model = RandomForestClassifier(featuresCol="v", labelCol="class_idx", numTrees=n_estimators, maxDepth=20, featureSubsetStrategy="sqrt", seed=seed)
     elif name == "gbt":
         model = OneVsRest(classifier=GBTClassifier(maxIter=n_estimators, maxDepth=4, seed=seed), featuresCol="v", labelCol="class_idx")
     else:
