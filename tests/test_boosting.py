@@ -1,8 +1,10 @@
 """Histogram boosting and output codes against plain computations."""
 
 import math
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +148,26 @@ def test_odd_tables_and_margins_written_between(spark, monkeypatch):
     assert len(got) == 82 and all(sum(r["p"]) == pytest.approx(1, abs=1e-6) for r in got)
 
 
+def test_what_a_worker_holds_does_not_grow_with_its_batches(spark, monkeypatch):
+    model, peaks = boosting.Model([np.arange(15.0)] * 16, 2), []
+    run = boosting._sums(model, 0, [boosting.Tree(), boosting.Tree()], {(0, 0): None, (1, 0): None}, None, False)
+    for n in (4_000, 40_000):
+        bins, y = [np.full(16, k % 16, np.uint16).tobytes() for k in range(n)], pa.array(np.arange(n) % 2)
+        batch = pa.RecordBatch.from_arrays([y, y, pa.array(np.zeros(n, np.int64)), pa.array(bins), pa.array([bytes(16)] * n)], ["key", "y", "block", "bins", "margins"])
+        tracemalloc.start()
+        assert sum(sum(b.column("h").to_pylist()) for b in run(iter([batch]))) == 2 * 16 * n << boosting.BITS - 1
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * peaks[0]
+    df, _, _ = table(spark, n=120)
+    fitted = lambda: boosting.fit(df, 3, 2, boosting.Growth(depth=2, max_bin=8))
+    shown = lambda m: df.select("sample_id", m.probabilities(F.col("features"), 9).alias("p")).orderBy("sample_id").collect()
+    want = fitted()
+    rows = shown(want)
+    monkeypatch.setattr(boosting, "AT_ONCE", 7)
+    assert fitted().rounds == want.rounds and shown(want) == rows
+
+
 def test_code_books():
     for n in (11, 22, 100, 150):
         book = codes.code_book(n)
