@@ -1,7 +1,7 @@
 """A corpus pipeline: language ID, SimHash near-dedup, personal data, mixing, byte-level BPE.
 
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame. All but the last
-return the columns of documents; each works on all that the one before it kept.
+return the columns of documents; each works on all that the one before it kept, and begins with a driver that holds nothing of the stages before.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setcast.llm import bpe, langid, mixing, pii, simhash
-from setcast.llm.common import left, names, release, table, written
+from setcast.llm.common import collected, left, names, release, table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 #: Words that the last stage folds beforehand: fewer than the operator's own, for the driver's memory after four other stages. They bear on speed alone.
@@ -25,6 +25,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All other columns stay, whatever their names. Repeated rows are judged alike, texts of any length whole; ties go as langid.Model says;
     an empty table stays empty, and with nothing to learn from every document is undetermined and goes.
     """
+    collected(spark)
     found = langid.predictions(docs, langid.learned(docs)).where("found.lang_pred <> 'und'")
     return found.select(*((F.col("found.lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns))
 
@@ -34,12 +35,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Documents without an id belong to groups like any other, behind those with one; null and wordless texts form a group. An empty table stays empty.
     """
+    collected(spark)
     return simhash.survivors(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; no document goes. Null and empty texts stay as they are, overlapping spans are replaced by
     the first's kind, repeated rows alike; texts of any length are searched whole; an empty table stays empty."""
+    collected(spark)
     return pii.masked(docs)
 
 
@@ -49,6 +52,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have nothing to take and go; a null source is one of its own; repeated rows and ids are documents of their own;
     an empty table stays empty. Reruns agree.
     """
+    collected(spark)
     return mixing.mixed_texts(docs)
 
 
@@ -58,6 +62,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts have no ids; texts and words of any length are encoded whole, repeated rows alike; other columns are left out; an empty
     table gives no rows.
     """
+    collected(spark)
     tokenizer = bpe.Tokenizer().learn(docs, words=COMMON_WORDS)
     rows = bpe.encoded(docs.select("doc_id", "lang", "source", "text"), tokenizer, digests=True)
     return rows.select("doc_id", "lang", "source", "ids", "n_tokens", "ids_sha256", "decoded_sha256")

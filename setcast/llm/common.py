@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +69,13 @@ def dropped(df: DataFrame) -> None:
         _delete(df.sparkSession, name)
 
 
+def collected(spark: SparkSession) -> None:
+    """Have the driver collect garbage now: what finished plans held is let go, and Spark's cleaner deletes their shuffles and broadcasts. Left to itself a driver
+    with memory to spare collects seldom, while its heap and the executors' disks fill."""
+    gc.collect()  # Python's data frames and columns hold those of the JVM
+    spark._jvm.System.gc()
+
+
 def left() -> set[str]:
     """Names of all tables that written() made in this process and that are not deleted yet."""
     return set(_LEFT)
