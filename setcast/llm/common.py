@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of a batch for Python workers.
 BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
+#: Signs of a plan's description.
+DESCRIBED = 100_000
 _OWN_DIRS: dict[str, str] = {}
 _LEFT: dict[str, str] = {}
 
@@ -40,6 +42,13 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
+def short_plans(spark: SparkSession) -> None:
+    """From now on the driver keeps no more than so much of the description of a plan of this session: a plan with large literals is described in MB, for each run."""
+    most = spark.conf.get("spark.sql.maxPlanStringLength")
+    if not most.isdigit() or int(most) > DESCRIBED:  # by default it has a unit
+        spark.conf.set("spark.sql.maxPlanStringLength", DESCRIBED)
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors. Packed with zstd: texts take
     two thirds of what they take by default.
