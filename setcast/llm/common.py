@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import gc
+import hashlib
 import tempfile
+import threading
 import uuid
+from weakref import WeakKeyDictionary
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +21,8 @@ BATCH_ROWS, BATCH_BYTES = 256, 8 << 20
 DESCRIBED = 100_000
 _OWN_DIRS: dict[str, str] = {}
 _LEFT: dict[str, str] = {}
+_CONSTANTS: WeakKeyDictionary[SparkSession, dict[tuple[str, str], str]] = WeakKeyDictionary()
+_DECLARING = threading.Lock()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +55,19 @@ def short_plans(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.maxPlanStringLength", DESCRIBED)
 
 
+def constant(spark: SparkSession, text: str, kind: str) -> Column:
+    """A large value, given as JSON, for plans of this session: a session variable, made once, which the optimizer puts in as a literal. A literal that is made from
+    the text itself is spelled out, whole, in each description and in each node of the graphs that the driver keeps of the plans it ran."""
+    with _DECLARING:
+        made, key = _CONSTANTS.setdefault(spark, {}), (hashlib.sha256(text.encode()).hexdigest(), kind)
+        if key not in made:
+            name = f"setcast_{uuid.uuid4().hex}"
+            spark.sql(f"DECLARE VARIABLE {name} {kind}")
+            spark.sql(f"SET VARIABLE {name} = (SELECT from_json(text, '{kind}') FROM {{given}})", given=spark.createDataFrame(pa.table({"text": pa.array([text])})))
+            made[key] = name
+        return F.expr(made[key])
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage is cut, and it outlives lost executors. Packed with zstd: texts take
     two thirds of what they take by default.
