@@ -2,8 +2,10 @@
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import types as T
 
@@ -129,3 +131,54 @@ def test_embeddings_of_every_length_are_linked(spark):
     assert len(got) == len(rows) and all(got[100 + k] == got[200 + k] == (1, 100 + k) for k in range(20))
     assert got[1005] == got[1006] == (1, 1005)
     assert all(got[k] == (0, k) for k in [*range(40), 1007, 1008, 1009])
+
+
+def test_vectors_are_kept_once_however_many_cells_they_meet(spark, monkeypatch):
+    """Vectors in all directions meet a good part of all cells: a copy for each would fill a worker's memory and many times the input's disk."""
+    r = np.random.default_rng(11)
+    v = r.normal(size=(3000, 32))
+    v[:400] = v[0] + v[:400] * 0.14
+    v[2900:] = v[2800:2900]
+    label = r.integers(0, 2, 3000)
+    label[2900:] = label[2800:2900]
+    df = spark.createDataFrame([(k, [float(x) for x in v[k]], int(label[k])) for k in range(3000)], "vec_id long, embedding array<float>, label int")
+    tables = {}
+
+    def seen(table, tag, write=embedding.written):
+        out = write(table, tag)
+        tables.setdefault(tag, []).append(out.count())
+        return out
+
+    monkeypatch.setattr(embedding, "written", seen)
+    monkeypatch.setattr(embedding, "LEAST_NUMBERS", 1 << 12, raising=False)
+    got = sorted(tuple(x) for x in embedding.near_duplicates(df, block_numbers=1 << 14).collect())
+    assert sum(tables["cells"]) == len(np.unique(v.astype("f4"), axis=0))
+    assert len(tables["found"]) > 1
+    x = v.astype("f4").astype("f8")
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    hit = (x @ x.T >= 0.98) & (label[:, None] == label) & ~np.eye(3000, dtype=bool)
+    least = np.arange(3000)
+    while (now := np.where(hit, least, 3000).min(1, initial=3000)).tolist() and (np.minimum(now, least) != least).any():
+        least = np.minimum(now, least)
+    assert hit.sum() > 10_000
+    assert got == sorted((k, int(hit[k].sum()), int(least[k]), bool(least[k] == k)) for k in range(3000))
+
+
+def test_a_block_does_not_hold_its_visitors():
+    r = np.random.default_rng(2)
+
+    def rows(role, n):
+        v = r.normal(size=(n, 64)).astype("f4")
+        return pa.RecordBatch.from_pydict({"role": pa.array([role] * n, pa.int32()), "cell": pa.array([0] * n, pa.int32()), "node": pa.array(range(n), pa.int64()), "copies": pa.array([1] * n, pa.int64()), "v": pa.array(list(v), pa.list_(pa.float32()))})
+
+    peaks = []
+    for visitors in (40, 400):
+        block, batch = embedding._Block(0.98, 0.2), rows(2, 256)
+        list(block.add(rows(1, 64)))
+        tracemalloc.start()
+        for _ in range(visitors):
+            list(block.add(batch))
+        list(block.end())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 1.2 * peaks[0]
