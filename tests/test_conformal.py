@@ -90,6 +90,13 @@ def test_sets_nest_and_raps_without_penalty_is_aps(spark):
     rows.unpersist(blocking=True)
 
 
+def test_rows_of_classes_ask_for_the_array_once(spark):
+    df = spark.createDataFrame([(1, [0.5, 0.25]), (2, []), (3, None), (4, [None, 0.125])], "sample_id long, p array<double>")
+    found = catalog._long(df.withColumn("twice", F.transform("p", lambda v: 2 * v)), "twice", "v")
+    assert sorted(map(tuple, found.collect())) == [(1, 0, 1.0), (1, 1, 0.5), (4, 0, None), (4, 1, 0.25)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(1.0, "a", 3.0), (math.nan, "a", 3.0), (1.0, None, 3.0), (1.0, "a", None), (1.0, "a", 3.9)], "f double, split string, code double")
     assert [tuple(r) for r in tables.load_clean(df).collect()] == [(1.0, 3), (1.0, 3)]
