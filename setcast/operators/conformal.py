@@ -36,7 +36,7 @@ def ranked(probs: DataFrame) -> DataFrame:
 def scores(method: str, lam: float, k_reg: int | None) -> Column:
     if method == "SAPS":
         return K.saps_scores(F.col("p"), F.col("ranks"), F.col("u"), F.lit(float(lam)))
-    return K.aps_scores(F.col("p"), F.col("ranks"), F.col("sorted_p"), F.col("before"), F.col("u"), F.lit(float(lam)), F.lit(int(k_reg or 1)))
+    return K.aps_scores(F.col("p"), F.col("ord"), F.col("sorted_p"), F.col("before"), F.col("u"), F.lit(float(lam)), F.lit(int(k_reg or 1)))
 
 
 def label_score(method: str, lam: float, k_reg: int | None) -> Column:

@@ -47,8 +47,7 @@ class Centroids:
 
     def probabilities(self, features: Column, digits: int | None = DIGITS) -> Column:
         shown = lambda v: v if digits is None else F.round(v, digits)
-        x = F.transform(features, lambda v: v.cast("double"))
-        minus = F.transform(_matrix(self.means), lambda c: -SHARPNESS * F.aggregate(F.zip_with(x, c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, d: s + d))
+        minus = F.transform(_matrix(self.means), lambda c: -SHARPNESS * F.aggregate(F.zip_with(features, c, lambda a, b: a.cast("double") - b), F.lit(0.0), lambda s, d: s + d * d))
         powers = F.transform(F.array(minus), lambda z: F.transform(z, lambda v: F.coalesce(F.exp(v - F.array_max(z)), F.lit(0.0))))
         return F.element_at(F.transform(powers, lambda e: F.transform(e, lambda v: shown(v / F.aggregate(e, F.lit(0.0), lambda s, d: s + d)))), 1)
 

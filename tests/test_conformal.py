@@ -1,12 +1,13 @@
 """Hand-checked goldens, properties and edge cases of the conformal operators, metrics and preparation."""
 
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from setcast.functions import kernels
-from setcast.operators import conformal, metrics, prep
+from setcast.operators import conformal, metrics, models, prep
 from setcast.plans import catalog
 from setcast.sources import tables
 
@@ -97,6 +98,33 @@ def test_rows_of_classes_ask_for_the_array_once(spark):
     assert found._jdf.queryExecution().optimizedPlan().toString().count("transform(") == 1
 
 
+def test_scores_of_all_classes_sum_up_once(spark):
+    rows = [(1, 0.5, [0.25, 0.5, 0.25]), (2, 1.0, [0.0, 0.0, 1.0]), (2, 1.0, [0.0, 0.0, 1.0]), (3, 0.5, []), (4, 0.5, None), (5, 0.5, [0.25, None, 0.75]), (6, None, [1.0])]
+    df = conformal.ranked(spark.createDataFrame(rows, "sample_id long, u double, p array<double>"))
+    shown = lambda *cell: [r["s"] for r in df.select("sample_id", conformal.scores(*cell).alias("s")).orderBy("sample_id").collect()]
+    assert shown("APS", 0.0, 1) == [[0.625, 0.25, 0.875], [1.0, 1.0, 1.0], [1.0, 1.0, 1.0], [], None, [None, 0.375, 0.875], [None]]
+    assert shown("RAPS", 0.125, 1) == [[0.75, 0.25, 1.125], [1.125, 1.25, 1.0], [1.125, 1.25, 1.0], [], None, [None, 0.375, 1.0], [None]]
+    assert shown("RAPS", -1.0, 1) == shown("APS", 0.0, 1)
+    plan, around = df.select(conformal.scores("RAPS", 0.125, 1))._jdf.queryExecution().optimizedPlan().toString(), []
+    for sign in re.findall(r"\w*\(|\)", plan[: plan.index("aggregate(")]):
+        around = around[:-1] if sign == ")" else [*around, sign]
+    assert "lambdafunction(" not in around
+
+
+def test_centroids_read_features_as_they_are(spark):
+    centroids, rows = models.Centroids([[0.0, 0.0], None, [1.0, 0.5]]), [(1, [0.5, 0.25]), (1, [0.5, 0.25]), (2, [0.1, 0.7]), (3, [math.nan, 0.5])]
+    df = spark.createDataFrame(rows, "sample_id long, features array<float>").withColumn("p", centroids.probabilities(F.col("features")))
+    one, again, two, three = (r["p"] for r in df.orderBy("sample_id").collect())
+    x = df.where("sample_id = 2").first()["features"]
+    z = [-10.0 * (x[0] ** 2 + x[1] ** 2), -10.0 * ((x[0] - 1.0) ** 2 + (x[1] - 0.5) ** 2)]
+    assert one == again == [0.5, 0.0, 0.5] and two == [pytest.approx(1 / (1 + math.exp(z[1] - z[0])), abs=1e-9), 0.0, pytest.approx(1 / (1 + math.exp(z[0] - z[1])), abs=1e-9)]
+    assert math.isnan(three[0]) and math.isnan(three[2])
+    for odd in ([None, 1.0], [1.0], None):
+        with pytest.raises(Exception, match="DIVIDE_BY_ZERO"):
+            spark.createDataFrame([(1, odd)], "sample_id long, features array<float>").select(centroids.probabilities(F.col("features"))).collect()
+    assert "transform(features" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_preparation(spark):
     df = spark.createDataFrame([(1.0, "a", 3.0), (math.nan, "a", 3.0), (1.0, None, 3.0), (1.0, "a", None), (1.0, "a", 3.9)], "f double, split string, code double")
     assert [tuple(r) for r in tables.load_clean(df).collect()] == [(1.0, 3), (1.0, 3)]
