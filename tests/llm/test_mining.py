@@ -166,3 +166,35 @@ def test_intervals_drop_rows_early_and_hold_the_score():
         left, score = negatives._narrowed(a[k], rows, np.arange(5000), total[k], missing, stays)
         assert (score == exact[left]).all() and set(np.argsort(-exact)[:5]) <= set(left)
         assert looked[0] == 5000 and min(looked) < 500
+
+
+def test_few_rows_are_picked_for_single_anchors(monkeypatch):
+    r = np.random.default_rng(5)
+    x = np.rint(r.normal(size=(4000, 64)) * 40).astype(np.int64)
+    x[1], x[2], x[7], label = x[1] * 1000, 0, x[6], np.arange(4000) % 10
+    given = {"key": range(4000), "vec_id": [None if k == 8 else k for k in range(4000)], "label": label, "v": pa.array(list(x), pa.list_(pa.int64()))}
+    part, narrowed, left, scores = pa.table(given), negatives._narrowed, [], x @ x.T
+
+    def watched(a, rows, at, score, missing, stays):
+        looked = []
+        out = narrowed(a, rows, at, score, missing, lambda *s: looked.append(stays(*s)) or looked[-1])
+        left.append(np.count_nonzero(looked[0]))
+        return out
+
+    def best(k, places, n):
+        return sorted(places, key=lambda m: (-scores[k, m], part["vec_id"][int(m)].as_py() is None, m))[:n]
+
+    monkeypatch.setattr(negatives, "_narrowed", watched)
+    anchors = part.take(pa.array(range(0, 60, 2)))
+    found = negatives._cell(False)((pa.scalar(64),), part, anchors).to_pylist()
+    own = {k: best(k, [m for m in range(4000) if m != k and label[m] == label[k]], 5) for k in anchors["key"].to_pylist()}
+    assert [(f["anchor_key"], f["score"]) for f in found] == [(k, scores[k, m]) for k, ms in own.items() for m in ms]
+    known = [[{"id": m, "score": int(scores[k, m])} for m in own[k][:3]] + [{"id": 0, "score": -7}] for k in own]
+    hard = negatives._cell(True)((pa.scalar(64),), part, anchors.append_column("positives", pa.array(known))).to_pylist()
+    want = []
+    for k, (_, ps) in zip(own, enumerate(known), strict=True):
+        for place, p in enumerate(ps):
+            fits = [m for m in range(4000) if label[m] != label[k] and 30 * p["score"] <= 100 * scores[k, m] <= 90 * p["score"]]
+            want += [(k, place, part["vec_id"][int(m)].as_py(), scores[k, m]) for m in best(k, fits, 10)]
+    assert [(h["anchor_key"], h["place"], h["id"], h["score"]) for h in hard] == want and len(want) > 500
+    assert len(left) == 60 and np.mean(left) < 4000 / 8
